@@ -63,22 +63,26 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int,
     return picked.select("doc_id", "text", "y").toPandas().sort_values(["doc_id", "text"]).drop_duplicates("doc_id").reset_index(drop=True)
 
 
-def platt(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
-    """Slope and offset of a logistic curve of y on x, with smoothed targets."""
+def calibrated(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+    """Weights of a logistic curve of y on the columns of x, offset last, with smoothed targets."""
     n1, n0 = float((y == 1).sum()), float((y == 0).sum())
     t = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    spread = float(x.std()) or 1.0
-    z = np.stack([(x - x.mean()) / spread, np.ones_like(x)], 1)
-    w = np.zeros(2)
+    mean, spread = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1.0)
+    z = np.c_[(x - mean) / spread, np.ones(len(x))]
+    w = np.zeros(z.shape[1])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -35, 35)))
-        g = z.T @ (p - t) + ridge * w
-        h = (z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(2)
-        step = np.linalg.solve(h, g)
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w)), z.T @ (p - t) + ridge * w)
         w = w - np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0] / spread), float(w[1] - w[0] * x.mean() / spread)
+    return np.r_[w[:-1] / spread, w[-1] - (w[:-1] / spread * mean).sum()]
+
+
+def platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of a logistic curve of y on x."""
+    w = calibrated(x[:, None], y)
+    return float(w[0]), float(w[1])
 
 
 def logistic(x):

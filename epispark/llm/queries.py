@@ -5,9 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epispark.llm.common import table
+from epispark.llm import quality, toxicity
+from epispark.llm.common import fold, table
 from epispark.llm.embeddings import vector_links
+from epispark.llm.packing import packed
 from epispark.llm.simhash import hex16, near_duplicates
+from epispark.llm.urls import url_verdicts
+
+
+def judged(scored: DataFrame, module) -> DataFrame:
+    held = F.coalesce(fold("doc_id", module.PARTS) == module.HELD_OUT, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(toxicity.toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")), toxicity)
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packed(table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")), quality)
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +44,11 @@ def op10_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
+    "op4_quality": op4_quality,
+    "op7_url_filter": op7_url_filter,
     "op10_embedding_links": op10_embedding_links,
 }
 
