@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,6 +91,15 @@ def logistic(x):
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
+def sent(spark: SparkSession, model):
+    """Broadcast a model of bounded size; received() gives it back in a task. Classes travel with it."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(model))
+
+
+def received(shared):
+    return pickle.loads(shared.value)
+
+
 def whole_groups(batches: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterator[pd.DataFrame]:
     """From batches sorted by keys, frames that never split a group: the last group of a batch waits for the next."""
     kept: list[pd.DataFrame] = []

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epispark.llm.common import calibrated, labelled_sample, logistic
+from epispark.llm.common import calibrated, labelled_sample, logistic, received, sent
 
 PARTS, HELD_OUT = 3, 1
 
@@ -85,11 +85,11 @@ def quality(docs: DataFrame, labels: DataFrame, per_class: int = 1500, threshold
     model = fit(labelled_sample(docs, labels, "quality", PARTS, HELD_OUT, per_class))
     if model is None:
         return docs.withColumn("score", F.lit(0.5)).withColumn("predicted", F.lit(1))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of at most `size` bytes
+    shared = sent(docs.sparkSession, model)  # two dictionaries of at most `size` bytes
 
     @F.pandas_udf("double")
     def good(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m = shared.value
+        m = received(shared)
         tools = m.sizes()
         for texts in batches:
             yield pd.Series(m.scores(texts, tools))

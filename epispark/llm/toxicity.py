@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epispark.llm.common import labelled_sample, logistic, platt
+from epispark.llm.common import labelled_sample, logistic, platt, received, sent
 
 PARTS, HELD_OUT = 5, 0
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -252,13 +252,13 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
     """Add score (0 to 1). Null and empty texts have no unit and get the lowest score; without a model all get 0."""
     if model is None:
         return docs.withColumn("score", F.lit(0.0))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # size bound: 251^3 weights of 4 bytes
+    shared = sent(docs.sparkSession, model)  # size bound: 251^3 weights of 4 bytes
 
     @F.pandas_udf("double")
     def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        seen: dict[str, float] = {}
+        known, seen = received(shared), {}
         for texts in batches:
-            yield pd.Series(np.concatenate([shared.value.texts(list(texts.iloc[k : k + 500]), seen) for k in range(0, len(texts), 500)] or [np.zeros(0)]))
+            yield pd.Series(np.concatenate([known.texts(list(texts.iloc[k : k + 500]), seen) for k in range(0, len(texts), 500)] or [np.zeros(0)]))
 
     return docs.withColumn("score", toxic(F.col(text)))
 
