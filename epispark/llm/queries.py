@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from epispark.llm import quality, toxicity
 from epispark.llm.common import fold, table
 from epispark.llm.embeddings import vector_links
+from epispark.llm.decontamination import leaks
 from epispark.llm.packing import packed
+from epispark.llm.pages import main_text
+from epispark.llm.passages import repeated_passages
+from epispark.llm.secrets import BASE, listed, with_secrets
 from epispark.llm.simhash import hex16, near_duplicates
 from epispark.llm.urls import url_verdicts
 
@@ -31,6 +35,25 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")), quality)
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = with_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("secrets", lambda s: s["rank"] < len(BASE))
+    count = [F.size(F.filter(F.col("secrets.kind"), lambda k: k == kind)).cast("long").alias(f"n_{kind}") for kind in [r.kind for r in BASE]]
+    return found.select("doc_id", *count, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "score")
 
@@ -48,7 +71,11 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
     "op4_quality": op4_quality,
+    "op5_main_text": op5_main_text,
+    "op6_decontamination": op6_decontamination,
     "op7_url_filter": op7_url_filter,
+    "op8_repeated_passages": op8_repeated_passages,
+    "op9_secrets": op9_secrets,
     "op10_embedding_links": op10_embedding_links,
 }
 
