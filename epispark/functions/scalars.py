@@ -56,12 +56,17 @@ def first_match(text: Column, patterns: Sequence[str], group: int = 1) -> Column
     return F.coalesce(*[F.nullif(F.regexp_extract(tight, p, group), F.lit("")) for p in patterns])
 
 
+def micros(c: Column) -> Column:
+    """Microseconds since the epoch; times without a zone are taken in the session's."""
+    return F.unix_micros(c.cast("timestamp"))
+
+
 def whole_hours(a: Column, b: Column) -> Column:
-    return F.floor((F.unix_micros(a) - F.unix_micros(b)) / 3_600_000_000).cast("long")
+    return F.floor((micros(a) - micros(b)) / 3_600_000_000).cast("long")
 
 
 def whole_days(a: Column, b: Column) -> Column:
-    return F.floor((F.unix_micros(a) - F.unix_micros(b)) / 86_400_000_000).cast("long")
+    return F.floor((micros(a) - micros(b)) / 86_400_000_000).cast("long")
 
 
 def lenient_time(c: Column, formats: Sequence[str] = ("yyyyMMdd", "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss")) -> Column:

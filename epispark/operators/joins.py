@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from epispark.functions.scalars import micros
+
 
 def within_hours(events: DataFrame, starts: DataFrame, key: str, ts: str, t0: str, hours: int, lower: int | None = 0) -> DataFrame:
     """Events of a stay up to `hours` after its start; lower None keeps earlier ones too. One row per stay in starts."""
-    gap = F.unix_micros(ts) - F.unix_micros(t0)
+    gap = micros(F.col(ts)) - micros(F.col(t0))
     out = events.join(starts.select(key, t0), key).where(gap <= hours * 3_600_000_000 if lower is None else gap < hours * 3_600_000_000)
     return out if lower is None else out.where(gap >= lower * 3_600_000_000)
 

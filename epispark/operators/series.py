@@ -10,13 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from epispark.functions.scalars import micros
+
 # windows
 
 
 def readmissions(df: DataFrame, person: str, t0: str, stay: str, days: int = 14) -> DataFrame:
     """gap (whole days since the person's previous stay, null for the first) and readmitted 0/1. Rows without person go first."""
     w = W.partitionBy(person).orderBy(t0, stay)
-    gap = F.floor((F.unix_micros(t0) - F.unix_micros(F.lag(t0).over(w))) / 86_400_000_000).cast("long")
+    gap = F.floor((micros(F.col(t0)) - micros(F.lag(t0).over(w))) / 86_400_000_000).cast("long")
     return df.where(F.col(person).isNotNull()).withColumn("gap", gap).withColumn("readmitted", F.coalesce(F.col("gap") <= days, F.lit(False)).cast("int"))
 
 

@@ -1 +1,6 @@
-"""Plans of the library."""
+"""Registered queries of the library."""
+
+from epispark.plans import records
+from epispark.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "records"]
