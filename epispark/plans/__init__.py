@@ -1,6 +1,6 @@
 """Registered queries of the library."""
 
-from epispark.plans import forecasts, records
+from epispark.plans import forecasts, records, streams
 from epispark.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "forecasts", "records"]
+__all__ = ["ORACLES", "QUERIES", "forecasts", "records", "streams"]

@@ -95,7 +95,7 @@ def wn12(spark, d):
     return R.sudden_drops(series(spark, d), "series", "week", "v")
 
 
-@query("wn13_tuned_step", f"WITH {FC}, e AS (SELECT series, week, abs(actual - p) AS e FROM f), w AS (SELECT *, first(e) {O} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS a FROM e) SELECT series, week, e, CASE WHEN e > a THEN 1.1 WHEN e < a THEN 0.9 ELSE 1.0 END AS factor FROM w")
+@query("wn13_tuned_step", f"WITH {FC}, e AS (SELECT series, week, abs(actual - p) AS e FROM f), w AS (SELECT *, first(e) {O} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS a FROM e) SELECT series, week, e, CAST(CASE WHEN e > a THEN 1.1 WHEN e < a THEN 0.9 ELSE 1.0 END AS DOUBLE) AS factor FROM w")
 def wn13(spark, d):
     e = forecasts(spark, d).select("series", "week", F.abs(F.col("actual") - F.col("p")).alias("e"))
     return R.tuned_step(e, "series", "week", "e")

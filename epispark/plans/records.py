@@ -442,13 +442,13 @@ def jn13(spark, d):
 # scalar functions
 
 
-@query("sc2_iso_weeks", "SELECT CAST(o_orderdate AS DATE) AS day, CAST(isoyear(o_orderdate) AS INTEGER) AS iso_year, CAST(week(o_orderdate) AS INTEGER) AS iso_week, CASE WHEN month(o_orderdate) IN (3,4,5) THEN 'spring' WHEN month(o_orderdate) IN (6,7,8) THEN 'summer' WHEN month(o_orderdate) IN (9,10,11) THEN 'autumn' ELSE 'winter' END AS season, CASE WHEN month(o_orderdate) IN (5,6,7) THEN 1.5 WHEN month(o_orderdate) IN (9,10) THEN 1.2 ELSE 1.0 END AS weight, count(*) AS n FROM orders GROUP BY ALL")
+@query("sc2_iso_weeks", "SELECT CAST(o_orderdate AS DATE) AS day, CAST(isoyear(o_orderdate) AS INTEGER) AS iso_year, CAST(week(o_orderdate) AS INTEGER) AS iso_week, CASE WHEN month(o_orderdate) IN (3,4,5) THEN 'spring' WHEN month(o_orderdate) IN (6,7,8) THEN 'summer' WHEN month(o_orderdate) IN (9,10,11) THEN 'autumn' ELSE 'winter' END AS season, CAST(CASE WHEN month(o_orderdate) IN (5,6,7) THEN 1.5 WHEN month(o_orderdate) IN (9,10) THEN 1.2 ELSE 1.0 END AS DOUBLE) AS weight, count(*) AS n FROM orders GROUP BY ALL")
 def sc2(spark, d):
     t = F.col("o_orderdate")
     return table(spark, d, "orders").groupBy(F.to_date(t).alias("day"), S.iso_year(t).cast("int").alias("iso_year"), S.iso_week(t).alias("iso_week"), S.season(t).alias("season"), S.season_weight(t, {(5, 6, 7): 1.5, (9, 10): 1.2}).alias("weight")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("sc2_month_mondays", "SELECT month, string_agg(CAST(week(m) AS VARCHAR), ',' ORDER BY m) AS weeks FROM (SELECT month, unnest(generate_series(month, month + INTERVAL 1 MONTH - INTERVAL 1 DAY, INTERVAL 1 DAY)) AS m FROM (SELECT DISTINCT date_trunc('month', o_orderdate) AS month FROM orders)) WHERE isodow(m) = 1 GROUP BY 1")
+@query("sc2_month_mondays", "SELECT CAST(month AS DATE) AS month, string_agg(CAST(week(m) AS VARCHAR), ',' ORDER BY m) AS weeks FROM (SELECT month, unnest(generate_series(month, month + INTERVAL 1 MONTH - INTERVAL 1 DAY, INTERVAL 1 DAY)) AS m FROM (SELECT DISTINCT date_trunc('month', o_orderdate) AS month FROM orders)) WHERE isodow(m) = 1 GROUP BY 1")
 def sc2m(spark, d):
     m = table(spark, d, "orders").select(F.trunc("o_orderdate", "MM").alias("month")).distinct()
     return m.select("month", F.array_join(S.month_mondays(F.col("month")).cast("array<string>"), ",").alias("weeks"))
