@@ -81,19 +81,32 @@ def repeated_passages(docs: DataFrame, least: int = 50, window: int = 20, gram:
                     yield pd.DataFrame({"doc_id": np.repeat(part["doc_id"].to_numpy(), n), "at": np.concatenate([f[0] for f in found]), "k": np.concatenate([f[1] for f in found]), "rest": np.concatenate([f[2] for f in found])})
 
     rows = written(d.mapInPandas(retained, "doc_id long, at int, k long, rest long"))
-    sizes = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi")
-    shared = rows.join(sizes.select("k", "n"), "k").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / group)).cast("int"))
+    place = F.struct("doc_id", "at")
+    sizes = rows.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("parts"), F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo.doc_id <> hi.doc_id")
+    shared = rows.join(sizes.select("k", "parts"), "k").select("k", F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("part"), "doc_id", "at", "rest")
+    # two suffixes of different documents go to every part of a large key, so no suffix is without neighbours
+    ends = sizes.where("parts > 1").select("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.array("lo", "hi").alias("e")).select("k", "part", F.explode("e").alias("e"))
+    shared = shared.unionByName(ends.select("k", "part", "e.doc_id", "e.at", F.lit(0).cast("long").alias("rest")))
 
     def neighbours(f: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Each suffix with the nearest one of another document on either side."""
         k, part, doc, at = (f[c].to_numpy() for c in ("k", "part", "doc_id", "at"))
-        near = (k[1:] == k[:-1]) & (part[1:] == part[:-1]) & (doc[1:] != doc[:-1])
-        if near.any():
-            i = np.flatnonzero(near)
-            swap = doc[i] > doc[i + 1]
-            a, b = np.where(swap, i + 1, i), np.where(swap, i, i + 1)
+        starts = np.r_[True, (k[1:] != k[:-1]) | (part[1:] != part[:-1]) | (doc[1:] != doc[:-1])]
+        run = np.cumsum(starts) - 1
+        first = np.flatnonzero(starts)
+        last = np.r_[first[1:], len(f)] - 1
+        i = np.tile(np.arange(len(f)), 2)
+        j = np.r_[first[run] - 1, last[run] + 1]
+        inside = (j >= 0) & (j < len(f))
+        i, j = i[inside], j[inside]
+        same = (k[i] == k[j]) & (part[i] == part[j])
+        i, j = i[same], j[same]
+        swap = doc[i] > doc[j]
+        a, b = np.where(swap, j, i), np.where(swap, i, j)
+        if len(a):
             yield pd.DataFrame({"a": doc[a], "b": doc[b], "shift": (at[a] - at[b]).astype(np.int32)}).drop_duplicates()
 
-    pairs = by_sorted_groups(shared.select("k", "part", "doc_id", "at", "rest"), ["k", "part"], ["rest", "doc_id", "at"], neighbours, "a long, b long, shift int")
+    pairs = by_sorted_groups(shared, ["k", "part"], ["rest", "doc_id", "at"], neighbours, "a long, b long, shift int")
     pairs = written(pairs.groupBy("a", "b").agg(F.collect_set("shift").alias("shifts")))
 
     def extended(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
