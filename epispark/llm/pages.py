@@ -153,5 +153,9 @@ def main_text(pages: DataFrame, least: int = 5, share: float = 0.02, page_html:
     own = made.select("_row", "_host", F.explode(F.array_distinct(F.flatten(F.transform("_blocks", lambda b: b["nodes"])))).alias("tree"))
     gone = own.join(template, ["_host", "tree"], "left_semi").groupBy("_row").agg(F.collect_set("tree").alias("_gone"))
     kept = F.filter("_blocks", lambda b: F.col("_gone").isNull() | ~F.arrays_overlap(b["nodes"], F.col("_gone")))
-    whole = F.array_join(F.transform(kept, lambda b: b["text"]), " ")
-    return made.join(gone, "_row", "left").withColumn("text", whole).select(*keep, "text")
+    joined = lambda blocks: F.array_join(F.transform(blocks, lambda b: b["text"]), " ")
+    # pages whose kept blocks lie in no deletable subtree have their text already; only the others meet the template
+    open_ = F.exists("_blocks", lambda b: F.size(b["nodes"]) > 0)
+    settled = made.where(~open_).withColumn("text", joined(F.col("_blocks")))
+    others = made.where(open_).join(gone, "_row", "left").withColumn("text", joined(kept))
+    return settled.select(*keep, "text").unionByName(others.select(*keep, "text"))
