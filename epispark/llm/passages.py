@@ -1,13 +1,13 @@
 """Passages that repeat across documents, by sparse suffix arrays.
 
 Suffixes start at words; only those at content-selected minimiser positions are retained, so equal passages retain the
-same ones. A retained suffix is keyed by its first words and sorted by what follows; neighbours of equal key in sorted
+same ones. A retained suffix is keyed by its first words and sorted by what follows and precedes; neighbours in sorted
 order come from a shared passage, which is then extended word by word to the left and to the right.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -19,6 +19,8 @@ from epispark.llm.common import by_sorted_groups, written
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 POWERS = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(4096, BASE)]))
+# words before and after a key count in this many blocks, 16 bits of hash for each
+BLOCKS, BITS = 4, 16
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -44,31 +46,87 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def suffixes(text: str | None, key: int, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions, keys and continuations of the retained suffixes of a whole text that have at least key words left."""
+def blocks_of(order: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
+    """Hashes of the blocks at `at`, at + step and so on, the first one in the highest bits; outside the text 0."""
+    out = np.zeros(len(at), np.uint64)
+    for n in range(BLOCKS):
+        p = at + n * step
+        inside = (p >= 0) & (p < len(order))
+        part = order[np.clip(p, 0, len(order) - 1)] & np.uint64((1 << BITS) - 1)
+        out = (out << np.uint64(BITS)) | np.where(inside, part, np.uint64(0))
+    return out.view(np.int64)
+
+
+def suffixes(text: str | None, key: int, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions, keys, and blocks after and before the key, of the retained suffixes of a whole text that have at least
+    key words left."""
     h = hashes_of(words_of(text))
     none = np.zeros(0, np.int64)
     if len(h) < key + window:
-        return none, none, none
+        return (none,) * 4
     order = mixed(grams(h, gram))
     low = np.lib.stride_tricks.sliding_window_view(order, window).argmin(1)
     at = np.unique(low + np.arange(len(low)))
     at = at[at + key <= len(h)]
     if not len(at):
-        return (none,) * 3
-    rest = np.where(at + key + gram <= len(h), order[np.minimum(at + key, len(order) - 1)].view(np.int64), 0)
-    return at, mixed(grams(h, key))[at].view(np.int64), rest
+        return (none,) * 4
+    return at, mixed(grams(h, key))[at].view(np.int64), blocks_of(order, at + key, gram), blocks_of(order, at - gram, -gram)
+
+
+def first_blocks(blocks, n: int):
+    """The first n blocks of an array of packed ones."""
+    return blocks.view(np.uint64) >> np.uint64(BITS * (BLOCKS - n)) if n else np.zeros(len(blocks), np.uint64)
+
+
+def neighbours(equal: Sequence[tuple[int, int]]) -> Callable[[pd.DataFrame], Iterator[pd.DataFrame]]:
+    """Pairs each suffix with the nearest one of another document on either side, once for each (n, m) given: n blocks
+    before the key and m blocks after it have to be equal."""
+
+    def run(f: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        k, part, doc, at, after, before = (f[c].to_numpy() for c in ("k", "part", "doc_id", "at", "after", "before"))
+        key = np.cumsum(np.r_[True, (k[1:] != k[:-1]) | (part[1:] != part[:-1])])
+        out = []
+        for n, m in equal:
+            r, l = first_blocks(after, m), first_blocks(before, n)
+            order = np.lexsort((at, doc, before, after, l, r, key))
+            d, a = doc[order], at[order]
+            change = np.zeros(len(f), bool)
+            for c in (key, r, l):
+                change[1:] |= c[order][1:] != c[order][:-1]
+            group = np.cumsum(change)
+            starts = np.r_[True, change[1:] | (d[1:] != d[:-1])]
+            run_ = np.cumsum(starts) - 1
+            first = np.flatnonzero(starts)
+            last = np.r_[first[1:], len(f)] - 1
+            i = np.tile(np.arange(len(f)), 2)
+            j = np.r_[first[run_] - 1, last[run_] + 1]
+            inside = (j >= 0) & (j < len(f))
+            i, j = i[inside], j[inside]
+            same = (group[i] == group[j]) & (d[i] != d[j])
+            i, j = i[same], j[same]
+            swap = d[i] > d[j]
+            x, y = np.where(swap, j, i), np.where(swap, i, j)
+            out.append(pd.DataFrame({"a": d[x], "b": d[y], "shift": (a[x] - a[y]).astype(np.int32)}))
+        pairs = pd.concat(out, ignore_index=True).drop_duplicates()
+        if len(pairs):
+            yield pairs
+
+    return run
 
 
 def repeated_passages(docs: DataFrame, least: int = 50, window: int = 20, gram: int = 5, group: int = 4096, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, start_word, end_word, n_words, other_doc_id: the passages of at least `least` words that another document holds.
 
     In a passage of `least` words some minimiser lies within its first `window` positions, so the key of
-    least - window words after it is shared. Keys of one document only are dropped by a count that combines before its
-    shuffle; keys of more than `group` suffixes are dealt out by document, each part with neighbours of its own. Spans
-    are maximal against the neighbour. Null and empty texts and rows without id have no passage.
+    least - window words after it is shared, and of the blocks of `gram` words around the key BLOCKS - 1 in all (window
+    is BLOCKS * gram). Suffixes are paired where these blocks are equal, so a neighbour that shares the key alone hides
+    none that shares the passage. Keys of one document only are dropped by a count that combines before its shuffle.
+    Suffixes of keys with more than `group` of them are keyed anew, by the key and the blocks; where these are as many
+    still, they are dealt out by document, each part with neighbours of its own. Spans are maximal against the
+    neighbour. Null and empty texts and rows without id have no passage.
     """
     key = least - window
+    around = [(n, BLOCKS - 1 - n) for n in range(BLOCKS)]
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
 
     def retained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -78,35 +136,35 @@ def repeated_passages(docs: DataFrame, least: int = 50, window: int = 20, gram:
                 found = [suffixes(t, key, window, gram) for t in part["text"]]
                 n = [len(f[0]) for f in found]
                 if sum(n):
-                    yield pd.DataFrame({"doc_id": np.repeat(part["doc_id"].to_numpy(), n), "at": np.concatenate([f[0] for f in found]), "k": np.concatenate([f[1] for f in found]), "rest": np.concatenate([f[2] for f in found])})
+                    columns = {c: np.concatenate([f[x] for f in found]) for x, c in enumerate(("at", "k", "after", "before"))}
+                    yield pd.DataFrame({"doc_id": np.repeat(part["doc_id"].to_numpy(), n), **columns})
+
+    rows = written(d.mapInPandas(retained, "doc_id long, at int, k long, after long, before long"))
+    suffix = ["doc_id", "at", "after", "before"]
+
+    def shared(of: DataFrame) -> DataFrame:
+        """The keys of several documents: parts, and a suffix of the first and of the last document."""
+        sizes = of.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("parts"), F.min(F.struct(*suffix)).alias("lo"), F.max(F.struct(*suffix)).alias("hi"))
+        return sizes.where("lo.doc_id <> hi.doc_id")
 
-    rows = written(d.mapInPandas(retained, "doc_id long, at int, k long, rest long"))
-    place = F.struct("doc_id", "at")
-    sizes = rows.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("parts"), F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo.doc_id <> hi.doc_id")
-    shared = rows.join(sizes.select("k", "parts"), "k").select("k", F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("part"), "doc_id", "at", "rest")
+    sizes = written(shared(rows).select("k", "parts"))
+    large = sizes.where("parts > 1").select("k")
+    few = rows.join(large, "k", "left_anti").join(sizes.where("parts = 1").select("k"), "k").select("k", F.lit(0).alias("part"), *suffix)
+
+    def first(blocks: str, n: int):
+        return F.shiftrightunsigned(blocks, BITS * (BLOCKS - n)) if n else F.lit(0).cast("long")
+
+    anew = F.array(*[F.xxhash64("k", F.lit(n), first("after", m), first("before", n)) for n, m in around])
+    many = written(rows.join(large, "k", "left_semi").select(F.explode(anew).alias("k"), *suffix))
+    again = written(shared(many))
+    dealt = many.join(again.select("k", "parts"), "k").select("k", F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("part"), *suffix)
     # two suffixes of different documents go to every part of a large key, so no suffix is without neighbours
-    ends = sizes.where("parts > 1").select("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.array("lo", "hi").alias("e")).select("k", "part", F.explode("e").alias("e"))
-    shared = shared.unionByName(ends.select("k", "part", "e.doc_id", "e.at", F.lit(0).cast("long").alias("rest")))
-
-    def neighbours(f: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        """Each suffix with the nearest one of another document on either side."""
-        k, part, doc, at = (f[c].to_numpy() for c in ("k", "part", "doc_id", "at"))
-        starts = np.r_[True, (k[1:] != k[:-1]) | (part[1:] != part[:-1]) | (doc[1:] != doc[:-1])]
-        run = np.cumsum(starts) - 1
-        first = np.flatnonzero(starts)
-        last = np.r_[first[1:], len(f)] - 1
-        i = np.tile(np.arange(len(f)), 2)
-        j = np.r_[first[run] - 1, last[run] + 1]
-        inside = (j >= 0) & (j < len(f))
-        i, j = i[inside], j[inside]
-        same = (k[i] == k[j]) & (part[i] == part[j])
-        i, j = i[same], j[same]
-        swap = doc[i] > doc[j]
-        a, b = np.where(swap, j, i), np.where(swap, i, j)
-        if len(a):
-            yield pd.DataFrame({"a": doc[a], "b": doc[b], "shift": (at[a] - at[b]).astype(np.int32)}).drop_duplicates()
-
-    pairs = by_sorted_groups(shared, ["k", "part"], ["rest", "doc_id", "at"], neighbours, "a long, b long, shift int")
+    ends = again.where("parts > 1").select("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.array("lo", "hi").alias("e")).select("k", "part", F.explode("e").alias("e"))
+    dealt = dealt.unionByName(ends.select("k", "part", "e.*"))
+
+    link = "a long, b long, shift int"
+    pairs = by_sorted_groups(few, ["k", "part"], [], neighbours(around), link)
+    pairs = pairs.unionByName(by_sorted_groups(dealt, ["k", "part"], [], neighbours([(0, 0)]), link))
     pairs = written(pairs.groupBy("a", "b").agg(F.collect_set("shift").alias("shifts")))
 
     def extended(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

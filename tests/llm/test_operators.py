@@ -147,6 +147,19 @@ def test_passages_extend_and_edges(spark):
     assert len(grams(h, 30)) == 10 and len(grams(h, 50)) == 0
 
 
+@pytest.mark.parametrize("group", [4096, 4])
+def test_passages_behind_nearer_neighbours(spark, group):
+    rng = np.random.default_rng(5)
+    words = lambda n: " ".join(f"v{k}" for k in rng.integers(0, 10**9, n))
+    rows = []
+    for p in range(0, 4000, 100):
+        whole = words(52).split()
+        parts = [" ".join(x) for k in (35, 39, 43) for x in (whole[:k], whole[-k:], whole[4 : 4 + k])]
+        rows += [(p + k, f"{words(30)} {t} {words(30)}") for k, t in enumerate([" ".join(whole), *parts, " ".join(whole)])]
+    got = {tuple(r)[:1] + (r["n_words"], r["other_doc_id"]) for r in repeated_passages(docs(spark, rows), group=group).collect()}
+    assert got == {x for p in range(0, 4000, 100) for x in ((p, 52, p + 10), (p + 10, 52, p))}
+
+
 def test_pages(spark):
     site = [(i, "https://h.example/1", f"<html><body><div>Same box here</div><div><p>Own text {i} &amp; more</p></div></body></html>") for i in range(8)]
     rich = "<header><h1>Site</h1></header><nav>Menu</nav><div class='cookie-notice'>Cookies</div><main><article><h1>Head</h1><p>One<b>bold</b>\n two&nbsp;x<br>next<p>Three</p><div class='share'>Share</div><form>f</form></article><section class='comments'><p>Nice</p></section></main><aside>Side</aside><footer>F</footer><script>var a='<p>no</p>';</script>"
