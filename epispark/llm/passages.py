@@ -147,15 +147,14 @@ def repeated_passages(docs: DataFrame, least: int = 50, window: int = 20, gram:
         sizes = of.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("parts"), F.min(F.struct(*suffix)).alias("lo"), F.max(F.struct(*suffix)).alias("hi"))
         return sizes.where("lo.doc_id <> hi.doc_id")
 
-    sizes = written(shared(rows).select("k", "parts"))
-    large = sizes.where("parts > 1").select("k")
-    few = rows.join(large, "k", "left_anti").join(sizes.where("parts = 1").select("k"), "k").select("k", F.lit(0).alias("part"), *suffix)
+    met = written(rows.join(shared(rows).select("k", "parts"), "k").select("k", "parts", *suffix))
+    few = met.where("parts = 1").select("k", F.lit(0).alias("part"), *suffix)
 
     def first(blocks: str, n: int):
         return F.shiftrightunsigned(blocks, BITS * (BLOCKS - n)) if n else F.lit(0).cast("long")
 
     anew = F.array(*[F.xxhash64("k", F.lit(n), first("after", m), first("before", n)) for n, m in around])
-    many = written(rows.join(large, "k", "left_semi").select(F.explode(anew).alias("k"), *suffix))
+    many = written(met.where("parts > 1").select(F.explode(anew).alias("k"), *suffix))
     again = written(shared(many))
     dealt = many.join(again.select("k", "parts"), "k").select("k", F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("part"), *suffix)
     # two suffixes of different documents go to every part of a large key, so no suffix is without neighbours
