@@ -114,6 +114,37 @@ def neighbours(equal: Sequence[tuple[int, int]]) -> Callable[[pd.DataFrame], Ite
     return run
 
 
+def real_blocks(blocks: np.ndarray) -> np.ndarray:
+    """How many of the packed blocks surely lie inside the text."""
+    return sum(((blocks.view(np.uint64) >> np.uint64(BITS * n)) & np.uint64((1 << BITS) - 1) != 0).astype(int) for n in range(BLOCKS))
+
+
+def merged(least_blocks: int) -> Callable[[pd.DataFrame], Iterator[pd.DataFrame]]:
+    """Links the suffixes whose key and blocks are all equal, least_blocks or more of them inside the text, to the first
+    of another document, and hands on the first and the last of them; other suffixes are handed on as they are."""
+
+    def run(f: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        f = f.sort_values(["k", "part", "after", "before", "doc_id", "at"], ignore_index=True)
+        k, part, doc, at, after, before = (f[c].to_numpy() for c in ("k", "part", "doc_id", "at", "after", "before"))
+        start = np.r_[True, np.any([c[1:] != c[:-1] for c in (k, part, after, before)], axis=0)]
+        first = np.flatnonzero(start)
+        last = np.r_[first[1:], len(f)] - 1
+        of = np.cumsum(start) - 1
+        alike = ((doc[first] != doc[last]) & (real_blocks(after[first]) + real_blocks(before[first]) >= least_blocks))[of]
+        on = ~alike
+        on[first] = on[last] = True
+        kept = f.loc[on, ["k", "doc_id", "at", "after", "before"]]
+        yield kept.assign(other=np.int64(0), shift=np.int32(0), linked=False)
+        i = np.flatnonzero(alike)
+        j = np.where(doc[i] != doc[first[of[i]]], first[of[i]], last[of[i]])
+        x, y = np.where(doc[i] < doc[j], i, j), np.where(doc[i] < doc[j], j, i)
+        links = pd.DataFrame({"doc_id": doc[x], "other": doc[y], "shift": (at[x] - at[y]).astype(np.int32)}).drop_duplicates()
+        if len(links):
+            yield links.assign(k=np.int64(0), at=np.int32(0), after=np.int64(0), before=np.int64(0), linked=True)
+
+    return run
+
+
 def repeated_passages(docs: DataFrame, least: int = 50, window: int = 20, gram: int = 5, group: int = 4096, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, start_word, end_word, n_words, other_doc_id: the passages of at least `least` words that another document holds.
 
@@ -121,9 +152,10 @@ def repeated_passages(docs: DataFrame, least: int = 50, window: int = 20, gram:
     least - window words after it is shared, and of the blocks of `gram` words around the key BLOCKS - 1 in all (window
     is BLOCKS * gram). Suffixes are paired where these blocks are equal, so a neighbour that shares the key alone hides
     none that shares the passage. Keys of one document only are dropped by a count that combines before its shuffle.
-    Suffixes of keys with more than `group` of them are keyed anew, by the key and the blocks; where these are as many
-    still, they are dealt out by document, each part with neighbours of its own. Spans are maximal against the
-    neighbour. Null and empty texts and rows without id have no passage.
+    Suffixes of keys with more than `group` of them are dealt out by document; in each part those with the same blocks
+    all around, as copies have, are linked and represented by two. What then is left is keyed anew, by the key and the
+    blocks; where these are as many still, they are dealt out again, each part with neighbours of its own. Spans are
+    maximal against the neighbour. Null and empty texts and rows without id have no passage.
     """
     key = least - window
     around = [(n, BLOCKS - 1 - n) for n in range(BLOCKS)]
@@ -154,9 +186,12 @@ def repeated_passages(docs: DataFrame, least: int = 50, window: int = 20, gram:
         return F.shiftrightunsigned(blocks, BITS * (BLOCKS - n)) if n else F.lit(0).cast("long")
 
     anew = F.array(*[F.xxhash64("k", F.lit(n), first("after", m), first("before", n)) for n, m in around])
-    many = written(met.where("parts > 1").select(F.explode(anew).alias("k"), *suffix))
+    by_document = F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("part")
+    large = met.where("parts > 1").select("k", by_document, *suffix)
+    left = written(by_sorted_groups(large, ["k", "part"], [], merged(-(-window // gram)), "k long, doc_id long, at int, after long, before long, other long, shift int, linked boolean"))
+    many = left.where("not linked").select(F.explode(anew).alias("k"), *suffix)
     again = written(shared(many))
-    dealt = many.join(again.select("k", "parts"), "k").select("k", F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("part"), *suffix)
+    dealt = many.join(again.select("k", "parts"), "k").select("k", by_document, *suffix)
     # two suffixes of different documents go to every part of a large key, so no suffix is without neighbours
     ends = again.where("parts > 1").select("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.array("lo", "hi").alias("e")).select("k", "part", F.explode("e").alias("e"))
     dealt = dealt.unionByName(ends.select("k", "part", "e.*"))
@@ -164,6 +199,7 @@ def repeated_passages(docs: DataFrame, least: int = 50, window: int = 20, gram:
     link = "a long, b long, shift int"
     pairs = by_sorted_groups(few, ["k", "part"], [], neighbours(around), link)
     pairs = pairs.unionByName(by_sorted_groups(dealt, ["k", "part"], [], neighbours([(0, 0)]), link))
+    pairs = pairs.unionByName(left.where("linked").select(F.col("doc_id").alias("a"), F.col("other").alias("b"), "shift"))
     pairs = written(pairs.groupBy("a", "b").agg(F.collect_set("shift").alias("shifts")))
 
     def extended(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

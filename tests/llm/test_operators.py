@@ -160,6 +160,19 @@ def test_passages_behind_nearer_neighbours(spark, group):
     assert got == {x for p in range(0, 4000, 100) for x in ((p, 52, p + 10), (p + 10, 52, p))}
 
 
+def test_passages_of_many_copies(spark):
+    rng = np.random.default_rng(6)
+    words = lambda n: " ".join(f"v{k}" for k in rng.integers(0, 10**9, n))
+    copy, short = words(200), words(53)
+    part = " ".join(copy.split()[70:125])
+    rows = [(k, copy) for k in range(60)] + [(100 + k, short) for k in range(60)] + [(200, f"{words(30)} {part} {words(30)}"), (300, f"{copy} {copy}"), (301, f"{part} {words(3)} {part}"), (400, words(300))]
+    got = repeated_passages(docs(spark, rows), group=8).collect()
+    assert {r["doc_id"] for r in got} == {r[0] for r in rows} - {400}
+    assert {(r["start_word"], r["end_word"]) for r in got if r["doc_id"] in (5, 105)} >= {(0, 200), (0, 53)}
+    assert {(30, 85)} == {(r["start_word"], r["end_word"]) for r in got if r["doc_id"] == 200}
+    assert {(0, 55), (58, 113)} <= {(r["start_word"], r["end_word"]) for r in got if r["doc_id"] == 301}
+
+
 def test_pages(spark):
     site = [(i, "https://h.example/1", f"<html><body><div>Same box here</div><div><p>Own text {i} &amp; more</p></div></body></html>") for i in range(8)]
     rich = "<header><h1>Site</h1></header><nav>Menu</nav><div class='cookie-notice'>Cookies</div><main><article><h1>Head</h1><p>One<b>bold</b>\n two&nbsp;x<br>next<p>Three</p><div class='share'>Share</div><form>f</form></article><section class='comments'><p>Nice</p></section></main><aside>Side</aside><footer>F</footer><script>var a='<p>no</p>';</script>"
