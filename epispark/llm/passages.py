@@ -78,6 +78,13 @@ def first_blocks(blocks, n: int):
     return blocks.view(np.uint64) >> np.uint64(BITS * (BLOCKS - n)) if n else np.zeros(len(blocks), np.uint64)
 
 
+def joined(a: np.ndarray, b: np.ndarray, shift: np.ndarray) -> pd.DataFrame:
+    """One row for each pair of documents, with the different shifts between them."""
+    links = pd.DataFrame({"a": a, "b": b, "shift": shift.astype(np.int32)}).drop_duplicates().sort_values(["a", "b"], ignore_index=True)
+    start = np.flatnonzero((links[["a", "b"]] != links[["a", "b"]].shift()).any(axis=1))
+    return links.loc[start, ["a", "b"]].assign(shifts=np.split(links["shift"].to_numpy(), start[1:])) if len(links) else links[["a", "b"]].assign(shifts=None)
+
+
 def neighbours(equal: Sequence[tuple[int, int]]) -> Callable[[pd.DataFrame], Iterator[pd.DataFrame]]:
     """Pairs each suffix with the nearest one of another document on either side, once for each (n, m) given: n blocks
     before the key and m blocks after it have to be equal."""
@@ -106,8 +113,8 @@ def neighbours(equal: Sequence[tuple[int, int]]) -> Callable[[pd.DataFrame], Ite
             i, j = i[same], j[same]
             swap = d[i] > d[j]
             x, y = np.where(swap, j, i), np.where(swap, i, j)
-            out.append(pd.DataFrame({"a": d[x], "b": d[y], "shift": (a[x] - a[y]).astype(np.int32)}))
-        pairs = pd.concat(out, ignore_index=True).drop_duplicates()
+            out.append((d[x], d[y], a[x] - a[y]))
+        pairs = joined(*[np.concatenate(c) for c in zip(*out, strict=True)])
         if len(pairs):
             yield pairs
 
@@ -134,13 +141,13 @@ def merged(least_blocks: int) -> Callable[[pd.DataFrame], Iterator[pd.DataFrame]
         on = ~alike
         on[first] = on[last] = True
         kept = f.loc[on, ["k", "doc_id", "at", "after", "before"]]
-        yield kept.assign(other=np.int64(0), shift=np.int32(0), linked=False)
+        yield kept.assign(other=np.int64(0), shifts=None, linked=False)
         i = np.flatnonzero(alike)
         j = np.where(doc[i] != doc[first[of[i]]], first[of[i]], last[of[i]])
         x, y = np.where(doc[i] < doc[j], i, j), np.where(doc[i] < doc[j], j, i)
-        links = pd.DataFrame({"doc_id": doc[x], "other": doc[y], "shift": (at[x] - at[y]).astype(np.int32)}).drop_duplicates()
+        links = joined(doc[x], doc[y], at[x] - at[y])
         if len(links):
-            yield links.assign(k=np.int64(0), at=np.int32(0), after=np.int64(0), before=np.int64(0), linked=True)
+            yield links.rename(columns={"a": "doc_id", "b": "other"}).assign(k=np.int64(0), at=np.int32(0), after=np.int64(0), before=np.int64(0), linked=True)
 
     return run
 
@@ -188,7 +195,7 @@ def repeated_passages(docs: DataFrame, least: int = 50, window: int = 20, gram:
     anew = F.array(*[F.xxhash64("k", F.lit(n), first("after", m), first("before", n)) for n, m in around])
     by_document = F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("part")
     large = met.where("parts > 1").select("k", by_document, *suffix)
-    left = written(by_sorted_groups(large, ["k", "part"], [], merged(-(-window // gram)), "k long, doc_id long, at int, after long, before long, other long, shift int, linked boolean"))
+    left = written(by_sorted_groups(large, ["k", "part"], [], merged(-(-window // gram)), "k long, doc_id long, at int, after long, before long, other long, shifts array<int>, linked boolean"))
     many = left.where("not linked").select(F.explode(anew).alias("k"), *suffix)
     again = written(shared(many))
     dealt = many.join(again.select("k", "parts"), "k").select("k", by_document, *suffix)
@@ -196,11 +203,11 @@ def repeated_passages(docs: DataFrame, least: int = 50, window: int = 20, gram:
     ends = again.where("parts > 1").select("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.array("lo", "hi").alias("e")).select("k", "part", F.explode("e").alias("e"))
     dealt = dealt.unionByName(ends.select("k", "part", "e.*"))
 
-    link = "a long, b long, shift int"
+    link = "a long, b long, shifts array<int>"
     pairs = by_sorted_groups(few, ["k", "part"], [], neighbours(around), link)
     pairs = pairs.unionByName(by_sorted_groups(dealt, ["k", "part"], [], neighbours([(0, 0)]), link))
-    pairs = pairs.unionByName(left.where("linked").select(F.col("doc_id").alias("a"), F.col("other").alias("b"), "shift"))
-    pairs = written(pairs.groupBy("a", "b").agg(F.collect_set("shift").alias("shifts")))
+    pairs = pairs.unionByName(left.where("linked").select(F.col("doc_id").alias("a"), F.col("other").alias("b"), "shifts"))
+    pairs = written(pairs.groupBy("a", "b").agg(F.array_distinct(F.flatten(F.collect_list("shifts"))).alias("shifts")))
 
     def extended(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
