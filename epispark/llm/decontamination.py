@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 
 from epispark.llm.common import written
 
-NUMBER = r"[0-9]+(?:[.,:][0-9]+)*"
-NAME = r"\p{Lu}[\p{L}\p{M}]*(?:\s+\p{Lu}[\p{L}\p{M}]*)*"
+# possessive groups: the same matches, but long runs of names or numbers do not overflow the stack
+NUMBER = r"[0-9]+(?:[.,:][0-9]+)*+"
+NAME = r"\p{Lu}[\p{L}\p{M}]*(?:\s+\p{Lu}[\p{L}\p{M}]*)*+"
+# scripts without spaces count by character
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+LITERAL = rf"[{UNSPACED}]|[\p{{L}}\p{{M}}&&[^{UNSPACED}]]+|[0-9]+(?:[.,:][0-9]+)*+|[\p{{Sm}}*/^%-]"
 UNITS = "mm cm km kg mg g ml l kwh mph kmh hz khz mhz ghz kb mb gb tb percent dollars euros pounds cents meters metres miles feet inches hours minutes seconds days weeks months years degrees grams liters litres".split()
 
 
@@ -50,33 +54,93 @@ def covered(places: Column, window: int) -> Column:
     return F.aggregate(steps, F.lit(window), lambda acc, s: acc + s)
 
 
+def literal(text: Column) -> Column:
+    """Words, numbers and operators of a whole text as they stand."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(LITERAL), F.lit(0))
+
+
+def plain(tokens: Column) -> Column:
+    """Number of tokens that are no placeholder."""
+    return F.size(F.filter(tokens, lambda w: ~w.isin("<n>", "<p>", "<u>")))
+
+
+def share(places: Column, window: int, n: Column) -> Column:
+    """Share of n tokens that windows at the given sorted places cover."""
+    return F.when(F.size(places) > 0, covered(places, window) / n).otherwise(F.lit(0.0))
+
+
+def copies(d: DataFrame, items: DataFrame, window: int, similarity: float, broadcast_rows: int) -> DataFrame:
+    """Leaked items by their literal tokens, at one place of the document: (doc_id, item_id, similarity, consistency, reworded)."""
+    b = items.select("item_id", literal(F.col("item_text")).alias("t")).where(F.size("t") >= window)
+    side = b.select("item_id", F.size("t").alias("n"), F.posexplode(hashed(F.col("t"), window)).alias("item_at", "h"))
+    each = d.select("doc_id", F.posexplode(hashed(literal(F.col("text")), window)).alias("at", "h"))
+    met = each.join(F.broadcast(side) if side.count() <= broadcast_rows else side, "h")
+    runs = met.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.first("n").alias("n"), F.sort_array(F.collect_set("item_at")).alias("places"))
+    best = runs.withColumn("similarity", share(F.col("places"), window, F.col("n"))).where(F.col("similarity") >= similarity).groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
+    return best.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), F.lit(1.0).alias("consistency"), (F.col("similarity") < 1).alias("reworded"))
+
+
 def leaks(docs: DataFrame, items: DataFrame, window: int = 5, similarity: float = 0.8, consistency: float = 0.8, broadcast_rows: int = 2_000_000, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """One row per leaked item and document: doc_id, item_id, similarity (covered share of the item's template tokens),
     consistency (share of slot values that map to one value of the document), reworded (a slot differs).
 
+    All windows of an item count. Those of mostly placeholders stand in too many documents to be looked up alone: they
+    count where the document goes on with them beside a window of words, or, for items that such windows nearly cover,
+    where one alignment holds as many plain words as a window of words has. Items with fewer plain words than that are
+    compared by their literal tokens (similarity is the covered share of these, reworded that one differs).
+
     Items with fewer template tokens than a window, null texts and rows without ids match nothing. Repeated ids are
     taken as one document or item. The item windows are broadcast only while they are at most broadcast_rows (about
     50 MB), else joined by a shuffle; each window of the whole documents is looked up either way.
     """
     b = items.select(F.col(item_id).alias("item_id"), F.col(text).alias("item_text")).where("item_id is not null and item_text is not null")
     b = b.groupBy("item_id").agg(F.min("item_text").alias("item_text")).withColumn("item_tokens", canonical(F.col("item_text")))
-    b = written(b.where(F.size("item_tokens") >= window))
-    words = F.expr(f"transform(sequence(1, size(item_tokens) - {window} + 1), k -> size(filter(slice(item_tokens, k, {window}), w -> w not in ('<n>', '<p>', '<u>'))))")
-    grams = b.select("item_id", F.size("item_tokens").alias("item_n"), F.posexplode(F.arrays_zip(hashed(F.col("item_tokens"), window).alias("h"), words.alias("w"))).alias("item_at", "g"))
-    grams = grams.where(F.col("g.w") * 2 >= window).select("item_id", "item_n", "item_at", F.col("g.h").alias("h"))
+    b = written(b.where(F.size("item_tokens") >= window).withColumn("template", F.xxhash64("item_tokens")))
+    few = plain(F.col("item_tokens")) * 2 < window
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
+    exact = b.where(few)
+    b = b.where(~few)
+    n = F.size("item_tokens")
+    t = b.groupBy("template").agg(F.first("item_tokens").alias("item_tokens")).withColumn("words", F.transform(F.sequence(F.lit(1), n - window + 1), lambda k: plain(F.slice("item_tokens", k, window))))
+    t = t.withColumn("heavy", F.filter(F.sequence(F.lit(0), n - window), lambda k: F.get("words", k) * 2 < window))
+    t = written(t.withColumn("bare", share(F.col("heavy"), window, n) >= similarity))
+    grams = t.select("template", "bare", F.posexplode(F.arrays_zip(hashed(F.col("item_tokens"), window).alias("h"), F.col("words").alias("w"))).alias("item_at", "g"))
+    grams = grams.select("template", "item_at", F.col("g.h").alias("h"), (F.col("g.w") * 2 >= window).alias("firm"), "bare", F.col("g.w").alias("w")).where("firm or (bare and w > 0)").drop("w")
     each = d.select("doc_id", F.posexplode(hashed(canonical(F.col("text")), window)).alias("at", "h"))
     side = F.broadcast(grams) if grams.count() <= broadcast_rows else grams
-    met = each.join(side, "h")
-    pairs = met.groupBy("doc_id", "item_id").agg(F.first("item_n").alias("item_n"), F.sort_array(F.collect_set("item_at")).alias("places"), F.mode(F.col("at") - F.col("item_at"), True).alias("shift"))
-    pairs = pairs.withColumn("similarity", covered(F.col("places"), window) / F.col("item_n")).where(F.col("similarity") >= similarity)
-    pairs = written(pairs.select("doc_id", "item_id", "similarity", "shift", F.element_at("places", 1).alias("lo"), (F.element_at("places", -1) + window).alias("hi")))
+    met = each.join(side, "h").withColumn("shift", F.col("at") - F.col("item_at"))
+    firm = lambda c: F.when(F.col("firm"), F.col(c))
+    pairs = met.groupBy("doc_id", "template").agg(
+        F.sort_array(F.collect_set(firm("item_at"))).alias("places"), F.mode(firm("shift"), True).alias("shift"), F.collect_set(firm("shift")).alias("shifts"), F.collect_set(F.when(F.col("bare"), F.col("shift"))).alias("alone")
+    )
+    held = pairs.join(t.select("template", "heavy", "bare", n.alias("item_n")), "template")
+    pairs = written(held.where(F.col("bare") | (share(F.array_sort(F.array_union("places", "heavy")), window, F.col("item_n")) >= similarity)))
     # slot values only of documents that share a template; ids repeat in no pair, so text joins stay one to one
     texts = d.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    full = pairs.join(texts, "doc_id").join(b, "item_id")
+    full = pairs.join(texts, "doc_id").join(b, "template")
     full = full.withColumn("doc_tokens", canonical(F.col("text"))).withColumn("ds", slots(F.col("text"))).withColumn("bs", slots(F.col("item_text")))
     full = written(full.drop("text", "item_text"))
 
+    def at_shift(p: Column, s: Column) -> Column:
+        return F.when(p + s >= 0, F.slice("doc_tokens", F.greatest(p + s + 1, F.lit(1)), window) == F.slice("item_tokens", p + 1, window)).otherwise(False)
+
+    def told(sim: Column, shift: Column, places: Column, joint: int) -> Column:
+        return F.struct(sim.alias("similarity"), F.lit(joint).alias("joint"), (-shift).alias("back"), places.alias("places"))
+
+    def alone(s: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.col("item_n") - window), lambda p: at_shift(p, s))
+        spoken = F.filter(F.sequence(F.lit(0), F.col("item_n") - 1), lambda q: F.exists(places, lambda p: (p <= q) & (q < p + window)))
+        enough = plain(F.transform(spoken, lambda q: F.get("item_tokens", q))) * 2 >= window
+        return told(F.when(enough, share(places, window, F.col("item_n"))).otherwise(0.0), s, places, 0)
+
+    beside = F.array_sort(F.array_union("places", F.filter("heavy", lambda p: F.exists("shifts", lambda s: at_shift(p, s)))))
+    # struct of the best: several shifts around windows of words, or one shift alone
+    full = full.withColumn("beside", beside).withColumn("ways", F.concat(F.array(told(share(F.col("beside"), window, F.col("item_n")), F.col("shift"), F.col("beside"), 1)), F.transform("alone", alone)))
+    full = full.withColumn("best", F.array_max("ways")).where(F.col("best.similarity") >= similarity)
+    full = full.withColumn("similarity", F.col("best.similarity")).withColumn("shift", -F.col("best.back"))
+    full = full.withColumn("lo", F.element_at("best.places", 1)).withColumn("hi", F.element_at("best.places", -1) + window)
+    full = written(full.select("doc_id", "item_id", "similarity", "shift", "lo", "hi", "item_tokens", "doc_tokens", "ds", "bs"))
+
     def paired(kind: str) -> Column:
         tag = f"<{kind}>"
         count = lambda tokens, n: F.size(F.filter(F.slice(tokens, 1, F.greatest(n, F.lit(0))), lambda w: w == tag))
@@ -95,4 +159,5 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = 5, similarity: float
         F.round(F.when(ways == 0, 1.0).otherwise(kinds / ways), 6).alias("consistency"),
         F.exists("slot", lambda s: ~s["a"].eqNullSafe(s["b"])).alias("reworded"),
     )
-    return out.where(F.col("consistency") >= consistency)
+    out = out.where(F.col("consistency") >= consistency)
+    return out if exact.isEmpty() else out.unionByName(copies(d, exact, window, similarity, broadcast_rows))

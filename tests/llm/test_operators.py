@@ -129,6 +129,37 @@ def test_leaks_find_every_exact_item(spark, sf):
     assert want <= got
 
 
+SLOT_HEAVY = [
+    "Solve 3x + 5 = 20, 2y - 4 = 6, 7z + 1 = 15 for x, y, z.",
+    "What is 3 + 4 * 5 - 6 / 2 + 8?",
+    "Compute the sum 12 + 15 + 18 + 21 + 24 + 27.",
+    "Which came first: Paris 1900, London 1908, Athens 1896 or Rome 1960?",
+]
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 2_000_000])
+def test_leaks_of_items_full_of_slots(spark, broadcast_rows):
+    items = spark.createDataFrame(list(enumerate(SLOT_HEAVY)), "item_id long, text string")
+    held = [(k, f"and so the page of the quiz said this before. {t} and then it went on for a while") for k, t in enumerate(SLOT_HEAVY)]
+    other = [
+        (10, "as the teacher asked. Solve 9x + 2 = 11, 4y - 3 = 1, 5z + 6 = 16 for x, y, z. and then some more"),
+        (13, "as the guide asked. Which came first: Oslo 1952, Berlin 1936, Tokyo 1964 or Sydney 2000? and then some more"),
+        (20, "a table of numbers 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 and no question"),
+        (21, "names of towns: Paris, London, Athens, Rome, Oslo, Berlin, and the years 1900, 1908, 1896, 1960, 1952"),
+        (22, None),
+    ]
+    got = {(r["doc_id"], r["item_id"]): r for r in leaks(docs(spark, held + other), items, broadcast_rows=broadcast_rows).collect()}
+    assert set(got) == {(k, k) for k in range(4)} | {(10, 0), (13, 3)}
+    assert all(got[k, k]["similarity"] == 1.0 and not got[k, k]["reworded"] for k in range(4))
+    assert got[10, 0]["reworded"] and got[13, 3]["reworded"]
+
+
+def test_leaks_in_long_runs_of_names_and_numbers(spark):
+    items = spark.createDataFrame([(1, SLOT_HEAVY[0])], "item_id long, text string")
+    got = leaks(docs(spark, [(1, "Ab " * 50_000 + "so. " + SLOT_HEAVY[0]), (2, "1," * 50_000 + "1")]), items)
+    assert [r["doc_id"] for r in got.collect()] == [1]
+
+
 def test_passages_match_brute_force(spark, sf):
     seen = {}
     for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
