@@ -30,22 +30,49 @@ NOT_TEXT = {"nav", "footer", "aside", "form", "head", "menu", "dialog", "search"
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "note", "status"}
 STRONG = set("nav navbar navigation menu breadcrumb breadcrumbs sidebar advert adverts advertisement advertising ads ad sponsor sponsored promo promotion cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments disqus reply replies respond discussion pagination pager toolbar widget widgets masthead topbar bottombar footer notice notices alert paywall skip".split())
 WHOLE = set("header site-header page-header banner search tags meta byline tools links site-banner top bottom".split())
+#: words that make a name say how an element is laid out, not what it is (has-social, with-sidebar, no-comments)
+STATES = set("has have with no not without is category tag hide show".split())
 MAIN = set("content main post entry article post-content entry-content article-body article-content main-content story story-body post-body".split())
 
 
 class Node:
-    __slots__ = ("tag", "label", "noise", "main", "parts", "inner")
+    __slots__ = ("tag", "label", "noise", "named", "main", "parts", "inner", "within")
 
     def __init__(self, tag: str, attributes: str, within: Node | None):
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
         names = [n for n in (found.get("class", "") + " " + found.get("id", "")).lower().split() if n]
-        self.tag, self.label, self.parts = tag, " ".join(names), []
+        self.tag, self.label, self.parts, self.within = tag, " ".join(names), [], within
         self.inner = within is not None and (within.inner or within.main)
         self.main = tag in ("article", "main") or found.get("role") == "main" or (tag in ("div", "section", "td") and bool(MAIN.intersection(names)))
         noise = tag in NOT_TEXT or (tag == "header" and not self.inner) or found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true"
         noise = noise or "display:none" in found.get("style", "").replace(" ", "").lower()
-        noise = noise or any(n in WHOLE or STRONG.intersection(re.split(r"[_-]+", n)) for n in names)
         self.noise = (noise and tag not in ("html", "body", "main")) or (within is not None and within.noise)
+        # names: one is enough for an element, an article or post is named so by all of them ("post no-comments" is not)
+        named = [n in WHOLE or any(b in STRONG and a not in STATES for a, b in zip(["", *parts], parts)) for n in names for parts in [re.split(r"[_-]+", n)]]
+        self.named = tag not in ("html", "body", "main") and bool(named) and (all(named) if self.main else any(named))
+
+
+def spare(nodes: list[Node], blocks: list[tuple]) -> None:
+    """Noise by name, below which nothing is text either, unless it would take all articles of a page: then the largest
+    and what it lies in are spared. Pages without articles go by their main classes, or by most of their text."""
+    size = lambda n: sum(len(blocks[k][0]) for k in n.parts)
+    out: dict[int, bool] = {}
+    for n in nodes:
+        out[id(n)] = n.named or (n.within is not None and out[id(n.within)])
+    text = [n for n in nodes if n.parts and not n.noise]
+    sets = [[n for n in text if n.tag in ("article", "main")], [n for n in text if n.main]]
+    mains = next((x for x in sets if x), None)
+    top = None
+    if mains is not None:
+        if all(out[id(n)] for n in mains):
+            top = max(mains, key=size)
+    else:
+        all_text = sum(len(b[0]) for b in blocks if not b[1][-1].noise)
+        top = next((n for n in reversed(text) if n.named and 2 * size(n) > all_text), None)
+    while top is not None:
+        top.named, top = False, top.within
+    for n in nodes:
+        n.noise = n.noise or n.named or (n.within is not None and n.within.noise)
 
 
 def parsed(page: str | None) -> tuple[int, list[tuple[str, list[int]]], list[int]]:
@@ -109,6 +136,7 @@ def parsed(page: str | None) -> tuple[int, list[tuple[str, list[int]]], list[int
             stack.append(node)
             nodes.append(node)
     flush()
+    spare(nodes, blocks)
     articles = any(n.tag == "article" and n.parts and not n.noise for n in nodes)
     mains = articles or any(n.main and n.parts and not n.noise for n in nodes)
     hashed: dict[int, int] = {}

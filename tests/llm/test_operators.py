@@ -217,6 +217,24 @@ def test_pages(spark):
     assert parsed("<p>a < b <i>c</i>")[1][0][0] == "a < b c"
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="content with-sidebar"><p>Whole article</p></div>',
+        '<div id=page class="has-social"><article><p>Whole article</p></article></div>',
+        '<article class="post no-comments"><p>Whole article</p></article>',
+        '<article class="post category-social"><p>Whole article</p></article>',
+        '<div class="page-widgets"><article><p>Whole article</p></article></div>',
+        '<div class="social-page"><p>Whole article</p></div><div class="ad">Buy</div>',
+        '<div class="share-wrap"><article class="social"><p>Whole article</p><div class="related-posts">Other</div></article></div>',
+        '<article><p>Whole article</p></article><div class="comments-area"><article class="comment-body"><p>A comment much longer than the article</p></article></div>',
+        '<main class="has-sidebar"><p>Whole article</p><div class="sidebar-left">Side</div></main><div class="cookie-banner">Yes</div>',
+    ],
+)
+def test_pages_in_named_wrappers(page):
+    assert " ".join(b[0] for b in parsed(f"<html><body>{page}</body></html>")[1]) == "Whole article"
+
+
 def test_urls(spark):
     urls = ["https://a.example.org/en/5", "https://example.org/es/1", "http://x.example.org/en/12?q", "http://org/", "http://y.com/fr/2#z", "http://y.com/de/", "http://Y.Example.NET/a", None, "no scheme", "http://forg/"]
     got = [(r["host"], r["path"], r["rule"], r["verdict"]) for r in url_verdicts(spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").coalesce(1)).orderBy("page_id").collect()]
