@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -43,32 +43,46 @@ def strided(text: Column, size: int = 500, overlap: int = 50) -> Column:
     return F.when(F.length(text) > 0, F.transform(F.sequence(F.lit(1), last, F.lit(size - overlap)), lambda k: F.substr(text, k, F.lit(size)))).otherwise(F.array().cast("array<string>"))
 
 
-def nearest(queries: DataFrame, chunks: DataFrame, k: int, key: str = "id", vector: str = "embedding", threshold: float | None = None, most_queries: int = 100_000) -> DataFrame:
+def nearest(queries: DataFrame, chunks: DataFrame, k: int, key: str = "id", vector: str = "embedding", threshold: float | None = None, block: int = 4096, part: int = 16384) -> DataFrame:
     """(query, id, distance, similarity, rank): the k nearest chunks of each query by squared distance.
 
-    Queries are a stated set of checked size and go to every task in one array; each task keeps its own k best, and
-    only those are shuffled. Ties go to the smaller id.
+    Queries are dealt into blocks of about `block` rows and chunks into parts of about `part`; each pair of them is one
+    task, whose k best of each query are shuffled. Ties, at nine decimals, go to the smaller id. Null vectors match nothing.
     """
-    q = queries.select(key, vector).limit(most_queries + 1).toPandas()
-    if len(q) > most_queries:
-        raise ValueError(f"more than {most_queries} queries: run them in parts")
-    names, x = q[key].to_numpy(), np.array(q[vector].tolist(), float).reshape(len(q), -1)
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
-        for b in batches:
-            y = np.array(b[vector].tolist(), float)
-            d = np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x @ y.T, 0)
-            top = np.argpartition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k] if len(y) else np.zeros((len(x), 0), int)
-            part = pd.DataFrame({"query": np.repeat(names, top.shape[1]), "id": b[key].to_numpy()[top.ravel()], "distance": np.take_along_axis(d, top, 1).ravel()})
-            held = part if held is None else pd.concat([held, part])
-            held = held.sort_values(["query", "distance", "id"]).groupby("query").head(k)
-        if held is not None:
-            yield held
-
-    kind = dict(chunks.dtypes)[key]
-    found = chunks.select(key, vector).where(F.col(vector).isNotNull()).mapInPandas(best, f"query {kind}, id {kind}, distance double")
-    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("distance", "id"))).where(F.col("rank") <= k)
+    q = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("v"))
+    c = chunks.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("v"))
+    blocks, parts = (max(1, -(-df.count() // n)) for df, n in ((q, block), (c, part)))
+    dealt = lambda n: F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.withColumn("block", dealt(blocks)).withColumn("part", every(parts))
+    c = c.withColumn("part", dealt(parts)).withColumn("block", every(blocks))
+
+    def best(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query": qs["key"][:0], "id": cs["key"][:0], "distance": np.zeros(0)})]
+        if len(qs) and len(cs):
+            # of equal vectors only the k smallest ids can be among the k nearest
+            cs = cs.sort_values("key", kind="stable")
+            every_y = np.array(cs["v"].tolist(), float)
+            same = pd.Series([r.tobytes() for r in every_y])
+            held = (same.groupby(same).cumcount() < k).to_numpy()
+            y, ids = every_y[held], cs["key"].to_numpy()[held]
+            names, every_x = qs["key"].to_numpy(), np.array(qs["v"].tolist(), float)
+            yy = (y**2).sum(1)
+            for at in range(0, len(names), 256):
+                x = every_x[at : at + 256]
+                xx = (x**2).sum(1)
+                d = xx[:, None] + yy[None] - 2 * x @ y.T
+                kth = np.partition(d, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1]
+                # the product rounds: whatever may tie with the k-th is measured again
+                rows, cols = np.nonzero(d <= (kth + 1e-9 + 1e-12 * (xx + yy.max()))[:, None])
+                exact = np.concatenate([((x[rows[i : i + 65536]] - y[cols[i : i + 65536]]) ** 2).sum(1) for i in range(0, len(rows), 65536)])
+                one = pd.DataFrame({"row": rows, "query": names[at + rows], "id": ids[cols], "distance": exact, "near": exact.round(9)})
+                out.append(one.sort_values(["row", "near", "id"]).groupby("row").head(k)[["query", "id", "distance"]])
+        return pd.concat(out[1:] or out)
+
+    kinds = f"query {dict(queries.dtypes)[key]}, id {dict(chunks.dtypes)[key]}, distance double"
+    found = q.groupBy("block", "part").cogroup(c.groupBy("block", "part")).applyInPandas(best, kinds)
+    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.round("distance", 9), "id"))).where(F.col("rank") <= k)
     out = ranked.withColumn("similarity", 1 / (1 + F.col("distance")))
     return out if threshold is None else out.where(F.col("similarity") >= threshold)
 
