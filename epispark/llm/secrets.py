@@ -39,12 +39,16 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]{12,}", 0, 16),
     Rule("hex", r"[0-9a-f]{32,}", 0, 32),
 )
+# the body of a key up to its END line, or without one its header and base64 lines; escaped line ends count as well
+UNTIL_END = r"[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----"
+GAP = r"(?:\s|\\[nr])*+"
+KEY_LINES = rf"(?:{GAP}(?:Proc-Type|DEK-Info|Version|Comment):[^\r\n\\]*+)*+(?:{GAP}[A-Za-z0-9+/]{{20,}}+={{0,2}}+)*+(?:(?<=[A-Za-z0-9+/]{{20}})\x20*+(?:\r?\n|\\n)[A-Za-z0-9+/]++={{0,2}}+(?=[\t\r\x20]*+(?:\n|\\n|\Z)))?+"
 MORE = (
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abeoprs]-[A-Za-z0-9-]{10,}"),
     Rule("webtoken", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+"),
     Rule("browserkey", r"AIza[A-Za-z0-9_-]{35}"),
-    Rule("private", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    Rule("private", rf"-----BEGIN [A-Z ]{{0,20}}PRIVATE KEY(?: BLOCK)?-----(?:{UNTIL_END}|{KEY_LINES})"),
 )
 RULES = BASE + MORE
 

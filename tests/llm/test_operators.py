@@ -1,5 +1,6 @@
 """Brute-force twins, round trips and edge cases of the operators in llm."""
 
+import base64
 import hashlib
 import itertools
 import re
@@ -16,7 +17,7 @@ from epispark.llm.decontamination import leaks
 from epispark.llm.embeddings import vector_links
 from epispark.llm.pages import main_text, parsed
 from epispark.llm.passages import grams, repeated_passages
-from epispark.llm.secrets import BASE, listed, trigram_query, with_secrets
+from epispark.llm.secrets import BASE, listed, redacted, trigram_query, with_secrets
 from epispark.llm.simhash import fingerprint_of, near_duplicates
 from epispark.llm.urls import url_verdicts
 
@@ -106,6 +107,23 @@ def test_secrets_match_brute_force(spark, sf):
     assert none["base_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+def test_private_keys_are_removed_whole(spark):
+    lines = [base64.b64encode(hashlib.sha384(str(k).encode()).digest()).decode() for k in range(1500)]
+    body = "\n".join([*lines, "Zk9x"])
+    pem = lambda kind, b, end=True: f"-----BEGIN {kind}PRIVATE KEY-----\n{b}" + (f"\n-----END {kind}PRIVATE KEY-----" if end else "")
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n"
+    rows = {
+        1: ("a " + pem("RSA ", body) + " b", "a [SECRET] b"),
+        2: ("a " + pem("", body, False) + "\nSome more words", "a [SECRET]\nSome more words"),
+        3: (pem("EC ", head + body) + "\n" + pem("", body), "[SECRET]\n[SECRET]"),
+        4: ("k='" + pem("", body).replace("\n", "\\n") + "'", "k='[SECRET]'"),
+        5: (pem("", head + body, False) + "\n\nwell-known text\n" + pem("", body), "[SECRET]\n\nwell-known text\n[SECRET]"),
+        6: ("-----BEGIN CERTIFICATE-----\nabc", "-----BEGIN CERTIFICATE-----\nabc"),
+    }
+    d = with_secrets(docs(spark, [(k, t) for k, (t, _) in rows.items()]), out="found")
+    assert {r["doc_id"]: r["t"] for r in d.select("doc_id", redacted(F.col("text"), F.col("found")).alias("t")).collect()} == {k: w for k, (_, w) in rows.items()}
+
+
 def test_trigram_queries():
     assert trigram_query(BASE[1]) == ("and", ("aki", "kia"))
     assert trigram_query(BASE[2]) is None
