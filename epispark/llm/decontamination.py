@@ -70,13 +70,22 @@ def share(places: Column, window: int, n: Column) -> Column:
 
 
 def copies(d: DataFrame, items: DataFrame, window: int, similarity: float, broadcast_rows: int) -> DataFrame:
-    """Leaked items by their literal tokens, at one place of the document: (doc_id, item_id, similarity, consistency, reworded)."""
-    b = items.select("item_id", literal(F.col("item_text")).alias("t")).where(F.size("t") >= window)
-    side = b.select("item_id", F.size("t").alias("n"), F.posexplode(hashed(F.col("t"), window)).alias("item_at", "h"))
-    each = d.select("doc_id", F.posexplode(hashed(literal(F.col("text")), window)).alias("at", "h"))
-    met = each.join(F.broadcast(side) if side.count() <= broadcast_rows else side, "h")
-    runs = met.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.first("n").alias("n"), F.sort_array(F.collect_set("item_at")).alias("places"))
-    best = runs.withColumn("similarity", share(F.col("places"), window, F.col("n"))).where(F.col("similarity") >= similarity).groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
+    """Leaked items by their literal tokens, at one place of the document: (doc_id, item_id, similarity, consistency, reworded).
+    Items shorter than a window are looked up whole."""
+
+    def windows(t: Column, sizes) -> Column:
+        def of_size(t: Column, w: int) -> Column:
+            return F.transform(hashed(t, w), lambda h, k: F.struct(F.lit(w).alias("w"), k.alias("at"), h.alias("h")))
+
+        return F.transform(F.array(t), lambda t: F.concat(*[of_size(t, w) for w in sizes]))[0]
+
+    b = written(items.select("item_id", literal(F.col("item_text")).alias("t")).where(F.size("t") > 1).withColumn("least", F.least(F.size("t"), F.lit(window))))
+    sizes = sorted(r[0] for r in b.select("least").distinct().collect()) or [window]
+    side = b.select("item_id", "least", F.size("t").alias("n"), F.explode(windows(F.col("t"), sizes)).alias("g")).where("g.w = least").select("item_id", "n", F.col("g.w").alias("w"), F.col("g.at").alias("item_at"), F.col("g.h").alias("h"))
+    each = d.select("doc_id", F.explode(windows(literal(F.col("text")), sizes)).alias("g")).select("doc_id", "g.w", "g.at", "g.h")
+    met = each.join(F.broadcast(side) if side.count() <= broadcast_rows else side, ["w", "h"])
+    runs = met.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.first("n").alias("n"), F.first("w").alias("w"), F.sort_array(F.collect_set("item_at")).alias("places"))
+    best = runs.withColumn("similarity", F.when(F.col("w") < window, 1.0).otherwise(share(F.col("places"), window, F.col("n")))).where(F.col("similarity") >= similarity).groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
     return best.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), F.lit(1.0).alias("consistency"), (F.col("similarity") < 1).alias("reworded"))
 
 
@@ -89,14 +98,16 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = 5, similarity: float
     where one alignment holds as many plain words as a window of words has. Items with fewer plain words than that are
     compared by their literal tokens (similarity is the covered share of these, reworded that one differs).
 
-    Items with fewer template tokens than a window, null texts and rows without ids match nothing. Repeated ids are
+    Items with fewer template tokens than a window are compared by literal tokens as well, as whole items where these
+    are fewer than a window. Items of a single literal token, which are no question but a word of any text, null texts
+    and rows without ids match nothing. Repeated ids are
     taken as one document or item. The item windows are broadcast only while they are at most broadcast_rows (about
     50 MB), else joined by a shuffle; each window of the whole documents is looked up either way.
     """
     b = items.select(F.col(item_id).alias("item_id"), F.col(text).alias("item_text")).where("item_id is not null and item_text is not null")
     b = b.groupBy("item_id").agg(F.min("item_text").alias("item_text")).withColumn("item_tokens", canonical(F.col("item_text")))
-    b = written(b.where(F.size("item_tokens") >= window).withColumn("template", F.xxhash64("item_tokens")))
-    few = plain(F.col("item_tokens")) * 2 < window
+    b = written(b.withColumn("template", F.xxhash64("item_tokens")))
+    few = (F.size("item_tokens") < window) | (plain(F.col("item_tokens")) * 2 < window)
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
     exact = b.where(few)
     b = b.where(~few)

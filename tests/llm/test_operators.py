@@ -172,6 +172,16 @@ def test_leaks_of_items_full_of_slots(spark, broadcast_rows):
     assert got[10, 0]["reworded"] and got[13, 3]["reworded"]
 
 
+@pytest.mark.parametrize("broadcast_rows", [0, 2_000_000])
+def test_leaks_of_short_items(spark, broadcast_rows):
+    short = ["Who wrote Hamlet?", "What is 17 + 25?", "谁写了哈姆雷特?", "Who wrote The Old Man And The Sea?", "Hamlet"]
+    items = spark.createDataFrame(list(enumerate(short)), "item_id long, text string")
+    held = [(k, f"before it. {t} after it") for k, t in enumerate(short)]
+    other = [(10, "Who wrote Macbeth? What is 17 + 26? What is 17 - 25? Hamlet wrote. 谁写了麦克白"), (11, "Hamlet")]
+    got = {(r["doc_id"], r["item_id"], r["similarity"], r["reworded"]) for r in leaks(docs(spark, held + other), items, broadcast_rows=broadcast_rows).collect()}
+    assert got == {(k, k, 1.0, False) for k in range(4)}
+
+
 def test_leaks_in_long_runs_of_names_and_numbers(spark):
     items = spark.createDataFrame([(1, SLOT_HEAVY[0])], "item_id long, text string")
     got = leaks(docs(spark, [(1, "Ab " * 50_000 + "so. " + SLOT_HEAVY[0]), (2, "1," * 50_000 + "1")]), items)
