@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 import numpy as np
@@ -37,7 +38,7 @@ def count_quantiles(mean: pd.Series, dispersion: pd.Series) -> pd.Series:
 
 
 def first_object(text: str | None) -> str | None:
-    """The first balanced {...} of a text, strings respected."""
+    """The first balanced {...} of a text that is JSON, strings respected."""
     start = text.find("{") if text else -1
     while start >= 0:
         depth, quoted, escaped = 0, False, False
@@ -50,6 +51,10 @@ def first_object(text: str | None) -> str | None:
             elif c in "{}":
                 depth += 1 if c == "{" else -1
                 if not depth:
+                    try:
+                        json.loads(text[start : k + 1])
+                    except (ValueError, RecursionError):
+                        break
                     return text[start : k + 1]
         start = text.find("{", start + 1)
     return None

@@ -481,7 +481,7 @@ def sc9b(spark, d):
     from epispark.functions.helpers import json_object_in
 
     prose = F.concat(F.lit("Answer {not closed: "), F.col("props"), F.lit(" and }} more"))
-    return table(spark, d, "events").select("event_id", S.json_number(json_object_in(F.substr(prose, F.lit(20))), ["$.k"]).alias("v"))
+    return table(spark, d, "events").select("event_id", S.json_number(json_object_in(prose), ["$.k"]).alias("v"))
 
 
 @query("sc10_event_scores", "SELECT event_id, greatest(-1, least(1, value / 50 - 1)) AS impact, greatest(0, least(1, coalesce(CASE WHEN event_id % 3 = 0 THEN NULL ELSE value / 100 END, 0.5))) AS confidence FROM events")

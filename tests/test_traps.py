@@ -77,6 +77,10 @@ def test_brace_scan():
     assert first_object(None) is None
 
 
+def test_brace_scan_goes_on_where_a_part_is_no_json():
+    assert first_object('Answer {not closed: {"k": 2} and }} more') == '{"k": 2}'
+
+
 def test_pseudonyms_are_shared_and_dense(spark):
     a = spark.createDataFrame([("b",), ("a",), (None,), ("",)], "id string")
     b = spark.createDataFrame([("c",), ("a",)], "id string")
