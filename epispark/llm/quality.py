@@ -11,18 +11,19 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epispark.llm.common import calibrated, labelled_sample, logistic, received, sent
+from epispark.llm.common import labelled_sample, logistic, platt, received, sent
 
 PARTS, HELD_OUT = 3, 1
 
 
 @dataclass
 class Model:
-    """Two dictionaries of bounded size and a logistic curve."""
+    """Two dictionaries of bounded size and the logistic curve of the size difference."""
 
     good: bytes
     bad: bytes
-    curve: np.ndarray
+    slope: float
+    shift: float
     piece: int
     level: int
 
@@ -30,25 +31,20 @@ class Model:
         pack = lambda d: zstandard.ZstdCompressor(level=self.level, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False)
         return pack(self.good), pack(self.bad)
 
-    def measures(self, text: str | None, tools: tuple) -> tuple[float, ...]:
-        """Over the whole text, taken piece by piece so that the dictionaries stay in reach: the normalised difference of
-        the two compressed sizes (from -1, the bad dictionary shortens it more, to 1), its least value over the pieces,
-        and the log of the compressed share, which tells repetition that either dictionary removes."""
+    def difference(self, text: str | None, tools: tuple) -> float:
+        """By how many bytes a byte of the whole text the dictionary of good text shortens it more than that of bad text.
+
+        The text is taken piece by piece, so that the dictionaries stay in reach. The difference is normalised by the
+        text's size, not by the compressed sizes: plain repetition, which either dictionary shortens to almost nothing,
+        then stays near 0 and below good text."""
         data = (text or "").encode("utf-8", "surrogatepass")
-        if not data:
-            return 0.0, 0.0, 0.0, 0.0
-        good = bad = 0
-        least = 1.0
-        for at in range(0, len(data), self.piece):
-            part = data[at : at + self.piece]
-            g, b = len(tools[0].compress(part)), len(tools[1].compress(part))
-            good, bad, least = good + g, bad + b, min(least, (b - g) / (b + g))
-        share = np.log(min(good, bad) / len(data))
-        return (bad - good) / (bad + good), least, share, share**2
+        parts = [data[at : at + self.piece] for at in range(0, len(data), self.piece)]
+        good, bad = (sum(len(tool.compress(p)) for p in parts) for tool in tools)
+        return (bad - good) / max(len(data), 1)
 
     def scores(self, texts, tools: tuple) -> np.ndarray:
-        x = np.array([self.measures(t, tools) for t in texts], float).reshape(-1, 4)
-        return logistic(x @ self.curve[:-1] + self.curve[-1])
+        x = np.fromiter((self.difference(t, tools) for t in texts), float, len(texts))
+        return logistic(self.slope * x + self.shift)
 
 
 def dictionary(texts: list[str], size: int, piece: int) -> bytes:
@@ -60,8 +56,8 @@ def dictionary(texts: list[str], size: int, piece: int) -> bytes:
         return b"".join(parts)[:size] or b"00000000"
 
 
-def fit(sample: pd.DataFrame, size: int = 1 << 17, piece: int = 1024, level: int = 3) -> Model | None:
-    """Half of the sampled texts build the dictionaries, the other half calibrates. One class alone: no model."""
+def fit(sample: pd.DataFrame, size: int = 1 << 18, piece: int = 1024, level: int = 3) -> Model | None:
+    """Two thirds of the sampled texts build the dictionaries, one third calibrates. One class alone: no model."""
     if sample["y"].nunique() < 2:
         return None
     order = np.random.default_rng(5).permutation(len(sample))
@@ -71,17 +67,17 @@ def fit(sample: pd.DataFrame, size: int = 1 << 17, piece: int = 1024, level: int
     if tune["y"].nunique() < 2:
         tune = sample
     half = lambda y: dictionary(list(build["text"][build["y"] == y]), size, piece)
-    model = Model(half(1), half(0), np.zeros(5), piece, level)
+    model = Model(half(1), half(0), 1.0, 0.0, piece, level)
     tools = model.sizes()
-    x = np.array([model.measures(t, tools) for t in tune["text"]])
-    model.curve = calibrated(x, tune["y"].to_numpy())
+    model.slope, model.shift = platt(np.array([model.difference(t, tools) for t in tune["text"]]), tune["y"].to_numpy())
     return model
 
 
 def quality(docs: DataFrame, labels: DataFrame, per_class: int = 1500, threshold: float = 0.5, text: str = "text") -> DataFrame:
     """docs with score (0 to 1, higher: better) and predicted. Fitted on at most per_class labelled rows of each class
-    outside the held-out fold; every whole text is scored. Null and empty texts compress to nothing either way and get
-    the score of a zero difference; without a model all get 0.5."""
+    outside the held-out fold; every whole text is scored. Null and empty texts have the difference 0, as plain
+    repetition has, and get its score; without a model all get 0.5. Repeated rows are scored each, equal texts alike;
+    columns score and predicted of docs are replaced, others pass through; an empty table stays empty."""
     model = fit(labelled_sample(docs, labels, "quality", PARTS, HELD_OUT, per_class))
     if model is None:
         return docs.withColumn("score", F.lit(0.5)).withColumn("predicted", F.lit(1))
