@@ -1,13 +1,14 @@
 """Passages that repeat across documents, by sparse suffix arrays.
 
 Suffixes start at words; only those at content-selected minimiser positions are retained, so equal passages retain the
-same ones. A retained suffix is keyed by its first words and sorted by what follows and precedes; neighbours in sorted
-order come from a shared passage, which is then extended word by word to the left and to the right.
+same ones. Spark sorts them by their first words and by what surrounds these, and compares those that are neighbours in
+this order. A match is extended to the left and right by whole windows: every window of `least` words that holds the
+suffix's start is told repeated or not, and runs of repeated windows are the passages.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,10 +18,8 @@ from pyspark.sql import functions as F
 
 from epispark.llm.common import by_sorted_groups, written
 
-BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-POWERS = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(4096, BASE)]))
-# words before and after a key count in this many blocks, 16 bits of hash for each
-BLOCKS, BITS = 4, 16
+BASE = 0x9E3779B97F4A7C15
+BACK = pow(BASE, -1, 1 << 64)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -31,202 +30,124 @@ def hashes_of(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def grams(h: np.ndarray, n: int) -> np.ndarray:
-    """Polynomial hash of every n consecutive words, by doubling: the hash of 2m words joins two of m words."""
-    if n == 1:
-        return h
-    half = grams(h, n // 2)
-    m = n // 2 * 2
-    out = half[: max(len(h) - m + 1, 0)] * POWERS[n // 2] + half[n // 2 :][: max(len(h) - m + 1, 0)]
-    return out if m == n else out[: max(len(h) - n + 1, 0)] * BASE + h[n - 1 :][: max(len(h) - n + 1, 0)]
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(29))
 
 
-def blocks_of(order: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
-    """Hashes of the blocks at `at`, at + step and so on, the first one in the highest bits; outside the text 0."""
-    out = np.zeros(len(at), np.uint64)
-    for n in range(BLOCKS):
-        p = at + n * step
-        inside = (p >= 0) & (p < len(order))
-        part = order[np.clip(p, 0, len(order) - 1)] & np.uint64((1 << BITS) - 1)
-        out = (out << np.uint64(BITS)) | np.where(inside, part, np.uint64(0))
-    return out.view(np.int64)
-
-
-def suffixes(text: str | None, key: int, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Positions, keys, and blocks after and before the key, of the retained suffixes of a whole text that have at least
-    key words left."""
-    h = hashes_of(words_of(text))
-    none = np.zeros(0, np.int64)
-    if len(h) < key + window:
-        return (none,) * 4
-    order = mixed(grams(h, gram))
-    low = np.lib.stride_tricks.sliding_window_view(order, window).argmin(1)
-    at = np.unique(low + np.arange(len(low)))
-    at = at[at + key <= len(h)]
-    if not len(at):
-        return (none,) * 4
-    return at, mixed(grams(h, key))[at].view(np.int64), blocks_of(order, at + key, gram), blocks_of(order, at - gram, -gram)
-
-
-def first_blocks(blocks, n: int):
-    """The first n blocks of an array of packed ones."""
-    return blocks.view(np.uint64) >> np.uint64(BITS * (BLOCKS - n)) if n else np.zeros(len(blocks), np.uint64)
+class Ranges:
+    """Hashes of any ranges of words of one text, by sums of powers modulo 2^64: equal words, equal hash, at any place."""
 
+    def __init__(self, words: list[bytes]):
+        h = hashes_of(words)
+        self.n = len(h)
+        power = lambda b: np.cumprod(np.r_[np.uint64(1), np.full(self.n, b, np.uint64)], dtype=np.uint64)
+        self.shift = power(BASE)
+        self.sums = np.r_[np.uint64(0), np.cumsum(h * power(BACK)[: self.n], dtype=np.uint64)]
 
-def joined(a: np.ndarray, b: np.ndarray, shift: np.ndarray) -> pd.DataFrame:
-    """One row for each pair of documents, with the different shifts between them."""
-    links = pd.DataFrame({"a": a, "b": b, "shift": shift.astype(np.int32)}).drop_duplicates().sort_values(["a", "b"], ignore_index=True)
-    start = np.flatnonzero((links[["a", "b"]] != links[["a", "b"]].shift()).any(axis=1))
-    return links.loc[start, ["a", "b"]].assign(shifts=np.split(links["shift"].to_numpy(), start[1:])) if len(links) else links[["a", "b"]].assign(shifts=None)
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mixed((self.sums[end] - self.sums[start]) * self.shift[start])
 
+    def windows(self, size: int) -> np.ndarray:
+        start = np.arange(max(self.n - size + 1, 0))
+        return self.of(start, start + size)
 
-def neighbours(equal: Sequence[tuple[int, int]]) -> Callable[[pd.DataFrame], Iterator[pd.DataFrame]]:
-    """Pairs each suffix with the nearest one of another document on either side, once for each (n, m) given: n blocks
-    before the key and m blocks after it have to be equal."""
-
-    def run(f: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        k, part, doc, at, after, before = (f[c].to_numpy() for c in ("k", "part", "doc_id", "at", "after", "before"))
-        key = np.cumsum(np.r_[True, (k[1:] != k[:-1]) | (part[1:] != part[:-1])])
-        out = []
-        for n, m in equal:
-            r, l = first_blocks(after, m), first_blocks(before, n)
-            order = np.lexsort((at, doc, before, after, l, r, key))
-            d, a = doc[order], at[order]
-            change = np.zeros(len(f), bool)
-            for c in (key, r, l):
-                change[1:] |= c[order][1:] != c[order][:-1]
-            group = np.cumsum(change)
-            starts = np.r_[True, change[1:] | (d[1:] != d[:-1])]
-            run_ = np.cumsum(starts) - 1
-            first = np.flatnonzero(starts)
-            last = np.r_[first[1:], len(f)] - 1
-            i = np.tile(np.arange(len(f)), 2)
-            j = np.r_[first[run_] - 1, last[run_] + 1]
-            inside = (j >= 0) & (j < len(f))
-            i, j = i[inside], j[inside]
-            same = (group[i] == group[j]) & (d[i] != d[j])
-            i, j = i[same], j[same]
-            swap = d[i] > d[j]
-            x, y = np.where(swap, j, i), np.where(swap, i, j)
-            out.append((d[x], d[y], a[x] - a[y]))
-        pairs = joined(*[np.concatenate(c) for c in zip(*out, strict=True)])
-        if len(pairs):
-            yield pairs
 
-    return run
-
-
-def real_blocks(blocks: np.ndarray) -> np.ndarray:
-    """How many of the packed blocks surely lie inside the text."""
-    return sum(((blocks.view(np.uint64) >> np.uint64(BITS * n)) & np.uint64((1 << BITS) - 1) != 0).astype(int) for n in range(BLOCKS))
+def suffixes(text: str | None, least: int, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each retained suffix of a whole text: its key (the first least - window words), a hash of all windows of
+    `least` words that start up to window - 1 words before it, and the first and the last start of these."""
+    ranges = Ranges(words_of(text))
+    if ranges.n < least:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none
+    order = ranges.windows(gram)[: ranges.n - least + window]
+    low = np.lib.stride_tricks.sliding_window_view(order, window).argmin(1)
+    at = np.unique(low + np.arange(len(low)))
+    lo, hi = np.maximum(at - window + 1, 0), np.minimum(at, ranges.n - least)
+    key = ranges.of(at, at + least - window)
+    around = mixed(ranges.of(lo, hi + least) + ((at - lo) * least + hi - lo).astype(np.uint64))
+    return key.view(np.int64), around.view(np.int64), lo, hi
 
 
-def merged(least_blocks: int) -> Callable[[pd.DataFrame], Iterator[pd.DataFrame]]:
-    """Links the suffixes whose key and blocks are all equal, least_blocks or more of them inside the text, to the first
-    of another document, and hands on the first and the last of them; other suffixes are handed on as they are."""
+def spans(least: int):
+    """Runs of window starts of one document that follow each other, from intervals sorted by document and start."""
 
     def run(f: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        f = f.sort_values(["k", "part", "after", "before", "doc_id", "at"], ignore_index=True)
-        k, part, doc, at, after, before = (f[c].to_numpy() for c in ("k", "part", "doc_id", "at", "after", "before"))
-        start = np.r_[True, np.any([c[1:] != c[:-1] for c in (k, part, after, before)], axis=0)]
-        first = np.flatnonzero(start)
-        last = np.r_[first[1:], len(f)] - 1
-        of = np.cumsum(start) - 1
-        alike = ((doc[first] != doc[last]) & (real_blocks(after[first]) + real_blocks(before[first]) >= least_blocks))[of]
-        on = ~alike
-        on[first] = on[last] = True
-        kept = f.loc[on, ["k", "doc_id", "at", "after", "before"]]
-        yield kept.assign(other=np.int64(0), shifts=None, linked=False)
-        i = np.flatnonzero(alike)
-        j = np.where(doc[i] != doc[first[of[i]]], first[of[i]], last[of[i]])
-        x, y = np.where(doc[i] < doc[j], i, j), np.where(doc[i] < doc[j], j, i)
-        links = joined(doc[x], doc[y], at[x] - at[y])
-        if len(links):
-            yield links.rename(columns={"a": "doc_id", "b": "other"}).assign(k=np.int64(0), at=np.int32(0), after=np.int64(0), before=np.int64(0), linked=True)
+        doc, copy, lo, hi, other = (f[c].to_numpy() for c in ("doc_id", "copy", "lo", "hi", "other"))
+        new = np.r_[True, (doc[1:] != doc[:-1]) | (copy[1:] != copy[:-1])]
+        part = np.cumsum(new) << 32
+        last = np.maximum.accumulate(part + hi)  # the largest end so far within the document
+        first = np.flatnonzero(np.r_[True, (part + lo)[1:] > last[:-1] + 1])
+        end = (last[np.r_[first[1:], len(f)] - 1] & 0xFFFFFFFF) + least
+        yield pd.DataFrame({"doc_id": doc[first], "start_word": lo[first], "end_word": end, "n_words": end - lo[first], "other_doc_id": np.minimum.reduceat(other, first)})
 
     return run
 
 
-def repeated_passages(docs: DataFrame, least: int = 50, window: int = 20, gram: int = 5, group: int = 4096, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, start_word, end_word, n_words, other_doc_id: the passages of at least `least` words that another document holds.
+def repeated_passages(docs: DataFrame, least: int = 50, window: int = 20, gram: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, start_word, end_word, n_words, other_doc_id: the passages of at least `least` words that another document
+    holds. A span is a longest run of windows of `least` words of which each stands in another document as well (equal
+    by 64-bit hashes); other_doc_id is the smallest document that was met for any of them.
+
+    Every window of `least` words has a minimiser in its first `window` positions, hence a retained suffix whose key
+    lies within it. (1) Suffixes whose key no other document holds are dropped. (2) Suffixes with equal key and equal
+    surroundings stand in the same windows: where several documents share them, all of these windows are repeated.
+    (3) What is left differs from the other suffixes of its key somewhere around it; its windows, and those of one
+    suffix of each such group of equal ones, are compared one by one. Each step counts before it shuffles or joins two
+    written tables, whose hot keys Spark splits, so neither copies nor a passage that many documents share gather in one
+    task, and no result depends on the size of a group.
 
-    In a passage of `least` words some minimiser lies within its first `window` positions, so the key of
-    least - window words after it is shared, and of the blocks of `gram` words around the key BLOCKS - 1 in all (window
-    is BLOCKS * gram). Suffixes are paired where these blocks are equal, so a neighbour that shares the key alone hides
-    none that shares the passage. Keys of one document only are dropped by a count that combines before its shuffle.
-    Suffixes of keys with more than `group` of them are dealt out by document; in each part those with the same blocks
-    all around, as copies have, are linked and represented by two. What then is left is keyed anew, by the key and the
-    blocks; where these are as many still, they are dealt out again, each part with neighbours of its own. Spans are
-    maximal against the neighbour. Null and empty texts and rows without id have no passage.
+    Null and empty texts and rows without id have no passage. Rows that repeat an id are one document of several texts:
+    passages they share among each other do not count, and their spans are listed under the one id, each within its own
+    text. An empty table gives an empty table. Other columns are ignored, whatever their names.
     """
-    key = least - window
-    around = [(n, BLOCKS - 1 - n) for n in range(BLOCKS)]
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
+    # texts of one id stay apart by their hash
+    d = d.withColumn("copy", F.hash("text"))
 
     def retained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for k in range(0, len(b), 200):
                 part = b.iloc[k : k + 200]
-                found = [suffixes(t, key, window, gram) for t in part["text"]]
+                found = [suffixes(t, least, window, gram) for t in part["text"]]
                 n = [len(f[0]) for f in found]
                 if sum(n):
-                    columns = {c: np.concatenate([f[x] for f in found]) for x, c in enumerate(("at", "k", "after", "before"))}
-                    yield pd.DataFrame({"doc_id": np.repeat(part["doc_id"].to_numpy(), n), **columns})
-
-    rows = written(d.mapInPandas(retained, "doc_id long, at int, k long, after long, before long"))
-    suffix = ["doc_id", "at", "after", "before"]
-
-    def shared(of: DataFrame) -> DataFrame:
-        """The keys of several documents: parts, and a suffix of the first and of the last document."""
-        sizes = of.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("parts"), F.min(F.struct(*suffix)).alias("lo"), F.max(F.struct(*suffix)).alias("hi"))
-        return sizes.where("lo.doc_id <> hi.doc_id")
-
-    met = written(rows.join(shared(rows).select("k", "parts"), "k").select("k", "parts", *suffix))
-    few = met.where("parts = 1").select("k", F.lit(0).alias("part"), *suffix)
-
-    def first(blocks: str, n: int):
-        return F.shiftrightunsigned(blocks, BITS * (BLOCKS - n)) if n else F.lit(0).cast("long")
-
-    anew = F.array(*[F.xxhash64("k", F.lit(n), first("after", m), first("before", n)) for n, m in around])
-    by_document = F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("part")
-    large = met.where("parts > 1").select("k", by_document, *suffix)
-    left = written(by_sorted_groups(large, ["k", "part"], [], merged(-(-window // gram)), "k long, doc_id long, at int, after long, before long, other long, shifts array<int>, linked boolean"))
-    many = left.where("not linked").select(F.explode(anew).alias("k"), *suffix)
-    again = written(shared(many))
-    dealt = many.join(again.select("k", "parts"), "k").select("k", by_document, *suffix)
-    # two suffixes of different documents go to every part of a large key, so no suffix is without neighbours
-    ends = again.where("parts > 1").select("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.array("lo", "hi").alias("e")).select("k", "part", F.explode("e").alias("e"))
-    dealt = dealt.unionByName(ends.select("k", "part", "e.*"))
-
-    link = "a long, b long, shifts array<int>"
-    pairs = by_sorted_groups(few, ["k", "part"], [], neighbours(around), link)
-    pairs = pairs.unionByName(by_sorted_groups(dealt, ["k", "part"], [], neighbours([(0, 0)]), link))
-    pairs = pairs.unionByName(left.where("linked").select(F.col("doc_id").alias("a"), F.col("other").alias("b"), "shifts"))
-    pairs = written(pairs.groupBy("a", "b").agg(F.array_distinct(F.flatten(F.collect_list("shifts"))).alias("shifts")))
-
-    def extended(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for a, b, shifts, ta, tb in zip(batch["a"], batch["b"], batch["shifts"], batch["ta"], batch["tb"], strict=True):
-                wa, wb = words_of(ta), words_of(tb)
-                ha, hb = hashes_of(wa), hashes_of(wb)
-                for s in set(shifts):
-                    lo, hi = max(0, s), min(len(ha), len(hb) + s)
-                    if hi - lo < least:
-                        continue
-                    same = np.concatenate([[False], ha[lo:hi] == hb[lo - s : hi - s], [False]])
-                    edge = np.flatnonzero(same[1:] != same[:-1])
-                    for x, y in zip(edge[::2] + lo, edge[1::2] + lo, strict=True):
-                        if y - x >= least and wa[x:y] == wb[x - s : y - s]:
-                            out += [(a, x, y, b), (b, x - s, y - s, a)]
-            if out:
-                yield pd.DataFrame(out, columns=["doc_id", "start_word", "end_word", "other_doc_id"]).drop_duplicates()
-
-    both = pairs.join(d.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(d.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    spans = both.mapInPandas(extended, "doc_id long, start_word int, end_word int, other_doc_id long")
-    return spans.groupBy("doc_id", "start_word", "end_word").agg(F.min("other_doc_id").alias("other_doc_id")).select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "other_doc_id")
+                    columns = {c: np.concatenate([f[x] for f in found]) for x, c in enumerate(("k", "around", "lo", "hi"))}
+                    yield pd.DataFrame({"doc_id": np.repeat(part["doc_id"].to_numpy(), n), "copy": np.repeat(part["copy"].to_numpy(), n), **columns})
+
+    row = ["doc_id", "copy", "lo", "hi"]
+    rows = written(d.mapInPandas(retained, "doc_id long, copy int, k long, around long, lo int, hi int"))
+    other = lambda a, b: F.when(F.col(a) != F.col("doc_id"), F.col(a)).otherwise(F.col(b))
+    keys = rows.groupBy("k").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("around").alias("x"), F.max("around").alias("y"))
+    keys = written(keys.where("a <> b").select("k", "a", "b", (F.col("x") != F.col("y")).alias("several")))
+    met = written(rows.join(keys, "k"))
+    alike = met.where("not several").select(*row, other("a", "b").alias("other"))
+
+    several = met.where("several").select("k", "around", *row)
+    groups = several.groupBy("k", "around").agg(F.min(F.struct(*row)).alias("one"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+    groups = written(groups)
+    told = written(several.join(groups.select("k", "around", "a", "b"), ["k", "around"]).select(*row, "a", "b"))
+    alike = alike.unionByName(told.where("a <> b").select(*row, other("a", "b").alias("other")))
+
+    asked = told.where("a = b").select(*row, F.lit(None).cast("long").alias("other")).unionByName(groups.where("a <> b").select("one.*", F.col("b").alias("other")))
+    asked = asked.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("lo", "hi", "other")).alias("asked"))
+
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for doc, copy, text, asked in zip(b["doc_id"], b["copy"], b["text"], b["asked"], strict=True):
+                ranges = Ranges(words_of(text))
+                known = np.full(ranges.n - least + 1, -1, np.int64)  # by start: -1 not asked, 0 open, 1 held by another
+                also = np.full(len(known), doc)
+                for q in sorted(asked, key=lambda q: q["other"] is not None):
+                    at = slice(q["lo"], q["hi"] + 1)
+                    known[at] = 0 if q["other"] is None else 1
+                    also[at] = doc if q["other"] is None else q["other"]
+                at = np.flatnonzero(known >= 0)
+                w = ranges.of(at, at + least).view(np.int64)
+                yield pd.DataFrame({"w": w, "doc_id": doc, "copy": copy, "at": at, "open": known[at] == 0, "a": np.minimum(also[at], doc), "b": np.maximum(also[at], doc)})
+
+    met = written(d.join(asked, ["doc_id", "copy"]).mapInPandas(windows, "w long, doc_id long, copy int, at int, open boolean, a long, b long"))
+    shared = written(met.groupBy("w").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b"))
+    single = met.where("open").select("w", "doc_id", "copy", "at").join(shared, "w").select("doc_id", "copy", F.col("at").alias("lo"), F.col("at").alias("hi"), other("a", "b").alias("other"))
+    found = by_sorted_groups(alike.unionByName(single), ["doc_id", "copy"], ["lo"], spans(least), "doc_id long, start_word int, end_word int, n_words int, other_doc_id long")
+    return found.distinct()

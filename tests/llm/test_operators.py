@@ -16,7 +16,7 @@ from epispark.llm.common import labelled_sample
 from epispark.llm.decontamination import leaks
 from epispark.llm.embeddings import vector_links
 from epispark.llm.pages import main_text, parsed
-from epispark.llm.passages import grams, repeated_passages
+from epispark.llm.passages import repeated_passages
 from epispark.llm.secrets import BASE, listed, redacted, trigram_query, with_secrets
 from epispark.llm.simhash import fingerprint_of, near_duplicates
 from epispark.llm.urls import url_verdicts
@@ -188,48 +188,60 @@ def test_leaks_in_long_runs_of_names_and_numbers(spark):
     assert [r["doc_id"] for r in got.collect()] == [1]
 
 
+def brute_passages(rows, least=50):
+    """Longest runs of windows that another id holds as well."""
+    held, out = {}, set()
+    every = [(i, (t or "").encode("utf-8", "surrogatepass").split()) for i, t in rows if i is not None]
+    for i, w in every:
+        for k in range(len(w) - least + 1):
+            held.setdefault(tuple(w[k : k + least]), set()).add(i)
+    for i, w in every:
+        again = [k for k in range(len(w) - least + 1) if len(held[tuple(w[k : k + least])]) > 1]
+        for k in again:
+            if k - 1 not in again[max(0, again.index(k) - 1) : again.index(k)]:
+                start = k
+            if k + 1 not in again[again.index(k) + 1 : again.index(k) + 2]:
+                out.add((i, start, k + least))
+    return out
+
+
+def found_passages(d):
+    rows = d.collect()
+    assert all(r["other_doc_id"] != r["doc_id"] and r["n_words"] == r["end_word"] - r["start_word"] for r in rows)
+    return {tuple(r)[:3] for r in rows}
+
+
 def test_passages_match_brute_force(spark, sf):
-    seen = {}
-    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
-        w = (r["text"] or "").encode().split()
-        for k in range(len(w) - 49):
-            seen.setdefault(b" ".join(w[k : k + 50]), set()).add(r["doc_id"])
-    want = set().union(*[v for v in seen.values() if len(v) > 1])
-    assert {r["doc_id"] for r in Q["op8_repeated_passages"](spark, sf).collect()} == want
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert found_passages(Q["op8_repeated_passages"](spark, sf)) == brute_passages(rows)
 
 
 def test_passages_extend_and_edges(spark):
     shared = " ".join(f"w{k}" for k in range(60))
-    d = docs(spark, [(1, f"a b {shared} c"), (2, f"x {shared} y z"), (3, " ".join(shared.split()[:40])), (4, None), (5, ""), (None, shared)])
-    assert sorted(tuple(r) for r in repeated_passages(d, group=1).collect()) == [(1, 2, 62, 60, 2), (2, 1, 61, 60, 1)]
-    h = np.arange(1, 40, dtype=np.uint64)
-    assert len(grams(h, 30)) == 10 and len(grams(h, 50)) == 0
+    rows = [(1, f"a b {shared} c"), (2, f"x {shared} y z"), (3, " ".join(shared.split()[:40])), (4, None), (5, ""), (None, shared), (6, "n " * 120), (7, "n " * 119)]
+    rows += [(8, f"{shared} q"), (8, f"p {shared}"), (8, f"p {shared}"), (9, " ".join(f"z{k}" for k in range(60))), (9, " ".join(f"z{k}" for k in range(60)))]
+    d = docs(spark, rows)
+    assert found_passages(repeated_passages(d)) == brute_passages(rows)
+    assert {(1, 2, 62), (2, 1, 61), (6, 0, 120), (7, 0, 119), (8, 0, 60), (8, 1, 61)} == found_passages(repeated_passages(d.withColumn("lo", F.lit(1)).withColumn("copy", F.lit(2))))
+    assert repeated_passages(d.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("group", [4096, 4])
-def test_passages_behind_nearer_neighbours(spark, group):
+def test_passages_among_partial_and_whole_copies(spark):
     rng = np.random.default_rng(5)
     words = lambda n: " ".join(f"v{k}" for k in rng.integers(0, 10**9, n))
     rows = []
-    for p in range(0, 4000, 100):
+    for p in range(0, 2000, 100):
         whole = words(52).split()
-        parts = [" ".join(x) for k in (35, 39, 43) for x in (whole[:k], whole[-k:], whole[4 : 4 + k])]
+        parts = [" ".join(x) for k in (35, 39, 43, 47, 49, 51) for x in (whole[:k], whole[-k:], whole[4 : 4 + k])]
         rows += [(p + k, f"{words(30)} {t} {words(30)}") for k, t in enumerate([" ".join(whole), *parts, " ".join(whole)])]
-    got = {tuple(r)[:1] + (r["n_words"], r["other_doc_id"]) for r in repeated_passages(docs(spark, rows), group=group).collect()}
-    assert got == {x for p in range(0, 4000, 100) for x in ((p, 52, p + 10), (p + 10, 52, p))}
-
-
-def test_passages_of_many_copies(spark):
-    rng = np.random.default_rng(6)
-    words = lambda n: " ".join(f"v{k}" for k in rng.integers(0, 10**9, n))
     copy, short = words(200), words(53)
     part = " ".join(copy.split()[70:125])
-    rows = [(k, copy) for k in range(60)] + [(100 + k, short) for k in range(60)] + [(200, f"{words(30)} {part} {words(30)}"), (300, f"{copy} {copy}"), (301, f"{part} {words(3)} {part}"), (400, words(300))]
-    got = repeated_passages(docs(spark, rows), group=8).collect()
-    assert {r["doc_id"] for r in got} == {r[0] for r in rows} - {400}
-    assert {(r["start_word"], r["end_word"]) for r in got if r["doc_id"] in (5, 105)} >= {(0, 200), (0, 53)}
-    assert {(30, 85)} == {(r["start_word"], r["end_word"]) for r in got if r["doc_id"] == 200}
-    assert {(0, 55), (58, 113)} <= {(r["start_word"], r["end_word"]) for r in got if r["doc_id"] == 301}
+    rows += [(10000 + k, copy) for k in range(60)] + [(11000 + k, short) for k in range(60)] + [(200, f"{words(30)} {part} {words(30)}"), (12000, f"{copy} {copy}"), (12001, f"{part} {words(3)} {part}"), (12002, words(300))]
+    near = [copy.split() for _ in range(40)]
+    for k, w in enumerate(near):
+        w[5 * k] = f"x{k}"
+    rows += [(13000 + k, " ".join(w)) for k, w in enumerate(near)]
+    assert found_passages(repeated_passages(docs(spark, rows))) == brute_passages(rows)
 
 
 def test_pages(spark):
