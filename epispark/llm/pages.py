@@ -1,9 +1,10 @@
 """Main text of web pages by site template removal.
 
-Every page is parsed once into text blocks, each with the hashes of the element subtrees around it. Spark counts on how
-many different pages of a host each subtree recurs; recurring subtrees are deleted, with all their blocks. Elements that
-are no article text by their meaning (nav, footer, forms, advert and comment classes, ...) go on every page, so pages of
-hosts with few pages are cleaned as well.
+Every page is parsed once into text blocks and the element subtrees around them, hashed. Spark counts on how many
+different pages of a host each subtree recurs, and deletes subtrees that recur on many of them, at places of the page
+where most subtrees do so. What is left is read from the articles where a page has any. Hosts with few pages have no
+recurring subtrees; there, and for what varies from page to page, elements that are no article text by their meaning
+(nav, footer, forms, advert and comment classes, ...) go as well.
 """
 
 from __future__ import annotations
@@ -13,43 +14,66 @@ import re
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epispark.llm.common import written
-from epispark.llm.urls import with_parts
+from epispark.llm.urls import parts_of
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]++|<""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "audio", "video", "select", "button"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
+#: text inside a component: deleted with it, not by itself, as articles of one host may share a heading or a paragraph
+INNER = set("p h1 h2 h3 h4 h5 h6 hgroup li dt dd tr td th tbody thead tfoot caption blockquote pre figure figcaption legend summary address".split())
+#: elements that say nothing of their purpose
+PLAIN = INNER | {"div", "section", "table", "center", "ul", "ol", "dl", "details"}
 #: elements whose start ends an open paragraph
 SINGLE = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th"}
 NOT_TEXT = {"nav", "footer", "aside", "form", "head", "menu", "dialog", "search", "fieldset"}
-ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "note", "status"}
+ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "status"}
 STRONG = set("nav navbar navigation menu breadcrumb breadcrumbs sidebar advert adverts advertisement advertising ads ad sponsor sponsored promo promotion cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments disqus reply replies respond discussion pagination pager toolbar widget widgets masthead topbar bottombar footer notice notices alert paywall skip".split())
+#: names of page furniture; inside an article they may name parts of it
 WHOLE = set("header site-header page-header banner search tags meta byline tools links site-banner top bottom".split())
 #: words that make a name say how an element is laid out, not what it is (has-social, with-sidebar, no-comments)
 STATES = set("has have with no not without is category tag hide show".split())
 MAIN = set("content main post entry article post-content entry-content article-body article-content main-content story story-body post-body".split())
 
 
+DIGITS = re.compile(r"[0-9]+")
+
+
+def signed(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 class Node:
-    __slots__ = ("tag", "label", "noise", "named", "main", "parts", "inner", "within")
+    __slots__ = ("tag", "label", "noise", "named", "main", "parts", "inner", "within", "place", "kids", "number")
 
     def __init__(self, tag: str, attributes: str, within: Node | None):
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
         names = [n for n in (found.get("class", "") + " " + found.get("id", "")).lower().split() if n]
-        self.tag, self.label, self.parts, self.within = tag, " ".join(names), [], within
+        # numbers in names (post-12) tell pages apart, not elements
+        self.tag, self.label, self.parts, self.within = tag, DIGITS.sub("0", " ".join(names)), [], within
         self.inner = within is not None and (within.inner or within.main)
         self.main = tag in ("article", "main") or found.get("role") == "main" or (tag in ("div", "section", "td") and bool(MAIN.intersection(names)))
         noise = tag in NOT_TEXT or (tag == "header" and not self.inner) or found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true"
         noise = noise or "display:none" in found.get("style", "").replace(" ", "").lower()
         self.noise = (noise and tag not in ("html", "body", "main")) or (within is not None and within.noise)
         # names: one is enough for an element, an article or post is named so by all of them ("post no-comments" is not)
-        named = [n in WHOLE or any(b in STRONG and a not in STATES for a, b in zip(["", *parts], parts)) for n in names for parts in [re.split(r"[_-]+", n)]]
+        named = [(n in WHOLE and not self.inner) or any(b in STRONG and a not in STATES for a, b in zip(["", *parts], parts)) for n in names for parts in [re.split(r"[_-]+", n)]]
         self.named = tag not in ("html", "body", "main") and bool(named) and (all(named) if self.main else any(named))
+        # place in the page: the way from the top by names, or by number among nameless elements of a kind
+        self.kids, self.number = {}, None
+        step = f"{tag}.{self.label}"
+        if not names and within is not None:
+            within.kids[tag] = within.kids.get(tag, 0) + 1
+            step = f"{tag}[{within.kids[tag]}]"
+        self.place = signed(f"{within.place if within else 0}/{step}")
+
+    def deletable(self) -> bool:
+        return not self.main and self.within is not None and self.tag != "head" and (self.tag not in INNER or bool(self.label))
 
 
 def spare(nodes: list[Node], blocks: list[tuple]) -> None:
@@ -75,8 +99,19 @@ def spare(nodes: list[Node], blocks: list[tuple]) -> None:
         n.noise = n.noise or n.named or (n.within is not None and n.within.noise)
 
 
-def parsed(page: str | None) -> tuple[int, list[tuple[str, list[int]]], list[int]]:
-    """Signature of the page's kept text, its blocks with the hashes of their deletable subtrees, and all subtree hashes.
+def picked(blocks: list[dict]) -> list[dict]:
+    """The blocks of articles, else of main parts, where these hold at least a fifth of the text; else all."""
+    size = lambda some: sum(len(b["text"]) for b in some)
+    for kind in ("article", "main"):
+        held = [b for b in blocks if b[kind]]
+        if held and 5 * size(held) >= size(blocks):
+            return held
+    return blocks
+
+
+def parsed(page: str | None) -> tuple[int, list[dict], list[dict]]:
+    """Signature of the page's text, its text blocks (text, article, main, parts: the subtrees around it) and the
+    deletable subtrees (tree: hash of all it holds, place, own: it is named or of a telling kind, open: it holds a block).
 
     Null and empty pages have no block. Broken markup is read as browsers do, more or less: unknown end tags are
     ignored, open elements end with the page, a new paragraph ends the one before.
@@ -137,53 +172,63 @@ def parsed(page: str | None) -> tuple[int, list[tuple[str, list[int]]], list[int
             nodes.append(node)
     flush()
     spare(nodes, blocks)
-    articles = any(n.tag == "article" and n.parts and not n.noise for n in nodes)
-    mains = articles or any(n.main and n.parts and not n.noise for n in nodes)
-    hashed: dict[int, int] = {}
-    for n in nodes[1:]:
-        if n.parts:
-            whole = "\n".join([n.tag, n.label, *(blocks[k][0] for k in n.parts)])
-            hashed[id(n)] = xxhash.xxh64_intdigest(whole.encode("utf-8", "surrogatepass")) - (1 << 63)
+    parts = []
+    for n in nodes:
+        if n.parts and n.deletable():
+            n.number = len(parts)
+            parts.append({"tree": signed("\n".join([n.tag, n.label, *(blocks[k][0] for k in n.parts)])), "place": n.place, "own": bool(n.label) or n.tag not in PLAIN, "open": False})
     out = []
     for clean, path in blocks:
         if any(n.noise for n in path):
             continue
-        if articles and not any(n.tag == "article" for n in path):
-            continue
-        if mains and not any(n.main for n in path):
-            continue
-        # inside the article only whole components may be template; its paragraphs and headings are content even when pages share them
-        inside = [n for n in path[1:] if not n.main and (not mains or n.tag in ("div", "section", "ul", "ol", "table", "dl", "details", "header", "center"))]
-        out.append((clean, [hashed[id(n)] for n in inside]))
-    signature = xxhash.xxh64_intdigest(" ".join(b[0] for b in out).encode("utf-8", "surrogatepass")) - (1 << 63)
-    return signature, out, sorted(set(hashed.values()))
+        around = [n.number for n in path if n.number is not None]
+        for k in around:
+            parts[k]["open"] = True
+        out.append({"text": clean, "parts": around, "article": any(n.tag == "article" for n in path), "main": any(n.main for n in path)})
+    return signed(" ".join(b["text"] for b in picked(out))), out, parts
 
 
-PARSED = "sig long, blocks array<struct<text:string,nodes:array<long>>>, trees array<long>"
+PARSED = "sig long, blocks array<struct<text:string,parts:array<int>,article:boolean,main:boolean>>, parts array<struct<tree:long,place:long,own:boolean,open:boolean>>"
 
 
-def main_text(pages: DataFrame, least: int = 5, share: float = 0.02, page_html: str = "html", url: str = "url") -> DataFrame:
-    """pages with text (empty if none).
+def text_of(blocks: Column) -> Column:
+    """picked() as a column, joined."""
+    size = lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + F.length(x["text"]))
+    articles, mains = F.filter(blocks, lambda b: b["article"]), F.filter(blocks, lambda b: b["main"])
+    enough = lambda b: (F.size(b) > 0) & (5 * size(b) >= size(blocks))
+    kept = F.when(enough(articles), articles).when(enough(mains), mains).otherwise(blocks)
+    return F.array_join(F.transform(kept, lambda b: b["text"]), " ")
 
-    A subtree is template when pages of `least` different main texts of its host hold it, and at least `share` of the
-    host's different main texts; copies of one page count once. Null html has no text; null urls share the empty host.
-    Repeated rows and ids are pages of their own. An empty table stays empty.
-    """
 
-    keep = [c for c in pages.columns if c not in (page_html, "text")]
-    parse = F.pandas_udf(lambda htmls: pd.DataFrame([(sig, [{"text": t, "nodes": n} for t, n in blocks], trees) for sig, blocks, trees in map(parsed, htmls)], columns=["sig", "blocks", "trees"]), PARSED)
-    rows = with_parts(pages.select(*keep, page_html), url).select(*keep, F.col("host").alias("_host"), parse(F.col(page_html)).alias("_p"))
-    made = written(rows.select("*", F.monotonically_increasing_id().alias("_row"), F.col("_p.sig").alias("_sig"), F.col("_p.blocks").alias("_blocks"), F.col("_p.trees").alias("_trees")).drop("_p"))
-    sites = made.select("_host", "_sig").distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("pages"))
-    trees = made.select("_host", "_sig", F.explode("_trees").alias("tree")).distinct().groupBy("_host", "tree").agg(F.count(F.lit(1)).alias("n"))
-    template = trees.where(F.col("n") >= least).join(sites, "_host").where(F.col("n") >= F.col("pages") * share).select("_host", "tree")
-    # which subtrees of kept blocks are template, by page; few blocks lie in deletable subtrees at all
-    own = made.select("_row", "_host", F.explode(F.array_distinct(F.flatten(F.transform("_blocks", lambda b: b["nodes"])))).alias("tree"))
-    gone = own.join(template, ["_host", "tree"], "left_semi").groupBy("_row").agg(F.collect_set("tree").alias("_gone"))
-    kept = F.filter("_blocks", lambda b: F.col("_gone").isNull() | ~F.arrays_overlap(b["nodes"], F.col("_gone")))
-    joined = lambda blocks: F.array_join(F.transform(blocks, lambda b: b["text"]), " ")
-    # pages whose kept blocks lie in no deletable subtree have their text already; only the others meet the template
-    open_ = F.exists("_blocks", lambda b: F.size(b["nodes"]) > 0)
-    settled = made.where(~open_).withColumn("text", joined(F.col("_blocks")))
-    others = made.where(open_).join(gone, "_row", "left").withColumn("text", joined(kept))
-    return settled.select(*keep, "text").unionByName(others.select(*keep, "text"))
+def templates(parts: DataFrame, least: int, most: float, sure: float, many: int) -> DataFrame:
+    """(host, place, tree) of the subtrees to delete, from (host, sig, place, tree, own) of all subtrees of all pages."""
+    n = parts.distinct().groupBy("host", "place", "tree").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("own"))
+    places = n.groupBy("host", "place").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("n") >= least, F.col("n")).otherwise(0)).alias("again"))
+    slots = places.where(F.col("again") >= most * F.col("all")).withColumn("sure", (F.col("again") >= sure * F.col("all")) & (F.col("all") >= many))
+    return n.join(slots, ["host", "place"]).where((F.col("n") >= least) | (F.col("sure") & F.col("own"))).select("host", "place", "tree")
+
+
+def main_text(pages: DataFrame, least: int = 5, most: float = 0.5, sure: float = 0.8, many: int = 20, page_html: str = "html", url: str = "url") -> DataFrame:
+    """pages with text (empty if none) in place of the html.
+
+    A subtree is template when at least `least` pages of its host with different main texts hold it at the same place,
+    and at least the share `most` of the subtrees there recur like this; copies of one page count once. At places of a
+    name of their own where at least the share `sure` of `many` or more subtrees recurs, the others go too. Articles
+    and the paragraphs and headings in them are never counted as template by themselves.
+
+    Null html has no text; null urls share the empty host. Repeated rows and ids are pages of their own. Other columns
+    pass through, whatever their names; a column named text is replaced. An empty table stays empty.
+    """
+    keep = [c for c in pages.columns if c.lower() not in (page_html.lower(), "text")]
+    parse = F.pandas_udf(lambda htmls: pd.DataFrame(list(map(parsed, htmls)), columns=["sig", "blocks", "parts"]), PARSED)
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("page"), parts_of(F.col(url))[0].alias("host"), parse(F.col(page_html)).alias("p"))
+    made = written(rows.select("page", "host", "p.*", F.monotonically_increasing_id().alias("row")))
+    template = written(templates(made.select("host", "sig", F.inline("parts")).select("host", "sig", "place", "tree", "own"), least, most, sure, many))
+    # which subtrees that hold text go, by page: pages where none could are settled without a shuffle of their text
+    opened = made.select("row", "host", F.posexplode("parts").alias("k", "p")).where("p.open").select("row", "k", "host", "p.place", "p.tree")
+    gone = opened.join(template, ["host", "place", "tree"], "left_semi").groupBy("row").agg(F.collect_set("k").alias("gone"))
+    unsettled = F.exists("parts", lambda p: p["open"])
+    settled = made.where(~unsettled).select("page", text_of(F.col("blocks")).alias("text"))
+    left = F.filter("blocks", lambda b: F.col("gone").isNull() | ~F.arrays_overlap(b["parts"], F.col("gone")))
+    others = made.where(unsettled).join(gone, "row", "left").select("page", text_of(left).alias("text"))
+    return settled.unionByName(others).select("page.*", "text")

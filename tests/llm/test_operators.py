@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import html
 import itertools
 import re
 import zlib
@@ -15,7 +16,7 @@ from epispark.llm import packing, quality, toxicity
 from epispark.llm.common import labelled_sample
 from epispark.llm.decontamination import leaks
 from epispark.llm.embeddings import vector_links
-from epispark.llm.pages import main_text, parsed
+from epispark.llm.pages import main_text, parsed, picked
 from epispark.llm.passages import repeated_passages
 from epispark.llm.secrets import BASE, listed, redacted, trigram_query, with_secrets
 from epispark.llm.simhash import fingerprint_of, near_duplicates
@@ -254,7 +255,45 @@ def test_pages(spark):
     assert text[100] == "Head Onebold two x next Three"
     assert text[101] == ""
     assert sorted(t for k, t, _ in got if k == 102) == ["", "loose"]
-    assert parsed("<p>a < b <i>c</i>")[1][0][0] == "a < b c"
+    assert parsed("<p>a < b <i>c</i>")[1][0]["text"] == "a < b c"
+
+
+def test_pages_of_the_tables_give_their_articles(spark):
+    """The article of every page, read by its tags."""
+
+    def article(page):
+        inner = re.search("<article>(.*?)</article>", page or "", re.S)
+        blocks = re.split(r"</?(?:h1|p|br)[^>]*>", inner[1]) if inner else []
+        return " ".join(b for b in (" ".join(html.unescape(re.sub("</?b>", "", x)).split()) for x in blocks) if b)
+
+    big = "/root/testdata/sf0.01"
+    want = {r["page_id"]: article(r["html"]) for r in spark.read.parquet(f"{big}/pages.parquet").collect()}
+    got = Q["op5_main_text"](spark, big).collect()
+    assert {r["page_id"]: r["text"] for r in got} == want
+    assert all(r["n_chars"] == len(r["text"]) for r in got)
+
+
+def test_template_step_alone_cleans_a_site(spark):
+    """Elements without telling names: on a host of many pages the counts find all that is no article, on one of few none."""
+    rng = np.random.default_rng(4)
+    words = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 10**6, n))
+    menus, boxes = [words(6) for _ in range(4)], [words(8) for _ in range(3)]
+    shared = words(12)  # a paragraph that many articles of the host hold
+
+    def page(k, articles):
+        own = [words(20), *([shared] if k % 2 else []), words(30)]
+        articles[k] = " ".join(own)
+        rare = words(5) if k % 10 == 0 else boxes[k % 3]
+        body = "".join(f"<p>{t}</p>" for t in own)
+        return f"<body><div><div>{menus[k % 4]}</div></div><div class='zq'>{body}</div><div class='q{k}'>{rare}</div><div><p>End of {menus[0]}</p></div></body>"
+
+    articles = {}
+    rows = [(k, "http://many.example/x", page(k, articles)) for k in range(60)] + [(100 + k, "http://few.example/x", page(100 + k, articles)) for k in range(3)]
+    rows += [(200 + k, "http://many.example/y", rows[7][2]) for k in range(40)]  # copies of one page
+    text = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [k for k in range(60) if text[k] != articles[k]] == []
+    assert all(text[200 + k] == articles[7] for k in range(40))
+    assert all(text[100 + k] != articles[100 + k] and articles[100 + k] in text[100 + k] for k in range(3))
 
 
 @pytest.mark.parametrize(
@@ -272,7 +311,7 @@ def test_pages(spark):
     ],
 )
 def test_pages_in_named_wrappers(page):
-    assert " ".join(b[0] for b in parsed(f"<html><body>{page}</body></html>")[1]) == "Whole article"
+    assert " ".join(b["text"] for b in picked(parsed(f"<html><body>{page}</body></html>")[1])) == "Whole article"
 
 
 def test_urls(spark):
