@@ -1,8 +1,9 @@
 """Near duplicates among vectors through an inverted multi-index.
 
 Vectors are cut in halves; each half has its own codebook, and the pairs of codes are the cells of a grid. A vector
-lives in one cell and visits its nearest cells in the order of the multi-sequence traversal (smallest sum of the two
-half distances first). Pairs that meet in a cell are verified by their cosine in double precision.
+lives in its nearest cell and visits further ones in the order of the multi-sequence traversal (smallest sum of the two
+half distances first), until that sum exceeds the least one by a margin. The margin is the one with which the target
+share of held-back pairs meets. Pairs that meet in a cell are verified by their cosine in double precision.
 """
 
 from __future__ import annotations
@@ -38,45 +39,68 @@ def half_distances(x: np.ndarray, book: np.ndarray) -> np.ndarray:
     return np.maximum((x**2).sum(1)[:, None] + (book**2).sum(1)[None] - 2 * x @ book.T, 0)
 
 
-def traversal(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], visits: int) -> np.ndarray:
-    """The cells of each row of x, nearest first: the order in which the multi-sequence algorithm pops them.
-
-    A cell of ranks (i, j) can be among the first `visits` only if (i+1)(j+1) <= visits, so only those are ranked.
-    """
+def excess(x: np.ndarray, books: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """By how much the distance of each half to each code exceeds that to its nearest code."""
     half = books[0].shape[1]
-    d1, d2 = half_distances(x[:, :half], books[0]), half_distances(x[:, half:], books[1])
-    o1, o2 = d1.argsort(1, kind="stable"), d2.argsort(1, kind="stable")
-    i, j = np.meshgrid(np.arange(len(books[0])), np.arange(len(books[1])), indexing="ij")
-    able = (i + 1) * (j + 1) <= visits
-    i, j = i[able], j[able]
-    total = np.take_along_axis(d1, o1, 1)[:, i] + np.take_along_axis(d2, o2, 1)[:, j]
-    first = total.argsort(1, kind="stable")[:, :visits]
-    return np.take_along_axis(o1, i[first], 1) * len(books[1]) + np.take_along_axis(o2, j[first], 1)
+    d = [half_distances(x[:, :half], books[0]), half_distances(x[:, half:], books[1])]
+    return d[0] - d[0].min(1)[:, None], d[1] - d[1].min(1)[:, None]
+
+
+def home(e: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    return e[0].argmin(1) * e[1].shape[1] + e[1].argmin(1)
 
 
-def fitted(sample: np.ndarray, cells: int, cosine: float, recall: float, most: int) -> tuple[tuple[np.ndarray, np.ndarray], int]:
-    """Codebooks and the number of cells to visit.
+def traversal(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], margin: float) -> list[np.ndarray]:
+    """The cells that each row of x visits, nearest first: the order in which the multi-sequence algorithm pops them.
+    A code whose own excess is beyond the margin is in no such cell, so only the codes within it are combined."""
+    e1, e2 = excess(x, books)
+    out = []
+    for a, b in zip(e1, e2, strict=True):
+        i, j = np.flatnonzero(a <= margin), np.flatnonzero(b <= margin)
+        total = a[i][:, None] + b[j][None]
+        p, q = np.nonzero(total <= margin)
+        order = np.argsort(total[p, q], kind="stable")
+        out.append(i[p[order]] * len(books[1]) + j[q[order]])
+    return out
 
-    The visits are the fewest with which, for the target share of sampled vectors, a random partner at exactly the
-    threshold cosine meets the vector in a cell that one of the two visits. Closer partners need fewer.
+
+def fitted(sample: np.ndarray, cells: int, cosine: float, recall: float, per_code: int = 32, pairs: int = 20000) -> tuple[tuple[np.ndarray, np.ndarray], float]:
+    """Codebooks and the margin of the traversal.
+
+    Three quarters of the sample make the codebooks, with at least per_code vectors for a code: a larger grid would be
+    fitted to chance. The other quarter, which no codebook has seen, gives pairs: a vector and a random partner at exactly
+    the threshold cosine. The margin is the least with which the target share of them meets, as one of the two visits the
+    cell of the other. Closer partners need less.
     """
-    half = sample.shape[1] // 2
-    k = max(1, int(round(np.sqrt(cells))))
+    half, n = sample.shape[1] // 2, len(sample)
+    held = sample[3 * n // 4 :] if n >= 64 else sample
+    sample = sample[: 3 * n // 4] if n >= 64 else sample
+    k = max(1, min(int(round(np.sqrt(cells))), len(sample) // per_code))
     books = (kmeans(sample[:, :half], k), kmeans(sample[:, half:], k, seed=8))
     rng = np.random.default_rng(9)
-    x = sample[:2000]
-    r = rng.standard_normal(x.shape)
-    r -= (r * x).sum(1)[:, None] * x
-    r /= np.maximum(np.linalg.norm(r, axis=1), 1e-12)[:, None]
-    y = cosine * x + np.sqrt(1 - cosine**2) * r
-    most = min(most, len(books[0]) * len(books[1]))
-    tx, ty = traversal(x, books, most), traversal(y, books, most)
-    place = lambda own, seen: np.where((hit := seen == own[:, :1]).any(1), hit.argmax(1), most)
-    need = np.minimum(place(ty, tx), place(tx, ty)) + 1
-    return books, int(min(most, np.quantile(need, recall, method="higher")))
-
-
-def verified(cosine: float):
+    need = []
+    for _ in range(-(-pairs // len(held))):
+        for at in range(0, len(held), 500):
+            x = held[at : at + 500]
+            r = rng.standard_normal(x.shape)
+            r -= (r * x).sum(1)[:, None] * x
+            r /= np.maximum(np.linalg.norm(r, axis=1), 1e-12)[:, None]
+            ex, ey = excess(x, books), excess(cosine * x + np.sqrt(1 - cosine**2) * r, books)
+            row, hx, hy = np.arange(len(x)), home(ex), home(ey)
+            of = lambda e, h: e[0][row, h // len(books[1])] + e[1][row, h % len(books[1])]  # noqa: B023, E731
+            need.append(np.minimum(of(ex, hy), of(ey, hx)))
+    return books, float(np.quantile(np.concatenate(need), recall, method="higher"))
+
+
+def units(raw: np.ndarray) -> np.ndarray:
+    """Rows of length one, in double precision; divided by the largest part first, so that squares neither overflow nor
+    vanish."""
+    x = raw.astype(float)
+    x /= np.abs(x).max(1)[:, None]
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def verified(cosine: float, kind: str, cells: int):
     """Pairs within a cell of which one lives there. Yields, for each vector, the copies it links to, and links that span."""
 
     def run(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -92,10 +116,11 @@ def verified(cosine: float):
                 continue
             node, copies, home = g["node"].to_numpy(np.int64), g["copies"].to_numpy(np.int64), g["home"].to_numpy(np.int64)
             dims = g["dims"].to_numpy(np.int64)
-            seen = np.array(g["cells"].tolist(), np.int64)
+            # (row, visited cell) as one sorted number each
+            visits = np.sort(np.repeat(np.arange(len(g)), g["cells"].map(len)) * cells + np.concatenate(g["cells"].to_numpy()))
             # those that live here against all; each pair once
             a = np.flatnonzero(lives)
-            x = np.frombuffer(b"".join(g["unit"]), np.float64).reshape(len(g), -1)
+            x = units(np.frombuffer(b"".join(g["raw"]), kind).reshape(len(g), -1))
             for at in range(0, len(a), 1024):
                 rows = a[at : at + 1024]
                 hit = x[rows] @ x.T >= cosine
@@ -107,7 +132,8 @@ def verified(cosine: float):
                 i, j = i[ok], j[ok]
                 # a visitor whose home the other one visits meets it there as well: count the pair at the smaller one's home
                 guest = ~lives[j]
-                twice = guest & (seen[i] == home[j][:, None]).any(1)
+                met = i * cells + home[j]
+                twice = guest & (visits[np.minimum(np.searchsorted(visits, met), len(visits) - 1)] == met)
                 keep = ~twice | (node[i] < node[j])
                 i, j = i[keep], j[keep]
                 if not len(i):
@@ -127,13 +153,16 @@ def verified(cosine: float):
     return run
 
 
-def vector_links(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.99, sample: int = 20000, per_cell: int = 16, tile: int = 1024, most: int = 64, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def vector_links(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.99, sample: int = 40000, per_cell: int = 16, tile: int = 1024, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
-    Codebooks and visits are fitted on at most `sample` distinct vectors (those with the smallest hash of the id);
-    every vector is indexed and searched. Equal vectors are merged first and counted as copies. Cells with more than
-    `tile` members are cut into tile pairs. Vectors that are null, zero, empty or hold null, NaN or infinite parts
-    link with nothing; nor do vectors of different lengths. An empty table gives an empty table.
+    Codebooks and the margin of the traversal are fitted on at most `sample` distinct vectors (those with the smallest
+    hash of the id); every vector is indexed and searched, and nothing bounds the cells it visits but the margin. Equal
+    vectors are merged first and counted as copies. Cells with more than `tile` members are cut into tile pairs. Vectors
+    that are null, zero, empty or hold null, NaN or infinite parts link with nothing; nor do vectors of different
+    lengths. Rows that repeat a vec_id are vectors of their own, each with its own row; those of equal vectors link as
+    copies. Rows without vec_id are kept, link with nothing and have no component. Other columns are left out. An empty
+    table gives an empty table.
     """
     v = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("e"))
     sound = F.coalesce(F.forall("e", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("e", lambda c: c != 0), F.lit(False))
@@ -145,32 +174,33 @@ def vector_links(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.99,
     n = reps.count()
     width = int(reps.agg(F.max(F.size("e"))).first()[0])
     width += width % 2
+    kind = "<f4" if vectors.schema[embedding].dataType.elementType.typeName() == "float" else "<f8"
 
-    def units(series) -> np.ndarray:
-        x = np.zeros((len(series), width))
+    def padded(series) -> np.ndarray:
+        x = np.zeros((len(series), width), kind)
         for k, e in enumerate(series):
             x[k, : len(e)] = e
-        # divided by the largest part first, so that squares neither overflow nor vanish
-        x /= np.abs(x).max(1)[:, None]
-        return x / np.linalg.norm(x, axis=1)[:, None]
+        return x
 
-    books, visits = fitted(units(few["e"]), max(1, n // per_cell), cosine, recall, most)
+    books, margin = fitted(units(padded(few["e"])), max(1, n // per_cell), cosine, recall)
+    cells = len(books[0]) * len(books[1])
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at in range(0, len(b), 1000):
                 p = b.iloc[at : at + 1000]
-                x = units(p["e"])
-                cells = traversal(x, books, visits)
-                yield pd.DataFrame({"node": p["node"], "copies": p["copies"], "dims": p["e"].map(len), "unit": [r.tobytes() for r in x], "home": cells[:, 0], "cells": list(cells)})
+                raw = padded(p["e"])
+                visited = traversal(units(raw), books, margin)
+                yield pd.DataFrame({"node": p["node"], "copies": p["copies"], "dims": p["e"].map(len), "raw": [r.tobytes() for r in raw], "home": [c[0] for c in visited], "cells": visited})
 
-    at = written(reps.mapInPandas(placed, "node long, copies long, dims int, unit binary, home long, cells array<long>"))
+    at = written(reps.mapInPandas(placed, "node long, copies long, dims int, raw binary, home int, cells array<int>"))
     members = at.select("*", F.explode("cells").alias("cell"))
-    sizes = members.groupBy("cell").agg(F.count(F.lit(1)).alias("rows")).select("cell", F.ceil(F.col("rows") / tile).cast("int").alias("g"))
-    # one row per cell of the grid at most: len(books[0]) * len(books[1]) rows
-    tiled = members.join(sizes, "cell").withColumn("t", F.pmod(F.xxhash64("node"), F.col("g")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    tiled = tiled.select("cell", F.least("t", "o").alias("ta"), F.greatest("t", "o").alias("tb"), (F.col("t") <= F.col("o")).alias("own"), (F.col("cell") == F.col("home")).alias("lives"), "node", "copies", "dims", "unit", "home", "cells")
-    found = written(by_sorted_groups(tiled, ["cell", "ta", "tb"], ["node"], verified(cosine), "node long, other long, n long"))
+    # at most one row for each cell of the grid, whose size the sample bounds: (sample / per_code)^2
+    large = members.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("g")).where("g > 1")
+    tiled = members.join(F.broadcast(large), "cell", "left").withColumn("g", F.coalesce("g", F.lit(1)))
+    tiled = tiled.withColumn("t", F.pmod(F.xxhash64("node"), F.col("g")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    tiled = tiled.select("cell", F.least("t", "o").alias("ta"), F.greatest("t", "o").alias("tb"), (F.col("t") <= F.col("o")).alias("own"), (F.col("cell") == F.col("home")).alias("lives"), "node", "copies", "dims", "raw", "home", "cells")
+    found = written(by_sorted_groups(tiled, ["cell", "ta", "tb"], ["node"], verified(cosine, kind, cells), "node long, other long, n long"))
     linked = found.groupBy("node").agg(F.sum("n").alias("n"))
     component = connected_components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
     known = reps.join(linked, "node", "left").join(component, "node", "left").select("e", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("component", "node").alias("c"))

@@ -15,7 +15,7 @@ import __spark_entry__
 from epispark.llm import packing, quality, toxicity
 from epispark.llm.common import labelled_sample
 from epispark.llm.decontamination import leaks
-from epispark.llm.embeddings import vector_links
+from epispark.llm.embeddings import fitted, traversal, units, vector_links
 from epispark.llm.pages import main_text, parsed, picked
 from epispark.llm.passages import repeated_passages
 from epispark.llm.secrets import BASE, listed, redacted, trigram_query, with_secrets
@@ -71,7 +71,7 @@ def test_vectors_match_all_pairs(spark):
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
     odd = [(900, None), (901, []), (902, [0.0] * 8), (903, [float("nan")] * 8), (904, [None] * 8), (905, [1e300, 0.0])]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>")
-    got = {r["vec_id"]: r for r in vector_links(df, tile=16, recall=1.0).collect()}
+    got = {r["vec_id"]: r for r in vector_links(df, tile=16).collect()}
     u = x.astype(float)
     u /= np.linalg.norm(u, axis=1)[:, None]
     near = u @ u.T >= 0.95
@@ -85,6 +85,39 @@ def test_vectors_match_all_pairs(spark):
     assert vector_links(df.limit(0)).count() == 0
 
 
+def test_planted_vector_pairs_at_the_threshold(spark):
+    """64 dimensions, default parameters: pairs just above the threshold, and none below, counted exactly where found."""
+    rng = np.random.default_rng(8)
+    x = units(rng.standard_normal((4000, 64)))
+    r = rng.standard_normal((1500, 64))
+    r -= (r * x[:1500]).sum(1)[:, None] * x[:1500]
+    r = units(r)
+    c = np.where(np.arange(1500) < 1000, 0.951, 0.949)[:, None]
+    every = np.concatenate([x, c * x[:1500] + np.sqrt(1 - c**2) * r, x[:20]]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(every)], "vec_id long, embedding array<float>").repartition(7)
+    u = units(every)
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    got = vector_links(df.withColumn("cell", F.lit(1))).toPandas().sort_values("vec_id")
+    n, comp = got["n_links"].to_numpy(), got["component_id"].to_numpy()
+    assert (n <= near.sum(1)).all()
+    assert n.sum() >= 0.97 * near.sum()
+    whole = np.array(components(len(every), np.argwhere(np.triu(near)).tolist()))
+    assert (comp == whole).mean() >= 0.97 and (whole[comp] == whole).all()
+    assert (got["kept"] == (got["vec_id"] == got["component_id"])).all()
+
+
+@pytest.mark.parametrize("cells", [100, 3000, 1_000_000])
+def test_recall_holds_on_vectors_that_no_codebook_saw(cells):
+    rng = np.random.default_rng(9)
+    books, margin = fitted(units(rng.standard_normal((20000, 64))), cells, 0.95, 0.99)
+    x = units(rng.standard_normal((1500, 64)))
+    r = rng.standard_normal(x.shape)
+    y = 0.952 * x + np.sqrt(1 - 0.952**2) * units(r - (r * x).sum(1)[:, None] * x)
+    met = [b[0] in a or a[0] in b for a, b in zip(traversal(x, books, margin), traversal(y, books, margin), strict=True)]
+    assert np.mean(met) > 0.98
+
+
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
