@@ -25,23 +25,28 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each group; of rows that repeat it, one. Rows without id stay."""
-    groups = near_duplicates(docs)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """Keep the document with the smallest doc_id of each group. Of rows that repeat this id one stays: that of the
+    smallest text hash, then the smallest in the order of its columns. Rows without id stay."""
+    groups = near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.min("text_hash").alias("least"), F.count(F.lit(1)).alias("rows"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    kept = rows.join(written(groups), (F.col("id") == F.col("doc_id")) & (F.col("hash") == F.col("least")))
+    again = kept.where("rows > 1").groupBy("id").agg(F.min("row").alias("row"))
+    one = kept.where("rows = 1").select("row.*").unionByName(again.select("row.*"))
+    return one.unionByName(docs.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item."""
+    """Drop documents that hold a benchmark item, with all rows of their id."""
     found = written(leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
 
 
 def secret_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace secrets by a mark; n_chars follows the new text."""
-    clean = with_secrets(docs, out="_found").withColumn("text", redacted(F.col("text"), F.col("_found")))
-    return clean.withColumn("n_chars", F.when(F.size("_found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    rows = with_secrets(docs.select("doc_id", "text", F.struct("*").alias("row")), out="spans")
+    size = F.when(F.size("spans") > 0, F.length("clean").cast("long")).otherwise(F.col("row.n_chars"))
+    clean = rows.withColumn("clean", redacted(F.col("text"), F.col("spans"))).withColumn("size", size)
+    return clean.select(*[{"text": F.col("clean"), "n_chars": F.col("size")}.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -19,25 +19,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session (tests) gets a
+    temporary one; on a cluster that is an error, as executors could not read it."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
-        sc.setCheckpointDir(folder)
-    elif not sc.getCheckpointDir():
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
     return folder
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it again: later jobs neither recompute it nor depend on any executor."""
+    """Write df to the shared folder and read it again: later jobs neither recompute it nor depend on any executor.
+
+    The tables of an application lie in one folder of its id, to be removed when it has ended."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/written-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/written-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def columns_but(df: DataFrame, *names: str) -> Column:
+    """The columns of df, without those of the given names in any case, as one struct: names inside it clash with none."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in {n.lower() for n in names}])
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, for tables that change from round to round."""
     shared_dir(df.sparkSession)
@@ -53,7 +62,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int,
     """At most per_class labelled rows of each class, outside the held-out fold, as pandas (text, y).
 
     The rows are those with the smallest hash of the id, so the sample is the same on every run and at every
-    partitioning. per_class is the documented bound of what the driver gets; everything else is not capped.
+    partitioning. Of labels that clash for one id the larger counts, and of texts that repeat an id the smallest, chosen
+    before anything goes to the driver. per_class is the documented bound of what the driver gets; everything else is
+    not capped.
     """
     ids = labels.where(F.col(label).isin(0, 1) & (fold("doc_id", parts) != held_out)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     few = None
@@ -62,7 +73,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int,
         few = one if few is None else few.unionByName(one)
     # at most 2 * per_class rows of two numbers
     picked = docs.select("doc_id", F.col(text).alias("text")).where(F.col(text).isNotNull()).join(F.broadcast(few), "doc_id")
-    return picked.select("doc_id", "text", "y").toPandas().sort_values(["doc_id", "text"]).drop_duplicates("doc_id").reset_index(drop=True)
+    return picked.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y").toPandas().sort_values("doc_id").reset_index(drop=True)
 
 
 def calibrated(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:

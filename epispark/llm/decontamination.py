@@ -18,7 +18,14 @@ NAME = r"\p{Lu}[\p{L}\p{M}]*(?:\s+\p{Lu}[\p{L}\p{M}]*)*+"
 # scripts without spaces count by character
 UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
 LITERAL = rf"[{UNSPACED}]|[\p{{L}}\p{{M}}&&[^{UNSPACED}]]+|[0-9]+(?:[.,:][0-9]+)*+|[\p{{Sm}}*/^%-]"
-UNITS = "mm cm km kg mg g ml l kwh mph kmh hz khz mhz ghz kb mb gb tb percent dollars euros pounds cents meters metres miles feet inches hours minutes seconds days weeks months years degrees grams liters litres".split()
+#: fixed values: unit words of the languages of the documents (en, fr, de, es)
+UNITS = """
+mm cm km kg mg g ml l kwh mph kmh hz khz mhz ghz kb mb gb tb percent dollars euros pounds cents meters metres miles feet
+inches hours minutes seconds days weeks months years degrees grams liters litres
+pour\\s+cent livres mètres kilomètres grammes heures secondes jours semaines mois ans années degrés
+prozent euro dollar pfund meter kilometer gramm liter stunden minuten sekunden tage tagen wochen monate monaten jahre jahren grad
+por\\s+ciento dólares libras metros kilómetros gramos litros horas minutos segundos días semanas meses años grados
+""".split()
 
 
 def canonical(text: Column) -> Column:
@@ -82,17 +89,20 @@ def copies(d: DataFrame, items: DataFrame, window: int, similarity: float, broad
     b = written(items.select("item_id", literal(F.col("item_text")).alias("t")).where(F.size("t") > 1).withColumn("least", F.least(F.size("t"), F.lit(window))))
     sizes = sorted(r[0] for r in b.select("least").distinct().collect()) or [window]
     side = b.select("item_id", "least", F.size("t").alias("n"), F.explode(windows(F.col("t"), sizes)).alias("g")).where("g.w = least").select("item_id", "n", F.col("g.w").alias("w"), F.col("g.at").alias("item_at"), F.col("g.h").alias("h"))
-    each = d.select("doc_id", F.explode(windows(literal(F.col("text")), sizes)).alias("g")).select("doc_id", "g.w", "g.at", "g.h")
+    each = d.select("doc_id", "copy", F.explode(windows(literal(F.col("text")), sizes)).alias("g")).select("doc_id", "copy", "g.w", "g.at", "g.h")
     met = each.join(F.broadcast(side) if side.count() <= broadcast_rows else side, ["w", "h"])
-    runs = met.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.first("n").alias("n"), F.first("w").alias("w"), F.sort_array(F.collect_set("item_at")).alias("places"))
+    runs = met.groupBy("doc_id", "copy", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.first("n").alias("n"), F.first("w").alias("w"), F.sort_array(F.collect_set("item_at")).alias("places"))
     best = runs.withColumn("similarity", F.when(F.col("w") < window, 1.0).otherwise(share(F.col("places"), window, F.col("n")))).where(F.col("similarity") >= similarity).groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
     return best.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), F.lit(1.0).alias("consistency"), (F.col("similarity") < 1).alias("reworded"))
 
 
-def leaks(docs: DataFrame, items: DataFrame, window: int = 5, similarity: float = 0.8, consistency: float = 0.8, broadcast_rows: int = 2_000_000, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, window: int = 5, similarity: float = 0.8, consistency: float = 0.8, slack: int = 8, broadcast_rows: int = 2_000_000, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """One row per leaked item and document: doc_id, item_id, similarity (covered share of the item's template tokens),
     consistency (share of slot values that map to one value of the document), reworded (a slot differs).
 
+    The windows of a match lie at one place of the document: their shifts against the item differ by at most `slack`
+    (as many words may stand between them), never by more than twice that.
+
     All windows of an item count. Those of mostly placeholders stand in too many documents to be looked up alone: they
     count where the document goes on with them beside a window of words, or, for items that such windows nearly cover,
     where one alignment holds as many plain words as a window of words has. Items with fewer plain words than that are
@@ -100,15 +110,16 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = 5, similarity: float
 
     Items with fewer template tokens than a window are compared by literal tokens as well, as whole items where these
     are fewer than a window. Items of a single literal token, which are no question but a word of any text, null texts
-    and rows without ids match nothing. Repeated ids are
-    taken as one document or item. The item windows are broadcast only while they are at most broadcast_rows (about
+    and rows without ids match nothing. Rows that repeat a doc_id are compared text by text, and their best match
+    counts; of items that repeat an id the smallest text counts. Other columns are left out, whatever their names; empty
+    tables give an empty table. The item windows are broadcast only while they are at most broadcast_rows (about
     50 MB), else joined by a shuffle; each window of the whole documents is looked up either way.
     """
     b = items.select(F.col(item_id).alias("item_id"), F.col(text).alias("item_text")).where("item_id is not null and item_text is not null")
     b = b.groupBy("item_id").agg(F.min("item_text").alias("item_text")).withColumn("item_tokens", canonical(F.col("item_text")))
     b = written(b.withColumn("template", F.xxhash64("item_tokens")))
     few = (F.size("item_tokens") < window) | (plain(F.col("item_tokens")) * 2 < window)
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.hash(text).alias("copy"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
     exact = b.where(few)
     b = b.where(~few)
     n = F.size("item_tokens")
@@ -117,18 +128,21 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = 5, similarity: float
     t = written(t.withColumn("bare", share(F.col("heavy"), window, n) >= similarity))
     grams = t.select("template", "bare", F.posexplode(F.arrays_zip(hashed(F.col("item_tokens"), window).alias("h"), F.col("words").alias("w"))).alias("item_at", "g"))
     grams = grams.select("template", "item_at", F.col("g.h").alias("h"), (F.col("g.w") * 2 >= window).alias("firm"), "bare", F.col("g.w").alias("w")).where("firm or (bare and w > 0)").drop("w")
-    each = d.select("doc_id", F.posexplode(hashed(canonical(F.col("text")), window)).alias("at", "h"))
+    each = d.select("doc_id", "copy", F.posexplode(hashed(canonical(F.col("text")), window)).alias("at", "h"))
     side = F.broadcast(grams) if grams.count() <= broadcast_rows else grams
     met = each.join(side, "h").withColumn("shift", F.col("at") - F.col("item_at"))
     firm = lambda c: F.when(F.col("firm"), F.col(c))
-    pairs = met.groupBy("doc_id", "template").agg(
+    # two gauges, half a step apart: shifts that differ by at most `slack` fall together in one of them
+    gauges = F.array(*[F.struct(F.lit(k).alias("gauge"), F.floor((F.col("shift") + k * slack) / (2 * slack)).alias("mark")) for k in (0, 1)])
+    met = met.withColumn("place", F.explode(gauges))
+    pairs = met.groupBy("doc_id", "copy", "template", "place").agg(
         F.sort_array(F.collect_set(firm("item_at"))).alias("places"), F.mode(firm("shift"), True).alias("shift"), F.collect_set(firm("shift")).alias("shifts"), F.collect_set(F.when(F.col("bare"), F.col("shift"))).alias("alone")
     )
     held = pairs.join(t.select("template", "heavy", "bare", n.alias("item_n")), "template")
     pairs = written(held.where(F.col("bare") | (share(F.array_sort(F.array_union("places", "heavy")), window, F.col("item_n")) >= similarity)))
     # slot values only of documents that share a template; ids repeat in no pair, so text joins stay one to one
-    texts = d.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    full = pairs.join(texts, "doc_id").join(b, "template")
+    texts = d.join(pairs.select("doc_id", "copy").distinct(), ["doc_id", "copy"], "left_semi").groupBy("doc_id", "copy").agg(F.min("text").alias("text"))
+    full = pairs.join(texts, ["doc_id", "copy"]).join(b, "template")
     full = full.withColumn("doc_tokens", canonical(F.col("text"))).withColumn("ds", slots(F.col("text"))).withColumn("bs", slots(F.col("item_text")))
     full = written(full.drop("text", "item_text"))
 
@@ -171,4 +185,7 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = 5, similarity: float
         F.exists("slot", lambda s: ~s["a"].eqNullSafe(s["b"])).alias("reworded"),
     )
     out = out.where(F.col("consistency") >= consistency)
+    # of several places the most alike
+    best = F.max(F.struct("similarity", "consistency", (~F.col("reworded")).alias("same"))).alias("best")
+    out = out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.similarity", "best.consistency", (~F.col("best.same")).alias("reworded"))
     return out if exact.isEmpty() else out.unionByName(copies(d, exact, window, similarity, broadcast_rows))

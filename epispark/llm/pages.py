@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from epispark.llm.common import written
+from epispark.llm.common import columns_but, written
 from epispark.llm.urls import parts_of
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]++|<""", re.S)
@@ -219,9 +219,8 @@ def main_text(pages: DataFrame, least: int = 5, most: float = 0.5, sure: float =
     Null html has no text; null urls share the empty host. Repeated rows and ids are pages of their own. Other columns
     pass through, whatever their names; a column named text is replaced. An empty table stays empty.
     """
-    keep = [c for c in pages.columns if c.lower() not in (page_html.lower(), "text")]
     parse = F.pandas_udf(lambda htmls: pd.DataFrame(list(map(parsed, htmls)), columns=["sig", "blocks", "parts"]), PARSED)
-    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("page"), parts_of(F.col(url))[0].alias("host"), parse(F.col(page_html)).alias("p"))
+    rows = pages.select(columns_but(pages, page_html, "text").alias("page"), parts_of(F.col(url))[0].alias("host"), parse(F.col(page_html)).alias("p"))
     made = written(rows.select("page", "host", "p.*", F.monotonically_increasing_id().alias("row")))
     template = written(templates(made.select("host", "sig", F.inline("parts")).select("host", "sig", "place", "tree", "own"), least, most, sure, many))
     # which subtrees that hold text go, by page: pages where none could are settled without a shuffle of their text

@@ -15,7 +15,7 @@ from re import _parser as rp
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from epispark.llm.common import written
+from epispark.llm.common import columns_but, written
 
 
 @dataclass(frozen=True)
@@ -144,21 +144,22 @@ def with_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, doc_id: str = "
     """docs with an array of spans (start, end, rank, kind) by start, then by the order of the rules.
 
     Null texts count as empty and have no span. Rows that repeat an id are each verified on their own text; rows
-    without id are matched null-safely. Other columns pass through, whatever their names. An empty table stays empty.
+    without id are matched null-safely. Other columns pass through, whatever their names; a column named like the
+    result is replaced. An empty table stays empty.
     """
     queries = {r.kind: q for r in rules if (q := trigram_query(r)) is not None}
-    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(columns_but(docs, out).alias("row"), F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     if queries:
         grams = sorted({g for q in queries.values() for g in trigrams_of(q)})
-        found = written(candidates(postings(docs, grams, doc_id, text), queries)).select(F.col("doc_id").alias("_id"), F.col("rules").alias("_rules"))
-        docs = docs.join(found, docs[doc_id].eqNullSafe(F.col("_id")), "left")
+        found = written(candidates(postings(docs, grams, doc_id, text), queries)).select(F.col("doc_id").alias("found"), "rules")
+        rows = rows.join(found, rows["id"].eqNullSafe(found["found"]), "left")
     parts = []
     for rank, r in enumerate(rules):
-        spans = spans_of(r, rank, body)
-        parts.append(F.when(F.array_contains("_rules", r.kind), spans).otherwise(F.array().cast("array<struct<start:int,end:int,rank:int,kind:string>>")) if r.kind in queries else spans)
+        spans = spans_of(r, rank, F.col("text"))
+        parts.append(F.when(F.array_contains("rules", r.kind), spans).otherwise(F.array().cast("array<struct<start:int,end:int,rank:int,kind:string>>")) if r.kind in queries else spans)
     # sorted as (start, rank, end, kind)
     ordered = F.array_sort(F.concat(*parts), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["rank"] - b["rank"]))
-    return docs.withColumn(out, ordered).drop("_id", "_rules")
+    return rows.withColumn("spans", ordered).select("row.*", F.col("spans").alias(out))
 
 
 def listed(spans: Column) -> Column:

@@ -124,17 +124,19 @@ def fingerprint_links(prints: DataFrame, radius: int = 3, tile: int = 1024, bloc
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 3, shingle: int = 3, tile: int = 1024) -> DataFrame:
-    """One row per document: doc_id, fp, component_id (smallest doc_id that can be reached by links, itself included).
+    """One row per document: doc_id, fp, component_id (smallest doc_id that can be reached by links, itself included),
+    text_hash (64 bits, which tells apart texts that share an id).
 
-    Equal fingerprints are first merged to one node, so copies are never compared. Rows that repeat an id share its
-    smallest component; a row without id takes part by its fingerprint. Empty table in, empty table out.
+    Equal fingerprints are first merged to one node, so copies are never compared. Each row has the component of its own
+    fingerprint, also where rows repeat an id; a row without id takes part by its fingerprint. Null and empty texts
+    have fingerprint 0 and link like any other. Other columns are left out. Empty table in, empty table out.
     """
-    made = written(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", "fp", shingle).select("doc_id", "fp"))
+    made = written(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", "fp", shingle).select("doc_id", "fp", F.xxhash64("text").alias("text_hash")))
     prints = written(made.groupBy("fp").agg(F.min("doc_id").alias("node")))
     links = fingerprint_links(prints, radius, tile)
     component = connected_components(links)
     found = prints.join(component, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return made.join(found, "fp").select("doc_id", "fp", "component_id")
+    return made.join(found, "fp").select("doc_id", "fp", "component_id", "text_hash")
 
 
 def hex16(fp: str):

@@ -216,6 +216,42 @@ def test_leaks_of_short_items(spark, broadcast_rows):
     assert got == {(k, k, 1.0, False) for k in range(4)}
 
 
+def test_leaks_lie_at_one_place(spark):
+    whole = "the quick fox jumps over the lazy dog while seven green birds sing of rain and the old river runs to sea"
+    w = whole.split()
+    items = spark.createDataFrame([(1, whole)], "item_id long, text string")
+    rng = np.random.default_rng(2)
+    fill = lambda n: " ".join("".join(chr(97 + int(c)) for c in rng.integers(0, 26, 7)) for _ in range(n))
+    far = " ".join(f"{' '.join(w[k : k + 7])} {fill(60)}" for k in range(0, 21, 3))  # all windows, strewn over a long text
+    apart = f"{' '.join(w[:10])} {fill(4)} {' '.join(w[6:])}"
+    d = docs(spark, [(1, f"{fill(100)} {whole} {fill(100)}"), (2, far), (3, apart), (4, fill(50)), (4, whole)]).withColumn("copy", F.lit(1)).withColumn("shift", F.lit(2))
+    assert {r["doc_id"] for r in leaks(d, items.withColumn("h", F.lit(3))).collect()} == {1, 3, 4}
+
+
+def literal_share(item, text):
+    """Brute force: the largest share of an item's words that stands in order, in runs of five, at one place of a text."""
+    a, b = re.findall(r"\w+", item.lower()), re.findall(r"\w+", text.lower())
+    at = {}
+    for k in range(len(b) - 4):
+        at.setdefault(tuple(b[k : k + 5]), []).append(k)
+    seen = {}
+    for k in range(len(a) - 4):
+        for p in at.get(tuple(a[k : k + 5]), ()):
+            for g in (0, 1):
+                seen.setdefault((g, (p - k + 8 * g) // 16), set()).update(range(k, k + 5))
+    return max(map(len, seen.values()), default=0) / max(len(a), 1)
+
+
+def test_leaks_match_brute_force_in_both_directions(spark, sf):
+    """The items of the tables have no slots but names at their start, so shares of words tell leaks from clean texts."""
+    items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {(r["doc_id"], r["item_id"]) for r in Q["op6_decontamination"](spark, sf).collect()}
+    share = {(d, i): literal_share(t, texts[d]) for d in texts for i, t in items.items()}
+    assert {p for p, s in share.items() if s >= 0.9} <= got
+    assert all(share[p] >= 0.6 for p in got)
+
+
 def test_leaks_in_long_runs_of_names_and_numbers(spark):
     items = spark.createDataFrame([(1, SLOT_HEAVY[0])], "item_id long, text string")
     got = leaks(docs(spark, [(1, "Ab " * 50_000 + "so. " + SLOT_HEAVY[0]), (2, "1," * 50_000 + "1")]), items)
