@@ -4,10 +4,12 @@ The kernel counts common subsequences of three characters, gaps allowed: a subse
 decay^s, and spans go up to `span`. It is normalised, so k(u, u) = 1. An inserted or doubled character leaves most
 subsequences in place, which is why disguised insults keep a high kernel value with the plain ones.
 
-A sentence is judged by its most suspicious unit (word), a text by its most suspicious sentence, hence by its most
-suspicious unit. Training follows that: labelled sentences are bags of units, and witnesses of toxic bags are chosen
-anew in each round (multiple-instance learning). The landmark expansion is linear in the subsequence counts, so it
-folds into one weight per subsequence, and scoring needs no kernel evaluations at all.
+A sentence is judged by its most suspicious unit (a word, or letters set apart), a text by its most suspicious sentence.
+Training follows that: labelled sentences are bags of units (multiple-instance learning). A sentence of a clean text is
+an example by the unit that the machine of the round before found most suspicious; sentences of toxic texts by units
+typical of these, plain and with letters inserted. The landmark expansion is linear in the subsequence counts, so it folds
+into one weight per subsequence, and scoring needs no kernel evaluations at all. Units of fewer than three characters
+hold no subsequence; insults of several words are seen by their words.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 INNER = re.compile(r"[\W_]+")
 SPACED = re.compile(r"(?:(?<=\s)|^)(?:\w[\W_]{1,3}){2,}\w(?=\s|$|[\W_]+(?:\s|$))")
 LONGEST = 24
+OWN, SHARED = 200, 50
 
 
 def tokens_of(text: str) -> set[str]:
@@ -97,13 +100,16 @@ class Kernel:
         table = np.zeros((len(codes), len(landmarks)))
         table[at, lr] = lw / np.maximum(self.norms(lm), 1e-12)[lr]
         out = np.zeros((len(words), len(landmarks)))
-        for lo in range(0, len(words), 1000):
-            r, c, w = self.counts(m := matrix(words[lo : lo + 1000]))
+        for lo in range(0, len(words), 300):
+            r, c, w = self.counts(m := matrix(words[lo : lo + 300]))
+            norm = np.maximum(np.sqrt(np.bincount(r, weights=w**2, minlength=len(m))), 1e-12)
             k = np.minimum(np.searchsorted(codes, c), len(codes) - 1)
             hit = codes[k] == c
-            part = np.zeros((len(m), len(landmarks)))
-            np.add.at(part, r[hit], table[k[hit]] * w[hit][:, None])
-            out[lo : lo + 1000] = part / np.maximum(self.norms(m), 1e-12)[:, None]
+            r, k, w = r[hit], k[hit], w[hit]
+            if len(r):
+                first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+                out[lo + r[first]] = np.add.reduceat(table[k] * w[:, None], first)
+            out[lo : lo + 300] /= norm[:, None]
         return out
 
 
@@ -122,12 +128,29 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float =
     return w
 
 
+def damped(values: np.ndarray) -> np.ndarray:
+    """Far beyond the margin a decision value tells little more."""
+    return np.sign(values) * np.log1p(np.abs(values))
+
+
+def disguised(word: str, n: int, rng) -> str:
+    """The word with n letters inserted between its own, some of them doubled ones."""
+    out = list(word)
+    for _ in range(n):
+        k = int(rng.integers(1, len(out)))
+        out.insert(k, out[k - 1] if rng.random() < 0.2 else chr(97 + int(rng.integers(0, 26))))
+    return "".join(out)[:LONGEST]
+
+
 @dataclass
 class Model:
-    """Subsequence weights folded from the landmark expansion, offset and calibration; a few MB."""
+    """Subsequence weights folded from the landmark expansion, offset and calibration; at most 251^3 weights.
+
+    classes: code point to class, 0 for characters that training has not met."""
 
     kernel: Kernel
-    chars: str
+    classes: dict[int, int]
+    size: int
     weights: np.ndarray
     offset: float
     slope: float
@@ -136,9 +159,9 @@ class Model:
     def units(self, words: list[str]) -> np.ndarray:
         """Decision values; units without any weight towards toxic get the offset alone."""
         out = np.full(len(words), self.offset)
-        n = len(self.chars) + 1
+        n = self.size
         to = np.zeros(0x110000, np.int32)
-        to[[ord(c) for c in self.chars]] = np.arange(1, n)
+        to[list(self.classes)] = list(self.classes.values())
         for lo in range(0, len(words), 4096):
             m = matrix(words[lo : lo + 4096])
             c = to[m]
@@ -165,26 +188,51 @@ class Model:
             seen[u] = max(flat[at : at + len(ps)], default=self.offset)
             at += len(ps)
         top = np.array([max(map(seen.__getitem__, bag), default=self.offset) for bag in bags], float)
-        return logistic(self.slope * np.maximum(top, self.offset) + self.shift)
+        return logistic(self.slope * damped(np.maximum(top, self.offset)) + self.shift)
 
 
 def sentences(text: str) -> list[str]:
     return [s for s in re.split(r"(?<=[.!?])\s+|\n+", text) if s]
 
 
-def fit(sample: pd.DataFrame, landmarks: int = 192, kernel: Kernel | None = None, rounds: int = 6, penalty: float = 100.0, seed: int = 3) -> Model | None:
-    """Train on labelled sentences (text, y of their document). Without both classes there is no model."""
+def chief(bags: list[set[str]], marked: list[tuple[float, str]], low: Counter, least: float) -> list[str]:
+    """Of the marks of toxic texts: the first ones, then one after the other that which stands in most of the texts
+    without any of the others yet."""
+    out = [u for z, u in marked[:16] if z > 3.5]
+    every = {u for _, u in marked}
+    left = [bag & every for bag in bags if not bag.intersection(out)]
+    while True:
+        count = Counter(u for bag in left for u in bag)
+        best = max(count, key=lambda u: (count[u] / (1 + low[u]), u), default=None)
+        if best is None or count[best] < max(2, least * len(bags)):
+            return out or [u for _, u in marked[:20]]
+        out.append(best)
+        left = [bag for bag in left if best not in bag]
+
+
+def fit(sample: pd.DataFrame, landmarks: int = 192, kernel: Kernel | None = None, rounds: int = 8, penalty: float = 1000.0, variants: int = 100, seed: int = 3) -> Model | None:
+    """Train on the sentences of labelled texts (text, y of the text). Without both classes there is no model.
+
+    A mark is a unit that stands in more toxic texts than clean ones. Positive examples are the marks; the chief ones weigh
+    most, and each comes with `variants` forms of one or two inserted letters. Negative examples are units of clean
+    sentences: a draw, and in each round the most suspicious ones, which become landmarks too.
+    """
     kernel = kernel or Kernel()
     if sample["y"].nunique() < 2:
         return None
-    bags, y = [], sample["y"].to_numpy()
-    for text in sample["text"]:
-        bag: set[str] = set()
+    rng = np.random.default_rng(seed)
+    y = sample["y"].to_numpy()
+    bags, owner = [], []
+    for k, text in enumerate(sample["text"]):
         for s in sentences(text):
-            bag.update(f for u in tokens_of(s) for f in forms(u))
-        bags.append(bag)
+            bags.append({f for u in tokens_of(s) for f in forms(u)})
+            owner.append(k)
+    owner = np.array(owner, np.int64)
+    texts: list[set[str]] = [set() for _ in y]
+    for k, bag in zip(owner.tolist(), bags, strict=True):
+        texts[k] |= bag
     n = {k: max(1, int((y == k).sum())) for k in (0, 1)}
-    df = {k: Counter(u for bag, label in zip(bags, y, strict=True) if label == k for u in bag) for k in (0, 1)}
+    df = {k: Counter(u for bag, label in zip(texts, y, strict=True) if label == k for u in bag) for k in (0, 1)}
 
     def lift(u: str) -> float:
         p1, p0 = (df[1][u] + 0.5) / (n[1] + 1), (df[0][u] + 0.5) / (n[0] + 1)
@@ -195,55 +243,63 @@ def fit(sample: pd.DataFrame, landmarks: int = 192, kernel: Kernel | None = None
     marks = [u for _, u in marked[: landmarks - len(usual)]]
     if not marks or not usual:
         return None
-    points = sorted({*marks, *usual})
-    values, vectors = np.linalg.eigh(kernel.against(points, points))
-    good = values > 1e-6
-    root = vectors[:, good] / np.sqrt(values[good])  # Nystroem: k(u, landmarks) @ root
-
-    def features(words: list[str]) -> np.ndarray:
-        return np.c_[kernel.against(words, points) @ root, np.ones(len(words))]
-
-    rng = np.random.default_rng(seed)
+    strong = [(z, u) for z, u in marked if z > 2.5]
+    first = chief([bag for bag, label in zip(texts, y, strict=True) if label == 1], strong or marked, df[0], 0.005)
+    positive = {u: 0.05 for _, u in strong}
+    for u in first:
+        positive[u] = 1.0
+    for u in first:
+        for k in range(variants if len(u) > 3 else 0):
+            v = disguised(u, 1 + k % 2, rng)
+            positive[v] = positive.get(v, 0.0) + 8.0 / variants
     clean = sorted(df[0])
     negative = {*usual, *(clean[k] for k in rng.permutation(len(clean))[:3000])}
-    strong = {u for z, u in marked if z > 2.5}
-    positive = {u for bag, label in zip(bags, y, strict=True) if label == 1 for u in bag & strong}
-    if not positive:
-        positive = set(marks)
-    alphabet = "".join(sorted({c for u in points for c in u}))[:250]
-    to = {c: k + 1 for k, c in enumerate(alphabet)}
-    size = len(alphabet) + 1
+    points = sorted({*marks, *usual})
+
+    def expanded() -> np.ndarray:
+        """Nystroem: k(u, landmarks) @ root."""
+        values, vectors = np.linalg.eigh(kernel.against(points, points))
+        good = values > 1e-6
+        return vectors[:, good] / np.sqrt(values[good])
+
+    root = expanded()
+    # the commonest characters have a class of their own, all others share the next ones
+    letters = Counter(c for u in [*df[0], *df[1], *positive] for c in u).most_common()
+    classes = {ord(c): k + 1 if k < OWN else OWN + 1 + ord(c) % SHARED for k, (c, _) in enumerate(letters)}
+    size = max(classes.values()) + 1
+    every = sorted({u for bag in bags for u in bag})
     model = None
-    for _ in range(rounds):
-        positive -= negative
+    for turn in range(rounds):
+        for u in negative:
+            positive.pop(u, None)
         words = [*sorted(positive), *sorted(negative)]
         label = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
-        # a unit counts as often as it occurs among the bags of its class
-        cost = np.array([df[1 if v > 0 else 0][u] for u, v in zip(words, label, strict=True)], float) ** 0.5
-        cost[label > 0] *= cost[label < 0].sum() / cost[label > 0].sum()
-        cost *= penalty
-        w = squared_hinge(features(words), label, cost)
-        beta = root @ w[:-1]
+        cost = np.array([*(positive[u] for u in sorted(positive)), *(max(df[0][u], 1) ** 0.5 for u in sorted(negative))], float)
+        cost[label > 0] *= 0.5 * cost[label < 0].sum() / max(cost[label > 0].sum(), 1e-9)
+        w = squared_hinge(np.c_[kernel.against(words, points) @ root, np.ones(len(words))], label, cost * penalty)
         lr, lc, lw = kernel.counts(lm := matrix(points))
-        lw = lw / np.maximum(kernel.norms(lm), 1e-12)[lr] * beta[lr]
-        weights = np.zeros(size**3)
-        for c, v in zip(lc.tolist(), lw.tolist(), strict=True):
-            a, b, d = chr(c >> 42), chr(c >> 21 & 0x1FFFFF), chr(c & 0x1FFFFF)
-            if a in to and b in to and d in to:
-                weights[(to[a] * size + to[b]) * size + to[d]] += v
-        model = Model(kernel, alphabet, weights.astype(np.float32), float(w[-1]), 1.0, 0.0)
-        every = sorted({u for bag in bags for u in bag})
+        lw = lw / np.maximum(kernel.norms(lm), 1e-12)[lr] * (root @ w[:-1])[lr]
+        place = [np.array([classes[int(c)] for c in (lc >> s) & 0x1FFFFF], np.int64) for s in (42, 21, 0)]
+        weights = np.bincount((place[0] * size + place[1]) * size + place[2], weights=lw, minlength=size**3)
+        model = Model(kernel, classes, size, weights.astype(np.float32), float(w[-1]), 1.0, 0.0)
         value = dict(zip(every, model.units(every).tolist(), strict=True))
-        best = [max(bag, key=lambda u: (value[u], u), default=None) for bag in bags]
-        top = np.array([value[u] if u else model.offset for u in best])
-        model.slope, model.shift = platt(np.maximum(top, model.offset), y)
-        # hard clean units join, and toxic bags name their witnesses anew
-        hard = sorted((u for u in df[0] if value[u] > -0.5), key=lambda u: -value[u])[:2000]
-        fresh = {u for u, label in zip(best, y, strict=True) if label == 1 and u and value[u] > 0 and u not in df[0]}
-        before = len(negative), len(positive)
-        negative |= set(hard)
-        positive |= fresh
-        if (len(negative), len(positive - negative)) == before:
+        # the most suspicious unit of each sentence
+        worst = [max(bag, key=lambda u: (value[u], u), default=None) for bag in bags]
+        top = np.full(len(y), model.offset)
+        np.maximum.at(top, owner, [model.offset if u is None else value[u] for u in worst])
+        model.slope, model.shift = platt(damped(top), y)
+        toxic = y[owner] == 1
+        found = {u for u, bad in zip(worst, toxic, strict=True) if bad and u and value[u] > 0 and u not in df[0]}
+        hard = {u for u, bad in zip(worst, toxic, strict=True) if not bad and u and value[u] > -0.5}
+        hard = sorted(hard, key=lambda u: (-value[u], u))[:1000]
+        grown = not found <= positive.keys() or not negative.issuperset(hard)
+        negative.update(hard)
+        for u in found:
+            positive.setdefault(u, 0.05)
+        if turn < 5:
+            points = sorted({*points, *hard[:60]})
+            root = expanded()
+        elif not grown:
             break
     return model
 
@@ -264,7 +320,8 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 800, threshold: float = 0.5) -> DataFrame:
-    """docs with score, predicted (1 from the threshold on). Fitted on at most per_class labelled rows of each class
-    outside the held-out fold; all rows are scored over their whole text."""
+    """docs with score, predicted (1 from the threshold on). Fitted on the sentences of at most per_class labelled rows of
+    each class outside the held-out fold; all rows are scored over their whole text. Repeated rows are scored each, equal
+    texts alike; columns score and predicted are replaced, others pass through; an empty table stays empty."""
     model = fit(labelled_sample(docs, labels, "toxic", PARTS, HELD_OUT, per_class))
     return score(docs, model).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -429,6 +429,36 @@ def test_classifiers_on_the_held_out_fold(spark, name, module, label):
     assert Q[name](spark, big).count() == spark.read.parquet(f"{big}/documents.parquet").count()
 
 
+def test_insults_with_inserted_characters(spark):
+    """Trained on the labelled fold of sf0.1; insults in the sentences of held-out clean texts, as they are and disguised."""
+    from epispark.llm.common import fold, table
+
+    docs_, labels = (table(spark, "/root/testdata/sf0.1", n) for n in ("documents", "labels"))
+    model = toxicity.fit(labelled_sample(docs_, labels, "toxic", toxicity.PARTS, toxicity.HELD_OUT, 800))
+    held = docs_.join(labels, "doc_id").where((fold("doc_id", 5) == 0) & F.col("text").isNotNull()).select("text", "toxic").toPandas()
+    said = model.texts(list(held["text"]), {}) >= 0.5
+    assert (said == (held["toxic"] == 1)).mean() > 0.94
+    clean = [t for t, bad in zip(held["text"], said, strict=True) if not bad and 100 < len(t) < 2000][:200]
+    rng = np.random.default_rng(3)
+    insults = ["idiot", "moron", "loser", "trash", "scum", "worthless", "stupid"]
+
+    def share(letters, n):
+        out = []
+        for k, text in enumerate(clean):
+            word = list(insults[k % 7])
+            for _ in range(n):
+                word.insert(int(rng.integers(1, len(word))), letters[int(rng.integers(len(letters)))])
+            at = text.split(" ")
+            at.insert(int(rng.integers(len(at))), "".join(word))
+            out.append(" ".join(at))
+        return (model.texts(out, {}) >= 0.5).mean()
+
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    assert share(letters, 0) == 1.0
+    assert share(letters, 1) >= 0.9 and share(".-*_", 1) >= 0.9 and share(".-*_", 2) >= 0.85
+    assert share(letters, 2) >= 0.4
+
+
 def test_classifiers_at_the_edges(spark):
     labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 80)], "doc_id long, quality int, toxic int")
     d = docs(spark, [(i, "you idiot there" if i % 2 else "a fine day out") for i in range(1, 80)] + [(None, "x"), (90, None), (91, ""), (92, "you i.d.i.o.t there")])
