@@ -21,10 +21,6 @@ def iso_year(d: Column) -> Column:
     return F.extract(F.lit("YEAROFWEEK"), d)
 
 
-def weekly_dates(start: Column, end: Column, step_days: int = 7) -> Column:
-    return F.sequence(start, end, F.expr(f"interval {step_days} days"))
-
-
 def month_mondays(day: Column) -> Column:
     """ISO weeks of the Mondays in the day's month."""
     first = F.trunc(day, "MM")
@@ -79,6 +75,18 @@ def lenient_double(c: Column) -> Column:
     return c.try_cast("double")
 
 
+def count_after(text: Column, label: str) -> Column:
+    """The integer in the table cell after a label, else the first one behind it on its line."""
+    cell = rf"(?is)\Q{label}\E\s*</t[dh][^>]*>\s*<t[dh][^>]*>\s*(\d{{1,7}})\s*</t[dh]>"
+    line = rf"(?is)\Q{label}\E[^\n\r\d]*(\d{{1,7}})"
+    return F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in (cell, line)]).cast("long")
+
+
+def raised(labs: Column) -> Column:
+    """How many values of a map of packed features (z|slope|flag) carry the flag."""
+    return F.coalesce(F.size(F.filter(F.map_values(labs), lambda v: F.endswith(v, F.lit("|1")))), F.lit(0))
+
+
 def squeezed(c: Column) -> Column:
     return F.regexp_replace(c, r"\s+", "")
 

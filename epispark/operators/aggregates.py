@@ -80,12 +80,6 @@ def histogram(df: DataFrame, value: str, lo: float, hi: float, bins: int) -> Dat
     return df.groupBy(k.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def plottable(df: DataFrame, columns: Sequence[str], most: int = 50) -> list[str]:
-    """Columns with more than one and fewer than `most` distinct values, by one approximate pass."""
-    row = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
-    return [c for c in columns if 1 < row[c] < most]
-
-
 def word_counts(df: DataFrame, text: str, pattern: str = r"\s+") -> DataFrame:
     return df.select(F.explode(F.split(F.lower(text), pattern)).alias("word")).where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
@@ -152,6 +146,48 @@ def recent_signal(df: DataFrame, group: str, ts: str, as_of: Column) -> DataFram
     return g.withColumn("change", change).withColumn("ratio", F.least(F.lit(3.0), F.col("last") / 5))
 
 
+def value_ranges(df: DataFrame, column: str, ranges: int = 256, sample: int = 8192) -> Column:
+    """Number of the range of values that a row falls into, ranges of about equally many different values.
+
+    The edges come from a sample of at most `sample` different values (those with the smallest hashes, so the ranges are
+    the same on every run); only the balance of the ranges depends on it."""
+    values = df.select(F.col(column).alias("v")).where("v is not null").distinct()
+    few = sorted(r[0] for r in values.orderBy(F.xxhash64("v"), "v").limit(sample).collect())
+    edges = few[:: max(1, -(-len(few) // ranges))]
+    if not edges:
+        return F.lit(0)
+    kind = df.schema[column].dataType
+    return F.size(F.filter(F.array(*[F.lit(e).cast(kind) for e in edges]), lambda e: e <= F.col(column)))
+
+
+def running_totals(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str) -> DataFrame:
+    """Sum of value up to and with each row of its keys, in an order without ties. No task sees more than a range of the
+    order: sums run within ranges, and are raised by the totals of the ranges before, of which there are few a key."""
+    rows = df.withColumn("_range", value_ranges(df, order))
+    per = rows.groupBy(*keys, "_range").agg(F.sum(value).alias("_sum"))
+    w = W.partitionBy(*keys).orderBy("_range")
+    before = per.select(*keys, "_range", (F.sum("_sum").over(w) - F.col("_sum")).alias("_before"))
+    within = F.sum(value).over(W.partitionBy(*keys, "_range").orderBy(order))
+    return rows.withColumn(out, within).join(before, [*keys, "_range"]).withColumn(out, F.col(out) + F.col("_before")).drop("_range", "_before")
+
+
+def top_weekly(df: DataFrame, ts: str, category: str, person: str, k: int) -> DataFrame:
+    """Weekly persons and rows of the k categories with most persons over all weeks; weeks of the table without any are 0."""
+    from epispark.operators.series import top_categories
+
+    top = top_categories(df, category, person, k).select(category)  # k rows
+    weekly = weekly_counts(df.join(F.broadcast(top), category, "left_semi"), ts, category, person)
+    weeks = df.select(week_label(F.col(ts)).alias("week")).where("week is not null").distinct()
+    grid = weeks.crossJoin(F.broadcast(top.withColumnRenamed(category, "category")))
+    return grid.join(weekly, ["week", "category"], "left").fillna(0, ["patients", "visits"])
+
+
+def step_flags(stays: DataFrame, events: DataFrame, key: str, step: Column, flags: Mapping[str, Column]) -> DataFrame:
+    """Per stay and step 1 where any event of it raises a flag."""
+    placed = events.join(stays, key).withColumn("time_idx", step).where("time_idx >= 0")
+    return placed.groupBy(key, "time_idx").agg(*[F.max(c.cast("int")).alias(n) for n, c in flags.items()])
+
+
 def severe_outcome(stays: DataFrame, flagged: Sequence[DataFrame], key: str) -> DataFrame:
     """stays with outcome 1 where any of the flagged id tables holds the key."""
     ids = flagged[0].select(key)
@@ -170,10 +206,11 @@ def class_report(df: DataFrame, y: str, p: str) -> DataFrame:
 
 
 def auroc(df: DataFrame, y: str, score: str) -> DataFrame:
-    """Area under the ROC curve by ranks; equal scores are merged first, so windows run over distinct scores."""
+    """Area under the ROC curve by ranks; equal scores are merged first, and counts below them run within ranges of scores."""
     s = df.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(y)).alias("pos"), F.sum(1 - F.col(y)).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(W.orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return s.withColumn("_b", below).agg((F.sum(F.col("pos") * (F.col("_b") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auroc"))
+    ranked = running_totals(s, [], "s", "neg", "_b")
+    below = F.col("_b") - F.col("neg")
+    return ranked.agg((F.sum(F.col("pos") * (below + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auroc"))
 
 
 def calibration(df: DataFrame, y: str, p: str, bins: int = 10) -> DataFrame:

@@ -77,6 +77,14 @@ def clamped(df: DataFrame, bounds: DataFrame, name: str = "name", value: str = "
     return df.withColumn(value, v).where(F.col(value).isNotNull()).join(F.broadcast(bounds), name, "left").withColumn(value, F.greatest(F.coalesce("lo", value), F.least(F.coalesce("hi", value), F.col(value)))).drop("lo", "hi")
 
 
+def chosen(df: DataFrame, key: str, names: Sequence[str], aliases: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """(key, value, disease): the columns of the given names, else of the first of their aliases that exists, stacked in
+    one pass. A name without a column is an error."""
+    known = {k.lower(): v for k, v in (aliases or {}).items()}
+    parts = [F.struct(F.col(f"`{first_column(df, [n, *known.get(n.lower(), ())])}`").cast("double").alias("value"), F.lit(n).alias("disease")) for n in names]
+    return df.select(key, F.explode(F.array(*parts)).alias("_c")).select(key, "_c.*")
+
+
 # anonymisation
 
 #: Name patterns by kind, in the order in which they are tried.
@@ -123,15 +131,13 @@ def birth_group(birth: Column, year: int) -> Column:
 def pseudonyms(frames: Sequence[tuple[DataFrame, str]], prefix: str = "P") -> DataFrame:
     """(id, pseudonym) for all ids of all frames, numbered in the order of the ids.
 
-    Only distinct ids are numbered: sorted by range into partitions, numbered within each, and shifted by the sizes of
-    the partitions before, of which there are as many rows as partitions.
+    Only distinct ids are numbered, within ranges of their order, and raised by the sizes of the ranges before.
     """
+    from epispark.operators.aggregates import running_totals
+
     ids = reduce(lambda a, b: a.union(b), (df.select(F.col(c).cast("string").alias("id")) for df, c in frames)).where("id is not null and id <> ''").distinct()
-    split = ids.repartitionByRange("id").sortWithinPartitions("id").withColumn("p", F.spark_partition_id())
-    within = split.withColumn("k", F.row_number().over(W.partitionBy("p").orderBy("id")))
-    before = within.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
-    shift = before.alias("a").join(before.alias("b"), F.col("b.p") < F.col("a.p"), "left").groupBy(F.col("a.p").alias("p")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("shift"))
-    return within.join(F.broadcast(shift), "p").select("id", F.concat(F.lit(prefix), F.lpad((F.col("k") + F.col("shift")).cast("string"), 6, "0")).alias("pseudonym"))
+    numbered = running_totals(ids.withColumn("one", F.lit(1)), [], "id", "one", "k")
+    return numbered.select("id", F.concat(F.lit(prefix), F.lpad(F.col("k").cast("string"), 6, "0")).alias("pseudonym"))
 
 
 def anonymised(df: DataFrame, year: int, exclude: Sequence[str] = (), marks: Sequence[str] = ("Province", "City", "District")) -> DataFrame:

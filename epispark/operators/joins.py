@@ -84,8 +84,17 @@ def regular(series: DataFrame, series_id: str, date: str, step_days: int = 7) ->
     return grid.join(series, [series_id, date], "left")
 
 
-def rejected_pairs(df: DataFrame, key: str, answer: str, group: str) -> DataFrame:
-    """Each row with the answer of the next row of its group in a hashed order (the last takes the first's)."""
+def rejected_pairs(df: DataFrame, key: str, answer: str, group: str, buckets: int = 4096) -> DataFrame:
+    """Each row with the answer of the next row of its group in a hashed order (the last takes the first's).
+
+    Rows follow each other within buckets of the hash; the last of a bucket takes the first answer of the next bucket, of
+    which there are at most `buckets` a group, so no group is sorted in one task.
+    """
     order = F.pmod(F.col(key) * 2654435761, F.lit(4294967296))
-    w = W.partitionBy(group).orderBy(order, key)
-    return df.withColumn("rejected", F.coalesce(F.lead(answer).over(w), F.first(answer).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))))
+    rows = df.withColumn("_h", order).withColumn("_b", F.floor(F.col("_h") / (4294967296 // buckets)))
+    w = W.partitionBy(group, "_b").orderBy("_h", key)
+    rows = rows.withColumn("_next", F.lead(F.struct(F.col(answer).alias("a"))).over(w))
+    heads = rows.groupBy(group, "_b").agg(F.min_by(F.struct(F.col(answer).alias("a")), F.struct("_h", key)).alias("_head"))
+    v = W.partitionBy(group).orderBy("_b")
+    heads = heads.withColumn("_after", F.coalesce(F.lead("_head").over(v), F.first("_head").over(v.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))))
+    return rows.join(heads.drop("_head"), [group, "_b"]).withColumn("rejected", F.coalesce("_next", "_after")["a"]).drop("_h", "_b", "_next", "_after")

@@ -43,19 +43,27 @@ def input_windows(df: DataFrame, series: str, date: str, value: str, width: int)
 def rolling_origins(df: DataFrame, series: str, date: str, value: str, least: int, horizon: int, step: int = 1, start=None, end=None) -> DataFrame:
     """(series, as_of, date, train, test): windows of the last `least` values and the next `horizon`, every step rows.
 
-    Positions count rows, not days. start and end bound the first target and the last target's room.
+    Positions count rows, not days. start and end bound the first target and the last target's room. A series is
+    gathered once, as one row, and only the windows asked for are cut out of it.
     """
-    order = W.partitionBy(series).orderBy(date)
-    rows = df.select(series, date, value, (F.row_number().over(order) - 1).alias("i"), F.lag(date).over(order).alias("as_of"))
-    rows = rows.withColumn("n", F.count(F.lit(1)).over(W.partitionBy(series)))
-    whole = W.partitionBy(series)
-    first = F.lit(least) if start is None else F.greatest(F.lit(least), F.min(F.when(F.col(date) >= F.lit(start), F.col("i"))).over(whole))
-    last = F.col("n") - horizon + 1
-    if end is not None:
-        last = F.least(last, F.sum((F.col(date) <= F.lit(end)).cast("int")).over(whole) - horizon + 1)
-    rows = rows.withColumn("_a", first).withColumn("_z", last)
-    rows = rows.withColumn("train", F.collect_list(value).over(order.rowsBetween(-least, -1))).withColumn("test", F.collect_list(value).over(order.rowsBetween(0, horizon - 1)))
-    return rows.where((F.col("i") >= F.col("_a")) & (F.col("i") < F.col("_z")) & ((F.col("i") - F.col("_a")) % step == 0)).select(series, "as_of", date, "train", "test")
+    rows = df.groupBy(series).agg(F.sort_array(F.collect_list(F.struct(F.col(date).alias("d"), F.col(value).alias("v")))).alias("_s"))
+    before = lambda at, same: F.size(F.filter("_s", lambda x: x["d"] <= at if same else x["d"] < at))
+    first = F.lit(least) if start is None else F.greatest(F.lit(least), before(F.lit(start), False))
+    n = F.size("_s") if end is None else F.least(F.size("_s"), before(F.lit(end), True))
+    places = F.when(n - horizon >= first, F.sequence(first, n - horizon, F.lit(step))).otherwise(F.array().cast("array<int>"))
+    at = rows.select(series, "_s", F.explode(places).alias("i"))
+    values = lambda lo, n: F.slice("_s", lo, n)["v"]
+    return at.select(series, F.get("_s", F.col("i") - 1)["d"].alias("as_of"), F.get("_s", F.col("i"))["d"].alias(date), values(F.col("i") - least + 1, least).alias("train"), values(F.col("i") + 1, horizon).alias("test"))
+
+
+def step_windows(df: DataFrame, series: str, date: str, value: str, history: int = 156, recent: int = 8, horizon: int = 4, step: int = 1) -> DataFrame:
+    """(series, as_of, history, recent, future): for every step-th row the last values up to it, the latest few of these,
+    and those that follow, fewer at the end; rows that nothing follows are left out."""
+    rows = df.groupBy(series).agg(F.sort_array(F.collect_list(F.struct(F.col(date).alias("d"), F.col(value).alias("v")))).alias("_s"))
+    places = F.when(F.size("_s") > 1, F.sequence(F.lit(0), F.size("_s") - 2, F.lit(step))).otherwise(F.array().cast("array<int>"))
+    at = rows.select(series, "_s", F.explode(places).alias("i"))
+    last = lambda n: F.slice("_s", F.greatest(F.col("i") + 2 - n, F.lit(1)), F.least(F.col("i") + 1, F.lit(n)))["v"]
+    return at.select(series, F.get("_s", F.col("i"))["d"].alias("as_of"), last(history).alias("history"), last(recent).alias("recent"), F.slice("_s", F.col("i") + 2, horizon)["v"].alias("future"))
 
 
 def trend(df: DataFrame, series: str, date: str, value: str) -> DataFrame:
@@ -161,7 +169,7 @@ def stratified_split(ids: DataFrame, key: str, label: str, test: float = 0.15, v
     rank = F.row_number().over(W.partitionBy(label, "_b").orderBy("_h", key)) + F.col("_before")
     n_test = F.ceil(F.col("_total") * test)
     n_val = F.ceil((F.col("_total") - n_test) * (validation / (1 - test)))
-    out = rows.join(F.broadcast(per), [label, "_b"]).withColumn("_r", rank)
+    out = rows.join(per, [label, "_b"]).withColumn("_r", rank)
     return out.select(key, label, F.when(F.col("_r") <= n_test, "test").when(F.col("_r") <= n_test + n_val, "validation").otherwise("train").alias("split"))
 
 
@@ -273,23 +281,53 @@ def least_squares(lags: Sequence[int], horizon: int) -> Callable[[pd.DataFrame],
     return fit
 
 
+def mean_bands(horizon: int, z: float = 1.6448536269514722) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """A model for backtest(): the mean of the training values with normal bands."""
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        y = np.asarray(pdf["train"].iloc[0], float)
+        m, sd = (float(y.mean()), float(y.std())) if len(y) else (0.0, 0.0)
+        return pd.DataFrame({"step": np.arange(1, horizon + 1), "prediction": m, "q05": max(0.0, m - z * sd), "q50": m, "q95": m + z * sd})
+
+    return fit
+
+
+#: models by name: each gives step and prediction, and further columns (quantiles, samples) that backtest() is told of
 MODELS: dict[str, Callable[..., Callable[[pd.DataFrame], pd.DataFrame]]] = {
     "least_squares": least_squares,
+    "mean_bands": mean_bands,
     "persistence": lambda horizon: lambda pdf: pd.DataFrame({"step": np.arange(1, horizon + 1), "prediction": float(pdf["train"].iloc[0][-1])}),
 }
 
 
-def backtest(windows: DataFrame, series: str, model: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """(series, as_of, step, prediction, actual): one bounded group (a window) per series and origin goes to the model."""
+def backtest(windows: DataFrame, series: str, model: Callable[[pd.DataFrame], pd.DataFrame], more: str = "") -> DataFrame:
+    """(series, as_of, step, prediction, actual, more): one bounded group (a window) per series and origin goes to the
+    model. more: names and types of further columns of the model, such as "q05 double, samples array<double>"."""
+    kind = dict(windows.dtypes)
+    schema = f"`{series}` {kind[series]}, as_of {kind['as_of']}, step int, prediction double, actual double" + (f", {more}" if more else "")
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = model(pdf)
-        out["actual"] = list(pdf["test"].iloc[0])
+        out.insert(2, "actual", list(pdf["test"].iloc[0]))
         out.insert(0, "as_of", pdf["as_of"].iloc[0])
         out.insert(0, series, pdf[series].iloc[0])
         return out
 
-    kind = dict(windows.dtypes)
-    return windows.groupBy(series, "as_of").applyInPandas(run, f"`{series}` {kind[series]}, as_of {kind['as_of']}, step int, prediction double, actual double")
+    return windows.groupBy(series, "as_of").applyInPandas(run, schema)
+
+
+def backtest_last(windows: DataFrame, series: str) -> DataFrame:
+    """backtest() of the last value without any Python: (series, as_of, step, prediction, actual)."""
+    return windows.select(series, "as_of", F.element_at("train", -1).alias("prediction"), F.posexplode("test").alias("k", "actual")).select(series, "as_of", (F.col("k") + 1).alias("step"), F.col("prediction").cast("double"), F.col("actual").cast("double"))
+
+
+def origin_errors(df: DataFrame, run: str, as_of: str, actual: str, forecast: str) -> DataFrame:
+    """Mean absolute error of each run by forecast origin."""
+    return df.groupBy(run, as_of).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col(actual) - F.col(forecast))).alias("mae"))
+
+
+def aligned_pairs(actuals: DataFrame, predictions: DataFrame, keys: Sequence[str], actual: str, forecast: str) -> DataFrame:
+    """Actual and forecast of the same keys; pairs that miss either are dropped."""
+    return actuals.select(*keys, actual).join(predictions.select(*keys, forecast), list(keys)).dropna(subset=[actual, forecast])
 
 
 # scores
@@ -303,11 +341,24 @@ METRICS: dict[str, Callable[[Column, Column], Column]] = {
     "bias": lambda a, p: F.avg(p - a),
     "residual_std": lambda a, p: F.stddev_samp(a - p),
 }
+#: further metrics by name, for scores(names=...)
+MORE_METRICS: dict[str, Callable[[Column, Column], Column]] = {
+    "mape_percent": lambda a, p: 100 * F.avg(F.abs(a - p) / F.abs(F.when(a == 0, 1.0).otherwise(a))),
+    "residual_mean": lambda a, p: F.avg(a - p),
+}
 
 
 def scores(df: DataFrame, keys: Sequence[str], actual: str, forecast: str, names: Sequence[str] = tuple(METRICS)) -> DataFrame:
     """All metrics of all runs in one grouped pass over pairs without nulls."""
-    return df.dropna(subset=[actual, forecast]).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[METRICS[m](F.col(actual).cast("double"), F.col(forecast).cast("double")).alias(m) for m in names])
+    return df.dropna(subset=[actual, forecast]).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[(METRICS | MORE_METRICS)[m](F.col(actual).cast("double"), F.col(forecast).cast("double")).alias(m) for m in names])
+
+
+def run_summary(df: DataFrame, run: str, as_of: str, date: str, actual: str, forecast: str, names: Sequence[str] = ("mae", "rmse", "smape")) -> DataFrame:
+    """One row per run, in the order of their names: first and last target, origins, horizon and metrics."""
+    rows = df.dropna(subset=[actual, forecast])
+    per = rows.groupBy(run, as_of).agg(F.count(F.lit(1)).alias("_h"), F.min(date).alias("_lo"), F.max(date).alias("_hi"))
+    span = per.groupBy(run).agg(F.min("_lo").alias("start"), F.max("_hi").alias("end"), F.count(F.lit(1)).alias("n_steps"), F.max("_h").alias("horizon"))
+    return span.join(scores(rows, [run], actual, forecast, names), run).orderBy(run)
 
 
 def coverage(df: DataFrame, keys: Sequence[str], actual: str, level: float, prefix: str = "q_") -> DataFrame:
@@ -343,7 +394,7 @@ def crps_gaussian(actual: Column, mean: Column, sigma: Column, cdf) -> Column:
 def peak_errors(df: DataFrame, series: str, date: str, actual: str, forecast: str) -> DataFrame:
     """Mean absolute error over the rows at or above the series' peak threshold."""
     t = peak_threshold(df, series, date, actual)
-    return df.join(F.broadcast(t), series).where(F.col(actual) >= F.col("threshold")).groupBy(series).agg(F.count(F.lit(1)).alias("n_peaks"), F.avg(F.abs(F.col(actual) - F.col(forecast))).alias("peak_mae"))
+    return df.join(t, series).where(F.col(actual) >= F.col("threshold")).groupBy(series).agg(F.count(F.lit(1)).alias("n_peaks"), F.avg(F.abs(F.col(actual) - F.col(forecast))).alias("peak_mae"))
 
 
 def peak_recall(df: DataFrame, series: str, date: str, actual: str, forecast: str, share: float = 0.1, window: int = 2) -> DataFrame:
@@ -378,9 +429,12 @@ def paired_tests(df: DataFrame, run: str, keys: Sequence[str], error: str, basel
     base = df.where(F.col(run) == baseline).select(*keys, F.col(error).alias("_e"))
     d = df.where(F.col(run) != baseline).join(base, list(keys)).withColumn("_d", F.col(error) - F.col("_e"))
     t = d.groupBy(run).agg(F.count(F.lit(1)).alias("n"), F.avg("_d").alias("mean_diff"), (F.avg("_d") / (F.stddev_samp("_d") / F.sqrt(F.count(F.lit(1))))).alias("t"))
+    from epispark.operators.aggregates import running_totals
+
     m = d.where("_d <> 0").groupBy(run, F.abs("_d").alias("_a")).agg(F.sum(F.when(F.col("_d") > 0, 1).otherwise(0)).alias("_up"), F.count(F.lit(1)).alias("_c"))
-    first = F.sum("_c").over(W.partitionBy(run).orderBy("_a")) - F.col("_c")
-    w = m.withColumn("_rank", first + (F.col("_c") + 1) / 2).groupBy(run).agg(F.sum(F.col("_rank") * F.col("_up")).alias("w_plus"), F.sum(F.col("_rank") * (F.col("_c") - F.col("_up"))).alias("w_minus"))
+    ranked = running_totals(m, [run], "_a", "_c", "_upto")
+    rank = F.col("_upto") - (F.col("_c") - 1) / 2
+    w = ranked.groupBy(run).agg(F.sum(rank * F.col("_up")).alias("w_plus"), F.sum(rank * (F.col("_c") - F.col("_up"))).alias("w_minus"))
     return t.join(w, run, "left").withColumn("w", F.least("w_plus", "w_minus"))
 
 

@@ -37,6 +37,27 @@ def articles(pages: DataFrame, html: str = "html", url: str = "url") -> DataFram
     )
 
 
+def monthly_table(rows: DataFrame, first: str, last: str, preferred: str, month: str = "month", source: str = "source", url: str = "url") -> DataFrame:
+    """One row per month of the range: of each source the smallest url, and of the sources the preferred, else the first."""
+    of_source = W.partitionBy(source, month).orderBy(url)
+    of_month = W.partitionBy(month).orderBy(F.when(F.col(source) == preferred, 0).otherwise(1), source)
+    one = rows.where(F.col(month).between(first, last)).withColumn("_r", F.row_number().over(of_source)).where("_r = 1")
+    return one.withColumn("_r", F.row_number().over(of_month)).where("_r = 1").drop("_r")
+
+
+def seed_urls(logs: DataFrame, log: str, arrays: Sequence[str], needs: str, any_of: Sequence[str], hosts: Sequence[str]) -> DataFrame:
+    """(title, url): results of saved searches whose title holds `needs` and any of the words, on any of the hosts; a url
+    counts once, at its first place. arrays: columns of arrays of (title, link, url), in the order in which they are read."""
+    each = None
+    for k, a in enumerate(arrays):
+        one = logs.select(log, F.lit(k).alias("kind"), F.posexplode(a).alias("pos", "r"))
+        each = one if each is None else each.unionByName(one)
+    hit = each.select(F.struct(log, "kind", "pos").alias("at"), F.trim("r.title").alias("title"), F.coalesce("r.link", "r.url").alias("url")).where("url <> '' and title <> ''")
+    has = lambda c, words: [F.contains(c, F.lit(w)) for w in words]
+    hit = hit.where(F.contains("title", F.lit(needs)) & F.greatest(F.lit(False), *has("title", any_of)) & F.greatest(F.lit(False), *has("url", hosts)))
+    return hit.groupBy("url").agg(F.min_by("title", "at").alias("title")).select("title", "url")
+
+
 def strided(text: Column, size: int = 500, overlap: int = 50) -> Column:
     """array of fixed chunks: size characters every size - overlap, none that lies inside the one before."""
     last = F.greatest(F.lit(1), F.length(text) - overlap)
@@ -119,7 +140,7 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     n = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     total = n.agg(F.sum("_n").alias("_t"), F.count(F.lit(1)).alias("_k"))
     w = n.crossJoin(F.broadcast(total)).select(label, (F.col("_t") / (F.col("_k") * F.col("_n"))).alias("weight"))
-    return df.join(F.broadcast(w), label)
+    return df.join(w, label)
 
 
 def outcome_model(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str):
@@ -141,7 +162,7 @@ def outcome_model(train: DataFrame, numeric: Sequence[str], categorical: Sequenc
 
 def category_codes(df: DataFrame, column: str) -> DataFrame:
     """(value, code): one mapping, codes from 0 in the order of the values."""
-    v = df.select(F.col(column).alias("value")).where("value is not null").distinct()
-    return v.withColumn("code", F.dense_rank().over(W.orderBy("value")) - 1)
-
+    from epispark.operators.aggregates import running_totals
 
+    v = df.select(F.col(column).alias("value")).where("value is not null").distinct().withColumn("one", F.lit(1))
+    return running_totals(v, [], "value", "one", "code").select("value", (F.col("code") - 1).cast("int").alias("code"))
