@@ -175,7 +175,11 @@ def mt7(spark, d):
     return g.select("o_custkey", F.round(R.crps_samples(F.lit(150.0), F.col("xs")), 3).alias("crps"))
 
 
-@query("mt8_crps_gaussian")
+#: the normal distribution function by its series of positive terms; beyond 8 it is 0 or 1
+CDF = "CASE WHEN abs(z) > 8 THEN CASE WHEN z > 0 THEN 1.0 ELSE 0.0 END ELSE 0.5 + sign(z) * exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 150), lambda n: exp((2 * n + 1) * ln(greatest(abs(z), 1e-300)) + n * ln(2) + lgamma(n + 1) - lgamma(2 * n + 2)))) END"
+
+
+@query("mt8_crps_gaussian", f"WITH {FC}, x AS (SELECT series, greatest(0.5, sqrt(p)) AS g, (actual - p) / greatest(0.5, sqrt(p)) AS z FROM f) SELECT series, avg(g * (z * (2 * {CDF} - 1) + 2 * exp(-z * z / 2) / sqrt(2 * pi()) - 1 / sqrt(pi()))) AS crps FROM x GROUP BY 1")
 def mt8(spark, d):
     from epispark.functions.helpers import normal_cdf
 
@@ -264,7 +268,10 @@ def fc4(spark, d):
     return e.select("event_id", R.event_score(F.col("value") / 50 - 1, F.col("event_id") % 5, school, F.col("value") / 3).alias("s")).select("event_id", "s.*")
 
 
-@query("fc5_count_quantiles")
+COUNTS = f"WITH {SERIES}, x AS (SELECT *, abs(v - lag(v) {O})) / greatest(1, lag(v) {O})) AS c FROM s), y AS (SELECT series, week, v AS m, greatest(0.25, least(3, (0.5 + 2.5 * 0.3) * (0.5 + 2 * coalesce(greatest(0.05, least(0.5, quantile_cont(c, 0.5) {O} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))), 0.15)))) AS d FROM x), k AS (SELECT series, week, m, 1 / (d - 1) AS n, d, unnest(range(0, CAST(floor(m + 12 * sqrt(CASE WHEN d <= 1 THEN m ELSE m + (d - 1) * m * m END)) AS BIGINT) + 30)) AS k FROM y), p AS (SELECT series, week, k, sum(CASE WHEN d <= 1 THEN exp(k * ln(m) - m - lgamma(k + 1)) ELSE exp(lgamma(n + k) - lgamma(n) - lgamma(k + 1) + n * ln(n / (n + m)) + k * ln(m / (n + m))) END) OVER (PARTITION BY series, week ORDER BY k) AS f FROM k)"
+
+
+@query("fc5_count_quantiles", f"{COUNTS} SELECT series, week, " + ", ".join(f"CAST(coalesce(min(k) FILTER (f >= {q}), max(k)) AS DOUBLE) AS q{round(q * 100):02d}" for q in (0.05, 0.5, 0.95)) + " FROM p GROUP BY ALL")
 def fc5(spark, d):
     from epispark.functions.helpers import count_quantiles
 
