@@ -154,10 +154,16 @@ def value_ranges(df: DataFrame, column: str, ranges: int = 256, sample: int = 81
     values = df.select(F.col(column).alias("v")).where("v is not null").distinct()
     few = sorted(r[0] for r in values.orderBy(F.xxhash64("v"), "v").limit(sample).collect())
     edges = few[:: max(1, -(-len(few) // ranges))]
-    if not edges:
-        return F.lit(0)
     kind = df.schema[column].dataType
-    return F.size(F.filter(F.array(*[F.lit(e).cast(kind) for e in edges]), lambda e: e <= F.col(column)))
+
+    def found(lo: int, hi: int) -> Column:
+        """By halves, so a row meets few edges."""
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col(column) < F.lit(edges[mid]).cast(kind), found(lo, mid)).otherwise(found(mid + 1, hi))
+
+    return found(0, len(edges))
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str) -> DataFrame:
@@ -165,7 +171,7 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: str, value: str, o
     order: sums run within ranges, and are raised by the totals of the ranges before, of which there are few a key."""
     rows = df.withColumn("_range", value_ranges(df, order))
     per = rows.groupBy(*keys, "_range").agg(F.sum(value).alias("_sum"))
-    w = W.partitionBy(*keys).orderBy("_range")
+    w = W.partitionBy(*keys).orderBy("_range")  # at most as many rows a key as there are ranges
     before = per.select(*keys, "_range", (F.sum("_sum").over(w) - F.col("_sum")).alias("_before"))
     within = F.sum(value).over(W.partitionBy(*keys, "_range").orderBy(order))
     return rows.withColumn(out, within).join(before, [*keys, "_range"]).withColumn(out, F.col(out) + F.col("_before")).drop("_range", "_before")
