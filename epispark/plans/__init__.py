@@ -1,6 +1,6 @@
 """Registered queries of the library."""
 
-from epispark.plans import forecasts, records, reports, streams
+from epispark.plans import folders, forecasts, records, reports, streams
 from epispark.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "forecasts", "records", "reports", "streams"]
+__all__ = ["ORACLES", "QUERIES", "folders", "forecasts", "records", "reports", "streams"]

@@ -1,5 +1,7 @@
 """The session settings the library expects."""
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -16,3 +18,17 @@ def session(master: str | None = None, **more: str) -> SparkSession:
     for k, v in {**SETTINGS, **more}.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session (tests) gets a
+    temporary one; on a cluster that is an error, as executors could not read it."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(folder)
+    return folder

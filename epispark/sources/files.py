@@ -33,7 +33,8 @@ def read_yearly(spark: SparkSession, path, kind: str = "csv", date: str = "week_
 
 
 def read_records(spark: SparkSession, path, schema: str, multiline: bool = False) -> DataFrame:
-    """JSON records of a directory with their file; records that cannot be decoded are left out."""
+    """JSON records of a directory with their file; records that cannot be decoded are left out. What stands behind a
+    complete record on its line is passed over, as Spark's reader does."""
     raw = spark.read.schema(f"{schema}, _bad string").options(mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", multiLine=str(multiline).lower()).json(path)
     return raw.withColumn("source_file", F.col("_metadata.file_name")).where("_bad is null").drop("_bad")
 
