@@ -386,6 +386,17 @@ def crps_samples(actual: Column, samples: Column) -> Column:
     return near - spread
 
 
+def crps_rows(df: DataFrame, key: str, actual: Column, sample: str) -> DataFrame:
+    """(key, crps): crps_samples over samples that are rows; no key's samples meet in one row, and equal ones are merged."""
+    from epispark.operators.aggregates import running_totals
+
+    m = df.groupBy(key, F.col(sample).alias("_x")).agg(F.count(F.lit(1)).alias("_c")).where("_x is not null")
+    c, x = F.col("_c"), F.col("_x")
+    ranks = c * F.col("_upto") - c * (c - 1) / 2
+    g = running_totals(m, [key], "_x", "_c", "_upto").groupBy(key).agg(F.sum("_c").alias("n"), F.sum(c * F.abs(x - actual)).alias("near"), F.sum(x * (2 * ranks - c)).alias("up"), F.sum(x * c).alias("all"))
+    return g.select(key, (F.col("near") / F.col("n") - (F.col("up") - F.col("n") * F.col("all")) / (F.col("n") * F.col("n"))).alias("crps"))
+
+
 def crps_gaussian(actual: Column, mean: Column, sigma: Column, cdf) -> Column:
     z = (actual - mean) / sigma
     return sigma * (z * (2 * cdf(z) - 1) + 2 * F.exp(-z * z / 2) / F.lit(float(np.sqrt(2 * np.pi))) - F.lit(float(1 / np.sqrt(np.pi))))

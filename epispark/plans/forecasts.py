@@ -171,8 +171,8 @@ def mt6(spark, d):
 
 @query("mt7_crps_samples", "WITH g AS (SELECT o_custkey, list(o_totalprice / 1000) AS xs FROM orders GROUP BY 1) SELECT o_custkey, round((SELECT avg(abs(x - 150)) FROM (SELECT unnest(xs) AS x)) - 0.5 * (SELECT avg(abs(x - y)) FROM (SELECT unnest(xs) AS x), (SELECT unnest(xs) AS y)), 3) AS crps FROM g")
 def mt7(spark, d):
-    g = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list(F.col("o_totalprice") / 1000).alias("xs"))
-    return g.select("o_custkey", F.round(R.crps_samples(F.lit(150.0), F.col("xs")), 3).alias("crps"))
+    samples = table(spark, d, "orders").select("o_custkey", (F.col("o_totalprice") / 1000).alias("x"))
+    return R.crps_rows(samples, "o_custkey", F.lit(150.0), "x").withColumn("crps", F.round("crps", 3))
 
 
 #: the normal distribution function by its series of positive terms; beyond 8 it is 0 or 1

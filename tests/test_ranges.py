@@ -49,3 +49,14 @@ def test_rejected_pairs_go_round(spark):
         mine = sorted((k * 2654435761 % 4294967296, k, a) for k, a, g in rows if g == grp)
         for (_, k, _), (_, _, a) in zip(mine, mine[1:] + mine[:1], strict=True):
             assert got[k] == a
+
+
+def test_crps_of_rows_is_that_of_arrays(spark):
+    from epispark.operators.series import crps_rows, crps_samples
+
+    r = random.Random(3)
+    rows = [(k % 5, round(r.gauss(0, 3), 1)) for k in range(400)] + [(9, 1.0)]
+    df = spark.createDataFrame(rows, "key int, x double")
+    arrays = df.groupBy("key").agg(F.collect_list("x").alias("xs")).select("key", crps_samples(F.lit(0.5), F.col("xs")).alias("crps"))
+    a, b = ({x["key"]: round(x["crps"], 9) for x in d.collect()} for d in (arrays, crps_rows(df, "key", F.lit(0.5), "x")))
+    assert a == b
