@@ -309,7 +309,20 @@ def fc10(spark, d):
     return R.backtest(R.rolling_origins(series(spark, d), "series", "week", "v", 60, 2, 8), "series", R.MODELS["persistence"](2))
 
 
-@query("fc11_backtest_least_squares")
+def determinant(m: list[list[str]]) -> str:
+    """Of a square matrix of SQL expressions, by its first row."""
+    if len(m) == 1:
+        return m[0][0]
+    return "(" + " ".join(f"{'+-'[j % 2]} {m[0][j]} * {determinant([r[:j] + r[j + 1 :] for r in m[1:]])}" for j in range(len(m))) + ")"
+
+
+# least squares on the lags 1, 2 and 4 and a constant: normal equations of each window, by Cramer's rule
+GRAM = [[f"s{min(i, j)}{max(i, j)}" for j in range(4)] for i in range(4)]
+WEIGHTS = ", ".join(f"{determinant([[f't{i}' if j == k else GRAM[i][j] for j in range(4)] for i in range(4)])} / {determinant(GRAM)} AS w{k}" for k in range(4))
+LAGS = f"WITH {SERIES}, r AS (SELECT *, row_number() {O}) - 1 AS i, count(*) OVER (PARTITION BY series) AS n, lag(week) {O}) AS as_of, list(v) {O} ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) AS a, list(v) {O} ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS b FROM s), o AS (SELECT * FROM r WHERE i >= 60 AND i < n - 2 + 1 AND (i - 60) % 8 = 0), x AS (SELECT series, as_of, a[t] AS y, a[t - 1] AS x0, a[t - 2] AS x1, a[t - 4] AS x2, 1.0 AS x3 FROM o, (SELECT unnest(range(5, 61)) AS t)), g AS (SELECT series, as_of, " + ", ".join([f"sum(x{i} * x{j}) AS s{i}{j}" for i in range(4) for j in range(i, 4)] + [f"sum(x{i} * y) AS t{i}" for i in range(4)]) + f" FROM x GROUP BY ALL), w AS (SELECT series, as_of, {WEIGHTS} FROM g), p AS (SELECT *, greatest(0, w0 * a[60] + w1 * a[59] + w2 * a[57] + w3) AS p1 FROM o JOIN w USING (series, as_of))"
+
+
+@query("fc11_backtest_least_squares", f"{LAGS} SELECT series, as_of, CAST(k AS INTEGER) AS step, CASE WHEN k = 1 THEN p1 ELSE greatest(0, w0 * p1 + w1 * a[60] + w2 * a[58] + w3) END AS prediction, b[k] AS actual FROM p, (SELECT unnest([1, 2]) AS k)")
 def fc11(spark, d):
     return R.backtest(R.rolling_origins(series(spark, d), "series", "week", "v", 60, 2, 8), "series", R.MODELS["least_squares"]([1, 2, 4], 2))
 
