@@ -292,7 +292,10 @@ def fc7(spark, d):
     return out.select("o_custkey", (F.col("k") + 1).alias("step"), "infected")
 
 
-@query("fc8_grid_search")
+GRID_SEARCH = f"WITH RECURSIVE {SERIES}, x AS (SELECT series, week, list(v) {O} ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS a FROM s), l AS (SELECT series, arg_max(a, week) AS a FROM x WHERE len(a) = 24 GROUP BY 1), g AS (SELECT b * 0.1::DOUBLE AS beta, c * 0.1::DOUBLE AS sigma, d * 0.1::DOUBLE AS gamma FROM (SELECT unnest(range(1, 6)) AS b), (SELECT unnest(range(1, 4)) AS c), (SELECT unnest(range(1, 4)) AS d)), r(beta, sigma, gamma, k, su, e, i) AS (SELECT beta, sigma, gamma, 0, 999980.0::DOUBLE, 10.0::DOUBLE, 10.0::DOUBLE FROM g UNION ALL SELECT beta, sigma, gamma, k + 1, greatest(0, su - beta * su * i / 1000000.0), greatest(0, e + beta * su * i / 1000000.0 - sigma * e), greatest(0, i + sigma * e - gamma * i) FROM r WHERE k < 24), f AS (SELECT beta, sigma, gamma, i AS first FROM r WHERE k = 1), t AS (SELECT series, beta, sigma, gamma, avg(abs(a[k] - i * a[1] / (first + 1e-6)) / greatest(1e-9, (abs(a[k]) + abs(i * a[1] / (first + 1e-6))) / 2)) AS loss FROM l, r JOIN f USING (beta, sigma, gamma) WHERE k > 0 GROUP BY ALL)"
+
+
+@query("fc8_grid_search", f"{GRID_SEARCH}, m AS (SELECT series, min({{'loss': loss, 'beta': beta, 'sigma': sigma, 'gamma': gamma}}) AS m FROM t GROUP BY 1) SELECT series, m.loss AS loss, m.beta AS beta, m.sigma AS sigma, m.gamma AS gamma FROM m")
 def fc8(spark, d):
     grid = spark.range(1, 6).select((F.col("id") * 0.1).alias("beta")).crossJoin(spark.range(1, 4).select((F.col("id") * 0.1).alias("sigma"))).crossJoin(spark.range(1, 4).select((F.col("id") * 0.1).alias("gamma")))
     w = R.input_windows(series(spark, d), "series", "week", "v", 24).groupBy("series").agg(F.max_by("inputs", "week").alias("actual"))
@@ -359,7 +362,19 @@ def rt5(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(X.strided(F.col("text"))).alias("chunk", "content"))
 
 
-@query("rt5_split_chunks")
+def last_cut(separator: str) -> str:
+    """Where the separator last stands in the text between a and e, or 0."""
+    sep = "'" + separator + "'" if "\n" not in separator else " || ".join(["chr(10)"] * len(separator))
+    part = "substr(text, a + 52, e - a - 51)"
+    found = f"instr(reverse({part}), reverse({sep}))"
+    return f"CASE WHEN {found} > 0 THEN a + 51 + length({part}) - {found} + 1 - {len(separator)} ELSE 0 END"
+
+
+CUTS = ", ".join(f"{last_cut(x)} AS c{k}" for k, x in enumerate(("\n\n", "\n", ". ", " ")))
+SPLIT = f"WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 0), r(doc_id, a, o, k) AS (SELECT doc_id, -1::BIGINT, 0::BIGINT, 0 FROM d UNION ALL SELECT doc_id, o, CASE WHEN e = n THEN n ELSE greatest(z - 50, o + 1) END, k + 1 FROM (SELECT doc_id, o, n, k, e, CASE WHEN e < n AND c0 > 0 THEN c0 WHEN e < n AND c1 > 0 THEN c1 WHEN e < n AND c2 > 0 THEN c2 WHEN e < n AND c3 > 0 THEN c3 ELSE e END AS z FROM (SELECT *, {CUTS} FROM (SELECT r.doc_id, o, o AS a, k, n, text, least(n, o + 500) AS e FROM r JOIN d USING (doc_id) WHERE o < n)))), q AS (SELECT doc_id, a, k, text, CASE WHEN e < n AND c0 > 0 THEN c0 WHEN e < n AND c1 > 0 THEN c1 WHEN e < n AND c2 > 0 THEN c2 WHEN e < n AND c3 > 0 THEN c3 ELSE e END AS z FROM (SELECT *, {CUTS} FROM (SELECT r.doc_id, r.a, k, n, text, least(n, r.a + 500) AS e FROM r JOIN d USING (doc_id) WHERE r.a >= 0))), p AS (SELECT doc_id, k, regexp_replace(substr(text, a + 1, z - a), '^\\s+|\\s+$', '', 'g') AS content FROM q)"
+
+
+@query("rt5_split_chunks", f"{SPLIT} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS chunk, content FROM p WHERE content <> ''")
 def rt5b(spark, d):
     from epispark.functions.helpers import splitter
 
