@@ -100,8 +100,8 @@ class Kernel:
         table = np.zeros((len(codes), len(landmarks)))
         table[at, lr] = lw / np.maximum(self.norms(lm), 1e-12)[lr]
         out = np.zeros((len(words), len(landmarks)))
-        for lo in range(0, len(words), 300):
-            r, c, w = self.counts(m := matrix(words[lo : lo + 300]))
+        for lo in range(0, len(words), 64):
+            r, c, w = self.counts(m := matrix(words[lo : lo + 64]))
             norm = np.maximum(np.sqrt(np.bincount(r, weights=w**2, minlength=len(m))), 1e-12)
             k = np.minimum(np.searchsorted(codes, c), len(codes) - 1)
             hit = codes[k] == c
@@ -109,19 +109,25 @@ class Kernel:
             if len(r):
                 first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
                 out[lo + r[first]] = np.add.reduceat(table[k] * w[:, None], first)
-            out[lo : lo + 300] /= norm[:, None]
+            out[lo : lo + 64] /= norm[:, None]
         return out
 
 
-def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
-    """Linear support vector machine with squared hinge loss by Newton steps; the last column of x is the offset."""
+def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0, rounds: int = 25, block: int = 2000) -> np.ndarray:
+    """Linear support vector machine with squared hinge loss by Newton steps, block by block; the last column of x is the
+    offset."""
     w = np.zeros(x.shape[1])
     reg = np.full(x.shape[1], ridge)
     reg[-1] = 1e-3
     for _ in range(rounds):
-        act = y * (x @ w) < 1
-        xa, ca = x[act], cost[act]
-        new = np.linalg.solve((xa * ca[:, None]).T @ xa + np.diag(reg), (xa * (ca * y[act])[:, None]).sum(0))
+        left, right = np.diag(reg), np.zeros(x.shape[1])
+        for at in range(0, len(x), block):
+            part = x[at : at + block].astype(float)
+            act = y[at : at + block] * (part @ w) < 1
+            part, c = part[act], cost[at : at + block][act]
+            left += (part * c[:, None]).T @ part
+            right += part.T @ (c * y[at : at + block][act])
+        new = np.linalg.solve(left, right)
         if np.abs(new - w).max() < 1e-6:
             return new
         w = new
@@ -262,6 +268,12 @@ def fit(sample: pd.DataFrame, landmarks: int = 192, kernel: Kernel | None = None
         good = values > 1e-6
         return vectors[:, good] / np.sqrt(values[good])
 
+    def features(words: list[str]) -> np.ndarray:
+        out = np.ones((len(words), root.shape[1] + 1), np.float32)
+        for at in range(0, len(words), 2000):
+            out[at : at + 2000, :-1] = kernel.against(words[at : at + 2000], points) @ root
+        return out
+
     root = expanded()
     # the commonest characters have a class of their own, all others share the next ones
     letters = Counter(c for u in [*df[0], *df[1], *positive] for c in u).most_common()
@@ -276,7 +288,7 @@ def fit(sample: pd.DataFrame, landmarks: int = 192, kernel: Kernel | None = None
         label = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
         cost = np.array([*(positive[u] for u in sorted(positive)), *(max(df[0][u], 1) ** 0.5 for u in sorted(negative))], float)
         cost[label > 0] *= 0.5 * cost[label < 0].sum() / max(cost[label > 0].sum(), 1e-9)
-        w = squared_hinge(np.c_[kernel.against(words, points) @ root, np.ones(len(words))], label, cost * penalty)
+        w = squared_hinge(features(words), label, cost * penalty)
         lr, lc, lw = kernel.counts(lm := matrix(points))
         lw = lw / np.maximum(kernel.norms(lm), 1e-12)[lr] * (root @ w[:-1])[lr]
         place = [np.array([classes[int(c)] for c in (lc >> s) & 0x1FFFFF], np.int64) for s in (42, 21, 0)]
