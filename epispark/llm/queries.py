@@ -44,7 +44,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(table(spark, sf_dir, "documents"))
+    return repeated_passages(table(spark, sf_dir, "documents")).select("doc_id", "start_word", "end_word", "n_words")
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,4 +79,23 @@ QUERIES = {
     "op10_embedding_links": op10_embedding_links,
 }
 
-ORACLES: dict[str, str] = {}
+#: runs of windows of 50 words that stand in another document too
+PASSAGES = """
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents),
+h AS (SELECT doc_id, unnest(range(0, len(w) - 49)) AS k, unnest(list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(list_slice(w, i, i + 49), ' ')))) AS h FROM w WHERE len(w) >= 50),
+r AS (SELECT h FROM h GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+f AS (SELECT DISTINCT doc_id, k FROM h SEMI JOIN r USING (h)),
+g AS (SELECT doc_id, k, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS isle FROM f)
+SELECT doc_id, CAST(min(k) AS INTEGER) AS start_word, CAST(max(k) + 50 AS INTEGER) AS end_word, CAST(max(k) + 50 - min(k) AS INTEGER) AS n_words FROM g GROUP BY doc_id, isle
+"""
+
+#: all pairs of vectors, and what is reachable by them
+LINKS = """
+WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95),
+r(vec_id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, p.y FROM r JOIN p ON p.x = r.c),
+n AS (SELECT x AS vec_id, count(*) AS n FROM p GROUP BY 1)
+SELECT vec_id, coalesce(any_value(n), 0) AS n_links, min(c) AS component_id, vec_id = min(c) AS kept FROM r LEFT JOIN n USING (vec_id) GROUP BY vec_id
+"""
+
+ORACLES: dict[str, str] = {"op8_repeated_passages": PASSAGES, "op10_embedding_links": LINKS}

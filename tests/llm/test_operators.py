@@ -610,3 +610,41 @@ def test_stages_match_brute_force(spark, sf):
     for k, (text, _) in safe.items():
         p = pieces[pieces.doc_id == k].sort_values("start")
         assert np.frombuffer(b"".join(p.ids), "<u4").tolist() == t.encode(text or "", add_special_tokens=False).ids + [1]
+
+
+@pytest.mark.parametrize("name", ["op8_repeated_passages", "op10_embedding_links"])
+def test_queries_match_their_sql(spark, sf, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    cur = con.execute(__spark_entry__.oracle_sql()[name])
+    columns = [c[0] for c in cur.description]
+    got = Q[name](spark, sf)
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(cur.fetchall())
+
+
+def test_links_sql_on_planted_pairs(spark):
+    """The SQL of op10 on vectors with copies, chains and odd rows, and the operator beside it."""
+    import duckdb
+
+    from epispark.llm.queries import LINKS
+
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((300, 16))
+    for k in range(100, 200):
+        x[k] = x[k - 100 if k < 150 else k - 1] + 0.08 * rng.standard_normal(16)
+    x[200:210] = x[0]
+    rows = [(k, v.astype(np.float32).tolist()) for k, v in enumerate(x)] + [(400, None), (401, [0.0] * 16), (402, [float("nan")] * 16), (403, [None] * 16)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    embeddings = pd.DataFrame(rows, columns=["vec_id", "embedding"])
+    con = duckdb.connect()
+    con.register("raw", embeddings)
+    con.execute("create view embeddings as select vec_id, cast(embedding as float[]) as embedding from raw")
+    want = {r[0]: r[1:] for r in con.execute(LINKS).fetchall()}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vector_links(df).collect()}
+    assert sum(v[0] for v in want.values()) > 100
+    assert got.keys() == want.keys()
+    assert sum(got[k] == want[k] for k in want) >= 0.97 * len(want) and all(got[k][0] <= want[k][0] for k in want)
