@@ -87,6 +87,27 @@ def trigram_query(rule: Rule):
     return of(list(rp.parse(rule.pattern)))
 
 
+def covered(query):
+    """The query with fewer trigrams: of a run of overlapping ones every third and the last, which cover its characters.
+    Still every match holds them all; what it lets through besides is sorted out when candidates are verified."""
+    if query is None or isinstance(query, str):
+        return query
+    op, parts = query
+    if op == "or":
+        return op, tuple(covered(p) for p in parts)
+    kept, chain = [], []
+    for p in [*parts, None]:
+        if chain and not (isinstance(p, str) and p[:2] == chain[-1][1:]):
+            kept += [t for k, t in enumerate(chain) if k % 3 == 0 or k == len(chain) - 1]
+            chain = []
+        if isinstance(p, str):
+            chain.append(p)
+        elif p is not None:
+            kept.append(covered(p))
+    kept = list(dict.fromkeys(kept))
+    return kept[0] if len(kept) == 1 else (op, tuple(kept))
+
+
 def trigrams_of(query) -> list[str]:
     return [] if query is None else [query] if isinstance(query, str) else [t for p in query[1] for t in trigrams_of(p)]
 
@@ -147,7 +168,7 @@ def with_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, doc_id: str = "
     without id are matched null-safely. Other columns pass through, whatever their names; a column named like the
     result is replaced. An empty table stays empty.
     """
-    queries = {r.kind: q for r in rules if (q := trigram_query(r)) is not None}
+    queries = {r.kind: covered(q) for r in rules if (q := trigram_query(r)) is not None}
     rows = docs.select(columns_but(docs, out).alias("row"), F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     if queries:
         grams = sorted({g for q in queries.values() for g in trigrams_of(q)})

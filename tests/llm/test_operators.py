@@ -165,6 +165,24 @@ def test_trigram_queries():
     assert ("and", ("tok", "oke", "ken")) in trigram_query(BASE[0])[1]
 
 
+def test_covered_queries_hold_for_every_match():
+    from epispark.llm.secrets import RULES, covered, trigrams_of
+
+    full, few = (sorted({t for r in RULES for t in trigrams_of(f(trigram_query(r)))}) for f in (lambda q: q, covered))
+    assert set(few) < set(full) and len(few) < 0.7 * len(full)
+    assert covered(("and", ("tok", "oke", "ken"))) == ("and", ("tok", "ken"))
+    assert covered(("and", ("pas", "ass", "ssw", "swo", "wor", "ord"))) == ("and", ("pas", "swo", "ord"))
+    assert covered("abc") == "abc" and covered(None) is None
+
+    def holds(q, low):
+        return q in low if isinstance(q, str) else (all if q[0] == "and" else any)(holds(p, low) for p in q[1])
+
+    said = {"assign": "my_PASSWD : x", "access": "AKIA", "webtoken": "eyJhbGciOiJI.eyJzdWIiOiIx.abc", "browserkey": "AIza", "chat": "xoxb-", "private": "-----BEGIN RSA PRIVATE KEY-----\n-----END RSA PRIVATE KEY-----"}
+    for r in RULES:
+        q = covered(trigram_query(r))
+        assert q is None or holds(q, said[r.kind].lower()), r.kind
+
+
 def test_reworded_questions(spark):
     items = spark.createDataFrame([(1, "A train leaves Boston at 60 km per hour and travels 120 km towards Denver before it stops."), (2, None), (3, "short")], "item_id long, text string")
     d = docs(spark, [(1, "so. A train leaves Paris at 75 km per hour and travels 150 km towards Lyon before it stops. more"), (2, "A train leaves Paris at 75 km per hour"), (3, None), (4, ""), (None, "x"), (5, "and A train leaves Boston at 60 km per hour and travels 120 km towards Denver before it stops.")])
