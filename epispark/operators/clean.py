@@ -96,6 +96,16 @@ def personal_kind(column: str) -> str | None:
     return next((kind for kind, parts in PERSONAL if any(p in low for p in parts)), None)
 
 
+def column_kinds(df: DataFrame) -> DataFrame:
+    """(column, kind, n): what each column is by its name (other where nothing fits), and how many values it holds."""
+    rows = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns]).unpivot([], [f"`{c}`" for c in df.columns], "column", "n")
+    kind = None
+    for k, parts in PERSONAL:
+        hit = F.greatest(F.lit(False), *[F.contains(F.lower("column"), F.lit(p)) for p in parts])
+        kind = F.when(hit, k) if kind is None else kind.when(hit, k)
+    return rows.select("column", kind.otherwise("other").alias("kind"), "n")
+
+
 def hashed_name(c: Column) -> Column:
     return F.when(F.trim(F.coalesce(c, F.lit(""))) == "", "ANONYMOUS").otherwise(F.substring(F.sha2(c, 256), 1, 8))
 

@@ -22,6 +22,11 @@ def prj21(spark, d):
     return C.chosen(weekly, "week", ["purchase", "looks"], {"looks": ["glances", "view"]})
 
 
+@query("pii1_column_kinds", "SELECT col AS \"column\", CASE WHEN contains(lower(col), 'name') THEN 'name' WHEN contains(lower(col), 'id_card') OR contains(lower(col), 'ssn') OR contains(lower(col), 'custkey') OR contains(lower(col), 'patient_id') THEN 'id' WHEN contains(lower(col), 'phone') OR contains(lower(col), 'tel') OR contains(lower(col), 'mobile') THEN 'phone' WHEN contains(lower(col), 'addr') THEN 'address' WHEN contains(lower(col), 'age') THEN 'age' WHEN contains(lower(col), 'birth') OR contains(lower(col), 'dob') THEN 'birth' ELSE 'other' END AS kind, n FROM (UNPIVOT (SELECT count(COLUMNS(*)) FROM customer) ON COLUMNS(*) INTO NAME col VALUE n)")
+def pii1(spark, d):
+    return C.column_kinds(table(spark, d, "customer"))
+
+
 ORIGINS = f"{SERIES}, r AS (SELECT *, row_number() {O}) - 1 AS i, count(*) OVER (PARTITION BY series) AS n, lag(week) {O}) AS as_of, list(v) {O} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS a, list(v) {O} ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS b FROM s), w AS (SELECT * FROM r WHERE i >= 20 AND i < n - 4 + 1 AND (i - 20) % 4 = 0)"
 
 
