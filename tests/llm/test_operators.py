@@ -20,7 +20,7 @@ from epispark.llm.embeddings import fitted, traversal, units, vector_links
 from epispark.llm.pages import main_text, parsed, picked
 from epispark.llm.passages import repeated_passages
 from epispark.llm.secrets import BASE, listed, redacted, trigram_query, with_secrets
-from epispark.llm.simhash import fingerprint_of, near_duplicates
+from epispark.llm.simhash import fingerprint_links, fingerprint_of, near_duplicates
 from epispark.llm.urls import url_verdicts
 
 Q = __spark_entry__.queries()
@@ -65,6 +65,19 @@ def test_simhash_tiles_and_edges(spark):
     assert near_duplicates(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_tiles_of_one_bucket_match_all_pairs(spark):
+    """Fingerprints that share half of their bits lie in one bucket, whose tiles are compared where counts are near."""
+    rng = np.random.default_rng(11)
+    top = rng.integers(0, 1 << 32, 700, dtype=np.uint64)
+    near = [int(t) ^ sum(1 << int(b) for b in set(rng.integers(0, 32, 1 + k % 4).tolist())) for k, t in enumerate(top[:300])]
+    fp = sorted({int(t) << 32 for t in [*top.tolist(), *near, 0, 1, 3, 7, 15, (1 << 32) - 1]})
+    prints = spark.createDataFrame([(k, f - (1 << 64) if f >> 63 else f) for k, f in enumerate(fp)], "node long, fp long")
+    assert len({f.bit_count() for f in fp}) > 20
+    links = [(r["a"], r["b"]) for r in fingerprint_links(prints, tile=16).collect()]
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(fp)), 2) if (fp[i] ^ fp[j]).bit_count() <= 3]
+    assert components(len(fp), links) == components(len(fp), pairs)
+
+
 def test_vectors_match_all_pairs(spark):
     rng = np.random.default_rng(1)
     base = rng.standard_normal((60, 8))
