@@ -204,5 +204,6 @@ def vector_links(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.99,
     linked = found.groupBy("node").agg(F.sum("n").alias("n"))
     component = connected_components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
     known = reps.join(linked, "node", "left").join(component, "node", "left").select("e", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("component", "node").alias("c"))
-    out = marked.join(known, "e", "left").select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))
+    named = F.col("vec_id").isNotNull()
+    out = marked.join(known, "e", "left").select("vec_id", F.when(named, F.coalesce("n", F.lit(0))).otherwise(0).cast("long").alias("n_links"), F.when(named, F.coalesce("c", "vec_id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -97,6 +97,10 @@ def test_vectors_match_all_pairs(spark):
     assert sum(got[i]["component_id"] == comp[i] for i in range(len(x))) >= 0.95 * len(x)
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(900, 906))
     assert vector_links(df.limit(0)).count() == 0
+    more = df.unionByName(df.where("vec_id = 0").withColumn("vec_id", F.lit(None).cast("long"))).unionByName(df.where("vec_id = 70"))
+    again = {r["vec_id"]: r for r in vector_links(more, tile=16).where("vec_id is null or vec_id = 70").collect()}
+    assert (again[None]["n_links"], again[None]["component_id"], again[None]["kept"]) == (0, None, True)
+    assert again[70]["n_links"] == got[70]["n_links"] + 1
 
 
 def test_planted_vector_pairs_at_the_threshold(spark):
