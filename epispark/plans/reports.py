@@ -9,7 +9,7 @@ from epispark.operators import aggregates as A
 from epispark.operators import clean as C
 from epispark.operators import series as R
 from epispark.operators import text as X
-from epispark.plans.forecasts import FC, PATHS, SERIES, O, forecasts, series
+from epispark.plans.forecasts import FC, SERIES, O, forecasts, series
 from epispark.plans.records import LAB, WEEK
 from epispark.plans.registry import query, table
 
