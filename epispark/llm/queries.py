@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epispark.llm import quality, toxicity
+from epispark.llm.archives import archived
 from epispark.llm.common import fold, table
 from epispark.llm.embeddings import vector_links
 from epispark.llm.decontamination import leaks
+from epispark.llm.negatives import hard_negatives
 from epispark.llm.packing import packed
 from epispark.llm.pages import main_text
 from epispark.llm.passages import repeated_passages
 from epispark.llm.secrets import BASE, listed, with_secrets
 from epispark.llm.simhash import hex16, near_duplicates
+from epispark.llm.spelling import spelling_variants
 from epispark.llm.urls import url_verdicts
 
 
@@ -66,6 +69,19 @@ def op10_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_links(table(spark, sf_dir, "embeddings"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(table(spark, sf_dir, "pages"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label")))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
@@ -77,6 +93,9 @@ QUERIES = {
     "op8_repeated_passages": op8_repeated_passages,
     "op9_secrets": op9_secrets,
     "op10_embedding_links": op10_embedding_links,
+    "op11_warc": op11_warc,
+    "op12_spelling": op12_spelling,
+    "op13_negatives": op13_negatives,
 }
 
 #: runs of windows of 50 words that stand in another document too
@@ -98,4 +117,23 @@ n AS (SELECT x AS vec_id, count(*) AS n FROM p GROUP BY 1)
 SELECT vec_id, coalesce(any_value(n), 0) AS n_links, min(c) AS component_id, vec_id = min(c) AS kept FROM r LEFT JOIN n USING (vec_id) GROUP BY vec_id
 """
 
-ORACLES: dict[str, str] = {"op8_repeated_passages": PASSAGES, "op10_embedding_links": LINKS}
+#: sizes and digests of payloads, and the largest page of equal ones; base32 from five hexadecimal digits at a time
+ARCHIVED = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+t AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS s, page_id IS NOT DISTINCT FROM max(page_id) OVER (PARTITION BY h) AS first, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(s, 5 * (i // 4) + 1, 5) AS INTEGER) >> (15 - 5 * (i % 4))) & 31), 1)), '') AS payload_digest,
+CASE WHEN first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first THEN NULL ELSE top END AS refers_to FROM t
+"""
+
+#: scores of all anchors and rows, the best of the same label, and the best of others below these
+NEGATIVES = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+ORACLES: dict[str, str] = {"op8_repeated_passages": PASSAGES, "op10_embedding_links": LINKS, "op11_warc": ARCHIVED, "op13_negatives": NEGATIVES}
