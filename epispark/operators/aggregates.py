@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from epispark.functions.scalars import week_label
+from epispark.session import stored
 
 
 def weekly_counts(df: DataFrame, ts: str, category: str, person: str) -> DataFrame:
@@ -74,6 +75,39 @@ def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
     return df.groupBy(group).agg(F.min(value).alias("lo"), q.alias("q"), F.max(value).alias("hi")).select(group, "lo", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3"), "hi")
 
 
+def gated_columns(df: DataFrame, columns: Sequence[str], fewer_than: int = 50, rsd: float = 0.02) -> list[str]:
+    """Those of the columns with more than one and fewer than `fewer_than` different values (nulls are none).
+
+    One pass of mergeable sketches over all columns; where an estimate lies too near the limit to be trusted (six
+    standard errors), a second pass counts these columns exactly. The driver gets one row.
+    """
+    if not columns:
+        return []
+    col = lambda c: F.col(f"`{c}`")
+    row = df.agg(*[F.approx_count_distinct(col(c), rsd) for c in columns], *[F.coalesce(F.min(col(c)) < F.max(col(c)), F.lit(False)) for c in columns]).first()
+    about, several = row[: len(columns)], row[len(columns) :]
+    near = [c for c, n, more in zip(columns, about, several, strict=True) if more and abs(n - fewer_than) <= 6 * rsd * fewer_than + 2]
+    exact = dict(zip(near, df.agg(*[F.count_distinct(col(c)) for c in near]).first(), strict=True)) if near else {}
+    return [c for c, n, more in zip(columns, about, several, strict=True) if more and exact.get(c, n) < fewer_than]
+
+
+def column_boxes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, lo, q1, q2, q3, hi) of numeric columns with few different values, in one pass over all of them."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("value")) for c in columns])).alias("x")
+    return box_stats(df.select(each).select("x.*").where("value is not null"), "column", "value")
+
+
+def column_histograms(df: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
+    """(column, bin, n): counts of numeric columns over bins of equal width between least and largest value, which the
+    last bin holds. One pass for the bounds (one row to the driver), one for the counts."""
+    col = lambda c: F.col(f"`{c}`").cast("double")
+    row = df.agg(*[f(col(c)) for c in columns for f in (F.min, F.max)]).first()
+    bounds = {c: (row[2 * k], row[2 * k + 1]) for k, c in enumerate(columns)}
+    spot = lambda c, lo, hi: F.least(F.width_bucket(col(c), F.lit(lo), F.lit(hi), F.lit(bins)), F.lit(bins)).cast("int")
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), spot(c, *bounds[c]).alias("bin")) for c in columns])).alias("x")
+    return df.select(each).select("x.*").where("bin is not null").groupBy("column", "bin").agg(F.count(F.lit(1)).alias("n"))
+
+
 def histogram(df: DataFrame, value: str, lo: float, hi: float, bins: int) -> DataFrame:
     """Counts per bin; the last bin holds its upper edge."""
     k = F.least(F.width_bucket(F.col(value), F.lit(lo), F.lit(hi), F.lit(bins)), F.lit(bins))
@@ -166,15 +200,55 @@ def value_ranges(df: DataFrame, column: str, ranges: int = 256, sample: int = 81
     return found(0, len(edges))
 
 
-def running_totals(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str) -> DataFrame:
-    """Sum of value up to and with each row of its keys, in an order without ties. No task sees more than a range of the
-    order: sums run within ranges, and are raised by the totals of the ranges before, of which there are few a key."""
+def running_sums(df: DataFrame, keys: Sequence[str], order: str, totals: Mapping[str, str]) -> DataFrame:
+    """Sums of columns up to and with each row of its keys, in an order without ties and nulls; totals: new column to the
+    column it sums. df is stored first, so its own plan runs once. No task sees more than a range of the order: sums run
+    within ranges, and are raised by the totals of the ranges before, of which there are few a key."""
+    df = stored(df)
     rows = df.withColumn("_range", value_ranges(df, order))
-    per = rows.groupBy(*keys, "_range").agg(F.sum(value).alias("_sum"))
+    per = rows.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_sum_{k}") for k, c in enumerate(totals.values())])
     w = W.partitionBy(*keys).orderBy("_range")  # at most as many rows a key as there are ranges
-    before = per.select(*keys, "_range", (F.sum("_sum").over(w) - F.col("_sum")).alias("_before"))
-    within = F.sum(value).over(W.partitionBy(*keys, "_range").orderBy(order))
-    return rows.withColumn(out, within).join(before, [*keys, "_range"]).withColumn(out, F.col(out) + F.col("_before")).drop("_range", "_before")
+    before = per.select(*keys, "_range", *[(F.sum(f"_sum_{k}").over(w) - F.col(f"_sum_{k}")).alias(f"_before_{k}") for k in range(len(totals))])
+    here = W.partitionBy(*keys, "_range").orderBy(order)
+    within = rows.withColumns({out: F.sum(c).over(here) for out, c in totals.items()}).join(before, [*keys, "_range"])
+    return within.withColumns({out: F.col(out) + F.col(f"_before_{k}") for k, out in enumerate(totals)}).drop("_range", *[f"_before_{k}" for k in range(len(totals))])
+
+
+def running_totals(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str) -> DataFrame:
+    """running_sums of one column."""
+    return running_sums(df, keys, order, {out: value})
+
+
+def top_values(df: DataFrame, column: str, k: int = 30, tracked: int = 8192) -> DataFrame:
+    """(value, n, rank): the k most frequent values, ties by value; exact, nulls are none.
+
+    A mergeable sketch of `tracked` counters names the candidates in one pass, a second one counts them exactly. A value
+    outside the sketch occurs at most 3.5 / tracked of all times; only where the k-th candidate is no more frequent than
+    that (nearly all values rare) are all values counted. At most 2 k + 1 values go to the driver.
+    """
+    tracked = max(tracked, 2 * k)
+    name = f"`{column}`"
+    # as text, for types that the sketch does not take
+    rows = df.select(F.col(name).alias("value"), F.col(name).cast("string").alias("text")).where("value is not null")
+    row = rows.agg(F.expr(f"approx_top_k(text, {2 * k}, {tracked})").alias("top"), F.count(F.lit(1)).alias("n")).first()
+    names = [r["item"] for r in row["top"] or []]
+    n = rows.where(F.col("text").isin(names)).groupBy("value").agg(F.count(F.lit(1)).alias("n")) if names else rows.limit(0).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    best = n.orderBy(F.desc("n"), "value").limit(k)
+    least = best.agg(F.count(F.lit(1)), F.min("n")).first()
+    if row["n"] and (least[0] < k and len(names) >= k or (least[1] or 0) * tracked <= 3.5 * row["n"]):
+        best = rows.groupBy("value").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(k)
+    # k rows
+    return best.select("value", "n", F.row_number().over(W.orderBy(F.desc("n"), "value")).alias("rank"))
+
+
+def top_flags(df: DataFrame, column: str, k: int = 30, prefix: str = "top") -> DataFrame:
+    """df with a 0/1 column for each of its k most frequent values, in one scan. A column is called
+    `<prefix>_<value, letters and digits only>_<rank from 0>`, so names stay apart where values shrink to the same."""
+    from epispark.operators.clean import column_name
+
+    top = top_values(df, column, k).select("value", "rank", column_name(F.col("value").cast("string")).alias("name")).orderBy("rank").collect()  # k rows
+    flag = lambda v: F.coalesce(F.col(f"`{column}`") == F.lit(v), F.lit(False)).cast("int")
+    return df.withColumns({f"{prefix}_{r['name']}_{r['rank'] - 1}": flag(r["value"]) for r in top})
 
 
 def top_weekly(df: DataFrame, ts: str, category: str, person: str, k: int) -> DataFrame:
@@ -211,12 +285,28 @@ def class_report(df: DataFrame, y: str, p: str) -> DataFrame:
     return g.select("label", "support", precision.alias("precision"), recall.alias("recall"), F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0)).alias("f1"))
 
 
+def score_areas(df: DataFrame, y: str, score: str) -> DataFrame:
+    """One row: n, positives, auroc (null without both classes) and auprc, the average precision: over the different
+    scores from the highest, the gain in recall times the precision at that score (0 without positives, null without rows).
+
+    Equal scores are merged first, so ties count as one threshold; counts below a score run within ranges of scores, so
+    no task sorts all of them. Rows with a null label, or a null or NaN score, take no part.
+    """
+    rows = df.select(F.col(y).cast("long").alias("y"), F.col(score).cast("double").alias("s")).where("y is not null and s is not null and not isnan(s)")
+    s = rows.groupBy("s").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    ranked = running_sums(s, [], "s", {"upto_pos": "pos", "upto_neg": "neg"})
+    total = ranked.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
+    x = ranked.crossJoin(F.broadcast(total))  # one row
+    below = F.col("upto_neg") - F.col("neg")
+    hit, miss = F.col("all_pos") - F.col("upto_pos") + F.col("pos"), F.col("all_neg") - F.col("upto_neg") + F.col("neg")
+    roc = F.try_divide(F.sum(F.col("pos") * (below + F.col("neg") / 2)), F.max("all_pos") * F.max("all_neg"))
+    precision = F.sum(F.col("pos") * hit / (hit + miss))
+    return x.agg(F.sum(F.col("pos") + F.col("neg")).alias("n"), F.sum("pos").alias("positives"), roc.alias("auroc"), F.when(F.max("all_pos") == 0, 0.0).otherwise(F.try_divide(precision, F.max("all_pos"))).alias("auprc"))
+
+
 def auroc(df: DataFrame, y: str, score: str) -> DataFrame:
-    """Area under the ROC curve by ranks; equal scores are merged first, and counts below them run within ranges of scores."""
-    s = df.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(y)).alias("pos"), F.sum(1 - F.col(y)).alias("neg"))
-    ranked = running_totals(s, [], "s", "neg", "_b")
-    below = F.col("_b") - F.col("neg")
-    return ranked.agg((F.sum(F.col("pos") * (below + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auroc"))
+    """Area under the ROC curve by ranks, as in score_areas."""
+    return score_areas(df, y, score).select("auroc")
 
 
 def calibration(df: DataFrame, y: str, p: str, bins: int = 10) -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from epispark.session import path_exists
+
 
 def renamed(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
     return df.withColumnsRenamed({a: b for a, b in names.items() if a in df.columns})
@@ -147,7 +149,49 @@ def pseudonyms(frames: Sequence[tuple[DataFrame, str]], prefix: str = "P") -> Da
 
     ids = reduce(lambda a, b: a.union(b), (df.select(F.col(c).cast("string").alias("id")) for df, c in frames)).where("id is not null and id <> ''").distinct()
     numbered = running_totals(ids.withColumn("one", F.lit(1)), [], "id", "one", "k")
-    return numbered.select("id", F.concat(F.lit(prefix), F.lpad(F.col("k").cast("string"), 6, "0")).alias("pseudonym"))
+    return numbered.select("id", pseudonym(F.col("k"), prefix).alias("pseudonym"))
+
+
+def pseudonym(number: Column, prefix: str = "P") -> Column:
+    """The prefix and at least six digits; more where the number has more."""
+    return F.when(number.isNotNull(), F.concat(F.lit(prefix), F.format_string("%06d", number.cast("long"))))
+
+
+MAPPING = "id string, number long"
+
+
+def saved_mapping(spark: SparkSession, path: str) -> DataFrame:
+    """(id, number) of the mapping saved at path; none yet is the empty mapping."""
+    if path_exists(spark, path):
+        return spark.read.schema(MAPPING).parquet(path)
+    return spark.createDataFrame([], MAPPING)
+
+
+def extend_mapping(spark: SparkSession, path: str, frames: Sequence[tuple[DataFrame, str]]) -> DataFrame:
+    """Bring the mapping saved at path up to date with the ids of all frames, and return it.
+
+    Known ids keep their number; new ones continue after the largest, in the order of the ids. Null and empty ids are
+    not mapped. Only the new ids are numbered and appended, in one commit: a run that fails before it leaves the mapping
+    as it was, and one that is repeated after it finds nothing new. Two runs at once are for the caller to keep apart.
+    """
+    from epispark.operators.aggregates import running_totals
+
+    known = saved_mapping(spark, path)
+    ids = reduce(lambda a, b: a.union(b), (df.select(F.col(c).cast("string").alias("id")) for df, c in frames)).where("id is not null and id <> ''").distinct()
+    new = ids.join(known.select("id"), "id", "left_anti").withColumn("one", F.lit(1))
+    largest = known.agg(F.coalesce(F.max("number"), F.lit(0)).alias("largest"))  # one row
+    rows = running_totals(new, [], "id", "one", "k").crossJoin(F.broadcast(largest))
+    rows.select("id", (F.col("k") + F.col("largest")).alias("number")).write.mode("append").parquet(path)
+    return saved_mapping(spark, path)
+
+
+def pseudonymised(df: DataFrame, column: str, mapping: DataFrame, prefix: str = "P") -> DataFrame:
+    """df with the pseudonym in place of the id; null and empty ids are number 0. An id that the mapping lacks is null."""
+    pairs = mapping.select(F.col("id").alias("_id"), F.col("number").alias("_number"))
+    id_ = F.col(f"`{column}`").cast("string")
+    named = df.join(pairs, id_ == F.col("_id"), "left")
+    number = F.when(F.coalesce(id_, F.lit("")) == "", F.lit(0)).otherwise(F.col("_number"))
+    return named.withColumn(column, pseudonym(number, prefix)).drop("_id", "_number")
 
 
 def anonymised(df: DataFrame, year: int, exclude: Sequence[str] = (), marks: Sequence[str] = ("Province", "City", "District")) -> DataFrame:

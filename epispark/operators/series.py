@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from epispark.functions.scalars import micros
+from epispark.session import stored
 
 # windows
 
@@ -51,9 +52,10 @@ def rolling_origins(df: DataFrame, series: str, date: str, value: str, least: in
     first = F.lit(least) if start is None else F.greatest(F.lit(least), before(F.lit(start), False))
     n = F.size("_s") if end is None else F.least(F.size("_s"), before(F.lit(end), True))
     places = F.when(n - horizon >= first, F.sequence(first, n - horizon, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    at = rows.select(series, "_s", F.explode(places).alias("i"))
     values = lambda lo, n: F.slice("_s", lo, n)["v"]
-    return at.select(series, F.get("_s", F.col("i") - 1)["d"].alias("as_of"), F.get("_s", F.col("i"))["d"].alias(date), values(F.col("i") - least + 1, least).alias("train"), values(F.col("i") + 1, horizon).alias("test"))
+    window = lambda i: F.struct(F.get("_s", i - 1)["d"].alias("as_of"), F.get("_s", i)["d"].alias(date), values(i - least + 1, F.lit(least)).alias("train"), values(i + 1, F.lit(horizon)).alias("test"))
+    # windows are cut before they become rows, so no row holds the series again
+    return rows.select(series, F.explode(F.transform(places, window)).alias("_w")).select(series, "_w.*")
 
 
 def step_windows(df: DataFrame, series: str, date: str, value: str, history: int = 156, recent: int = 8, horizon: int = 4, step: int = 1) -> DataFrame:
@@ -61,9 +63,9 @@ def step_windows(df: DataFrame, series: str, date: str, value: str, history: int
     and those that follow, fewer at the end; rows that nothing follows are left out."""
     rows = df.groupBy(series).agg(F.sort_array(F.collect_list(F.struct(F.col(date).alias("d"), F.col(value).alias("v")))).alias("_s"))
     places = F.when(F.size("_s") > 1, F.sequence(F.lit(0), F.size("_s") - 2, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    at = rows.select(series, "_s", F.explode(places).alias("i"))
-    last = lambda n: F.slice("_s", F.greatest(F.col("i") + 2 - n, F.lit(1)), F.least(F.col("i") + 1, F.lit(n)))["v"]
-    return at.select(series, F.get("_s", F.col("i"))["d"].alias("as_of"), last(history).alias("history"), last(recent).alias("recent"), F.slice("_s", F.col("i") + 2, horizon)["v"].alias("future"))
+    last = lambda i, n: F.slice("_s", F.greatest(i + 2 - n, F.lit(1)), F.least(i + 1, F.lit(n)))["v"]
+    window = lambda i: F.struct(F.get("_s", i)["d"].alias("as_of"), last(i, history).alias("history"), last(i, recent).alias("recent"), F.slice("_s", i + 2, F.lit(horizon))["v"].alias("future"))
+    return rows.select(series, F.explode(F.transform(places, window)).alias("_w")).select(series, "_w.*")
 
 
 def trend(df: DataFrame, series: str, date: str, value: str) -> DataFrame:
@@ -116,13 +118,22 @@ def latest_per_date(df: DataFrame, keys: Sequence[str], as_of: str) -> DataFrame
     return df.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(as_of)))).where("_r = 1").drop("_r")
 
 
+def finite(c: Column) -> Column:
+    return F.coalesce(c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))
+
+
 def conformal(df: DataFrame, series: str, date: str, residual: str, alpha: float = 0.1, buffer: int = 52) -> DataFrame:
-    """radius: the residual of rank ceil((n+1)(1-alpha)) among the absolute residuals of the last `buffer` rows before this one."""
-    w = W.partitionBy(series).orderBy(date).rowsBetween(-buffer, -1)
-    kept = F.sort_array(F.collect_list(F.abs(F.col(residual))).over(w))
-    out = df.withColumn("_b", kept)
+    """radius: the residual of rank ceil((n+1)(1-alpha)) among the absolute values of the last `buffer` finite residuals
+    before this row; null before the first. Null, NaN and infinite residuals take no place in the buffer."""
+    r = F.col(residual).cast("double")
+    rows = df.withColumn("_f", finite(r))
+    # the buffer after each finite residual, among finite ones only; later rows carry its radius on
+    own = W.partitionBy(series, "_f").orderBy(date).rowsBetween(1 - buffer, 0)
+    kept = F.sort_array(F.collect_list(F.when(F.col("_f"), F.abs(r))).over(own))
     k = F.greatest(F.lit(1), F.least(F.size("_b"), F.ceil((F.size("_b") + 1) * (1 - alpha)).cast("int")))
-    return out.withColumn("radius", F.when(F.size("_b") > 0, F.try_element_at("_b", k))).drop("_b")
+    after = rows.withColumn("_b", kept).withColumn("_after", F.when(F.col("_f"), F.try_element_at("_b", k)))
+    before = W.partitionBy(series).orderBy(date).rowsBetween(W.unboundedPreceding, -1)
+    return after.withColumn("radius", F.last("_after", ignorenulls=True).over(before)).drop("_f", "_b", "_after")
 
 
 def widened(low: Column, mid: Column, high: Column, radius: Column) -> Column:
@@ -141,8 +152,11 @@ def top_categories(df: DataFrame, category: str, person: str, k: int, drop: Sequ
 
 
 def spaced(df: DataFrame, date: str, n: int) -> DataFrame:
-    """n dates evenly spaced by position, all when there are no more."""
-    days = df.select(date).distinct().withColumn("i", F.row_number().over(W.orderBy(date)) - 1)
+    """n dates evenly spaced by position, all when there are no more. Positions are counted within ranges of dates."""
+    from epispark.operators.aggregates import running_totals
+
+    dates = df.select(F.col(date)).where(F.col(date).isNotNull()).distinct().withColumn("_one", F.lit(1))
+    days = running_totals(dates, [], date, "_one", "_k").select(date, (F.col("_k") - 1).alias("i"))
     total = days.agg(F.count(F.lit(1)).alias("total"))
     picks = total.select("total", F.explode(F.when(F.lit(n <= 0) | (F.col("total") <= n), F.sequence(F.lit(0), F.col("total") - 1)).otherwise(F.transform(F.sequence(F.lit(0), F.lit(max(n, 2) - 1)), lambda k: F.floor(k * (F.col("total") - 1) / max(n - 1, 1)).cast("long")))).alias("i"))
     return days.join(picks.select("i").distinct(), "i").select(date)
@@ -227,6 +241,12 @@ def count_dispersion(u: Column, vol: Column) -> Column:
     return F.greatest(F.lit(0.25), F.least(F.lit(3.0), (0.5 + 2.5 * u) * (0.5 + 2 * vol)))
 
 
+def means_or_last(means: Column, last: Column) -> Column:
+    """Array of forecast means, non-negative; where all are 0 (or none is there), the last value in their place."""
+    m = F.transform(means, lambda x: F.greatest(F.lit(0.0), F.coalesce(x.cast("double"), F.lit(0.0))))
+    return F.when(F.exists(m, lambda x: x > 0), m).otherwise(F.transform(m, lambda x: F.greatest(F.lit(0.0), F.coalesce(last.cast("double"), F.lit(0.0)))))
+
+
 def compartments(last: Column, beta: Column, sigma: Column, gamma: Column, steps: int, population: float = 1e6, exposed: float = 10.0, infected: float = 10.0) -> Column:
     """Infected after each step, scaled so that the first equals the last observed value."""
     def step(acc: Column, _: Column) -> Column:
@@ -250,6 +270,34 @@ def grid_searched(windows: DataFrame, grid: DataFrame, series: str, actual: str)
     return tried.withColumn("loss", loss).groupBy(series).agg(F.min(F.struct("loss", "beta", "sigma", "gamma")).alias("b")).select(series, "b.*")
 
 
+def sampled_paths(windows: DataFrame, series: str, paths: int = 100, seed: int = 1, salt: Column | None = None) -> DataFrame:
+    """(series, as_of, path, step, value, actual): sample paths of each rolling-origin window (series, as_of, train, test).
+
+    A path starts at the last training value and adds, step by step, one of the window's own one-step differences, drawn
+    with replacement; values below 0 count as 0, the path goes on from the sum. The draw of each path and step comes from
+    a fixed function of the seed, the origin's day and salt (a number per series; its crc32 if none is given), so a run
+    gives the same paths at any partitioning. Windows with one training value or a null among them give flat paths of the
+    last value, null where that is null.
+    """
+    salt = F.crc32(F.col(series).cast("string")) if salt is None else salt
+    train = F.col("train")
+    diffs = F.zip_with(F.slice(train, 2, F.greatest(F.size(train) - 1, F.lit(0))), F.slice(train, 1, F.greatest(F.size(train) - 1, F.lit(0))), lambda b, a: (b - a).cast("double"))
+    rows = windows.select(series, "as_of", F.element_at(train, -1).cast("double").alias("_last"), diffs.alias("_diffs"), "test", salt.cast("long").alias("_salt"))
+    rows = rows.withColumn("_n", F.when(F.forall("_diffs", lambda x: x.isNotNull()), F.size("_diffs")).otherwise(0))
+    rows = rows.withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(paths - 1))))
+
+    def drawn(step: Column) -> Column:
+        mixed = F.col("_salt") * 7919 + F.unix_date(F.to_date("as_of")) * 104729 + F.col("path") * 1299709 + step * 15485863 + seed
+        number = F.pmod(F.pmod(mixed, F.lit(4294967296)) * 2654435761, F.lit(4294967296))
+        return F.when(F.col("_n") > 0, F.try_element_at("_diffs", (F.floor(number / 65536) % F.greatest(F.col("_n"), F.lit(1)) + 1).cast("int"))).otherwise(0.0)
+
+    start = F.struct(F.col("_last").alias("at"), F.array().cast("array<double>").alias("out"))
+    walk = F.aggregate(F.sequence(F.lit(1), F.size("test")), start, lambda acc, k: F.struct((acc["at"] + drawn(k)).alias("at"), F.concat(acc["out"], F.array(acc["at"] + drawn(k))).alias("out")), lambda acc: acc["out"])
+    each = rows.where(F.size("test") > 0).select(series, "as_of", "path", F.posexplode(F.arrays_zip(walk.alias("value"), F.col("test").alias("actual"))).alias("k", "x"))
+    value = F.when(F.col("x.value").isNotNull(), F.greatest(F.lit(0.0), "x.value"))
+    return each.select(series, "as_of", "path", (F.col("k") + 1).alias("step"), value.alias("value"), F.col("x.actual").cast("double").alias("actual"))
+
+
 def path_quantiles(paths: DataFrame, keys: Sequence[str], value: str, levels: Sequence[float] = (0.05, 0.5, 0.8, 0.95)) -> DataFrame:
     q = F.percentile(value, F.array(*[F.lit(x) for x in levels]))
     out = paths.groupBy(*keys).agg(q.alias("_q"))
@@ -370,8 +418,13 @@ def coverage(df: DataFrame, keys: Sequence[str], actual: str, level: float, pref
     return df.groupBy(*keys).agg(F.avg(inside).alias("coverage"))
 
 
-def crps_quantiles(df: DataFrame, keys: Sequence[str], actual: str, quantiles: dict[float, str]) -> DataFrame:
-    """Twice the mean over levels of the mean pinball loss, each level over its own rows without null; no unpivot."""
+def crps_quantiles(df: DataFrame, keys: Sequence[str], actual: str, quantiles: Mapping[float, str], forecast: str | None = None) -> DataFrame:
+    """Twice the mean over levels of the mean pinball loss, each level over its own rows without null; no unpivot.
+    Without any level, the mean absolute error of the forecast."""
+    if not quantiles:
+        if forecast is None:
+            raise ValueError("without quantiles a forecast column is needed")
+        return df.groupBy(*keys).agg(F.avg(F.abs(F.col(actual) - F.col(f"`{forecast}`"))).alias("crps"))
     loss = lambda q, c: F.avg(F.greatest(q * (F.col(actual) - F.col(f"`{c}`")), (q - 1) * (F.col(actual) - F.col(f"`{c}`"))))
     total = sum((loss(q, c) for q, c in quantiles.items()), F.lit(0.0))
     return df.groupBy(*keys).agg((2 * total / len(quantiles)).alias("crps"))
@@ -398,8 +451,16 @@ def crps_rows(df: DataFrame, key: str, actual: Column, sample: str) -> DataFrame
 
 
 def crps_gaussian(actual: Column, mean: Column, sigma: Column, cdf) -> Column:
-    z = (actual - mean) / sigma
-    return sigma * (z * (2 * cdf(z) - 1) + 2 * F.exp(-z * z / 2) / F.lit(float(np.sqrt(2 * np.pi))) - F.lit(float(1 / np.sqrt(np.pi))))
+    """Closed form of one forecast: sigma counts as 1e-6 at least, the result as 0."""
+    g = F.greatest(F.lit(1e-6), sigma)
+    z = (actual - mean) / g
+    score = g * (z * (2 * cdf(z) - 1) + 2 * F.exp(-z * z / 2) / F.lit(float(np.sqrt(2 * np.pi))) - F.lit(float(1 / np.sqrt(np.pi))))
+    return F.when(z.isNotNull(), F.greatest(F.lit(0.0), score))
+
+
+def count_sigma(mean: Column, size: Column) -> Column:
+    """Standard deviation of a negative binomial count of this mean and size: sqrt(m (1 + m / size))."""
+    return F.sqrt(mean * (1 + mean / size))
 
 
 def peak_errors(df: DataFrame, series: str, date: str, actual: str, forecast: str) -> DataFrame:
@@ -417,6 +478,23 @@ def peak_recall(df: DataFrame, series: str, date: str, actual: str, forecast: st
     return rows.where("top").join(spot, [series, "i"], "left").groupBy(series).agg(F.count(F.lit(1)).alias("n_peaks"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
 
 
+def peak_placement(df: DataFrame, series: str, date: str, actual: str, forecast: str, share: float = 0.1) -> DataFrame:
+    """(series, n_peaks, time_rmse, height_rmse): the top rows of actuals and of forecasts (at least one of each, ties to
+    the earlier) are put in order of time and paired by position; root mean square of the distance in rows and of the
+    difference of the actual at the one and the forecast at the other."""
+    n = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)).over(W.partitionBy(series)) * share))
+    rank = lambda c: F.row_number().over(W.partitionBy(series).orderBy(F.desc(c), date))
+    rows = df.select(series, actual, forecast, F.row_number().over(W.partitionBy(series).orderBy(date)).alias("i"), (rank(actual) <= n).alias("top"), (rank(forecast) <= n).alias("said"))
+
+    def placed(flag: str, at: str, value: str, height: str) -> DataFrame:
+        order = F.row_number().over(W.partitionBy(series).orderBy("i"))
+        return rows.where(flag).select(series, F.col("i").alias(at), F.col(value).alias(height), order.alias("k"))
+
+    pairs = placed("top", "i", actual, "a").join(placed("said", "j", forecast, "p"), [series, "k"])
+    rms = lambda x: F.sqrt(F.avg(x * x))
+    return pairs.groupBy(series).agg(F.count(F.lit(1)).alias("n_peaks"), rms(F.col("i") - F.col("j")).alias("time_rmse"), rms(F.col("a") - F.col("p")).alias("height_rmse"))
+
+
 def coverage_table(df: DataFrame, actual: str, pairs: Sequence[tuple[str, str, float]]) -> DataFrame:
     """expected and observed coverage of each symmetric pair of quantile columns."""
     names = [f"{e:.4f}" for _, _, e in pairs]
@@ -425,28 +503,47 @@ def coverage_table(df: DataFrame, actual: str, pairs: Sequence[tuple[str, str, f
 
 
 def disagreement(paths: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Median absolute deviation over the median, in percent, per key."""
+    """(keys, mad, median, percent) per key: median absolute deviation of its paths, in percent of |median| + 1."""
     m = paths.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("_m"))
     d = paths.join(m, list(keys)).groupBy(*keys).agg(F.percentile(F.abs(F.col(value) - F.col("_m")), F.lit(0.5)).alias("mad"), F.first("_m").alias("median"))
-    return d.withColumn("percent", 100 * F.col("mad") / F.greatest(F.lit(1e-9), F.abs("median")))
+    return d.withColumn("percent", 100 * F.col("mad") / F.greatest(F.lit(1.0), F.abs("median") + 1))
+
+
+def disagreement_summary(paths: DataFrame, by: Sequence[str], step: str, value: str) -> DataFrame:
+    """(by, n_steps, mean_percent, max_percent): disagreement over the steps of each series."""
+    per = disagreement(paths, [*by, step], value)
+    return per.groupBy(*by).agg(F.count(F.lit(1)).alias("n_steps"), F.avg("percent").alias("mean_percent"), F.max("percent").alias("max_percent"))
 
 
 def exceedance(paths: DataFrame, keys: Sequence[str], value: str, thresholds: Sequence[float]) -> DataFrame:
     return paths.groupBy(*keys).agg(*[F.avg((F.col(value) > t).cast("double")).alias(f"p_over_{t:g}") for t in thresholds])
 
 
-def paired_tests(df: DataFrame, run: str, keys: Sequence[str], error: str, baseline: str) -> DataFrame:
-    """Per run against the baseline run on common keys: paired t and Wilcoxon's signed-rank W (average ranks, zeros out)."""
-    base = df.where(F.col(run) == baseline).select(*keys, F.col(error).alias("_e"))
-    d = df.where(F.col(run) != baseline).join(base, list(keys)).withColumn("_d", F.col(error) - F.col("_e"))
-    t = d.groupBy(run).agg(F.count(F.lit(1)).alias("n"), F.avg("_d").alias("mean_diff"), (F.avg("_d") / (F.stddev_samp("_d") / F.sqrt(F.count(F.lit(1))))).alias("t"))
+def paired_tests(df: DataFrame, run: str, keys: Sequence[str], error: str, baseline: str, alpha: float = 0.05) -> DataFrame:
+    """Per run against the baseline run on common keys: n, mean_diff, t, t_p, w_plus, w_minus, w, w_p and whether either
+    p is below alpha (t_significant, w_significant).
+
+    t: paired t with two-sided p of Student's distribution; null for one pair or differences that do not vary. w:
+    Wilcoxon's signed ranks (average ranks, zeros out) with the two-sided p of its normal approximation, the variance
+    corrected for ties, without continuity correction; null where all differences are 0. A null p is not significant.
+    Pairs with a null error take no part. The differences are stored once; ranks run within ranges.
+    """
+    from epispark.functions.helpers import normal_tails, t_tails
     from epispark.operators.aggregates import running_totals
 
+    base = df.where(F.col(run) == baseline).select(*keys, F.col(error).alias("_e"))
+    d = df.where(F.col(run) != baseline).join(base, list(keys)).select(run, (F.col(error) - F.col("_e")).alias("_d")).where("_d is not null")
+    d = stored(d)
+    t = d.groupBy(run).agg(F.count(F.lit(1)).alias("n"), F.avg("_d").alias("mean_diff"), F.try_divide(F.avg("_d"), F.stddev_samp("_d") / F.sqrt(F.count(F.lit(1)))).alias("t"))
     m = d.where("_d <> 0").groupBy(run, F.abs("_d").alias("_a")).agg(F.sum(F.when(F.col("_d") > 0, 1).otherwise(0)).alias("_up"), F.count(F.lit(1)).alias("_c"))
-    ranked = running_totals(m, [run], "_a", "_c", "_upto")
     rank = F.col("_upto") - (F.col("_c") - 1) / 2
-    w = ranked.groupBy(run).agg(F.sum(rank * F.col("_up")).alias("w_plus"), F.sum(rank * (F.col("_c") - F.col("_up"))).alias("w_minus"))
-    return t.join(w, run, "left").withColumn("w", F.least("w_plus", "w_minus"))
+    c = F.col("_c").cast("double")
+    w = running_totals(m, [run], "_a", "_c", "_upto").groupBy(run).agg(F.sum(rank * F.col("_up")).alias("w_plus"), F.sum(rank * (F.col("_c") - F.col("_up"))).alias("w_minus"), F.sum(c).alias("_n"), F.sum(c * c * c - c).alias("_ties"))
+    n = F.col("_n")
+    z = F.try_divide(F.least("w_plus", "w_minus") - n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48))
+    out = t.join(w, run, "left").withColumns({"w": F.least("w_plus", "w_minus"), "t_p": t_tails(F.col("t"), F.col("n") - 1), "w_p": normal_tails(z)})
+    flag = lambda p: F.coalesce(F.col(p) < alpha, F.lit(False))
+    return out.select(run, "n", "mean_diff", "t", "t_p", "w_plus", "w_minus", "w", "w_p", flag("t_p").alias("t_significant"), flag("w_p").alias("w_significant"))
 
 
 def scale_check(train: Column, forecast: Column, limit: float = 10.0) -> Column:

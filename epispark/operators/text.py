@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -17,13 +17,25 @@ def stripped(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(bare, r"<[^>]*>", " "), r"\s+", " "))
 
 
-def links(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """(url, href, title, target): links with stripped titles; relative targets take the page's scheme and host."""
-    pattern = r'(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
-    both = F.arrays_zip(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)).alias("href"), F.regexp_extract_all(html, F.lit(pattern), F.lit(2)).alias("title"))
-    rows = pages.select(url, F.posexplode(both).alias("pos", "l")).select(url, "pos", "l.href", F.trim(F.regexp_replace("l.title", r"<[^>]*>", "")).alias("title"))
+#: the value of href: in double or single quotes, or bare up to white space or the end of the tag
+HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)[^>]*>(.*?)</a\s*>"""
+
+
+def links(pages: DataFrame, html: str = "html", url: str = "url", title: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(url, href, title, target): links with stripped titles; relative targets take the page's scheme and host.
+
+    title: a predicate on the title; links that it rejects, or that have no title, are left out. Without one all stay.
+    """
+    both = F.arrays_zip(F.regexp_extract_all(html, F.lit(HREF), F.lit(1)).alias("href"), F.regexp_extract_all(html, F.lit(HREF), F.lit(2)).alias("title"))
+    rows = pages.select(url, F.posexplode(both).alias("pos", "l"))
+    quoted = F.regexp_replace("l.href", r"""^["']|["']$""", "")
+    rows = rows.select(url, "pos", quoted.alias("href"), F.trim(F.regexp_replace("l.title", r"<[^>]*>", "")).alias("title"))
+    if title is not None:
+        rows = rows.where((F.col("title") != "") & title(F.col("title")))
     site = F.regexp_extract(url, r"^(\w+://[^/?#]*)", 1)
-    return rows.withColumn("target", F.when(F.col("href").rlike(r"^\w+://"), F.col("href")).when(F.startswith("href", F.lit("/")), F.concat(site, "href")).otherwise(F.concat(site, F.lit("/"), "href")))
+    scheme = F.regexp_extract(url, r"^(\w+:)//", 1)
+    target = F.when(F.col("href").rlike(r"^\w+://"), F.col("href")).when(F.startswith("href", F.lit("//")), F.concat(scheme, "href")).when(F.startswith("href", F.lit("/")), F.concat(site, "href"))
+    return rows.withColumn("target", target.otherwise(F.concat(site, F.lit("/"), "href")))
 
 
 def articles(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
@@ -37,6 +49,47 @@ def articles(pages: DataFrame, html: str = "html", url: str = "url") -> DataFram
     )
 
 
+#: The containers of an article in the order in which they are tried, the form of a month, the forms of
+#: reported totals (cases and deaths, then cases alone), and the sources by what their addresses hold.
+CONTAINERS = (".article-con", ".article-content", ".content", "#content", ".TRS_Editor", "article", "body")
+MONTH = r"(?U)(20\d{2})年\s*(1[0-2]|0?[1-9])月"
+TOTALS = (r"共报告法定传染病(\d{1,9})例[，,、;]?死亡(\d{1,7})人", r"报告发病(\d{1,9})例[，,、;]?死亡(\d{1,7})人", r"共报告(\d{1,9})例[，,、;]?死亡(\d{1,7})人")
+CASES = (r"共报告法定传染病(\d{1,9})例", r"报告发病(\d{1,9})例")
+SOURCES = (("ndcpa.gov.cn", "ndcpa"), ("nhc.gov.cn", "nhc"), ("zj.gov.cn", "zj"))
+
+
+def reported_month(text: Column) -> Column:
+    """yyyy-MM of the first month named in a text, null without one."""
+    year, month = F.regexp_extract(text, MONTH, 1), F.regexp_extract(text, MONTH, 2)
+    return F.when(year != "", F.concat(year, F.lit("-"), F.lpad(month, 2, "0")))
+
+
+def reported_totals(text: Column) -> Column:
+    """struct(cases, deaths) of the first form that fits, spaces aside; cases alone where no deaths are given."""
+    bare = F.regexp_replace(text, "[\u00a0 ]", "")
+    number = lambda p, k: F.nullif(F.regexp_extract(bare, p, k), F.lit("")).cast("long")
+    both = [F.struct(number(p, 1).alias("cases"), number(p, 2).alias("deaths")) for p in TOTALS]
+    alone = F.struct(F.coalesce(*[number(p, 1) for p in CASES]).alias("cases"), F.lit(None).cast("long").alias("deaths"))
+    return F.coalesce(*[F.when(b["cases"].isNotNull(), b) for b in both], alone)
+
+
+def article_records(pages: DataFrame, hint: str | None = None, html: str = "html", url: str = "url", containers: Sequence[str] = CONTAINERS, least: int = 50, sources: Sequence[tuple[str, str]] = SOURCES) -> DataFrame:
+    """(url, title, main_text, month, cases, deaths, source): the record of each article that names a month.
+
+    The main text is that of the first container of the list with more than `least` characters (helpers.article_parts);
+    the title is the hint (a column) where it is not empty, else the page's. The month is the first that title or text
+    names; articles without one are left out, as are null pages. source: by the first part that the url holds, else
+    unknown. One pass; only the containers are found in Python.
+    """
+    from epispark.functions.helpers import article_reader
+
+    rows = pages.where(F.col(html).isNotNull()).select(F.col(url).alias("url"), (F.col(hint) if hint else F.lit("")).alias("hint"), article_reader(tuple(containers), least)(F.col(html)).alias("a"))
+    rows = rows.select("url", F.coalesce(F.nullif("hint", F.lit("")), "a.title").alias("title"), F.col("a.main").alias("main_text"))
+    source = F.coalesce(*[F.when(F.contains("url", F.lit(part)), name) for part, name in sources], F.lit("unknown"))
+    rows = rows.withColumn("month", reported_month(F.concat("title", F.lit("\n"), "main_text"))).where("month is not null")
+    return rows.select("url", "title", "main_text", "month", reported_totals(F.col("main_text")).alias("t"), source.alias("source")).select("url", "title", "main_text", "month", "t.cases", "t.deaths", "source")
+
+
 def monthly_table(rows: DataFrame, first: str, last: str, preferred: str, month: str = "month", source: str = "source", url: str = "url") -> DataFrame:
     """One row per month of the range: of each source the smallest url, and of the sources the preferred, else the first."""
     of_source = W.partitionBy(source, month).orderBy(url)

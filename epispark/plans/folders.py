@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import functions as F
 
 from epispark.operators import aggregates as A
+from epispark.operators import clean as C
 from epispark.operators import series as R
 from epispark.plans.forecasts import SERIES, series
 from epispark.plans.records import WEEK
@@ -56,6 +58,20 @@ def src5(spark, d):
     return got.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("actual"), 3).alias("actual"), F.round(F.sum("prediction"), 3).alias("prediction"))
 
 
+@query("src5_mixed_runs", f"WITH {RUNS.replace('week + CAST(7 * (k - 1) AS INTEGER)', 'as_of + CAST(7 * k AS INTEGER)')} SELECT run, count(*) AS n, round(sum(actual), 3) AS actual, round(sum(prediction), 3) AS prediction, CASE WHEN run = 'last' THEN round(sum(prediction * 0.5), 3) END AS q_05, CASE WHEN run = 'higher' THEN round(sum(prediction * 2), 3) END AS q_95 FROM y GROUP BY 1")
+def src5b(spark, d):
+    """Runs with different columns in different orders, beside a file that has no as_of."""
+    path, y = folder(spark, "mixed"), runs(spark, d)
+    of = lambda name: y.where(F.col("run") == name).drop("run")
+    last = of("last").select("as_of", "date", (F.col("prediction") * 0.5).alias("q_0.05"), "actual", "prediction")
+    higher = of("higher").select("prediction", (F.col("prediction") * 2).alias("q_0.95"), "actual", "date", "as_of")
+    for name, rows in (("last", last), ("higher", higher), ("flat", of("last").drop("as_of"))):
+        I.write_csv(rows, f"{path}/{name}")
+    got = I.read_runs(spark, path, "*.csv").groupBy("run")
+    rounded = lambda c, name: F.round(F.sum(f"`{c}`"), 3).alias(name)
+    return got.agg(F.count(F.lit(1)).alias("n"), rounded("actual", "actual"), rounded("prediction", "prediction"), rounded("q_0.05", "q_05"), rounded("q_0.95", "q_95"))
+
+
 @query("src7_signals", "SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(*) AS cases FROM orders GROUP BY 1")
 def src7(spark, d):
     path = folder(spark, "signals")
@@ -91,6 +107,42 @@ def str5(spark, d):
     return spark.read.schema("event_id long, user_id long").parquet(out)
 
 
+@query("str5_keyed_sink", f"WITH {RUNS.replace('week + CAST(7 * (k - 1) AS INTEGER)', 'as_of + CAST(7 * k AS INTEGER)')} SELECT run, as_of, date, actual, prediction FROM y")
+def str5b(spark, d):
+    """Forecast rows arrive by origin, those of some origins twice, as after a crash; the sink holds each origin once."""
+    path, out, mark = folder(spark, "steps"), folder(spark, "keyed"), folder(spark, "mark")
+    y = runs(spark, d)
+    for part in ("month(as_of) <= 8", "month(as_of) > 6"):
+        y.where(part).repartition("run", "as_of").write.mode("append").parquet(path)
+        T.delivered(spark.readStream.schema(y.schema).parquet(path), I.keyed_batches(out, ["run", "as_of"]), mark)
+    return spark.read.schema(y.schema).parquet(out).select("run", "as_of", "date", "actual", "prediction")
+
+
+@query("str1_weekly_persons", f"SELECT CAST({EV} AS DATE) AS week, event_type AS category, CAST(count(*) AS BIGINT) AS visits, count(DISTINCT user_id) AS patients FROM events GROUP BY ALL")
+def str1b(spark, d):
+    """The stream itself, over three parts in order of time; rows far behind them close the last weeks."""
+    path, out, mark = folder(spark, "visits"), folder(spark, "weeks"), folder(spark, "mark")
+    e = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "user_id")
+    lo, hi = e.agg(F.min("ts"), F.max("ts")).first()
+    cut = [lo + (hi - lo) * k / 3 for k in (1, 2)] if lo else []
+    part = sum((F.when(F.col("ts") >= c, 1).otherwise(0) for c in cut), F.lit(0))
+    after = [spark.createDataFrame([(hi + (hi - lo) + dt.timedelta(days=30 * k), None, None)], e.schema) for k in (1, 2, 3)] if lo else []
+    for rows in [*(e.where(part == k) for k in range(3)), *after]:
+        rows.write.mode("append").parquet(path)
+        T.drained(T.weekly_persons(spark.readStream.schema(e.schema).parquet(path), "ts", "event_type", "user_id"), out, mark)
+    return spark.read.schema("week date, category string, visits long, patients long").parquet(out).where("category is not null")
+
+
+@query("pii6_saved_mapping", "WITH o AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS id FROM orders), c AS (SELECT CAST(c_custkey AS VARCHAR) AS id FROM customer WHERE CAST(c_custkey AS VARCHAR) NOT IN (SELECT id FROM o)), m AS (SELECT id, row_number() OVER (ORDER BY id) AS n FROM o UNION ALL SELECT id, row_number() OVER (ORDER BY id) + (SELECT count(*) FROM o) FROM c) SELECT c_custkey, 'P' || lpad(CAST(CASE WHEN c_custkey % 10 = 0 THEN 0 ELSE n END AS VARCHAR), 6, '0') AS pseudonym FROM customer JOIN m ON id = CAST(c_custkey AS VARCHAR)")
+def pii6b(spark, d):
+    """The mapping of the orders, extended by the customers, and read by these; every tenth has no id."""
+    path = folder(spark, "mapping")
+    C.extend_mapping(spark, path, [(table(spark, d, "orders"), "o_custkey")])
+    customers = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 10 != 0, F.col("c_custkey").cast("string")).otherwise("").alias("pseudonym"))
+    mapping = C.extend_mapping(spark, path, [(table(spark, d, "customer"), "c_custkey"), (table(spark, d, "orders"), "o_custkey")])
+    return C.pseudonymised(customers, "pseudonym", mapping)
+
+
 @query("str4_residual_radii", f"WITH {SERIES}, l AS (SELECT series, week, abs(v - lag(v) OVER (PARTITION BY series ORDER BY week)) AS e FROM s), k AS (SELECT series, e, row_number() OVER (PARTITION BY series ORDER BY week DESC) AS r FROM l WHERE e IS NOT NULL), b AS (SELECT series, list_sort(list(e)) AS b FROM k WHERE r <= 52 GROUP BY 1) SELECT series, CAST(len(b) AS INTEGER) AS n, b[CAST(least(len(b), greatest(1, ceil((len(b) + 1) * 0.9))) AS INTEGER)] AS radius FROM b")
 def str4(spark, d):
     """Residuals arrive in two parts; what each part gives is kept, and the later row of a series counts."""

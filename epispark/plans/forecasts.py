@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from epispark.functions import scalars as S
+from epispark.operators import aggregates as A
 from epispark.operators import series as R
 from epispark.operators import text as X
 from epispark.plans.records import WEEK
@@ -107,10 +108,15 @@ def wn14(spark, d):
     return R.latest_per_date(o, ["o_custkey", "day"], "o_orderkey")
 
 
-@query("wn15_conformal", f"WITH {FC}, w AS (SELECT series, week, actual - p AS r, list_sort(list(abs(actual - p)) {O} ROWS BETWEEN 52 PRECEDING AND 1 PRECEDING)) AS b FROM f) SELECT series, week, r, CASE WHEN len(b) > 0 THEN b[CAST(greatest(1, least(len(b), ceil((len(b) + 1) * 0.9))) AS INTEGER)] END AS radius FROM w")
+#: every fifth residual is null and every seventh not a number: the buffer counts the others
+HOLED = f"{FC}, h AS (SELECT series, week, CASE WHEN day(week) % 5 = 0 THEN NULL WHEN day(week) % 7 = 0 THEN 'nan'::DOUBLE ELSE actual - p END AS r FROM f), g AS (SELECT *, sum(CASE WHEN isfinite(r) THEN 1 ELSE 0 END) {O} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM h), a AS (SELECT series, k, list_sort(list(abs(r)) {O} ROWS BETWEEN 51 PRECEDING AND CURRENT ROW)) AS b FROM g WHERE isfinite(r)), w AS (SELECT g.*, b FROM g LEFT JOIN a ON a.series = g.series AND a.k = g.k - CASE WHEN isfinite(r) THEN 1 ELSE 0 END)"
+
+
+@query("wn15_conformal", f"WITH {HOLED} SELECT series, week, CASE WHEN len(b) > 0 THEN b[CAST(greatest(1, least(len(b), ceil((len(b) + 1) * 0.9))) AS INTEGER)] END AS radius FROM w")
 def wn15(spark, d):
-    r = forecasts(spark, d).select("series", "week", (F.col("actual") - F.col("p")).alias("r"))
-    return R.conformal(r, "series", "week", "r")
+    day = F.dayofmonth("week")
+    r = forecasts(spark, d).select("series", "week", F.when(day % 5 == 0, None).when(day % 7 == 0, float("nan")).otherwise(F.col("actual") - F.col("p")).alias("r"))
+    return R.conformal(r, "series", "week", "r").drop("r")
 
 
 @query("tk1_top_categories", "SELECT p_name, persons FROM (SELECT p_name, count(DISTINCT p_brand || p_size) AS persons FROM part WHERE p_name IS NOT NULL GROUP BY 1) ORDER BY persons DESC, p_name LIMIT 20")
@@ -128,6 +134,22 @@ def tk4(spark, d):
     return table(spark, d, "part").groupBy("p_name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "p_name").limit(10)
 
 
+TOP = "SELECT p_name AS v, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, p_name) AS rank FROM part WHERE p_name IS NOT NULL GROUP BY 1"
+
+
+@query("tk4_top_values_counted", f"SELECT v AS value, n, CAST(rank AS INTEGER) AS rank FROM ({TOP}) WHERE rank <= 30")
+def tk4b(spark, d):
+    return A.top_values(table(spark, d, "part"), "p_name", 30)
+
+
+@query("tk4_top_flags", f"WITH t AS ({TOP}), x AS (SELECT p_brand, v, rank FROM part JOIN t ON p_name = v WHERE rank <= 30), k AS (SELECT * FROM (SELECT DISTINCT p_brand FROM part), (SELECT v, rank FROM t WHERE rank <= 30)) SELECT k.p_brand, 'name_' || regexp_replace(k.v, '[^a-zA-Z0-9_]', '_', 'g') || '_' || (k.rank - 1) AS flag, count(x.v) AS n FROM k LEFT JOIN x ON x.p_brand = k.p_brand AND x.v = k.v GROUP BY ALL")
+def tk4c(spark, d):
+    flagged = A.top_flags(table(spark, d, "part").select("p_brand", "p_name"), "p_name", 30, "name")
+    names = [c for c in flagged.columns if c.startswith("name_")]
+    sums = flagged.groupBy("p_brand").agg(*[F.sum(c).alias(c) for c in names])
+    return sums.unpivot(["p_brand"], names, "flag", "n")
+
+
 @query("tk5_spaced_dates", "WITH x AS (SELECT CAST(o_orderdate AS DATE) AS day, row_number() OVER (ORDER BY CAST(o_orderdate AS DATE)) - 1 AS i FROM (SELECT DISTINCT o_orderdate FROM orders)), n AS (SELECT count(*) AS n FROM x) SELECT day FROM x, n WHERE i IN (SELECT CAST(floor(k * (n - 1) / 11.0) AS BIGINT) FROM (SELECT unnest(generate_series(0, 11)) AS k), n)")
 def tk5(spark, d):
     return R.spaced(table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")), "day", 12)
@@ -169,6 +191,11 @@ def mt6(spark, d):
     return R.crps_quantiles(forecasts(spark, d), ["series"], "actual", {q: f"q_{q:g}" for q in QS})
 
 
+@query("mt6_crps_point", f"WITH {FC} SELECT series, avg(abs(actual - p)) AS crps FROM f GROUP BY 1")
+def mt6b(spark, d):
+    return R.crps_quantiles(forecasts(spark, d), ["series"], "actual", {}, "p")
+
+
 @query("mt7_crps_samples", "WITH g AS (SELECT o_custkey, list(o_totalprice / 1000) AS xs FROM orders GROUP BY 1) SELECT o_custkey, round((SELECT avg(abs(x - 150)) FROM (SELECT unnest(xs) AS x)) - 0.5 * (SELECT avg(abs(x - y)) FROM (SELECT unnest(xs) AS x), (SELECT unnest(xs) AS y)), 3) AS crps FROM g")
 def mt7(spark, d):
     samples = table(spark, d, "orders").select("o_custkey", (F.col("o_totalprice") / 1000).alias("x"))
@@ -187,6 +214,15 @@ def mt8(spark, d):
     return f.withColumn("c", R.crps_gaussian(F.col("actual"), F.col("p"), F.col("sigma"), normal_cdf)).groupBy("series").agg(F.avg("c").alias("crps"))
 
 
+@query("mt8_crps_counts", f"WITH {FC}, y AS (SELECT series, actual, p, CASE WHEN day(week) % 9 = 0 THEN 0 ELSE sqrt(p * (1 + p / 8)) END AS g FROM f), x AS (SELECT series, greatest(1e-6, g) AS g, (actual - p) / greatest(1e-6, g) AS z FROM y) SELECT series, avg(greatest(0, g * (z * (2 * {CDF} - 1) + 2 * exp(-z * z / 2) / sqrt(2 * pi()) - 1 / sqrt(pi())))) AS crps FROM x GROUP BY 1")
+def mt8b(spark, d):
+    from epispark.functions.helpers import normal_cdf
+
+    sigma = F.when(F.dayofmonth("week") % 9 == 0, 0.0).otherwise(R.count_sigma(F.col("p"), F.lit(8.0)))
+    score = R.crps_gaussian(F.col("actual"), F.col("p"), F.col("sigma"), normal_cdf)
+    return forecasts(spark, d).withColumn("sigma", sigma).withColumn("c", score).groupBy("series").agg(F.avg("c").alias("crps"))
+
+
 @query("mt9_peak_mae", f"WITH {FC}, t AS (SELECT series, quantile_cont(m, 0.9) AS threshold FROM (SELECT series, max(actual) {O} ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS m FROM f) GROUP BY 1) SELECT series, count(*) AS n_peaks, avg(abs(actual - p)) AS peak_mae FROM f JOIN t USING (series) WHERE actual >= threshold GROUP BY 1")
 def mt9(spark, d):
     return R.peak_errors(forecasts(spark, d), "series", "week", "actual", "p")
@@ -197,6 +233,11 @@ def mt10(spark, d):
     return R.peak_recall(forecasts(spark, d), "series", "week", "actual", "p")
 
 
+@query("mt10_peak_placement", f"WITH {FC}, r AS (SELECT series, actual, p, row_number() {O}) AS i, row_number() OVER (PARTITION BY series ORDER BY actual DESC, week) AS ra, row_number() OVER (PARTITION BY series ORDER BY p DESC, week) AS rp, greatest(1, ceil(count(*) OVER (PARTITION BY series) * 0.1)) AS n FROM f), a AS (SELECT series, i, actual, row_number() OVER (PARTITION BY series ORDER BY i) AS k FROM r WHERE ra <= n), b AS (SELECT series, i AS j, p, row_number() OVER (PARTITION BY series ORDER BY i) AS k FROM r WHERE rp <= n) SELECT series, count(*) AS n_peaks, sqrt(avg((i - j) * (i - j))) AS time_rmse, sqrt(avg((actual - p) * (actual - p))) AS height_rmse FROM a JOIN b USING (series, k) GROUP BY 1")
+def mt10b(spark, d):
+    return R.peak_placement(forecasts(spark, d), "series", "week", "actual", "p")
+
+
 @query("mt11_coverage_table", f"WITH {FC} SELECT CAST(0.9 AS DOUBLE) AS expected, avg(CASE WHEN actual BETWEEN p * 0.5 AND p * 1.5 THEN 1.0 ELSE 0.0 END) AS observed FROM f UNION ALL SELECT 0.5, avg(CASE WHEN actual BETWEEN p * 0.8 AND p * 1.2 THEN 1.0 ELSE 0.0 END) FROM f")
 def mt11(spark, d):
     return R.coverage_table(forecasts(spark, d), "actual", [("`q_0.05`", "`q_0.95`", 0.9), ("`q_0.25`", "`q_0.75`", 0.5)])
@@ -209,11 +250,16 @@ def paths(spark, d):
     return table(spark, d, "events").where("value is not null").select(F.col("event_type").alias("series"), F.to_date("ts").alias("step"), "value")
 
 
-@query("mt12_disagreement", f"WITH x AS ({PATHS}), m AS (SELECT series, step, quantile_cont(value, 0.5) AS median FROM x GROUP BY ALL) SELECT series, step, quantile_cont(abs(value - median), 0.5) AS mad, any_value(median) AS median, 100 * quantile_cont(abs(value - median), 0.5) / greatest(1e-9, abs(any_value(median))) AS percent FROM x JOIN m USING (series, step) GROUP BY ALL")
+@query("mt12_disagreement", f"WITH x AS ({PATHS}), m AS (SELECT series, step, quantile_cont(value, 0.5) AS median FROM x GROUP BY ALL) SELECT series, step, quantile_cont(abs(value - median), 0.5) AS mad, any_value(median) AS median, 100 * quantile_cont(abs(value - median), 0.5) / greatest(1, abs(any_value(median)) + 1) AS percent FROM x JOIN m USING (series, step) GROUP BY ALL")
 def mt12(spark, d):
     return R.disagreement(paths(spark, d), ["series", "step"], "value")
 
 
+@query("mt12_disagreement_summary", f"WITH x AS ({PATHS}), m AS (SELECT series, step, quantile_cont(value, 0.5) AS median FROM x GROUP BY ALL), y AS (SELECT series, step, 100 * quantile_cont(abs(value - median), 0.5) / greatest(1, abs(any_value(median)) + 1) AS percent FROM x JOIN m USING (series, step) GROUP BY ALL) SELECT series, count(*) AS n_steps, avg(percent) AS mean_percent, max(percent) AS max_percent FROM y GROUP BY 1")
+def mt12b(spark, d):
+    return R.disagreement_summary(paths(spark, d), ["series"], "step", "value")
+
+
 @query("mt13_exceedance", f"SELECT series, avg(CASE WHEN value > 25 THEN 1.0 ELSE 0.0 END) AS p_over_25, avg(CASE WHEN value > 75 THEN 1.0 ELSE 0.0 END) AS p_over_75 FROM ({PATHS}) GROUP BY 1")
 def mt13(spark, d):
     return R.exceedance(paths(spark, d), ["series"], "value", [25, 75])
@@ -230,7 +276,20 @@ def mt15(spark, d):
         p = F.col("p") if m == 1.0 else F.col("p") * m
         one = f.select(F.lit(name).alias("run"), "series", "week", F.abs(F.col("actual") - p).alias("e"))
         runs = one if runs is None else runs.unionByName(one)
-    return R.paired_tests(runs, "run", ["series", "week"], "e", "last")
+    return R.paired_tests(runs, "run", ["series", "week"], "e", "last").select("run", "n", "mean_diff", "t", "w_plus", "w_minus", "w")
+
+
+# Student's tails of whole degrees of freedom v by finite sums over the angle a, normal ones by CDF
+EVEN = "sin(a) * list_sum(list_transform(range(0, v // 2), lambda k: exp(lgamma(2 * k + 1) - 2 * k * ln(2) - 2 * lgamma(k + 1) + 2 * k * ln(cos(a)))))"
+ODD = "2 / pi() * (a + sin(a) * coalesce(list_sum(list_transform(range(0, (v - 1) // 2), lambda k: exp(2 * k * ln(2) + 2 * lgamma(k + 1) - lgamma(2 * k + 2) + (2 * k + 1) * ln(cos(a))))), 0))"
+
+
+@query("mt15_significance", f"WITH {RUNS}, d AS (SELECT a.run || ' ' || a.series AS run, a.e - b.e AS d FROM runs a JOIN runs b USING (series, week) WHERE b.run = 'last' AND a.run <> 'last' AND week < DATE '1996-01-01'), k AS (SELECT run, d, rank() OVER (PARTITION BY run ORDER BY abs(d)) + (count(*) OVER (PARTITION BY run, abs(d)) - 1) / 2 AS r, count(*) OVER (PARTITION BY run, abs(d)) AS c FROM d WHERE d <> 0), w AS (SELECT run, least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END)) AS w, count(*) AS n, sum(c * c - 1) AS ties FROM k GROUP BY 1), t AS (SELECT run, count(*) AS n, avg(d) / (stddev_samp(d) / sqrt(count(*))) AS t FROM d GROUP BY 1), x AS (SELECT t.run, t.n, t, w, t.n - 1 AS v, atan(abs(t) / sqrt(t.n - 1)) AS a, -abs((w - w.n * (w.n + 1) / 4) / sqrt(w.n * (w.n + 1) * (2 * w.n + 1) / 24 - ties / 48)) AS z FROM t JOIN w USING (run)), p AS (SELECT run, n, t, w, 1 - CASE WHEN v % 2 = 0 THEN {EVEN} ELSE {ODD} END AS t_p, 2 * {CDF} AS w_p FROM x) SELECT *, t_p < 0.05 AS t_significant, w_p < 0.05 AS w_significant FROM p")
+def mt15b(spark, d):
+    f = forecasts(spark, d).where("week < '1996-01-01'")
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("run"), F.lit(m).alias("m")) for name, m in (("last", 1.0), ("higher", 1.1), ("lower", 0.9))])).alias("x")
+    runs = f.select("series", "week", "actual", "p", each).select("series", "week", F.when(F.col("x.run") == "last", "last").otherwise(F.concat_ws(" ", "x.run", "series")).alias("run"), F.abs(F.col("actual") - F.when(F.col("x.m") == 1, F.col("p")).otherwise(F.col("p") * F.col("x.m"))).alias("e"))
+    return R.paired_tests(runs, "run", ["series", "week"], "e", "last").drop("mean_diff", "w_plus", "w_minus")
 
 
 # forecasts
@@ -280,6 +339,16 @@ def fc5(spark, d):
     return s.select("series", "week", q.alias("q")).select("series", "week", F.col("q")[0].alias("q05"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q95"))
 
 
+@query("fc5_means_or_last", f"WITH {SERIES}, x AS (SELECT series, week, v, list(CASE WHEN day(week) > 20 THEN 0 ELSE v - 20 END) {O} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS b FROM s), y AS (SELECT *, list_transform(b, lambda x: greatest(0, x)) AS m FROM x) SELECT series, week, CAST(k AS INTEGER) AS step, CASE WHEN list_max(m) > 0 THEN m[k] ELSE v END AS mean FROM y, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE k <= len(m)")
+def fc5b(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("series").orderBy("week").rowsBetween(-3, 0)
+    b = F.collect_list(F.when(F.dayofmonth("week") > 20, 0.0).otherwise(F.col("v") - 20)).over(w)
+    m = series(spark, d).withColumn("b", b).select("series", "week", F.posexplode(R.means_or_last(F.col("b"), F.col("v"))).alias("k", "mean"))
+    return m.select("series", "week", (F.col("k") + 1).alias("step"), "mean")
+
+
 @query("fc6_uncertainty", "SELECT event_id, CAST(i AS INTEGER) AS step, least(0.95, greatest(0.1, least(0.9, 3 * (value / 300))) + 0.02 * i) AS u FROM events, (SELECT unnest(generate_series(0, 3)) AS i) WHERE value IS NOT NULL")
 def fc6(spark, d):
     return table(spark, d, "events").where("value is not null").select("event_id", F.posexplode(R.uncertainty(F.col("value") / 300, 4)).alias("step", "u"))
@@ -309,7 +378,7 @@ def fc9(spark, d):
 
 @query("fc10_backtest_persistence", f"WITH {SERIES}, r AS (SELECT *, row_number() {O}) - 1 AS i, count(*) OVER (PARTITION BY series) AS n, lag(week) {O}) AS as_of, lag(v) {O}) AS p, list(v) {O} ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS b FROM s) SELECT series, as_of, CAST(k AS INTEGER) AS step, p AS prediction, b[k] AS actual FROM r, (SELECT unnest([1, 2]) AS k) WHERE i >= 60 AND i < n - 2 + 1 AND (i - 60) % 8 = 0")
 def fc10(spark, d):
-    return R.backtest(R.rolling_origins(series(spark, d), "series", "week", "v", 60, 2, 8), "series", R.MODELS["persistence"](2))
+    return R.backtest_last(R.rolling_origins(series(spark, d), "series", "week", "v", 60, 2, 8), "series")
 
 
 def determinant(m: list[list[str]]) -> str:
@@ -357,6 +426,34 @@ def rt2(spark, d):
     return X.articles(table(spark, d, "pages")).drop("n_text")
 
 
+@query("rt1_titled_links", "WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*?href=\"([^\"]*)\"[^>]*>(.*?)</a>', 1)) AS href, unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*?href=\"([^\"]*)\"[^>]*>(.*?)</a>', 2)) AS title FROM pages) SELECT url, href, title, regexp_extract(url, '^(\\w+://[^/?#]*)', 1) || href AS target FROM (SELECT url, href, trim(regexp_replace(title, '<[^>]*>', '', 'g')) AS title FROM l) WHERE contains(title, 'th') OR contains(title, 'ei')")
+def rt1b(spark, d):
+    """Links whose values are quoted one way, the other way or not at all, with certain words in their titles."""
+    quoted = [F.regexp_replace("html", 'href="([^"]*)"', to) for to in ("HREF = '$1'", "class=l href=$1", 'href="$1" rel=\'x\'')]
+    html = F.when(F.col("page_id") % 3 == 0, quoted[0]).when(F.col("page_id") % 3 == 1, quoted[1]).otherwise(quoted[2])
+    pages = table(spark, d, "pages").select("url", html.alias("html"))
+    return X.links(pages, title=lambda t: F.contains(t, F.lit("th")) | F.contains(t, F.lit("ei"))).drop("pos")
+
+
+#: pages with a short container in front, totals at the end of their article, and a month in a given title, in the text or nowhere
+REPORT = "SELECT url, page_id, '20' || (10 + page_id % 15) || '年' || CASE WHEN page_id % 2 = 0 THEN ' ' ELSE '' END || (page_id % 12 + 1) || '月' AS month, CASE WHEN page_id % 5 = 0 THEN '共报告 法定传染病' || page_id || '例，死亡' || page_id % 7 || '人' WHEN page_id % 5 = 1 THEN '报告发病' || page_id || '例' WHEN page_id % 5 = 2 THEN '共报告' || page_id || '例死亡3人' ELSE 'none' END AS totals, html FROM pages"
+UNESCAPED = "replace(replace(replace(replace(x, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+
+
+@query("rt2_article_records", f"WITH r AS ({REPORT}), a AS (SELECT *, regexp_extract(html, '(?is)<article>(.*?)</article>', 1) || '<p>' || totals || CASE WHEN page_id % 4 = 1 THEN ' ' || month ELSE '' END || '</p>' AS inside, CASE WHEN page_id % 4 = 0 THEN month ELSE '' END AS hint, trim({UNESCAPED.replace('(x,', "(regexp_extract(html, '(?is)<title>(.*?)</title>', 1),")}) AS own FROM r), t AS (SELECT *, trim(array_to_string(list_transform(list_filter(string_split_regex(inside, '<[^>]*>'), lambda x: x <> ''), lambda x: {UNESCAPED}), chr(10))) AS main_text FROM a), n AS (SELECT *, replace(totals, ' ', '') AS bare FROM t) SELECT url, CASE WHEN hint <> '' THEN hint ELSE own END AS title, md5(main_text) AS text_md5, length(main_text) AS n_chars, regexp_extract(month, '^(\\d+)', 1) || '-' || lpad(regexp_extract(month, '(\\d+)月', 1), 2, '0') AS month, CASE WHEN page_id % 5 < 3 THEN page_id END AS cases, CASE WHEN page_id % 5 = 0 THEN page_id % 7 WHEN page_id % 5 = 2 THEN 3 END AS deaths, CASE WHEN contains(url, 'example.org') THEN 'org' WHEN contains(url, 'example.net') THEN 'net' ELSE 'unknown' END AS source FROM n WHERE page_id % 4 IN (0, 1)")
+def rt2b(spark, d):
+    k = F.col("page_id")
+    text = lambda c: c.cast("string")
+    month = F.concat(F.lit("20"), text(10 + k % 15), F.lit("年"), F.when(k % 2 == 0, " ").otherwise(""), text(k % 12 + 1), F.lit("月"))
+    totals = F.when(k % 5 == 0, F.concat(F.lit("共报告 法定传染病"), text(k), F.lit("例，死亡"), text(k % 7), F.lit("人"))).when(k % 5 == 1, F.concat(F.lit("报告发病"), text(k), F.lit("例"))).when(k % 5 == 2, F.concat(F.lit("共报告"), text(k), F.lit("例死亡3人"))).otherwise("none")
+    last = F.concat(F.lit("<p>"), totals, F.when(k % 4 == 1, F.concat(F.lit(" "), month)).otherwise(""), F.lit("</p></article>"))
+    short = '<body><div class="x content"><div>a<script>b</script></div>c</div><div class="contents">d</div>'
+    html = F.replace(F.replace("html", F.lit("</article>"), last), F.lit("<body>"), F.lit(short))
+    pages = table(spark, d, "pages").select("url", html.alias("html"), F.when(k % 4 == 0, month).otherwise("").alias("hint"))
+    out = X.article_records(pages, "hint", sources=(("example.org", "org"), ("example.net", "net")))
+    return out.select("url", "title", F.md5("main_text").alias("text_md5"), F.length("main_text").alias("n_chars"), "month", "cases", "deaths", "source")
+
+
 @query("rt5_strided_chunks", "SELECT doc_id, CAST((k - 1) // 450 AS INTEGER) AS chunk, substr(text, k, 500) AS content FROM (SELECT doc_id, text, unnest(generate_series(1, greatest(1, length(text) - 50), 450)) AS k FROM documents WHERE length(text) > 0)")
 def rt5(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(X.strided(F.col("text"))).alias("chunk", "content"))

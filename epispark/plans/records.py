@@ -102,6 +102,23 @@ def ag10h(spark, d):
     return A.histogram(table(spark, d, "lineitem"), "l_quantity", 0.0, 50.0, 10)
 
 
+ITEM_COLUMNS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+FEW = {c: f"(SELECT count(DISTINCT {c}) BETWEEN 2 AND 49 FROM lineitem)" for c in ITEM_COLUMNS}
+
+
+@query("ag10_gated_boxes", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST(min({c}) AS DOUBLE) AS lo, quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({c} AS DOUBLE), 0.5) AS q2, quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q3, CAST(max({c}) AS DOUBLE) AS hi FROM lineitem HAVING {FEW[c]}" for c in ITEM_COLUMNS))
+def ag10c(spark, d):
+    """Box statistics of the numeric columns that the gate lets through."""
+    items = table(spark, d, "lineitem")
+    return A.column_boxes(items, A.gated_columns(items, ITEM_COLUMNS))
+
+
+@query("ag10_gated_bins", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST(least(floor(10 * (CAST({c} AS DOUBLE) - lo) / (hi - lo)) + 1, 10) AS INTEGER) AS bin, count(*) AS n FROM lineitem, (SELECT CAST(min({c}) AS DOUBLE) AS lo, CAST(max({c}) AS DOUBLE) AS hi FROM lineitem) WHERE {FEW[c]} GROUP BY 1, 2" for c in ITEM_COLUMNS))
+def ag10d(spark, d):
+    items = table(spark, d, "lineitem")
+    return A.column_histograms(items, A.gated_columns(items, ITEM_COLUMNS))
+
+
 @query("ag11_word_counts", "SELECT word, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(text), '[ \\t\\n\\x0B\\f\\r]+')) AS word FROM documents) WHERE word <> '' GROUP BY 1")
 def ag11(spark, d):
     return A.word_counts(table(spark, d, "documents"), "text")
@@ -178,6 +195,11 @@ def ag22b(spark, d):
     return A.auroc(predicted(spark, d), "y", "s")
 
 
+@query("ag22_auprc", f"WITH d AS ({PRED}), g AS (SELECT s, sum(y) AS pos, count(*) - sum(y) AS neg FROM d GROUP BY 1), c AS (SELECT *, sum(pos) OVER (ORDER BY s DESC) AS hit, sum(pos + neg) OVER (ORDER BY s DESC) AS said, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g) SELECT CAST(sum(pos + neg) AS BIGINT) AS n, CAST(sum(pos) AS BIGINT) AS positives, sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)) AS auroc, sum(pos * hit / said) / sum(pos) AS auprc FROM c")
+def ag22c(spark, d):
+    return A.score_areas(predicted(spark, d), "y", "s")
+
+
 @query("ag23_calibration", f"SELECT CAST(least(floor(s * 10), 9) AS INTEGER) AS bin, count(*) AS n, avg(y) AS observed, avg(s) AS predicted FROM ({PRED}) GROUP BY 1")
 def ag23(spark, d):
     return A.calibration(predicted(spark, d), "y", "s")

@@ -71,9 +71,9 @@ def wn15b(spark, d):
     return R.conformal(f, "series", "week", "r").select("series", "week", bands.alias("b")).select("series", "week", "b.*")
 
 
-@query("jn14_regular_series", "WITH o AS (SELECT o_orderstatus AS series, CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders WHERE o_orderkey % 7 = 0 GROUP BY ALL), g AS (SELECT series, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM o GROUP BY 1) SELECT series, day, n FROM g LEFT JOIN o USING (series, day)")
+@query("jn14_regular_series", "WITH o AS (SELECT o_orderstatus || ' ' || o_orderpriority AS series, CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY ALL), g AS (SELECT series, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM o GROUP BY 1) SELECT series, day, n FROM g LEFT JOIN o USING (series, day)")
 def jn14b(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 7 = 0").groupBy(F.col("o_orderstatus").alias("series"), F.to_date("o_orderdate").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    o = table(spark, d, "orders").groupBy(F.concat_ws(" ", "o_orderstatus", "o_orderpriority").alias("series"), F.to_date("o_orderdate").alias("day")).agg(F.count(F.lit(1)).alias("n"))
     from epispark.operators.joins import regular
 
     return regular(o, "series", "day", 1)
@@ -115,6 +115,31 @@ def ud1(spark, d):
     return R.backtest(origins(spark, d), "series", R.MODELS["mean_bands"](4), "q05 double, q50 double, q95 double")
 
 
+#: the draw of series.sampled_paths written out: 20 paths of each window of 20 values
+DRAWN = f"{ORIGINS}, q AS (SELECT series, as_of, a, b, ascii(series) AS salt, list_transform(range(1, 20), lambda i: a[i + 1] - a[i]) AS diffs FROM w), u AS (SELECT *, (((salt * 7919 + date_diff('day', DATE '1970-01-01', as_of) * 104729 + path * 1299709 + step * 15485863 + 1) % 4294967296 * 2654435761::HUGEINT) % 4294967296) // 65536 % 19 AS pick FROM q, (SELECT unnest(range(0, 20)) AS path), (SELECT unnest(range(1, 5)) AS step)), y AS (SELECT series, as_of, path, CAST(step AS INTEGER) AS step, greatest(0, a[20] + sum(diffs[CAST(pick AS INTEGER) + 1]) OVER (PARTITION BY series, as_of, path ORDER BY step)) AS value, b[step] AS actual FROM u)"
+
+
+def drawn(spark, d):
+    return R.sampled_paths(origins(spark, d), "series", paths=20, seed=1, salt=F.ascii("series"))
+
+
+@query("ud1_sample_paths", f"WITH {DRAWN} SELECT series, as_of, CAST(path AS INTEGER) AS path, step, value, actual FROM y")
+def ud1b(spark, d):
+    return drawn(spark, d)
+
+
+@query("ud1_sample_scores", f"WITH {DRAWN}, l AS (SELECT series, as_of, step, any_value(actual) AS actual, list(value) AS xs, quantile_cont(value, 0.05) AS q05, quantile_cont(value, 0.5) AS q50, quantile_cont(value, 0.95) AS q95, avg(CASE WHEN value > 5 THEN 1.0 ELSE 0.0 END) AS p_over_5 FROM y GROUP BY ALL) SELECT series, as_of, step, q05, q50, q95, p_over_5, list_avg(list_transform(xs, lambda x: abs(x - actual))) - list_sum(list_transform(xs, lambda x: list_sum(list_transform(xs, lambda z: abs(x - z))))) / 800 AS crps, 100 * list_median(list_transform(xs, lambda x: abs(x - q50))) / greatest(1, abs(q50) + 1) AS percent FROM l")
+def ud1c(spark, d):
+    """What the sample paths of each origin give to the scores that take samples."""
+    from epispark.session import stored
+
+    y, keys = stored(drawn(spark, d)), ["series", "as_of", "step"]
+    gathered = y.groupBy(*keys).agg(F.first("actual").alias("actual"), F.collect_list("value").alias("xs"))  # 20 paths
+    out = gathered.select(*keys, R.crps_samples(F.col("actual"), F.col("xs")).alias("crps"))
+    out = out.join(R.path_quantiles(y, keys, "value", (0.05, 0.5, 0.95)), keys).join(R.exceedance(y, keys, "value", [5]), keys)
+    return out.join(R.disagreement(y, keys, "value").drop("mad", "median"), keys)
+
+
 PAGE_ROWS = "SELECT page_id, url, '20' || CAST(20 + page_id % 5 AS VARCHAR) || '-' || lpad(CAST(page_id % 12 + 1 AS VARCHAR), 2, '0') AS month, regexp_extract(url, '://[^/?#]*[.]([a-z]+)', 1) AS source FROM pages"
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import csv
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,11 +40,31 @@ def read_records(spark: SparkSession, path, schema: str, multiline: bool = False
     return raw.withColumn("source_file", F.col("_metadata.file_name")).where("_bad is null").drop("_bad")
 
 
+def header_lines(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """(header, path): the first line of every file below root. One pass, of each file one row is kept by the map side."""
+    lines = spark.read.options(recursiveFileLookup="true", pathGlobFilter=name).text(root)
+    first = lines.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n")).where("at = 0")
+    return first.groupBy("path").agg(F.min_by("value", "n").alias("header")).select("header", "path")
+
+
 def read_runs(spark: SparkSession, root: str, name: str = "predictions.csv") -> DataFrame:
-    """Predictions of all runs below root in one read; the run is the folder's name. Rows without as_of are left out."""
-    df = spark.read.options(header="true", recursiveFileLookup="true", pathGlobFilter=name, inferSchema="true").csv(root)
-    df = df.withColumn("run", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
-    return df.where("as_of is not null") if "as_of" in df.columns else df.limit(0)
+    """Predictions of all runs below root; the run is the folder's name. Runs may have different columns, in any order: a
+    column that a run lacks is null in its rows. Files without an as_of column are left out one by one, and so are rows
+    without as_of. Without any file there are no rows and only the columns run and as_of.
+
+    Files are read by header, each group of equal ones in one read; the driver holds their paths, as any read does.
+    """
+    groups: dict[str, list[str]] = {}
+    for r in header_lines(spark, root, name).collect():
+        groups.setdefault(r["header"].removeprefix("\ufeff"), []).append(r["path"])
+    out = None
+    for header, paths in sorted(groups.items()):
+        if "as_of" not in next(csv.reader([header]), []):
+            continue
+        df = spark.read.options(header="true", inferSchema="true").csv(paths)
+        df = df.withColumn("run", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)).where("as_of is not null")
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return spark.createDataFrame([], "run string, as_of date") if out is None else out
 
 
 RUN_JSON = "meta struct<name:string>, steps array<struct<step_index:int,as_of:string,current_target_date:string,predictor:struct<parsed_forecast:struct<q05:array<double>,q50:array<double>,q95:array<double>,point:array<double>>>,actual_values:struct<dates:array<string>,values:array<double>>>>"
@@ -83,3 +104,19 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def write_splits(df: DataFrame, path: str, split: str = "split") -> None:
     df.write.mode("overwrite").partitionBy(split).parquet(path)
+
+
+def write_keyed(df: DataFrame, path: str, keys: Sequence[str]) -> None:
+    """Replace the rows of the keys that df holds, and leave all other keys as they are: one folder per key, and one
+    commit for all of them. Writing the same rows again changes nothing."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
+
+def keyed_batches(path: str, keys: Sequence[str]) -> Callable[[DataFrame, int], None]:
+    """write_keyed for foreachBatch. A batch that is delivered again after a crash, before or after its commit, replaces
+    what it wrote before, so no key has double rows; a key that a later batch brings again takes its rows."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        write_keyed(batch, path, keys)
+
+    return write

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,6 +17,22 @@ def weekly_counts(events: DataFrame, ts: str, category: str, person: str, delay:
     return out.select(F.date_sub(F.to_date("w.end"), 1).alias("week"), "category", "visits", "patients")
 
 
+def weekly_persons(events: DataFrame, ts: str, category: str, person: str, delay: str = "7 days") -> DataFrame:
+    """(week, category, visits, patients): rows and exact distinct persons per week (Tuesday to Monday, labelled by the
+    Monday) and category, on a stream in append mode.
+
+    Two stateful steps in a row: rows per (week, category, person), given out when the watermark closes the week, then
+    persons and rows per (week, category). State holds one number for each person of an open week. A row later than
+    `delay` behind the latest is dropped once its week is closed; rows within the delay count. Rows without person are
+    visits, not patients. Batch frames give the same numbers for all weeks at once.
+    """
+    w = F.window(F.col(ts), "7 days", "7 days", "5 days").alias("w")
+    rows = events.select(F.col(ts).cast("timestamp").alias(ts), F.col(category).alias("category"), F.col(person).alias("person")).withWatermark(ts, delay)
+    fine = rows.groupBy(w, "category", "person").agg(F.count(F.lit(1)).alias("n"))
+    out = fine.groupBy("w", "category").agg(F.sum("n").alias("visits"), F.count("person").alias("patients"))
+    return out.select(F.date_sub(F.to_date("w.end"), 1).alias("week"), "category", "visits", "patients")
+
+
 def sliding_signal(events: DataFrame, ts: str, value: str, delay: str = "1 day") -> DataFrame:
     """Mean, least and largest value of the seven days before each day."""
     g = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).groupBy(F.window(ts, "7 days", "1 day").alias("w"))
@@ -30,13 +46,14 @@ def episodes(events: DataFrame, ts: str, person: str, gap: str = "14 days", dela
 
 
 def residual_radii(residuals: DataFrame, series: str, value: str, alpha: float = 0.1, buffer: int = 52) -> DataFrame:
-    """(series, n, radius) after each batch: conformal radius over the last `buffer` absolute residuals kept as state."""
+    """(series, n, radius) after each batch: conformal radius over the last `buffer` absolute finite residuals kept as state."""
     import math
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         kept = list(state.get[0]) if state.exists else []
         for f in frames:
-            kept = (kept + f.sort_values("seq")[value].dropna().abs().tolist())[-buffer:]
+            r = f.sort_values("seq")[value].abs()
+            kept = (kept + r[r < math.inf].tolist())[-buffer:]
         state.update((kept,))
         k = min(len(kept), max(1, math.ceil((len(kept) + 1) * (1 - alpha))))
         yield pd.DataFrame({series: [key[0]], "n": [len(kept)], "radius": [sorted(kept)[k - 1] if kept else None]})
@@ -56,3 +73,8 @@ def drained(stream: DataFrame, path: str, checkpoint: str, mode: str = "append")
     q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return q
+
+
+def delivered(stream: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Everything available through a batch function, such as sources.files.keyed_batches; a later call resumes."""
+    stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -24,3 +24,72 @@ def test_runs_and_splits(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/s/split=a").count() == 2
     I.write_json(spark.createDataFrame([(1, None)], "a int, b string"), f"{tmp_path}/js")
     assert spark.read.text(f"{tmp_path}/js").first()[0] == '{"a":1,"b":null}'
+
+
+def test_runs_of_different_width(spark, tmp_path):
+    texts = {
+        "low": "as_of,date,actual,q_0.05\n2024-01-01,2024-01-08,5,1\n",
+        "mid": "q_0.5,as_of,actual,date\n99,2024-01-01,6,2024-01-08\n98,,6,2024-01-15\n",
+        "flat": "date,actual,q_0.05\n2024-01-08,7,2\n",
+        "more": 'as_of,date,actual,"a, note",q_0.05\n2024-01-01,2024-01-08,8,"x, y",3\n',
+        "empty": "",
+    }
+    for run, text in texts.items():
+        (tmp_path / "runs" / run).mkdir(parents=True)
+        (tmp_path / "runs" / run / "predictions.csv").write_text(text)
+    (tmp_path / "runs" / "none").mkdir()
+    got = {r["run"]: r for r in I.read_runs(spark, f"{tmp_path}/runs").collect()}
+    assert sorted(got) == ["low", "mid", "more"]
+    assert (got["low"]["q_0.05"], got["low"]["q_0.5"], got["low"]["actual"]) == (1, None, 5)
+    assert (got["mid"]["q_0.05"], got["mid"]["q_0.5"], str(got["mid"]["as_of"]), got["mid"]["actual"]) == (None, 99, "2024-01-01", 6)
+    assert got["more"]["a, note"] == "x, y"
+    assert I.read_runs(spark, f"{tmp_path}/runs", "nothing.csv").columns == ["run", "as_of"]
+
+
+def test_mapping_grows_and_keeps_its_numbers(spark, tmp_path):
+    from epispark.operators import clean as C
+
+    path = f"{tmp_path}/mapping"
+    ids = lambda *v: (spark.createDataFrame([(x,) for x in v], "id string"), "id")
+    first = {r["id"]: r["number"] for r in C.extend_mapping(spark, path, [ids("m", "c", None, ""), ids("x", "c")]).collect()}
+    assert first == {"c": 1, "m": 2, "x": 3}
+    for _ in range(2):  # the second run finds nothing new
+        second = {r["id"]: r["number"] for r in C.extend_mapping(spark, path, [ids("a", "x", "z", "m")]).collect()}
+        assert second == {**first, "a": 4, "z": 5}
+    named = C.pseudonymised(ids("z", "", None, "c", "unknown")[0], "id", C.saved_mapping(spark, path))
+    assert sorted((r[0] or "-") for r in named.collect()) == ["-", "P000000", "P000000", "P000001", "P000005"]
+    wide = spark.range(1).select(C.pseudonym(F.lit(1234567)).alias("p"))
+    assert wide.first()["p"] == "P1234567"
+
+
+def test_article_records(spark):
+    from epispark.operators import text as X
+
+    long = "数" * 60
+    pages = [
+        ("http://www.nhc.gov.cn/a", f"<html><head><title> T &amp; 2023年 5月 </title><style>2020年1月</style></head><body><!-- 2019年1月 --><div class='content'><p>2018年 5月</p></div><article><div>共报告法定传染病 10 15例，死亡2人<b>{long}</b></div>tail</article>after</body></html>", ""),
+        ("http://x.ndcpa.gov.cn/b", f"<div id=content><div>in{long}</div>2021年12月 报告发病727645例、死亡2465人</div><div class=content>short</div>", "Hint 2020年3月"),
+        ("http://y/c", "<p>no month here</p>", ""),
+        ("http://y/d", None, "2020年3月"),
+        ("http://wsjkw.zj.gov.cn/e", "<h1>2022年01月</h1> 报告发病5例 <br>x", ""),
+        ("http://y/f", f"<div class='content'><div>{long} 2020年2月 never closed<p>more", None),
+    ]
+    got = {r["url"][-1]: r for r in X.article_records(spark.createDataFrame(pages, "url string, html string, hint string"), "hint").collect()}
+    assert sorted(got) == ["a", "b", "e", "f"]
+    a, b, e, f = (got[k] for k in "abef")
+    assert (a["title"], a["month"], a["cases"], a["deaths"], a["source"]) == ("T & 2023年 5月", "2023-05", 1015, 2, "nhc")
+    assert a["main_text"] == f"共报告法定传染病 10 15例，死亡2人\n{long}\ntail"
+    assert (b["title"], b["month"], b["cases"], b["deaths"], b["source"]) == ("Hint 2020年3月", "2020-03", 727645, 2465, "ndcpa")
+    assert b["main_text"] == f"in{long}\n2021年12月 报告发病727645例、死亡2465人"
+    assert (e["title"], e["month"], e["cases"], e["deaths"], e["source"]) == ("2022年01月", "2022-01", 5, None, "zj")
+    assert f["main_text"].endswith("never closed\nmore")
+
+
+def test_links_in_any_quotes(spark):
+    from epispark.operators import text as X
+
+    html = """<a href='/a b'>one <b>x</b></a><A class=q HREF = "c?d=1">two</A ><a rel=n href=http://o/e>three</a><a href=//p/f>four</a><a name=z>no</a><a data-href="/no">no</a><a href="/g"> </a>"""
+    p = spark.createDataFrame([("https://s.org/dir/page", html)], "url string, html string")
+    got = [(r["href"], r["title"], r["target"]) for r in X.links(p).orderBy("pos").collect()]
+    assert got == [("/a b", "one x", "https://s.org/a b"), ("c?d=1", "two", "https://s.org/c?d=1"), ("http://o/e", "three", "http://o/e"), ("//p/f", "four", "https://p/f"), ("/g", "", "https://s.org/g")]
+    assert [r["title"] for r in X.links(p, title=lambda t: F.length(t) != 4).orderBy("pos").collect()] == ["one x", "two", "three"]
