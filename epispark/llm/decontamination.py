@@ -119,7 +119,7 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = 5, similarity: float
     b = b.groupBy("item_id").agg(F.min("item_text").alias("item_text")).withColumn("item_tokens", canonical(F.col("item_text")))
     b = written(b.withColumn("template", F.xxhash64("item_tokens")))
     few = (F.size("item_tokens") < window) | (plain(F.col("item_tokens")) * 2 < window)
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.hash(text).alias("copy"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("copy"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
     exact = b.where(few)
     b = b.where(~few)
     n = F.size("item_tokens")

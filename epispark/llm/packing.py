@@ -77,7 +77,8 @@ def packed(docs: DataFrame, capacity: int = 2048, end_id: int = 1, piece: int =
 
     Each partition of docs packs its own rows in pools of about `pool` windows, without a shuffle and in bounded
     memory: only the last pool of a partition may be small. A task that runs again reads the same rows in the same
-    order and gives the same sequences. Null and empty texts give the end id alone; rows that repeat an id are
+    order and gives the same sequences. The ids are those of the JSON tokenizer of the same vocabulary, without special
+    tokens and with end_id behind each document (a test compares the two encoders). Null and empty texts give the end id alone; rows that repeat an id are
     documents of their own; an empty table gives no piece.
     """
 
@@ -90,7 +91,8 @@ def packed(docs: DataFrame, capacity: int = 2048, end_id: int = 1, piece: int =
         held = 0
 
         def frame(rows: list[tuple]) -> pd.DataFrame:
-            return pd.DataFrame(rows, columns=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]).astype({"doc_id": "Int64"})
+            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+            return out.assign(doc_id=pd.array([r[0] for r in rows], dtype="Int64"))
 
         def dealt() -> pd.DataFrame:
             nonlocal made, held
@@ -109,7 +111,7 @@ def packed(docs: DataFrame, capacity: int = 2048, end_id: int = 1, piece: int =
         for batch in batches:
             full = []
             for d, t in zip(batch["doc_id"], batch["text"], strict=True):
-                d = None if pd.isna(d) else int(d)
+                d = None if d is None else int(d)
                 ids = np.array([*(enc.encode(t, allowed_special="all") if t else ()), end_id], "<u4")
                 total, start = len(ids), 0
                 while total - start >= capacity:
@@ -131,7 +133,8 @@ def packed(docs: DataFrame, capacity: int = 2048, end_id: int = 1, piece: int =
         if waiting:
             yield dealt()
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    # ids as text: a null beside a large one would make pandas round it
+    return docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
 def padding(pieces: DataFrame, capacity: int = 2048) -> DataFrame:

@@ -1,9 +1,9 @@
 """Passages that repeat across documents, by sparse suffix arrays.
 
 Suffixes start at words; only those at content-selected minimiser positions are retained, so equal passages retain the
-same ones. Spark sorts them by their first words and by what surrounds these, and compares those that are neighbours in
-this order. A match is extended to the left and right by whole windows: every window of `least` words that holds the
-suffix's start is told repeated or not, and runs of repeated windows are the passages.
+same ones. Retained suffixes that agree in their first words are sorted by the words that follow; neighbours are compared
+for the length that they share, which gives the runs of the array that share enough to the right for a window of `least`
+words, and these are split by what lies to the left of the suffixes: so matches extend to both sides, word by word.
 """
 
 from __future__ import annotations
@@ -53,20 +53,63 @@ class Ranges:
         return self.of(start, start + size)
 
 
-def suffixes(text: str | None, least: int, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each retained suffix of a whole text: its key (the first least - window words), a hash of all windows of
-    `least` words that start up to window - 1 words before it, and the first and the last start of these."""
+def suffixes(text: str | None, least: int, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Of each retained suffix of a whole text: its key (the first least - window words), a hash of its windows, those of
+    `least` words whose minimiser it is, its place, and the first and the last start of these windows."""
     ranges = Ranges(words_of(text))
     if ranges.n < least:
-        none = np.zeros(0, np.int64)
-        return none, none, none, none
+        return (np.zeros(0, np.int64),) * 5
     order = ranges.windows(gram)[: ranges.n - least + window]
     low = np.lib.stride_tricks.sliding_window_view(order, window).argmin(1)
-    at = np.unique(low + np.arange(len(low)))
-    lo, hi = np.maximum(at - window + 1, 0), np.minimum(at, ranges.n - least)
+    at, lo = np.unique(low + np.arange(len(low)), return_index=True)
+    hi = np.r_[lo[1:], len(low)] - 1
     key = ranges.of(at, at + least - window)
     around = mixed(ranges.of(lo, hi + least) + ((at - lo) * least + hi - lo).astype(np.uint64))
-    return key.view(np.int64), around.view(np.int64), lo, hi
+    return key.view(np.int64), around.view(np.int64), at, lo, hi
+
+
+def sides(words: list[bytes], ranges: Ranges, at: np.ndarray, least: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of suffixes at these places: hashes of the `window` words behind their key (0 past the end), and of the d words
+    before them, d = 0 .. window - 1 (0 past the start)."""
+    h = np.r_[hashes_of(words), np.zeros(least, np.uint64)]
+    right = h[np.minimum(at[:, None] + least - window + np.arange(window), ranges.n)]
+    start = at[:, None] - np.arange(window)
+    left = np.where(start >= 0, ranges.of(np.maximum(start, 0), np.broadcast_to(at[:, None], start.shape)), np.uint64(0))
+    return right, left
+
+
+def sorted_matches(least: int, window: int):
+    """Of whole groups of suffixes by key, each with its neighbourhood's first and last document (a, b): the first and last
+    document of each of their windows that several documents hold. A row per window, `back` words before the suffix, or one
+    per neighbourhood that several documents share, as all its windows are repeated (back = -1; the smallest first and the
+    smallest last one)."""
+
+    def run(f: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        right = np.frombuffer(b"".join(f["right"]), np.uint64).reshape(len(f), window)
+        order = np.lexsort([*right.T[::-1], f["k"].to_numpy()])
+        f, right = f.iloc[order].reset_index(drop=True), right[order]
+        left = np.frombuffer(b"".join(f["left"]), np.uint64).reshape(len(f), window)
+        k, a, b, at, lo, hi = (f[c].to_numpy(np.int64) for c in ("k", "a", "b", "at", "lo", "hi"))
+        # what neighbours share behind their key; nothing where the key differs
+        shared = np.r_[-1, np.where(k[1:] == k[:-1], np.logical_and.accumulate(right[1:] == right[:-1], 1).sum(1), -1)]
+        whole, first, last = a < b, np.full(len(f), np.iinfo(np.int64).max), np.full(len(f), np.iinfo(np.int64).max)
+        out = []
+        for d in range(window):  # windows that start d words before the suffix reach window - d words behind its key
+            run_of = np.cumsum(shared < window - d)
+            ok = np.flatnonzero((at - d >= lo) & (at - d <= hi))
+            by = ok[np.lexsort((left[ok, d], run_of[ok]))]
+            if not len(by):
+                continue
+            start = np.flatnonzero(np.r_[True, (run_of[by][1:] != run_of[by][:-1]) | (left[by, d][1:] != left[by, d][:-1])])
+            size = np.diff(np.r_[start, len(by)])
+            mn, mx = np.repeat(np.minimum.reduceat(a[by], start), size), np.repeat(np.maximum.reduceat(b[by], start), size)
+            first[by], last[by] = np.minimum(first[by], mn), np.minimum(last[by], mx)
+            hit = (mn < mx) & ~whole[by]
+            out.append(f.loc[by[hit], ["k", "around"]].assign(back=d, a=mn[hit], b=mx[hit]))
+        out.append(f.loc[whole, ["k", "around"]].assign(back=-1, a=first[whole], b=last[whole]))
+        yield pd.concat(out)
+
+    return run
 
 
 def spans(least: int):
@@ -84,26 +127,27 @@ def spans(least: int):
     return run
 
 
-def repeated_passages(docs: DataFrame, least: int = 50, window: int = 20, gram: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, least: int = 50, window: int = 20, gram: int = 5, most: int = 4096, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, start_word, end_word, n_words, other_doc_id: the passages of at least `least` words that another document
     holds. A span is a longest run of windows of `least` words of which each stands in another document as well (equal
-    by 64-bit hashes); other_doc_id is the smallest document that was met for any of them.
-
-    Every window of `least` words has a minimiser in its first `window` positions, hence a retained suffix whose key
-    lies within it. (1) Suffixes whose key no other document holds are dropped. (2) Suffixes with equal key and equal
-    surroundings stand in the same windows: where several documents share them, all of these windows are repeated.
-    (3) What is left differs from the other suffixes of its key somewhere around it; its windows, and those of one
-    suffix of each such group of equal ones, are compared one by one. Each step counts before it shuffles or joins two
-    written tables, whose hot keys Spark splits, so neither copies nor a passage that many documents share gather in one
-    task, and no result depends on the size of a group.
-
-    Null and empty texts and rows without id have no passage. Rows that repeat an id are one document of several texts:
-    passages they share among each other do not count, and their spans are listed under the one id, each within its own
-    text. An empty table gives an empty table. Other columns are ignored, whatever their names.
+    by 64-bit hashes). other_doc_id: each window names its first document, in that one its last; of a span's windows the
+    smallest that is named.
+
+    Every window of `least` words has one minimiser in its first `window` positions, a retained suffix whose key lies
+    within it, and every copy of the window has the same one. (1) Suffixes whose key no other document holds are dropped. (2) Suffixes
+    with equal key and equal surroundings stand in the same windows and are merged, with their first and last document;
+    where a key has no other surroundings, that is all there is to tell. (3) Else one suffix of each of its different
+    surroundings is sorted among them and matched to both sides (sorted_matches). Keys with more than `most` different
+    surroundings, which no single task should sort, are told window by window instead, by the windows' hashes. Each step
+    counts before it shuffles or joins two written tables, whose hot keys Spark splits, so neither copies nor a passage
+    that many documents share gather in one task, and no result depends on the size of a group.
+
+    Null and empty texts and rows without id have no passage. Rows that repeat an id are one document of several texts
+    (told apart by 64-bit hashes): passages they share among each other do not count, and their spans are listed under the
+    one id, each within its own text. An empty table gives an empty table. Other columns are ignored, whatever their names.
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
-    # texts of one id stay apart by their hash
-    d = d.withColumn("copy", F.hash("text"))
+    d = d.withColumn("copy", F.xxhash64("text"))
 
     def retained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -112,42 +156,48 @@ def repeated_passages(docs: DataFrame, least: int = 50, window: int = 20, gram:
                 found = [suffixes(t, least, window, gram) for t in part["text"]]
                 n = [len(f[0]) for f in found]
                 if sum(n):
-                    columns = {c: np.concatenate([f[x] for f in found]) for x, c in enumerate(("k", "around", "lo", "hi"))}
+                    columns = {c: np.concatenate([f[x] for f in found]) for x, c in enumerate(("k", "around", "at", "lo", "hi"))}
                     yield pd.DataFrame({"doc_id": np.repeat(part["doc_id"].to_numpy(), n), "copy": np.repeat(part["copy"].to_numpy(), n), **columns})
 
-    row = ["doc_id", "copy", "lo", "hi"]
-    rows = written(d.mapInPandas(retained, "doc_id long, copy int, k long, around long, lo int, hi int"))
-    other = lambda a, b: F.when(F.col(a) != F.col("doc_id"), F.col(a)).otherwise(F.col(b))
-    keys = rows.groupBy("k").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("around").alias("x"), F.max("around").alias("y"))
+    row, place = ["doc_id", "copy", "lo", "hi"], ["doc_id", "copy", "at", "lo", "hi"]
+    rows = written(d.mapInPandas(retained, "doc_id long, copy long, k long, around long, at int, lo int, hi int"))
+    other = F.when(F.col("a") != F.col("doc_id"), F.col("a")).otherwise(F.col("b")).alias("other")
+    ends = (F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+    keys = rows.groupBy("k").agg(*ends, F.min("around").alias("x"), F.max("around").alias("y"))
     keys = written(keys.where("a <> b").select("k", "a", "b", (F.col("x") != F.col("y")).alias("several")))
     met = written(rows.join(keys, "k"))
-    alike = met.where("not several").select(*row, other("a", "b").alias("other"))
-
-    several = met.where("several").select("k", "around", *row)
-    groups = several.groupBy("k", "around").agg(F.min(F.struct(*row)).alias("one"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
-    groups = written(groups)
-    told = written(several.join(groups.select("k", "around", "a", "b"), ["k", "around"]).select(*row, "a", "b"))
-    alike = alike.unionByName(told.where("a <> b").select(*row, other("a", "b").alias("other")))
+    alike = met.where("not several").select(*row, other)
 
-    asked = told.where("a = b").select(*row, F.lit(None).cast("long").alias("other")).unionByName(groups.where("a <> b").select("one.*", F.col("b").alias("other")))
-    asked = asked.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("lo", "hi", "other")).alias("asked"))
+    several = met.where("several").select("k", "around", *place)
+    groups = written(several.groupBy("k", "around").agg(F.min(F.struct(*place)).alias("one"), *ends))
+    many = groups.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("k", F.lit(True).alias("many"))
+    one = groups.join(many, "k", "left").select("one.*", "k", "around", "a", "b", F.coalesce("many", F.lit(False)).alias("many"))
+    asked = one.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("k", "around", "at", "lo", "hi", "a", "b", "many")).alias("asked"))
 
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def surroundings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for doc, copy, text, asked in zip(b["doc_id"], b["copy"], b["text"], b["asked"], strict=True):
-                ranges = Ranges(words_of(text))
-                known = np.full(ranges.n - least + 1, -1, np.int64)  # by start: -1 not asked, 0 open, 1 held by another
-                also = np.full(len(known), doc)
-                for q in sorted(asked, key=lambda q: q["other"] is not None):
-                    at = slice(q["lo"], q["hi"] + 1)
-                    known[at] = 0 if q["other"] is None else 1
-                    also[at] = doc if q["other"] is None else q["other"]
-                at = np.flatnonzero(known >= 0)
-                w = ranges.of(at, at + least).view(np.int64)
-                yield pd.DataFrame({"w": w, "doc_id": doc, "copy": copy, "at": at, "open": known[at] == 0, "a": np.minimum(also[at], doc), "b": np.maximum(also[at], doc)})
-
-    met = written(d.join(asked, ["doc_id", "copy"]).mapInPandas(windows, "w long, doc_id long, copy int, at int, open boolean, a long, b long"))
-    shared = written(met.groupBy("w").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b"))
-    single = met.where("open").select("w", "doc_id", "copy", "at").join(shared, "w").select("doc_id", "copy", F.col("at").alias("lo"), F.col("at").alias("hi"), other("a", "b").alias("other"))
-    found = by_sorted_groups(alike.unionByName(single), ["doc_id", "copy"], ["lo"], spans(least), "doc_id long, start_word int, end_word int, n_words int, other_doc_id long")
+                words = words_of(text)
+                ranges = Ranges(words)
+                q = pd.DataFrame([tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in asked], columns=["k", "around", "at", "lo", "hi", "a", "b", "many"])
+                right, left = sides(words, ranges, q["at"].to_numpy(), least, window)
+                whole = lambda lo, hi: ranges.of(np.arange(lo, hi + 1), np.arange(lo, hi + 1) + least).view(np.int64)  # noqa: B023, E731
+                windows = [whole(lo, hi) if many else None for lo, hi, many in zip(q["lo"], q["hi"], q["many"], strict=True)]
+                yield q.assign(doc_id=doc, copy=copy, right=[r.tobytes() for r in right], left=[x.tobytes() for x in left], windows=windows)
+
+    sortable = "k long, around long, at int, lo int, hi int, a long, b long, many boolean, doc_id long, copy long, right binary, left binary, windows array<long>"
+    told = written(d.join(asked, ["doc_id", "copy"]).mapInPandas(surroundings, sortable))
+    matched = by_sorted_groups(told.where("not many").drop("many", "windows"), ["k"], [], sorted_matches(least, window), "k long, around long, back int, a long, b long")
+
+    each = told.where("many").select("k", "around", "a", "b", "at", "lo", F.posexplode("windows").alias("p", "w"))
+    shared = written(each.groupBy("w").agg(F.min("a").alias("mn"), F.max("b").alias("mx")).where("mn <> mx"))
+    hit = each.join(shared, "w")
+    single = hit.where("a = b").select("k", "around", (F.col("at") - F.col("lo") - F.col("p")).alias("back"), F.col("mn").alias("a"), F.col("mx").alias("b"))
+    common = hit.where("a <> b").groupBy("k", "around").agg(F.lit(-1).alias("back"), F.min("mn").alias("a"), F.min("mx").alias("b"))
+    matched = written(matched.unionByName(single).unionByName(common))
+
+    # what is told of one suffix holds for all with the same surroundings
+    bound = lambda c: F.when(F.col("back") < 0, F.col(c)).otherwise(F.col("at") - F.col("back")).alias(c)
+    alike = alike.unionByName(several.join(matched, ["k", "around"]).select("doc_id", "copy", bound("lo"), bound("hi"), other))
+    found = by_sorted_groups(alike, ["doc_id", "copy"], ["lo"], spans(least), "doc_id long, start_word int, end_word int, n_words int, other_doc_id long")
     return found.distinct()

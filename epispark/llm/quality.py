@@ -78,7 +78,7 @@ def quality(docs: DataFrame, labels: DataFrame, per_class: int = 1500, threshold
     outside the held-out fold; every whole text is scored. Null and empty texts have the difference 0, as plain
     repetition has, and get its score; without a model all get 0.5. Repeated rows are scored each, equal texts alike;
     columns score and predicted of docs are replaced, others pass through; an empty table stays empty."""
-    model = fit(labelled_sample(docs, labels, "quality", PARTS, HELD_OUT, per_class))
+    model = fit(labelled_sample(docs, labels, "quality", PARTS, HELD_OUT, per_class, text))
     if model is None:
         return docs.withColumn("score", F.lit(0.5)).withColumn("predicted", F.lit(1))
     shared = sent(docs.sparkSession, model)  # two dictionaries of at most `size` bytes

@@ -47,7 +47,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(table(spark, sf_dir, "documents")).select("doc_id", "start_word", "end_word", "n_words")
+    return repeated_passages(table(spark, sf_dir, "documents"))
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,14 +98,14 @@ QUERIES = {
     "op13_negatives": op13_negatives,
 }
 
-#: runs of windows of 50 words that stand in another document too
+#: runs of windows of 50 words that stand in another document too, and a document that holds one of them
 PASSAGES = """
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents),
 h AS (SELECT doc_id, unnest(range(0, len(w) - 49)) AS k, unnest(list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(list_slice(w, i, i + 49), ' ')))) AS h FROM w WHERE len(w) >= 50),
-r AS (SELECT h FROM h GROUP BY h HAVING count(DISTINCT doc_id) > 1),
-f AS (SELECT DISTINCT doc_id, k FROM h SEMI JOIN r USING (h)),
-g AS (SELECT doc_id, k, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS isle FROM f)
-SELECT doc_id, CAST(min(k) AS INTEGER) AS start_word, CAST(max(k) + 50 AS INTEGER) AS end_word, CAST(max(k) + 50 - min(k) AS INTEGER) AS n_words FROM g GROUP BY doc_id, isle
+r AS (SELECT h, min(doc_id) AS a, max(doc_id) AS b FROM h GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+f AS (SELECT doc_id, k, min(CASE WHEN a <> doc_id THEN a ELSE b END) AS other FROM h JOIN r USING (h) GROUP BY doc_id, k),
+g AS (SELECT doc_id, k, other, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS isle FROM f)
+SELECT doc_id, CAST(min(k) AS INTEGER) AS start_word, CAST(max(k) + 50 AS INTEGER) AS end_word, CAST(max(k) + 50 - min(k) AS INTEGER) AS n_words, min(other) AS other_doc_id FROM g GROUP BY doc_id, isle
 """
 
 #: all pairs of vectors, and what is reachable by them

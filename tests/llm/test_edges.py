@@ -6,17 +6,20 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from epispark.llm import quality, toxicity
+from epispark.llm.archives import archived
 from epispark.llm.common import table
 from epispark.llm.decontamination import leaks
 from epispark.llm.embeddings import vector_links
+from epispark.llm.negatives import hard_negatives
 from epispark.llm.packing import packed
 from epispark.llm.pages import main_text
 from epispark.llm.passages import repeated_passages
 from epispark.llm.secrets import with_secrets
 from epispark.llm.simhash import near_duplicates
+from epispark.llm.spelling import spelling_variants
 from epispark.llm.urls import url_verdicts
 
-CLASHES = "score predicted id row rows page host path rule verdict url_ text_hash fp k lo hi copy shift h e node cell spans found rules _id _host _row start length ids at a b w y hash least place blocks parts sig".split()
+CLASHES = "score predicted id row rows page host path rule verdict url_ text_hash fp k lo hi copy shift h e node cell spans found rules _id _host _row start length ids at a b w y hash least place blocks parts sig word near form n label digest size more top shared payload bundle content vec windows levels many whole".split()
 LONG = ["Ab " * 60_000, "1,2 " * 60_000, "word " * 120_000, "x" * 400_000, "password=" * 20_000, "<p>" * 30_000]
 TEXTS = [None, "", " ", "\x00", "a", "A fine day out.", "A fine day out.", "\U0001f600 é ﷽", "token = abcdefgh12345678"]
 
@@ -46,6 +49,9 @@ OPERATORS = {
     "op8": ("documents", lambda d, t: repeated_passages(d), False),
     "op9": ("documents", lambda d, t: with_secrets(d), True),
     "op10": ("vectors", lambda d, t: vector_links(d), True),
+    "op11": ("pages", lambda d, t: archived(d), True),
+    "op12": ("documents", lambda d, t: spelling_variants(d), False),
+    "op13": ("vectors", lambda d, t: hard_negatives(d.withColumn("label", F.pmod(F.xxhash64("embedding"), F.lit(3)).cast("int")), every=7), False),
 }
 
 
@@ -63,7 +69,7 @@ def test_operator_on_odd_rows(tables, name):
         for c in set(CLASHES) - made:
             assert all(r[c] == 7 for r in rows), c
     # the same with rows in another order and partitioning: equal rows have equal results
-    key = {"pages": "page_id", "vectors": "vec_id"}.get(source, "doc_id")
+    key = {"op12": "word", "op13": "anchor_id"}.get(name) or {"pages": "page_id", "vectors": "vec_id"}.get(source, "doc_id")
     if name not in ("op2",):
         again = apply(d.repartition(5), tables).collect()
         wanted = [c for c in out.columns if c not in CLASHES or c in ("score", "predicted", "host", "path", "rule", "verdict")]
@@ -91,3 +97,24 @@ def test_stage_on_odd_rows_and_an_empty_table(spark, sf, tables, k):
             ids = [r["doc_id"] for r in rows if r["doc_id"] is not None]
             assert len(ids) == len(set(ids))
     assert stage(spark, tables["plain"].limit(0), sf).count() == 0
+
+
+BIG = 1152921504606846977  # no double holds it
+
+
+def test_large_ids_beside_nulls_stay_exact(spark, sf, tables):
+    rows = [(BIG, "some words to pack here"), (None, "and more"), (BIG + 2, "a third text"), (7, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"] for r in packed(d).collect()} == {BIG, BIG + 2, 7, None}
+    word = " ".join(f"w{k}" for k in range(60))
+    long = spark.createDataFrame([(BIG, word), (BIG + 2, word), (None, word)], "doc_id long, text string").coalesce(1)
+    assert {(r["doc_id"], r["other_doc_id"]) for r in repeated_passages(long).collect()} == {(BIG, BIG + 2), (BIG + 2, BIG)}
+    assert {(r["doc_id"], r["component_id"]) for r in near_duplicates(long).collect()} == {(BIG, BIG), (BIG + 2, BIG), (None, BIG)}
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_text_column_of_another_name(spark, sf, module):
+    apply = getattr(module, module.__name__.rsplit(".", 1)[-1])
+    d, labels = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels")
+    named = apply(d.withColumnRenamed("text", "body"), labels, text="body").select("doc_id", "score")
+    assert sorted(map(tuple, named.collect())) == sorted(map(tuple, apply(d, labels).select("doc_id", "score").collect()))

@@ -295,26 +295,32 @@ def test_leaks_in_long_runs_of_names_and_numbers(spark):
 
 
 def brute_passages(rows, least=50):
-    """Longest runs of windows that another id holds as well."""
+    """Longest runs of windows that another id holds as well, each with the smallest of the documents that its windows
+    name: the first that holds a window, in that one the last."""
     held, out = {}, set()
     every = [(i, (t or "").encode("utf-8", "surrogatepass").split()) for i, t in rows if i is not None]
     for i, w in every:
         for k in range(len(w) - least + 1):
             held.setdefault(tuple(w[k : k + least]), set()).add(i)
     for i, w in every:
-        again = [k for k in range(len(w) - least + 1) if len(held[tuple(w[k : k + least])]) > 1]
-        for k in again:
-            if k - 1 not in again[max(0, again.index(k) - 1) : again.index(k)]:
-                start = k
-            if k + 1 not in again[again.index(k) + 1 : again.index(k) + 2]:
-                out.add((i, start, k + least))
+        named = {}
+        for k in range(len(w) - least + 1):
+            ids = held[tuple(w[k : k + least])]
+            if len(ids) > 1:
+                named[k] = min(ids) if min(ids) != i else max(ids)
+        for k in named:
+            if k - 1 not in named:
+                end = k
+                while end + 1 in named:
+                    end += 1
+                out.add((i, k, end + least, min(named[x] for x in range(k, end + 1))))
     return out
 
 
 def found_passages(d):
     rows = d.collect()
     assert all(r["other_doc_id"] != r["doc_id"] and r["n_words"] == r["end_word"] - r["start_word"] for r in rows)
-    return {tuple(r)[:3] for r in rows}
+    return {(r["doc_id"], r["start_word"], r["end_word"], r["other_doc_id"]) for r in rows}
 
 
 def test_passages_match_brute_force(spark, sf):
@@ -328,7 +334,7 @@ def test_passages_extend_and_edges(spark):
     rows += [(8, f"{shared} q"), (8, f"p {shared}"), (8, f"p {shared}"), (9, " ".join(f"z{k}" for k in range(60))), (9, " ".join(f"z{k}" for k in range(60)))]
     d = docs(spark, rows)
     assert found_passages(repeated_passages(d)) == brute_passages(rows)
-    assert {(1, 2, 62), (2, 1, 61), (6, 0, 120), (7, 0, 119), (8, 0, 60), (8, 1, 61)} == found_passages(repeated_passages(d.withColumn("lo", F.lit(1)).withColumn("copy", F.lit(2))))
+    assert {(1, 2, 62, 8), (2, 1, 61, 1), (6, 0, 120, 7), (7, 0, 119, 6), (8, 0, 60, 1), (8, 1, 61, 1)} == found_passages(repeated_passages(d.withColumn("lo", F.lit(1)).withColumn("copy", F.lit(2))))
     assert repeated_passages(d.limit(0)).count() == 0
 
 
@@ -347,7 +353,9 @@ def test_passages_among_partial_and_whole_copies(spark):
     for k, w in enumerate(near):
         w[5 * k] = f"x{k}"
     rows += [(13000 + k, " ".join(w)) for k, w in enumerate(near)]
-    assert found_passages(repeated_passages(docs(spark, rows))) == brute_passages(rows)
+    want = brute_passages(rows)
+    assert found_passages(repeated_passages(docs(spark, rows))) == want
+    assert found_passages(repeated_passages(docs(spark, rows), most=3)) == want  # keys with many surroundings, by windows
 
 
 def test_pages(spark):
