@@ -87,8 +87,17 @@ def key_of(gram: int, place: int, size: int) -> int:
     return (gram << 50) | (place << 25) | size
 
 
+def letters_of(word: str) -> int:
+    """63 bits, each the parity of the letters that fall on it. One edit changes at most two of them."""
+    out = 0
+    for c in word:
+        out ^= 1 << ord(c) % 63
+    return out
+
+
 def signed(word: str, n: int, rank: dict[str, int], count: dict[str, int]) -> tuple:
-    """What a word is found by: keys of its prefix (index) and of its pivots (asks), and the rank that ends its prefix."""
+    """What a word is found by: keys of its prefix (index) and of its pivots (asks), and the rank that ends its prefix;
+    and its letters, which rule out most words before they are compared."""
     grams = [word[i : i + GRAM] for i in range(len(word) - GRAM + 1)]
     ranks = [rank[g] for g in grams]
     prefix = prefix_of(ranks)
@@ -96,7 +105,7 @@ def signed(word: str, n: int, rank: dict[str, int], count: dict[str, int]) -> tu
     for p in pivots_of(prefix, [count[grams[i]] for i in prefix]):
         # a gram that survives an edit stays at its place, or moves with the length if the edit lies before it
         asks += [key_of(ranks[p], at, len(word) + d) for d in (-1, 0, 1) for at in {p, p + d} if at >= 0]
-    return word, n, max(ranks[p] for p in prefix), [key_of(ranks[p], p, len(word)) for p in prefix], asks
+    return word, n, letters_of(word), max(ranks[p] for p in prefix), [key_of(ranks[p], p, len(word)) for p in prefix], asks
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -110,12 +119,12 @@ def near_words(words: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([signed(w, n, rank, count) for w, n in zip(b["word"], b["n"], strict=True)], columns=["word", "n", "last", "index", "asks"])
+            yield pd.DataFrame([signed(w, n, rank, count) for w, n in zip(b["word"], b["n"], strict=True)], columns=["word", "n", "letters", "last", "index", "asks"])
 
-    s = written(words.mapInPandas(run, "word string, n long, last int, index array<long>, asks array<long>"))
-    index = s.select(F.explode("index").alias("key"), F.col("word").alias("b"), F.col("n").alias("bn"), F.col("last").alias("blast"))
-    asks = s.select(F.explode("asks").alias("key"), F.col("word").alias("a"), F.col("n").alias("an"), F.col("last").alias("alast"))
-    found = asks.join(index, "key").where("alast <= blast and a <> b").where(F.levenshtein("a", "b", 1) == 1)
+    s = written(words.mapInPandas(run, "word string, n long, letters long, last int, index array<long>, asks array<long>"))
+    index = s.select(F.explode("index").alias("key"), F.col("word").alias("b"), F.col("n").alias("bn"), F.col("letters").alias("bletters"), F.col("last").alias("blast"))
+    asks = s.select(F.explode("asks").alias("key"), F.col("word").alias("a"), F.col("n").alias("an"), F.col("letters").alias("aletters"), F.col("last").alias("alast"))
+    found = asks.join(index, "key").where("alast <= blast and bit_count(aletters ^ bletters) <= 2 and a <> b").where(F.levenshtein("a", "b", 1) == 1)
     first = F.col("a") < F.col("b")
     pick = lambda x, y, name: F.when(first, F.col(x)).otherwise(F.col(y)).alias(name)
     return found.select(pick("a", "b", "a"), pick("an", "bn", "an"), pick("b", "a", "b"), pick("bn", "an", "bn")).distinct()
