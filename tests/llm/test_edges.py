@@ -118,3 +118,15 @@ def test_text_column_of_another_name(spark, sf, module):
     d, labels = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels")
     named = apply(d.withColumnRenamed("text", "body"), labels, text="body").select("doc_id", "score")
     assert sorted(map(tuple, named.collect())) == sorted(map(tuple, apply(d, labels).select("doc_id", "score").collect()))
+
+
+@pytest.mark.parametrize("k", range(4))
+def test_stage_keeps_the_values_of_clashing_columns(spark, sf, k):
+    extra = {"score": F.lit(7.0), "predicted": F.lit(1), "Size": F.concat(F.lit("s"), F.col("doc_id")), "row": F.lit(3), "id": F.lit(4), "hash": F.lit(5), "least": F.lit(6), "rows": F.lit(8), "clean": F.lit("c"), "spans": F.lit("x"), "similarity": F.lit(9), "component_id": F.lit(10), "doc_tokens": F.lit(11)}
+    d = table(spark, sf, "documents").limit(80).withColumns(extra)
+    plain = {r["doc_id"]: r for r in corpus_pipeline.STAGES[k][1](spark, d.drop(*extra), sf).collect()}
+    rows = corpus_pipeline.STAGES[k][1](spark, d, sf).collect()
+    assert {r["doc_id"] for r in rows} == set(plain)
+    for r in rows:
+        assert (r["score"], r["predicted"], r["Size"], r["row"], r["id"], r["hash"], r["least"], r["rows"], r["clean"], r["spans"], r["similarity"], r["component_id"], r["doc_tokens"]) == (7.0, 1, f"s{r['doc_id']}", 3, 4, 5, 6, 8, "c", "x", 9, 10, 11)
+        assert (r["text"], r["n_chars"]) == (plain[r["doc_id"]]["text"], plain[r["doc_id"]]["n_chars"])
