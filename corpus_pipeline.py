@@ -20,8 +20,9 @@ ORACLE_SQL = None  # kernels, fingerprints and tokenizers have no SQL form; test
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents judged toxic."""
-    return tox.toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select(*docs.columns)
+    """Drop documents judged toxic. Rows travel as one struct, so own columns such as score keep their values."""
+    rows = docs.select("doc_id", "text", F.struct("*").alias("row"))
+    return tox.toxicity(rows, table(spark, sf_dir, "labels")).where("predicted = 0").select("row.*")
 
 
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
