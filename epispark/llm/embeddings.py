@@ -3,7 +3,8 @@
 Vectors are cut in halves; each half has its own codebook, and the pairs of codes are the cells of a grid. A vector
 lives in its nearest cell and visits further ones in the order of the multi-sequence traversal (smallest sum of the two
 half distances first), until that sum exceeds the least one by a margin. The margin is the one with which the target
-share of held-back pairs meets. Pairs that meet in a cell are verified by their cosine in double precision.
+share of held-back pairs meets. Visits carry a sketch of the vector, not the vector; only those that find a near sketch
+in the cell bring the vector there, and pairs are verified by their cosine in double precision.
 """
 
 from __future__ import annotations
@@ -64,13 +65,14 @@ def traversal(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], margin: float
     return out
 
 
-def fitted(sample: np.ndarray, cells: int, cosine: float, recall: float, per_code: int = 32, pairs: int = 20000) -> tuple[tuple[np.ndarray, np.ndarray], float]:
+def fitted(sample: np.ndarray, cells: int, cosine: float, recall: float, per_code: int = 32, pairs: int = 10000) -> tuple[tuple[np.ndarray, np.ndarray], float]:
     """Codebooks and the margin of the traversal.
 
     Three quarters of the sample make the codebooks, with at least per_code vectors for a code: a larger grid would be
-    fitted to chance. The other quarter, which no codebook has seen, gives pairs: a vector and a random partner at exactly
-    the threshold cosine. The margin is the least with which the target share of them meets, as one of the two visits the
-    cell of the other. Closer partners need less.
+    fitted to chance. The other quarter, which no codebook has seen, gives pairs: a vector and a partner at exactly the
+    threshold cosine, off in any direction, in that of a difference of vectors, or in those in which the sample varies most.
+    The margin is the least with which the target share of each kind meets, as one of the two visits the cell of the other.
+    Closer partners need less.
     """
     half, n = sample.shape[1] // 2, len(sample)
     held = sample[3 * n // 4 :] if n >= 64 else sample
@@ -78,18 +80,25 @@ def fitted(sample: np.ndarray, cells: int, cosine: float, recall: float, per_cod
     k = max(1, min(int(round(np.sqrt(cells))), len(sample) // per_code))
     books = (kmeans(sample[:, :half], k), kmeans(sample[:, half:], k, seed=8))
     rng = np.random.default_rng(9)
-    need = []
-    for _ in range(-(-pairs // len(held))):
-        for at in range(0, len(held), 500):
-            x = held[at : at + 500]
-            r = rng.standard_normal(x.shape)
-            r -= (r * x).sum(1)[:, None] * x
-            r /= np.maximum(np.linalg.norm(r, axis=1), 1e-12)[:, None]
-            ex, ey = excess(x, books), excess(cosine * x + np.sqrt(1 - cosine**2) * r, books)
-            row, hx, hy = np.arange(len(x)), home(ex), home(ey)
-            of = lambda e, h: e[0][row, h // len(books[1])] + e[1][row, h % len(books[1])]  # noqa: B023, E731
-            need.append(np.minimum(of(ex, hy), of(ey, hx)))
-    return books, float(np.quantile(np.concatenate(need), recall, method="higher"))
+    # directions in which partners differ: any, those between vectors, and the leading ones of the sample
+    lead = np.linalg.svd(sample[:4096] - sample[:4096].mean(0), full_matrices=False)
+    leading = lead[2][: max(1, int(np.searchsorted(np.cumsum(lead[1] ** 2), 0.5 * (lead[1] ** 2).sum())) + 1)]
+    kinds = [lambda x: rng.standard_normal(x.shape), lambda x: sample[rng.integers(0, len(sample), len(x))] - x, lambda x: rng.standard_normal((len(x), len(leading))) @ leading]
+    margins = []
+    for direction in kinds:
+        need = []
+        for _ in range(-(-pairs // len(held))):
+            for at in range(0, len(held), 500):
+                x = held[at : at + 500]
+                r = direction(x)
+                r -= (r * x).sum(1)[:, None] * x
+                r /= np.maximum(np.linalg.norm(r, axis=1), 1e-12)[:, None]
+                ex, ey = excess(x, books), excess(cosine * x + np.sqrt(1 - cosine**2) * r, books)
+                row, hx, hy = np.arange(len(x)), home(ex), home(ey)
+                of = lambda e, h: e[0][row, h // len(books[1])] + e[1][row, h % len(books[1])]  # noqa: B023, E731
+                need.append(np.minimum(of(ex, hy), of(ey, hx)))
+        margins.append(float(np.quantile(np.concatenate(need), recall, method="higher")))
+    return books, max(margins)
 
 
 def units(raw: np.ndarray) -> np.ndarray:
@@ -100,6 +109,48 @@ def units(raw: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
+SKETCH = 256  # bits
+
+
+def sketches(x: np.ndarray) -> np.ndarray:
+    """Of unit vectors the sides of SKETCH fixed random planes on which they lie, as bytes."""
+    planes = np.random.default_rng(12).standard_normal((x.shape[1], SKETCH))
+    return np.packbits(x @ planes > 0, axis=1)
+
+
+def farthest(cosine: float) -> int:
+    """Bits in which sketches at this cosine differ, six standard deviations above the mean: one pair in 10^9 differs in
+    more."""
+    p = np.arccos(min(max(cosine, -1.0), 1.0)) / np.pi
+    return int(np.ceil(SKETCH * p + 6 * np.sqrt(SKETCH * p * (1 - p))))
+
+
+def hinted(most: int):
+    """Of groups by cell and tile pair: the members (cell, node) with a near sketch of another one, of which one lives
+    there."""
+
+    def run(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        key = frame[["cell", "ta", "tb"]]
+        bounds = np.flatnonzero((key != key.shift()).any(axis=1).to_numpy()).tolist() + [len(frame)]
+        bits = np.frombuffer(b"".join(frame["sketch"]), np.uint64).reshape(len(frame), -1)
+        lives, own = frame["lives"].to_numpy(bool), frame["own"].to_numpy(bool)
+        near = np.zeros(len(frame), bool)
+        for lo, hi in zip(bounds, bounds[1:], strict=False):
+            mixed = frame["ta"].iloc[lo] != frame["tb"].iloc[lo]
+            at, g = np.flatnonzero(lives[lo:hi]), bits[lo:hi]
+            for k in range(0, len(at) if hi - lo > 1 else 0, 256):
+                rows = at[k : k + 256]
+                ok = np.bitwise_count(g[rows, None] ^ g[None]).sum(2) <= most
+                ok[np.arange(len(rows)), rows] = False
+                if mixed:
+                    ok &= own[lo:hi][rows, None] != own[None, lo:hi]
+                near[lo:hi] |= ok.any(0)
+                near[lo + rows] |= ok.any(1)
+        yield frame.loc[near, ["cell", "node"]].drop_duplicates()
+
+    return run
+
+
 def verified(cosine: float, kind: str, cells: int):
     """Pairs within a cell of which one lives there. Yields, for each vector, the copies it links to, and links that span."""
 
@@ -190,17 +241,25 @@ def vector_links(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.99,
             for at in range(0, len(b), 1000):
                 p = b.iloc[at : at + 1000]
                 raw = padded(p["e"])
-                visited = traversal(units(raw), books, margin)
-                yield pd.DataFrame({"node": p["node"], "copies": p["copies"], "dims": p["e"].map(len), "raw": [r.tobytes() for r in raw], "home": [c[0] for c in visited], "cells": visited})
-
-    at = written(reps.mapInPandas(placed, "node long, copies long, dims int, raw binary, home int, cells array<int>"))
-    members = at.select("*", F.explode("cells").alias("cell"))
-    # at most one row for each cell of the grid, whose size the sample bounds: (sample / per_code)^2
-    large = members.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("g")).where("g > 1")
-    tiled = members.join(F.broadcast(large), "cell", "left").withColumn("g", F.coalesce("g", F.lit(1)))
-    tiled = tiled.withColumn("t", F.pmod(F.xxhash64("node"), F.col("g")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    tiled = tiled.select("cell", F.least("t", "o").alias("ta"), F.greatest("t", "o").alias("tb"), (F.col("t") <= F.col("o")).alias("own"), (F.col("cell") == F.col("home")).alias("lives"), "node", "copies", "dims", "raw", "home", "cells")
-    found = written(by_sorted_groups(tiled, ["cell", "ta", "tb"], ["node"], verified(cosine, kind, cells), "node long, other long, n long"))
+                x = units(raw)
+                visited = traversal(x, books, margin)
+                yield pd.DataFrame({"node": p["node"], "copies": p["copies"], "dims": p["e"].map(len), "raw": [r.tobytes() for r in raw], "home": [c[0] for c in visited], "cells": visited, "sketch": [r.tobytes() for r in sketches(x)]})
+
+    at = written(reps.mapInPandas(placed, "node long, copies long, dims int, raw binary, home int, cells array<int>, sketch binary"))
+
+    def tiled(members: DataFrame, *payload: str) -> DataFrame:
+        """Members (cell, home, node, payload) of cells with more than `tile` of them, dealt to pairs of tiles."""
+        # at most one row for each cell of the grid, whose size the sample bounds: (sample / per_code)^2
+        large = members.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("g")).where("g > 1")
+        t = members.join(F.broadcast(large), "cell", "left").withColumn("g", F.coalesce("g", F.lit(1)))
+        t = t.withColumn("t", F.pmod(F.xxhash64("node"), F.col("g")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+        return t.select("cell", F.least("t", "o").alias("ta"), F.greatest("t", "o").alias("tb"), (F.col("t") <= F.col("o")).alias("own"), (F.col("cell") == F.col("home")).alias("lives"), "node", *payload)
+
+    pairs = ["cell", "ta", "tb"]
+    visits = at.select("node", "home", "sketch", F.explode("cells").alias("cell"))
+    hints = written(by_sorted_groups(tiled(visits, "sketch"), pairs, ["node"], hinted(farthest(cosine)), "cell int, node long").distinct())
+    met = tiled(hints.join(at.drop("sketch"), "node"), "copies", "dims", "raw", "home", "cells")
+    found = written(by_sorted_groups(met, pairs, ["node"], verified(cosine, kind, cells), "node long, other long, n long"))
     linked = found.groupBy("node").agg(F.sum("n").alias("n"))
     component = connected_components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
     known = reps.join(linked, "node", "left").join(component, "node", "left").select("e", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("component", "node").alias("c"))

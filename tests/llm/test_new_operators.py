@@ -244,3 +244,33 @@ def test_queries_match_their_sql(spark, sf):
         cur = con.execute(__spark_entry__.oracle_sql()[name])
         columns = [c[0] for c in cur.description]
         assert sorted(tuple(r[c] for c in columns) for r in df.collect()) == sorted(cur.fetchall())
+
+
+def unit_rows(x):
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+@pytest.mark.parametrize("kind", ["clustered", "quantised", "correlated"])
+def test_links_of_vectors_that_are_no_random_directions(spark, kind):
+    """Recall on what tables hold: tight clusters, copies of lower precision, and noise along a few directions."""
+    from epispark.llm.embeddings import vector_links
+
+    rng = np.random.default_rng(11)
+    if kind == "clustered":
+        x = unit_rows(rng.standard_normal((40, 48)))[rng.integers(0, 40, 2500)] + rng.standard_normal((2500, 48)) * rng.choice([0.02, 0.04, 0.06], 2500)[:, None]
+    elif kind == "quantised":
+        x = unit_rows(rng.standard_normal((1500, 48)) @ np.diag(np.linspace(2, 0.2, 48)))
+        x = np.concatenate([x, np.round(x[:500] * 16) / 16, np.round(x[200:600] * 32) / 32])
+    else:
+        mix = rng.standard_normal((6, 48))
+        x = unit_rows(rng.standard_normal((1500, 6)) @ mix * 0.5 + rng.standard_normal((1500, 48)))
+        x = np.concatenate([x, x[:800] + rng.standard_normal((800, 6)) @ mix * 0.017])
+    x = x.astype(np.float32)
+    u = unit_rows(x.astype(float))
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    assert near.sum() > 500
+    got = vector_links(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(6), tile=256).toPandas().sort_values("vec_id")
+    n = got["n_links"].to_numpy()
+    assert (n <= near.sum(1)).all()
+    assert n.sum() >= 0.98 * near.sum(), n.sum() / near.sum()
