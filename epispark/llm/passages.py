@@ -170,22 +170,28 @@ def repeated_passages(docs: DataFrame, least: int = 50, window: int = 20, gram:
 
     several = met.where("several").select("k", "around", *place)
     groups = written(several.groupBy("k", "around").agg(F.min(F.struct(*place)).alias("one"), *ends))
-    many = groups.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("k", F.lit(True).alias("many"))
+    many = written(groups.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("k", F.lit(True).alias("many")))
     one = groups.join(many, "k", "left").select("one.*", "k", "around", "a", "b", F.coalesce("many", F.lit(False)).alias("many"))
-    asked = one.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("k", "around", "at", "lo", "hi", "a", "b", "many")).alias("asked"))
+    fields = ["k", "around", "at", "lo", "hi", "a", "b", "many"]
+    asked = one.groupBy("doc_id", "copy").agg(F.collect_list(F.struct(*fields)).alias("q")).select("doc_id", "copy", *[F.col(f"q.{c}").alias(c) for c in fields])
 
     def surroundings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for doc, copy, text, asked in zip(b["doc_id"], b["copy"], b["text"], b["asked"], strict=True):
-                words = words_of(text)
-                ranges = Ranges(words)
-                q = pd.DataFrame([tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in asked], columns=["k", "around", "at", "lo", "hi", "a", "b", "many"])
-                right, left = sides(words, ranges, q["at"].to_numpy(), least, window)
-                whole = lambda lo, hi: ranges.of(np.arange(lo, hi + 1), np.arange(lo, hi + 1) + least).view(np.int64)  # noqa: B023, E731
-                windows = [whole(lo, hi) if many else None for lo, hi, many in zip(q["lo"], q["hi"], q["many"], strict=True)]
-                yield q.assign(doc_id=doc, copy=copy, right=[r.tobytes() for r in right], left=[x.tobytes() for x in left], windows=windows)
-
-    sortable = "k long, around long, at int, lo int, hi int, a long, b long, many boolean, doc_id long, copy long, right binary, left binary, windows array<long>"
+            for k in range(0, len(b), 200):
+                part = b.iloc[k : k + 200]
+                right, left, windows = [], [], []
+                for text, at, lo, hi, many in zip(*(part[c] for c in ("text", "at", "lo", "hi", "many")), strict=True):
+                    words = words_of(text)
+                    ranges = Ranges(words)
+                    r, x = sides(words, ranges, at, least, window)
+                    right += list(map(bytes, r))
+                    left += list(map(bytes, x))
+                    for first, last, by_windows in zip(lo, hi, many, strict=True):
+                        starts = np.arange(first, last + 1)
+                        windows.append(ranges.of(starts, starts + least).view(np.int64) if by_windows else None)
+                yield pd.DataFrame({c: np.concatenate(part[c].to_list()) for c in fields} | {"right": right, "left": left, "windows": windows})
+
+    sortable = "k long, around long, at int, lo int, hi int, a long, b long, many boolean, right binary, left binary, windows array<long>"
     told = written(d.join(asked, ["doc_id", "copy"]).mapInPandas(surroundings, sortable))
     matched = by_sorted_groups(told.where("not many").drop("many", "windows"), ["k"], [], sorted_matches(least, window), "k long, around long, back int, a long, b long")
 
