@@ -3,6 +3,7 @@
 Numbers, names and units become typed placeholders, so a question whose parameters were exchanged keeps its template.
 Windows of template tokens are hashed and joined between benchmark items and documents; an item counts as leaked when
 its matched windows cover enough of it, and when the values in its slots map consistently to those of the document.
+Items too short for windows are joined by their whole skeleton; literal copies in any case are found beside that.
 """
 
 from __future__ import annotations
@@ -28,6 +29,19 @@ por\\s+ciento dólares libras metros kilómetros gramos litros horas minutos seg
 """.split()
 
 
+#: fixed values: number words of the same languages, which count as numbers in short questions
+NUMBER_WORDS = """
+zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen
+nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand
+zéro un deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante
+soixante cent mille
+null eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig
+neunzig hundert tausend
+cero uno dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince veinte treinta cuarenta cincuenta
+sesenta setenta ochenta noventa cien mil
+""".split()
+
+
 def canonical(text: Column) -> Column:
     """Template tokens of a whole text: words in lower case, <n> for numbers, <n> <u> for a number with its unit, <p> for
     runs of capitalised words (sentence starts included, alike on both sides)."""
@@ -62,8 +76,13 @@ def covered(places: Column, window: int) -> Column:
 
 
 def literal(text: Column) -> Column:
-    """Words, numbers and operators of a whole text as they stand."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(LITERAL), F.lit(0))
+    """Words, numbers and operators of a whole text in lower case."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(LITERAL), F.lit(0))
+
+
+def skeleton(tokens: Column) -> Column:
+    """Literal tokens with <n> for numbers, in digits or words."""
+    return F.transform(tokens, lambda w: F.when(w.rlike("^[0-9]") | w.isin(*NUMBER_WORDS), "<n>").otherwise(w))
 
 
 def plain(tokens: Column) -> Column:
@@ -96,6 +115,25 @@ def copies(d: DataFrame, items: DataFrame, window: int, similarity: float, broad
     return best.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), F.lit(1.0).alias("consistency"), (F.col("similarity") < 1).alias("reworded"))
 
 
+def short_templates(d: DataFrame, items: DataFrame, head: int, longest: int, consistency: float, broadcast_rows: int) -> DataFrame:
+    """Leaked items of at most `longest` literal tokens whose numbers may differ, of which at least three are no number:
+    the whole skeleton, operators included, stands at one place. Found by its first `head` tokens, then verified there
+    with the values of its slots. Columns as in copies()."""
+    t = items.select("item_id", literal(F.col("item_text")).alias("t")).withColumn("k", skeleton(F.col("t")))
+    spoken = F.size(F.filter("k", lambda w: w != "<n>"))
+    t = written(t.where(F.size("k").between(head, longest) & (spoken >= 3) & F.array_contains("k", "<n>")).withColumn("h", F.xxhash64(F.slice("k", 1, head))))
+    side = t.select("item_id", "h", F.size("k").alias("n"))
+    each = d.select("doc_id", "copy", F.posexplode(hashed(skeleton(literal(F.col("text"))), head)).alias("at", "h"))
+    met = written(each.join(F.broadcast(side) if side.count() <= broadcast_rows else side, "h").groupBy("doc_id", "copy").agg(F.collect_list(F.struct("item_id", "at", "n")).alias("met")))
+    texts = d.join(met.select("doc_id", "copy"), ["doc_id", "copy"], "left_semi").groupBy("doc_id", "copy").agg(literal(F.min("text")).alias("tokens"))
+    there = texts.join(met, ["doc_id", "copy"]).select("doc_id", F.explode(F.transform("met", lambda m: F.struct(m["item_id"].alias("item_id"), F.slice("tokens", m["at"] + 1, m["n"]).alias("there")))).alias("m")).select("doc_id", "m.*")
+    full = there.join(t, "item_id").where(skeleton(F.col("there")) == F.col("k"))
+    slot = F.filter(F.arrays_zip("k", F.col("t").alias("a"), F.col("there").alias("b")), lambda s: s["k"] == "<n>")
+    kinds, ways = F.size(F.array_distinct(F.transform(slot, lambda s: s["a"]))), F.size(F.array_distinct(F.transform(slot, lambda s: F.struct(s["a"], s["b"]))))
+    full = full.withColumn("consistency", F.round(kinds / ways, 6)).where(F.col("consistency") >= consistency)
+    return full.select("doc_id", "item_id", F.lit(1.0).alias("similarity"), "consistency", (F.col("t") != F.col("there")).alias("reworded"))
+
+
 def leaks(docs: DataFrame, items: DataFrame, window: int = 5, similarity: float = 0.8, consistency: float = 0.8, slack: int = 8, broadcast_rows: int = 2_000_000, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """One row per leaked item and document: doc_id, item_id, similarity (covered share of the item's template tokens),
     consistency (share of slot values that map to one value of the document), reworded (a slot differs).
@@ -105,12 +143,14 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = 5, similarity: float
 
     All windows of an item count. Those of mostly placeholders stand in too many documents to be looked up alone: they
     count where the document goes on with them beside a window of words, or, for items that such windows nearly cover,
-    where one alignment holds as many plain words as a window of words has. Items with fewer plain words than that are
-    compared by their literal tokens (similarity is the covered share of these, reworded that one differs).
-
-    Items with fewer template tokens than a window are compared by literal tokens as well, as whole items where these
-    are fewer than a window. Items of a single literal token, which are no question but a word of any text, null texts
-    and rows without ids match nothing. Rows that repeat a doc_id are compared text by text, and their best match
+    where one alignment holds as many plain words as a window of words has.
+
+    All items are also compared by their literal tokens in lower case, so a copy in capitals is found (similarity is the
+    covered share of these, reworded that one differs); whole where these are fewer than a window. Items with fewer
+    template tokens than a window, or fewer plain words than that, and at most 16 literal tokens, are found with other
+    numbers by their whole skeleton of words, operators and numbers, of which three are words or operators. Longer ones of
+    hardly any words are found by their literal tokens alone, so not with other numbers. Items of a single literal token,
+    which are no question but a word of any text, null texts and rows without ids match nothing. Rows that repeat a doc_id are compared text by text, and their best match
     counts; of items that repeat an id the smallest text counts. Other columns are left out, whatever their names; empty
     tables give an empty table. The item windows are broadcast only while they are at most broadcast_rows (about
     50 MB), else joined by a shuffle; each window of the whole documents is looked up either way.
@@ -120,7 +160,7 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = 5, similarity: float
     b = written(b.withColumn("template", F.xxhash64("item_tokens")))
     few = (F.size("item_tokens") < window) | (plain(F.col("item_tokens")) * 2 < window)
     d = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("copy"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
-    exact = b.where(few)
+    every, short = b, written(b.where(few))
     b = b.where(~few)
     n = F.size("item_tokens")
     t = b.groupBy("template").agg(F.first("item_tokens").alias("item_tokens")).withColumn("words", F.transform(F.sequence(F.lit(1), n - window + 1), lambda k: plain(F.slice("item_tokens", k, window))))
@@ -184,8 +224,9 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = 5, similarity: float
         F.round(F.when(ways == 0, 1.0).otherwise(kinds / ways), 6).alias("consistency"),
         F.exists("slot", lambda s: ~s["a"].eqNullSafe(s["b"])).alias("reworded"),
     )
-    out = out.where(F.col("consistency") >= consistency)
-    # of several places the most alike
+    out = out.where(F.col("consistency") >= consistency).unionByName(copies(d, every, window, similarity, broadcast_rows))
+    if not short.isEmpty():
+        out = out.unionByName(short_templates(d, short, 4, 16, consistency, broadcast_rows))
+    # of several places and ways the most alike
     best = F.max(F.struct("similarity", "consistency", (~F.col("reworded")).alias("same"))).alias("best")
-    out = out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.similarity", "best.consistency", (~F.col("best.same")).alias("reworded"))
-    return out if exact.isEmpty() else out.unionByName(copies(d, exact, window, similarity, broadcast_rows))
+    return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.similarity", "best.consistency", (~F.col("best.same")).alias("reworded"))

@@ -249,7 +249,7 @@ def test_leaks_of_short_items(spark, broadcast_rows):
     held = [(k, f"before it. {t} after it") for k, t in enumerate(short)]
     other = [(10, "Who wrote Macbeth? What is 17 + 26? What is 17 - 25? Hamlet wrote. 谁写了麦克白"), (11, "Hamlet")]
     got = {(r["doc_id"], r["item_id"], r["similarity"], r["reworded"]) for r in leaks(docs(spark, held + other), items, broadcast_rows=broadcast_rows).collect()}
-    assert got == {(k, k, 1.0, False) for k in range(4)}
+    assert got == {*((k, k, 1.0, False) for k in range(4)), (10, 1, 1.0, True)}  # 17 + 26 asks the same with other numbers
 
 
 def test_leaks_lie_at_one_place(spark):
@@ -288,6 +288,25 @@ def test_leaks_match_brute_force_in_both_directions(spark, sf):
     assert all(share[p] >= 0.6 for p in got)
 
 
+def test_leaks_of_short_items_in_any_case_and_with_other_numbers(spark):
+    items = [(1, "What is 12 + 30?"), (2, "Solve 3 x = 12."), (3, "Who wrote the long book about the sea and the two old men of Lisbon?"), (4, "Add 5 and 5 to 7"), (5, "Tom has 3 apples and buys 4 more."), (6, "7 8 9 10")]
+    texts = {
+        10: "so: what is 14 + 77? yes",
+        11: "what is 12 - 30?",  # another operator
+        12: "Solve 5 x = 20. Done",
+        13: "WHO WROTE THE LONG BOOK ABOUT THE SEA AND THE TWO OLD MEN OF LISBON?",
+        14: "add 9 and 9 to 1",
+        15: "add 9 and 8 to 1",  # 5 and 5 are one value
+        16: "TOM HAS 3 APPLES AND BUYS 4 MORE.",
+        17: "there are 1 2 3 4 here and so on",
+        18: "what is twelve + 30",
+        19: "this is what is meant by 4 + 5 in what is 3",
+        20: "Solve 5 y = 20.",
+    }
+    got = {(r["doc_id"], r["item_id"]): r["reworded"] for r in leaks(docs(spark, list(texts.items())), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(10, 1): True, (12, 2): True, (13, 3): False, (14, 4): True, (16, 5): False, (18, 1): True}
+
+
 def test_leaks_in_long_runs_of_names_and_numbers(spark):
     items = spark.createDataFrame([(1, SLOT_HEAVY[0])], "item_id long, text string")
     got = leaks(docs(spark, [(1, "Ab " * 50_000 + "so. " + SLOT_HEAVY[0]), (2, "1," * 50_000 + "1")]), items)
