@@ -5,6 +5,7 @@ from __future__ import annotations
 import pickle
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextvars import ContextVar
 
 import numpy as np
 import pandas as pd
@@ -26,9 +27,23 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/written-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if (made := MADE.get()) is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: paths of the tables that written() makes, newest last, for a caller that removes them; None: nobody does
+MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+def only_newest(spark: SparkSession) -> None:
+    """Remove all tables in MADE but the newest, which must be all that is still to be read."""
+    made = MADE.get() or []
+    while len(made) > 1:
+        path = spark._jvm.org.apache.hadoop.fs.Path(made.pop(0))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def columns_but(df: DataFrame, *names: str) -> Column:
     """The columns of df, without those of the given names in any case, as one struct: names inside it clash with none."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in {n.lower() for n in names}])

@@ -197,6 +197,15 @@ class Model:
         return logistic(self.slope * damped(np.maximum(top, self.offset)) + self.shift)
 
 
+def folded(kernel: Kernel, landmarks: list[str], alpha: np.ndarray, classes: dict[int, int], size: int) -> np.ndarray:
+    """One weight per subsequence of classes, such that a unit's weights add up to its norm times the sum of alpha times
+    its kernel values against the landmarks, as long as its characters have classes of their own."""
+    row, code, weight = kernel.counts(lm := matrix(landmarks))
+    weight = weight / np.maximum(kernel.norms(lm), 1e-12)[row] * alpha[row]
+    place = [np.array([classes[int(c)] for c in (code >> s) & 0x1FFFFF], np.int64) for s in (42, 21, 0)]
+    return np.bincount((place[0] * size + place[1]) * size + place[2], weights=weight, minlength=size**3).astype(np.float32)
+
+
 def sentences(text: str) -> list[str]:
     return [s for s in re.split(r"(?<=[.!?])\s+|\n+", text) if s]
 
@@ -289,11 +298,7 @@ def fit(sample: pd.DataFrame, landmarks: int = 192, kernel: Kernel | None = None
         cost = np.array([*(positive[u] for u in sorted(positive)), *(max(df[0][u], 1) ** 0.5 for u in sorted(negative))], float)
         cost[label > 0] *= 0.5 * cost[label < 0].sum() / max(cost[label > 0].sum(), 1e-9)
         w = squared_hinge(features(words), label, cost * penalty)
-        lr, lc, lw = kernel.counts(lm := matrix(points))
-        lw = lw / np.maximum(kernel.norms(lm), 1e-12)[lr] * (root @ w[:-1])[lr]
-        place = [np.array([classes[int(c)] for c in (lc >> s) & 0x1FFFFF], np.int64) for s in (42, 21, 0)]
-        weights = np.bincount((place[0] * size + place[1]) * size + place[2], weights=lw, minlength=size**3)
-        model = Model(kernel, classes, size, weights.astype(np.float32), float(w[-1]), 1.0, 0.0)
+        model = Model(kernel, classes, size, folded(kernel, points, root @ w[:-1], classes, size), float(w[-1]), 1.0, 0.0)
         value = dict(zip(every, model.units(every).tolist(), strict=True))
         # the most suspicious unit of each sentence
         worst = [max(bag, key=lambda u: (value[u], u), default=None) for bag in bags]
