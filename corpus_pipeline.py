@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epispark.llm import toxicity as tox
-from epispark.llm.common import table, written
+from epispark.llm.common import MADE, only_newest, table, written
 from epispark.llm.decontamination import leaks
 from epispark.llm.packing import packed
 from epispark.llm.secrets import redacted, with_secrets
@@ -65,10 +65,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage keeps is written and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = written(docs)
-    return docs
+    """All stages over documents; what a stage keeps is written and read again by the next. Once that is done, the tables
+    of the stage before and those in between are removed, so one copy of the kept documents is left on disk."""
+    before = MADE.set([])
+    try:
+        docs = table(spark, sf_dir, "documents")
+        for _, stage in STAGES[:-1]:
+            docs = written(stage(spark, docs, sf_dir))
+            only_newest(spark)
+    finally:
+        MADE.reset(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
