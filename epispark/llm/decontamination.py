@@ -16,6 +16,8 @@ from epispark.llm.common import written
 # possessive groups: the same matches, but long runs of names or numbers do not overflow the stack
 NUMBER = r"[0-9]+(?:[.,:][0-9]+)*+"
 NAME = r"\p{Lu}[\p{L}\p{M}]*(?:\s+\p{Lu}[\p{L}\p{M}]*)*+"
+#: as many capitalised words in a row as a window has tokens: canonical() makes them one placeholder
+CAPITALS = r"(?:\p{Lu}[\p{L}\p{M}]*+\P{L}{1,9}+){4}\p{Lu}"
 # scripts without spaces count by character
 UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
 LITERAL = rf"[{UNSPACED}]|[\p{{L}}\p{{M}}&&[^{UNSPACED}]]+|[0-9]+(?:[.,:][0-9]+)*+|[\p{{Sm}}*/^%-]"
@@ -145,11 +147,12 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = 5, similarity: float
     count where the document goes on with them beside a window of words, or, for items that such windows nearly cover,
     where one alignment holds as many plain words as a window of words has.
 
-    All items are also compared by their literal tokens in lower case, so a copy in capitals is found (similarity is the
-    covered share of these, reworded that one differs); whole where these are fewer than a window. Items with fewer
-    template tokens than a window, or fewer plain words than that, and at most 16 literal tokens, are found with other
-    numbers by their whole skeleton of words, operators and numbers, of which three are words or operators. Longer ones of
-    hardly any words are found by their literal tokens alone, so not with other numbers. Items of a single literal token,
+    In texts with runs of capitalised words, which are one placeholder, all items are compared by their literal tokens in
+    lower case as well (similarity is the covered share of these, reworded that one differs). So are, in all texts, items
+    with fewer template tokens than a window or fewer plain words than that; whole where they are shorter than a window.
+    Such items of at most 16 literal tokens are also found with other numbers, by their whole skeleton of words, operators
+    and numbers, of which three are words or operators. Longer ones of hardly any words are found by their literal tokens
+    alone, so not with other numbers. Items of a single literal token,
     which are no question but a word of any text, null texts and rows without ids match nothing. Rows that repeat a doc_id are compared text by text, and their best match
     counts; of items that repeat an id the smallest text counts. Other columns are left out, whatever their names; empty
     tables give an empty table. The item windows are broadcast only while they are at most broadcast_rows (about
@@ -224,9 +227,9 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = 5, similarity: float
         F.round(F.when(ways == 0, 1.0).otherwise(kinds / ways), 6).alias("consistency"),
         F.exists("slot", lambda s: ~s["a"].eqNullSafe(s["b"])).alias("reworded"),
     )
-    out = out.where(F.col("consistency") >= consistency).unionByName(copies(d, every, window, similarity, broadcast_rows))
+    out = out.where(F.col("consistency") >= consistency).unionByName(copies(d.where(F.col("text").rlike(CAPITALS)), every, window, similarity, broadcast_rows))
     if not short.isEmpty():
-        out = out.unionByName(short_templates(d, short, 4, 16, consistency, broadcast_rows))
+        out = out.unionByName(copies(d, short, window, similarity, broadcast_rows)).unionByName(short_templates(d, short, 4, 16, consistency, broadcast_rows))
     # of several places and ways the most alike
     best = F.max(F.struct("similarity", "consistency", (~F.col("reworded")).alias("same"))).alias("best")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.similarity", "best.consistency", (~F.col("best.same")).alias("reworded"))
