@@ -214,7 +214,8 @@ def main_text(pages: DataFrame, least: int = 5, most: float = 0.5, sure: float =
     A subtree is template when at least `least` pages of its host with different main texts hold it at the same place,
     and at least the share `most` of the subtrees there recur like this; copies of one page count once. At places of a
     name of their own where at least the share `sure` of `many` or more subtrees recurs, the others go too. Articles
-    and the paragraphs and headings in them are never counted as template by themselves.
+    and the paragraphs and headings in them are never counted as template by themselves. Where a page's articles, else its
+    main parts, hold at least a fifth of the text that is left, the text outside and between them goes as well.
 
     Null html has no text; null urls share the empty host. Repeated rows and ids are pages of their own. Other columns
     pass through, whatever their names; a column named text is replaced. An empty table stays empty.
