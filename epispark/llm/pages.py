@@ -2,9 +2,11 @@
 
 Every page is parsed once into text blocks and the element subtrees around them, hashed. Spark counts on how many
 different pages of a host each subtree recurs, and deletes subtrees that recur on many of them, at places of the page
-where most subtrees do so. What is left is read from the articles where a page has any. Hosts with few pages have no
-recurring subtrees; there, and for what varies from page to page, elements that are no article text by their meaning
-(nav, footer, forms, advert and comment classes, ...) go as well.
+where most subtrees do so. Menus, adverts and footers often vary from page to page; so subtrees are hashed a second time
+with their texts masked, and a place outside articles where nearly all pages of a host hold one small structure, of links
+or of texts that come again, is deleted on all pages. What is left is read from the articles where a page has any. Hosts
+with few pages have no recurring subtrees; there elements that are no article text by their meaning (nav, footer, forms,
+advert and comment classes, ...) go, and on other hosts as well. template_report() tells the two apart.
 """
 
 from __future__ import annotations
@@ -49,7 +51,7 @@ def signed(text: str) -> int:
 
 
 class Node:
-    __slots__ = ("tag", "label", "noise", "named", "main", "parts", "inner", "within", "place", "kids", "number")
+    __slots__ = ("tag", "label", "noise", "named", "main", "parts", "inner", "within", "place", "kids", "number", "shapes", "core")
 
     def __init__(self, tag: str, attributes: str, within: Node | None):
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
@@ -66,6 +68,8 @@ class Node:
         self.named = tag not in ("html", "body", "main") and bool(named) and (all(named) if self.main else any(named))
         # place in the page: the way from the top by names, or by number among nameless elements of a kind
         self.kids, self.number = {}, None
+        # structure below, last child first; whether an article or the page's title is part of it
+        self.shapes, self.core = [], self.main or tag == "h1"
         step = f"{tag}.{self.label}"
         if not names and within is not None:
             within.kids[tag] = within.kids.get(tag, 0) + 1
@@ -109,9 +113,27 @@ def picked(blocks: list[dict]) -> list[dict]:
     return blocks
 
 
-def parsed(page: str | None) -> tuple[int, list[dict], list[dict]]:
-    """Signature of the page's text, its text blocks (text, article, main, parts: the subtrees around it) and the
-    deletable subtrees (tree: hash of all it holds, place, own: it is named or of a telling kind, open: it holds a block).
+def masked(nodes: list[Node]) -> dict[int, int | None]:
+    """By node, the hash of its structure without texts, where a run of equal children counts as one; none for what lies
+    in an article or holds one or the page's title. Nodes come parents first."""
+    out: dict[int, int | None] = {}
+    for n in reversed(nodes):
+        if not n.parts or n.inner:
+            continue
+        shape = signed(f"{n.tag}|{n.label}|{n.shapes}")
+        out[id(n)] = None if n.core else shape
+        if n.within is not None:
+            n.within.core |= n.core
+            if n.within.shapes[-1:] != [shape]:
+                n.within.shapes.append(shape)
+    return out
+
+
+def parsed(page: str | None, names: bool = True) -> tuple[int, list[dict], list[dict]]:
+    """Signature of the page's text, its text blocks (text, article, main, parts: the subtrees around it, named: noise by
+    a name; without these if names) and the deletable subtrees (tree: hash of all it holds, place, own: it is named or of
+    a telling kind, open: it holds a block, shape: hash of its structure or null, links: mostly link text, share: its
+    part of the page's text).
 
     Null and empty pages have no block. Broken markup is read as browsers do, more or less: unknown end tags are
     ignored, open elements end with the page, a new paragraph ends the one before.
@@ -120,16 +142,19 @@ def parsed(page: str | None) -> tuple[int, list[dict], list[dict]]:
     root = Node("html", "", None)
     stack, blocks, buffer = [root], [], []
     nodes = [root]
+    link, linked = False, 0  # inside a link; characters of links in the buffer
 
     def flush() -> None:
+        nonlocal linked
         if buffer:
             raw = "".join(buffer)
+            mostly, linked = 2 * linked >= len(raw), 0
             buffer.clear()
             clean = " ".join((html.unescape(raw) if "&" in raw else raw).split())
             if clean:
                 for n in stack:
                     n.parts.append(len(blocks))
-                blocks.append((clean, tuple(stack)))
+                blocks.append((clean, tuple(stack), mostly))
 
     at, size = 0, len(text)
     while at < size:
@@ -139,6 +164,7 @@ def parsed(page: str | None) -> tuple[int, list[dict], list[dict]]:
         if tag is None:
             if m[0][0] != "<" or m[0] == "<":
                 buffer.append(m[0])
+                linked += len(m[0]) if link else 0
             continue
         tag, close, attributes = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
         if tag in RAW:
@@ -151,6 +177,7 @@ def parsed(page: str | None) -> tuple[int, list[dict], list[dict]]:
                 flush()
             continue
         if tag not in BLOCKS:
+            link = not close if tag == "a" else link
             continue  # inline: neither a block's border nor a subtree
         flush()
         if close:
@@ -172,23 +199,30 @@ def parsed(page: str | None) -> tuple[int, list[dict], list[dict]]:
             nodes.append(node)
     flush()
     spare(nodes, blocks)
+    shapes, all_text = masked(nodes), sum(len(b[0]) for b in blocks)
     parts = []
     for n in nodes:
         if n.parts and n.deletable():
             n.number = len(parts)
-            parts.append({"tree": signed("\n".join([n.tag, n.label, *(blocks[k][0] for k in n.parts)])), "place": n.place, "own": bool(n.label) or n.tag not in PLAIN, "open": False})
+            size, links = sum(len(blocks[k][0]) for k in n.parts), sum(len(blocks[k][0]) for k in n.parts if blocks[k][2])
+            tree = signed("\n".join([n.tag, n.label, *(blocks[k][0] for k in n.parts)]))
+            parts.append({"tree": tree, "place": n.place, "own": bool(n.label) or n.tag not in PLAIN, "open": False, "shape": shapes.get(id(n)), "links": 2 * links >= size, "share": size / all_text})
     out = []
-    for clean, path in blocks:
-        if any(n.noise for n in path):
+    for clean, path, _ in blocks:
+        named = any(n.noise for n in path)
+        if named and names:
             continue
         around = [n.number for n in path if n.number is not None]
         for k in around:
             parts[k]["open"] = True
-        out.append({"text": clean, "parts": around, "article": any(n.tag == "article" for n in path), "main": any(n.main for n in path)})
+        out.append({"text": clean, "parts": around, "named": named, "article": any(n.tag == "article" for n in path), "main": any(n.main for n in path)})
     return signed(" ".join(b["text"] for b in picked(out))), out, parts
 
 
-PARSED = "sig long, blocks array<struct<text:string,parts:array<int>,article:boolean,main:boolean>>, parts array<struct<tree:long,place:long,own:boolean,open:boolean>>"
+PARSED = (
+    "sig long, blocks array<struct<text:string,parts:array<int>,named:boolean,article:boolean,main:boolean>>, "
+    "parts array<struct<tree:long,place:long,own:boolean,open:boolean,shape:long,links:boolean,share:double>>"
+)
 
 
 def text_of(blocks: Column) -> Column:
@@ -200,35 +234,74 @@ def text_of(blocks: Column) -> Column:
     return F.array_join(F.transform(kept, lambda b: b["text"]), " ")
 
 
-def templates(parts: DataFrame, least: int, most: float, sure: float, many: int) -> DataFrame:
-    """(host, place, tree) of the subtrees to delete, from (host, sig, place, tree, own) of all subtrees of all pages."""
-    n = parts.distinct().groupBy("host", "place", "tree").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("own"))
-    places = n.groupBy("host", "place").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("n") >= least, F.col("n")).otherwise(0)).alias("again"))
-    slots = places.where(F.col("again") >= most * F.col("all")).withColumn("sure", (F.col("again") >= sure * F.col("all")) & (F.col("all") >= many))
-    return n.join(slots, ["host", "place"]).where((F.col("n") >= least) | (F.col("sure") & F.col("own"))).select("host", "place", "tree")
+def templates(parts: DataFrame, least: int, most: float, sure: float, many: int, seen: float, small: float) -> DataFrame:
+    """(host, place, tree) of the subtrees to delete, from (host, sig, place, tree, own, shape, links, share) of all
+    subtrees of all pages."""
+    once = parts.groupBy("host", "sig", "place", "tree").agg(F.max("own").alias("own"), F.max("shape").alias("shape"), F.max(F.col("links").cast("int")).alias("links"), F.max("share").alias("share"))
+    n = once.groupBy("host", "place", "tree").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("own"), F.max("shape").alias("shape"), F.sum("links").alias("links"), F.sum("share").alias("share"))
+    held = lambda times: F.sum(F.when(F.col("n") >= times, F.col("n")).otherwise(0))
+    # totals of a structure at a place, then of the place
+    shapes = n.groupBy("host", "place", "shape").agg(F.sum("n").alias("all"), held(least).alias("again"), held(2).alias("twice"), F.sum("links").alias("links"), F.sum("share").alias("share"))
+    one = F.struct("all", "shape", "links", "share", "twice")
+    places = shapes.groupBy("host", "place").agg(F.sum("all").alias("all"), F.sum("again").alias("again"), F.max(F.when(F.col("shape").isNotNull(), one)).alias("one"))
+    enough = F.col("all") >= many
+    fixed = enough & (F.col("one.all") >= sure * F.col("all")) & (F.col("one.share") <= small * F.col("one.all"))
+    fixed = fixed & ((2 * F.col("one.links") >= F.col("one.all")) | (F.col("one.twice") >= seen * F.col("one.all")))
+    recurs = F.col("again") >= most * F.col("all")
+    slots = places.select("host", "place", recurs.alias("recurs"), (enough & (F.col("again") >= sure * F.col("all"))).alias("sure"), F.when(fixed, F.col("one.shape")).alias("fixed"), (2 * F.col("one.links") >= F.col("one.all")).alias("menu"))
+    slots = slots.where("recurs or fixed is not null")
+    by_text = F.col("recurs") & ((F.col("n") >= least) | (F.col("sure") & F.col("own")))
+    by_shape = F.coalesce(F.col("shape") == F.col("fixed"), F.lit(False)) & (F.col("own") | F.col("menu"))
+    return n.join(slots, ["host", "place"]).where(by_text | by_shape).select("host", "place", "tree")
+
+
+COUNTING = {"least": 5, "most": 0.5, "sure": 0.8, "many": 20, "seen": 0.2, "small": 0.25}
+
+
+def counted(pages: DataFrame, names: bool, page_html: str, url: str, counting: dict, replaced: tuple = ("text",)) -> tuple[DataFrame, DataFrame]:
+    """All pages as (page, host, sig, blocks, parts, row), written; and (row, gone: numbers of the subtrees that the
+    counts delete) of the pages where these hold text."""
+    parse = F.pandas_udf(lambda htmls: pd.DataFrame([parsed(h, names) for h in htmls], columns=["sig", "blocks", "parts"]), PARSED)
+    rows = pages.select(columns_but(pages, page_html, *replaced).alias("page"), parts_of(F.col(url))[0].alias("host"), parse(F.col(page_html)).alias("p"))
+    made = written(rows.select("page", "host", "p.*", F.monotonically_increasing_id().alias("row")))
+    all_parts = made.select("host", "sig", F.inline("parts")).drop("open")
+    template = written(templates(all_parts, **{**COUNTING, **counting}))
+    opened = made.select("row", "host", F.posexplode("parts").alias("k", "p")).where("p.open").select("row", "k", "host", "p.place", "p.tree")
+    return made, opened.join(template, ["host", "place", "tree"], "left_semi").groupBy("row").agg(F.collect_set("k").alias("gone"))
 
 
-def main_text(pages: DataFrame, least: int = 5, most: float = 0.5, sure: float = 0.8, many: int = 20, page_html: str = "html", url: str = "url") -> DataFrame:
+def main_text(pages: DataFrame, page_html: str = "html", url: str = "url", names: bool = True, **counting: float) -> DataFrame:
     """pages with text (empty if none) in place of the html.
 
-    A subtree is template when at least `least` pages of its host with different main texts hold it at the same place,
-    and at least the share `most` of the subtrees there recur like this; copies of one page count once. At places of a
-    name of their own where at least the share `sure` of `many` or more subtrees recurs, the others go too. Articles
-    and the paragraphs and headings in them are never counted as template by themselves. Where a page's articles, else its
-    main parts, hold at least a fifth of the text that is left, the text outside and between them goes as well.
+    A subtree is template when at least `least` (5) pages of its host with different main texts hold it at the same place,
+    and at least the share `most` (0.5) of the subtrees there recur like this; copies of one page count once. At places of
+    a name of their own where at least the share `sure` (0.8) of `many` (20) or more subtrees recurs, the others go too. So
+    do subtrees of one structure, whatever their texts, that make up the share `sure` of `many` or more at a place outside
+    articles, hold at most the share `small` (0.25) of their pages' text on average, and are mostly links or, of a name of
+    their own, have texts that another page has in the share `seen` (0.2) of cases. Articles and the paragraphs and
+    headings in them are never counted as template by themselves. Without `names` nothing is deleted by its name or kind.
+    Where a page's articles, else its main parts, hold at least a fifth of the text that is left, the text outside and
+    between them goes as well.
 
     Null html has no text; null urls share the empty host. Repeated rows and ids are pages of their own. Other columns
     pass through, whatever their names; a column named text is replaced. An empty table stays empty.
     """
-    parse = F.pandas_udf(lambda htmls: pd.DataFrame(list(map(parsed, htmls)), columns=["sig", "blocks", "parts"]), PARSED)
-    rows = pages.select(columns_but(pages, page_html, "text").alias("page"), parts_of(F.col(url))[0].alias("host"), parse(F.col(page_html)).alias("p"))
-    made = written(rows.select("page", "host", "p.*", F.monotonically_increasing_id().alias("row")))
-    template = written(templates(made.select("host", "sig", F.inline("parts")).select("host", "sig", "place", "tree", "own"), least, most, sure, many))
-    # which subtrees that hold text go, by page: pages where none could are settled without a shuffle of their text
-    opened = made.select("row", "host", F.posexplode("parts").alias("k", "p")).where("p.open").select("row", "k", "host", "p.place", "p.tree")
-    gone = opened.join(template, ["host", "place", "tree"], "left_semi").groupBy("row").agg(F.collect_set("k").alias("gone"))
+    made, gone = counted(pages, names, page_html, url, counting)
+    # pages where no subtree that holds text could go are settled without a shuffle of their text
     unsettled = F.exists("parts", lambda p: p["open"])
     settled = made.where(~unsettled).select("page", text_of(F.col("blocks")).alias("text"))
     left = F.filter("blocks", lambda b: F.col("gone").isNull() | ~F.arrays_overlap(b["parts"], F.col("gone")))
     others = made.where(unsettled).join(gone, "row", "left").select("page", text_of(left).alias("text"))
     return settled.unionByName(others).select("page.*", "text")
+
+
+def template_report(pages: DataFrame, page_html: str = "html", url: str = "url", **counting: float) -> DataFrame:
+    """What of each page goes by which step: pages with host, chars (of all text blocks), by_counts (in subtrees that the
+    counts delete, found without names), by_names (in elements deleted by name or kind) and by_both, in place of the html.
+    Nulls, repeated rows and empty tables are as in main_text; columns of these names are replaced."""
+    new = ("host", "chars", "by_counts", "by_names", "by_both")
+    made, gone = counted(pages, False, page_html, url, counting, new)
+    by_counts = lambda b: F.col("gone").isNotNull() & F.arrays_overlap(b["parts"], F.coalesce("gone", F.array().cast("array<int>")))
+    chars = lambda kept: F.aggregate(F.filter("blocks", kept), F.lit(0).cast("long"), lambda n, b: n + F.length(b["text"]))
+    sums = [chars(lambda b: F.lit(True)), chars(by_counts), chars(lambda b: b["named"]), chars(lambda b: by_counts(b) & b["named"])]
+    return made.join(gone, "row", "left").select("page.*", "host", *[c.alias(name) for c, name in zip(sums, new[1:], strict=True)])

@@ -1,6 +1,7 @@
 """Brute-force twins, round trips and edge cases of the operators in llm."""
 
 import base64
+import collections
 import hashlib
 import html
 import itertools
@@ -17,11 +18,11 @@ from epispark.llm import packing, quality, toxicity
 from epispark.llm.common import labelled_sample
 from epispark.llm.decontamination import leaks
 from epispark.llm.embeddings import fitted, traversal, units, vector_links
-from epispark.llm.pages import main_text, parsed, picked
+from epispark.llm.pages import COUNTING, main_text, parsed, picked, template_report, templates
 from epispark.llm.passages import repeated_passages
 from epispark.llm.secrets import BASE, listed, redacted, trigram_query, with_secrets
 from epispark.llm.simhash import fingerprint_links, fingerprint_of, near_duplicates
-from epispark.llm.urls import url_verdicts
+from epispark.llm.urls import parts_of, url_verdicts
 
 Q = __spark_entry__.queries()
 DOCS = "doc_id long, text string"
@@ -428,6 +429,93 @@ def test_template_step_alone_cleans_a_site(spark):
     assert all(text[100 + k] != articles[100 + k] and articles[100 + k] in text[100 + k] for k in range(3))
 
 
+def test_counts_alone_delete_template_text(spark):
+    """Of the text that names call noise, on hosts of 20 pages or more, the counts alone delete nine tenths; no article text."""
+    report = template_report(spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url", "html"))
+    hosts = report.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), *[F.sum(c).alias(c) for c in ("by_counts", "by_names", "by_both")])
+    r = hosts.where("pages >= 20").agg(*[F.sum(c).alias(c) for c in ("by_counts", "by_names", "by_both")]).first()
+    assert r["by_both"] > 0.9 * r["by_names"] > 0
+    assert r["by_counts"] == r["by_both"]
+
+
+def test_structures_recur_where_texts_do_not(spark):
+    """Menus of links that differ on every page and adverts of a few texts go by their structure; a lead, a title, and the
+    text itself, which recur in structure as well, stay. Few pages, or texts that never come again, are no evidence."""
+    rng = np.random.default_rng(7)
+    words = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 10**6, n))
+    adverts = [words(5) for _ in range(40)]
+
+    def page(host, k):
+        menu = "".join(f"<li><a href='/{x}'>{x}</a></li>" for x in words(3 + k % 4).split())
+        title, lead, body = words(4), words(12), [words(30) for _ in range(1 + k % 3)]
+        kept = " ".join([title, lead, *body])
+        text = "".join(f"<p>{b}</p>" for b in body)
+        return kept, f"<body><div><ul>{menu}</ul></div><div class='zq'>{adverts[int(rng.integers(40))]}</div><div class='t'><h1>{title}</h1></div><div class='l'>{lead}</div><div class='b'>{text}</div></body>"
+
+    made = [(k, "http://many.example/x", *page("many", k)) for k in range(120)] + [(1000 + k, "http://few.example/x", *page("few", k)) for k in range(10)]
+    rows = spark.createDataFrame([(k, u, h) for k, u, _, h in made], "page_id long, url string, html string")
+    text = {r["page_id"]: r["text"] for r in main_text(rows).collect()}
+    assert [k for k, _, kept, _ in made if k < 1000 and text[k] != kept] == []
+    assert all(text[k] != kept and text[k].endswith(kept) for k, _, kept, _ in made if k >= 1000)
+    report = template_report(rows.withColumn("chars", F.lit("own")).withColumn("Row", F.lit("own")))
+    assert report.columns == ["page_id", "url", "Row", "host", "chars", "by_counts", "by_names", "by_both"]
+    assert report.where("Row <> 'own' or by_names <> 0 or (by_counts > 0) <> (host = 'many.example')").count() == 0
+
+
+def test_template_report_of_nulls(spark):
+    rows = [(None, None, None), (1, None, ""), (1, "http://h/x", "<nav>a b</nav><p>c"), (1, "http://h/x", "<nav>a b</nav><p>c")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted(tuple(r)[2:] for r in template_report(pages).collect())
+    assert got == [("", 0, 0, 0, 0), ("", 0, 0, 0, 0), ("h", 4, 0, 3, 0), ("h", 4, 0, 3, 0)]
+    assert template_report(pages.limit(0)).count() == 0
+
+
+def plain_templates(pages, least=5, most=0.5, sure=0.8, many=20, seen=0.2, small=0.25):
+    """templates() without Spark, of one host."""
+    at = collections.defaultdict(dict)
+    for page in pages:
+        sig, _, parts = parsed(page)
+        for p in parts:
+            old = at[p["place"]].get((p["tree"], sig))
+            at[p["place"]][p["tree"], sig] = p if old is None else {**p, "own": p["own"] or old["own"], "shape": max((x for x in (p["shape"], old["shape"]) if x is not None), default=None), "links": p["links"] or old["links"], "share": max(p["share"], old["share"])}
+    out = set()
+    for place, held in at.items():
+        n = collections.Counter(tree for tree, _ in held)
+        own, shape = {}, {}
+        for (tree, _), p in held.items():
+            own[tree] = own.get(tree, False) or p["own"]
+            shape[tree] = max((x for x in (p["shape"], shape.get(tree)) if x is not None), default=None)
+        again = sum(c for c in n.values() if c >= least)
+        groups = collections.defaultdict(list)
+        for (tree, _), p in held.items():
+            groups[shape[tree]].append((tree, p))
+        one = max(((len(g), s) for s, g in groups.items() if s is not None), default=(0, None))
+        group = groups[one[1]] if one[1] is not None else []
+        links, twice = sum(p["links"] for _, p in group), sum(n[t] >= 2 for t, _ in group)
+        menu = bool(group) and 2 * links >= len(group)
+        fixed = bool(group) and len(held) >= many and len(group) >= sure * len(held) and sum(p["share"] for _, p in group) <= small * len(group) and (menu or twice >= seen * len(group))
+        for tree in n:
+            by_text = again >= most * len(held) and (n[tree] >= least or (len(held) >= many and again >= sure * len(held) and own[tree]))
+            if by_text or (fixed and shape[tree] == one[1] and (own[tree] or menu)):
+                out.add((place, tree))
+    return out
+
+
+def test_templates_match_plain_counts(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("url", "html").withColumn("host", parts_of(F.col("url"))[0])
+    few = pages.where(F.col("host").isin([r["host"] for r in pages.groupBy("host").count().orderBy("count", "host").limit(12).collect()])).collect()
+    by_host = collections.defaultdict(list)
+    for r in few:
+        by_host[r["host"]].append(r["html"])
+    parts = [(h, sig, p["place"], p["tree"], p["own"], p["shape"], p["links"], p["share"]) for h, ps in by_host.items() for sig, _, found in map(parsed, ps) for p in found]
+    frame = spark.createDataFrame(parts, "host string, sig long, place long, tree long, own boolean, shape long, links boolean, share double")
+    got = collections.defaultdict(set)
+    for r in templates(frame, **COUNTING).collect():
+        got[r["host"]].add((r["place"], r["tree"]))
+    assert {h: got[h] for h in by_host} == {h: plain_templates(ps) for h, ps in by_host.items()}
+    assert sum(map(len, got.values())) > 100
+
+
 @pytest.mark.parametrize(
     "page",
     [
