@@ -437,10 +437,27 @@ def rt1b(spark, d):
 
 #: pages with a short container in front, totals at the end of their article, and a month in a given title, in the text or nowhere
 REPORT = "SELECT url, page_id, '20' || (10 + page_id % 15) || '年' || CASE WHEN page_id % 2 = 0 THEN ' ' ELSE '' END || (page_id % 12 + 1) || '月' AS month, CASE WHEN page_id % 5 = 0 THEN '共报告 法定传染病' || page_id || '例，死亡' || page_id % 7 || '人' WHEN page_id % 5 = 1 THEN '报告发病' || page_id || '例' WHEN page_id % 5 = 2 THEN '共报告' || page_id || '例死亡3人' ELSE 'none' END AS totals, html FROM pages"
-UNESCAPED = "replace(replace(replace(replace(x, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
 
 
-@query("rt2_article_records", f"WITH r AS ({REPORT}), a AS (SELECT *, regexp_extract(html, '(?is)<article>(.*?)</article>', 1) || '<p>' || totals || CASE WHEN page_id % 4 = 1 THEN ' ' || month ELSE '' END || '</p>' AS inside, CASE WHEN page_id % 4 = 0 THEN month ELSE '' END AS hint, trim({UNESCAPED.replace('(x,', "(regexp_extract(html, '(?is)<title>(.*?)</title>', 1),")}) AS own FROM r), t AS (SELECT *, trim(array_to_string(list_transform(list_filter(string_split_regex(inside, '<[^>]*>'), lambda x: x <> ''), lambda x: {UNESCAPED}), chr(10))) AS main_text FROM a), n AS (SELECT *, replace(totals, ' ', '') AS bare FROM t) SELECT url, CASE WHEN hint <> '' THEN hint ELSE own END AS title, md5(main_text) AS text_md5, length(main_text) AS n_chars, regexp_extract(month, '^(\\d+)', 1) || '-' || lpad(regexp_extract(month, '(\\d+)月', 1), 2, '0') AS month, CASE WHEN page_id % 5 < 3 THEN page_id END AS cases, CASE WHEN page_id % 5 = 0 THEN page_id % 7 WHEN page_id % 5 = 2 THEN 3 END AS deaths, CASE WHEN contains(url, 'example.org') THEN 'org' WHEN contains(url, 'example.net') THEN 'net' ELSE 'unknown' END AS source FROM n WHERE page_id % 4 IN (0, 1)")
+def unescaped(x: str) -> str:
+    """The character references of the pages; in HTML these need no semicolon."""
+    for name, c in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        x = f"regexp_replace({x}, '&{name};?', '{c}', 'g')"
+    return x
+
+
+def strings_of(html: str) -> str:
+    """The strings between tags, scripts, styles and comments, joined by line ends; white space alone counts as one character."""
+    each = f"list_transform(list_filter(string_split_regex({html}, '(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<[^>]*>'), lambda x: x <> ''), lambda x: {unescaped('x')})"
+    each = f"list_transform({each}, lambda x: CASE WHEN regexp_full_match(x, '\\s+') THEN CASE WHEN contains(x, chr(10)) THEN chr(10) ELSE ' ' END ELSE x END)"
+    return f"regexp_replace(array_to_string({each}, chr(10)), '^\\s+|\\s+$', '', 'g')"
+
+
+#: the main text is the article's, or the body's where that has at most 50 characters
+RECORDS = f"WITH r AS ({REPORT}), a AS (SELECT *, CASE WHEN page_id % 4 = 0 THEN month ELSE '' END AS hint, trim({unescaped("regexp_extract(html, '(?is)<title>(.*?)</title>', 1)")}) AS own, replace(replace(html, '</article>', '<p>' || totals || CASE WHEN page_id % 4 = 1 THEN ' ' || month ELSE '' END || '</p></article>'), '<body>', '<body>a' || chr(10) || 'c<br>d') AS whole FROM r WHERE html IS NOT NULL), b AS (SELECT *, {strings_of("regexp_extract(whole, '(?is)<article>(.*?)</article>', 1)")} AS of_article, {strings_of("regexp_extract(whole, '(?is)<body>(.*?)(</body>|\\z)', 1)")} AS of_body FROM a), t AS (SELECT *, CASE WHEN length(of_article) > 50 THEN of_article ELSE of_body END AS main_text FROM b)"
+
+
+@query("rt2_article_records", f"{RECORDS} SELECT url, CASE WHEN hint <> '' THEN hint ELSE own END AS title, md5(main_text) AS text_md5, length(main_text) AS n_chars, regexp_extract(month, '^(\\d+)', 1) || '-' || lpad(regexp_extract(month, '(\\d+)月', 1), 2, '0') AS month, CASE WHEN page_id % 5 < 3 THEN page_id END AS cases, CASE WHEN page_id % 5 = 0 THEN page_id % 7 WHEN page_id % 5 = 2 THEN 3 END AS deaths, CASE WHEN contains(url, 'example.org') THEN 'org' WHEN contains(url, 'example.net') THEN 'net' ELSE 'unknown' END AS source FROM t WHERE page_id % 4 IN (0, 1)")
 def rt2b(spark, d):
     k = F.col("page_id")
     text = lambda c: c.cast("string")

@@ -93,3 +93,19 @@ def test_links_in_any_quotes(spark):
     got = [(r["href"], r["title"], r["target"]) for r in X.links(p).orderBy("pos").collect()]
     assert got == [("/a b", "one x", "https://s.org/a b"), ("c?d=1", "two", "https://s.org/c?d=1"), ("http://o/e", "three", "http://o/e"), ("//p/f", "four", "https://p/f"), ("/g", "", "https://s.org/g")]
     assert [r["title"] for r in X.links(p, title=lambda t: F.length(t) != 4).orderBy("pos").collect()] == ["one x", "two", "three"]
+
+
+def test_article_records_and_their_sql_on_short_articles_and_open_references(spark, tmp_path):
+    """Articles of at most 50 characters, for which the body stands in, and references without a semicolon."""
+    import duckdb
+
+    import __spark_entry__
+
+    page = "<html><head><title>T{0}</title><script>var t = '<p>'</script></head><body><nav><a href='/a'>menu</a></nav>\n<!-- <p>ad --><div>{1}</div><article><p>{2}</p></article><footer>&copy; x</footer></body></html>"
+    words = "long enough for an article of its own, with more than fifty characters"
+    rows = [(4, page.format("", "aside", "short")), (5, page.format(" &amp", "aside &quot", words + " &amp")), (8, page.format("", "aside", words + " & &ampx &am")), (9, page.format("", "", "b")), (12, page.format("", "z", "c").replace("</body></html>", "")), (16, None)]
+    spark.createDataFrame([(k, f"http://a.example.org/{k}", h) for k, h in rows], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(map(tuple, __spark_entry__.queries()["rt2_article_records"](spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == sorted(con.execute(__spark_entry__.oracle_sql()["rt2_article_records"]).fetchall()) and len(got) == 5
