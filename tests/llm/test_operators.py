@@ -798,3 +798,21 @@ def test_links_sql_on_planted_pairs(spark):
     assert sum(v[0] for v in want.values()) > 100
     assert got.keys() == want.keys()
     assert sum(got[k] == want[k] for k in want) >= 0.97 * len(want) and all(got[k][0] <= want[k][0] for k in want)
+
+
+def test_url_models_take_all_urls(spark):
+    """What 2,000 URLs a class would not show: words that stand in few of many URLs, as the models of all of them tell."""
+    from epispark.llm import urls as U
+
+    rng = np.random.default_rng(11)
+    word = lambda n=6: "".join(chr(97 + int(c)) for c in rng.integers(0, 26, n))
+    made = [(f"https://{word()}.org/{'zqxjk' if k % 500 == 0 else word(5)}/{k}", 1) for k in range(5000)] + [(f"https://{word()}.com/de/{'vvwqz' if k % 500 == 0 else word(5)}/{k}", 0) for k in range(5000)]
+    none = [f"https://{word()}.net/{w}/{k}" for k in range(4) for w in ("zqxjk", "vvwqz", word(5))] + ["", "x", None, "é\U0001f600/\x02z"]
+    rows = spark.createDataFrame(list(enumerate([*[u for u, _ in made], *none, *none])), "page_id long, url string").repartition(5)
+    got = {r["url"]: r for r in U.url_verdicts(rows).collect()}
+    y = dict(made)
+    order = [r["u"] for r in spark.createDataFrame([(u,) for u in y], "u string").orderBy(F.xxhash64("u"), "u").collect()]
+    model = U.fit(pd.DataFrame([(u, y[u]) for u in order], columns=["url", "y"]))
+    for u in [*none, *order[:300]]:
+        assert abs(got[u]["score"] - 1 / (1 + np.exp(-np.clip(model.slope * model.ratio(u) + model.shift, -35, 35)))) < 1e-6, u
+    assert len(got) == len(made) + len(none)
