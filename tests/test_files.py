@@ -109,3 +109,17 @@ def test_article_records_and_their_sql_on_short_articles_and_open_references(spa
     con = duckdb.connect()
     con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
     assert got == sorted(con.execute(__spark_entry__.oracle_sql()["rt2_article_records"]).fetchall()) and len(got) == 5
+
+
+def test_split_chunks_do_not_gather_texts_in_batches(spark):
+    """10,000 texts and their chunks in one batch are what fills a worker's memory; rows go on one by one."""
+    from pyspark.sql import functions as F
+
+    from epispark.functions.helpers import splitter
+
+    texts = [None, "", " ", "word " * 300, "x" * 1200, "A line.\n\nAnother. " * 60]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string").select("k", splitter()(F.col("text")).alias("c"))
+    assert "ArrowEvalPython" not in rows._jdf.queryExecution().toString()
+    got = {r["k"]: r["c"] for r in rows.collect()}
+    assert got[0] == got[1] == got[2] == [] and [len(c) for c in got[4]] == [500, 500, 300]
+    assert all(len(c) <= 500 for k in (3, 5) for c in got[k]) and got[5][0].endswith("A line.")
