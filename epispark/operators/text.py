@@ -117,6 +117,33 @@ def strided(text: Column, size: int = 500, overlap: int = 50) -> Column:
     return F.when(F.length(text) > 0, F.transform(F.sequence(F.lit(1), last, F.lit(size - overlap)), lambda k: F.substr(text, k, F.lit(size)))).otherwise(F.array().cast("array<string>"))
 
 
+def nearest_of(qs: pd.DataFrame, cs: pd.DataFrame, k: int, cells: int = 1 << 20) -> pd.DataFrame:
+    """(query, id, distance): the k nearest of one part (key, v) for each query (key, v) of one block. Only about `cells`
+    distances are held at a time, whatever the sizes of the two."""
+    out = [pd.DataFrame({"query": qs["key"][:0], "id": cs["key"][:0], "distance": np.zeros(0)})]
+    if len(qs) and len(cs):
+        # of equal vectors only the k smallest ids can be among the k nearest
+        cs = cs.sort_values("key", kind="stable")
+        every_y = np.array(cs["v"].tolist(), float)
+        same = pd.Series([r.tobytes() for r in every_y])
+        held = (same.groupby(same).cumcount() < k).to_numpy()
+        y, ids = every_y[held], cs["key"].to_numpy()[held]
+        names, every_x = qs["key"].to_numpy(), np.array(qs["v"].tolist(), float)
+        yy = (y**2).sum(1)
+        step = max(1, cells // len(y))
+        for at in range(0, len(names), step):
+            x = every_x[at : at + step]
+            xx = (x**2).sum(1)
+            d = xx[:, None] + yy[None] - 2 * x @ y.T
+            kth = np.partition(d, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1]
+            # the product rounds: whatever may tie with the k-th is measured again
+            rows, cols = np.nonzero(d <= (kth + 1e-9 + 1e-12 * (xx + yy.max()))[:, None])
+            exact = np.concatenate([((x[rows[i : i + 16384]] - y[cols[i : i + 16384]]) ** 2).sum(1) for i in range(0, len(rows), 16384)])
+            one = pd.DataFrame({"row": rows, "query": names[at + rows], "id": ids[cols], "distance": exact, "near": exact.round(9)})
+            out.append(one.sort_values(["row", "near", "id"]).groupby("row").head(k)[["query", "id", "distance"]])
+    return pd.concat(out[1:] or out)
+
+
 def nearest(queries: DataFrame, chunks: DataFrame, k: int, key: str = "id", vector: str = "embedding", threshold: float | None = None, block: int = 4096, part: int = 16384) -> DataFrame:
     """(query, id, distance, similarity, rank): the k nearest chunks of each query by squared distance.
 
@@ -132,27 +159,7 @@ def nearest(queries: DataFrame, chunks: DataFrame, k: int, key: str = "id", vect
     c = c.withColumn("part", dealt(parts)).withColumn("block", every(blocks))
 
     def best(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query": qs["key"][:0], "id": cs["key"][:0], "distance": np.zeros(0)})]
-        if len(qs) and len(cs):
-            # of equal vectors only the k smallest ids can be among the k nearest
-            cs = cs.sort_values("key", kind="stable")
-            every_y = np.array(cs["v"].tolist(), float)
-            same = pd.Series([r.tobytes() for r in every_y])
-            held = (same.groupby(same).cumcount() < k).to_numpy()
-            y, ids = every_y[held], cs["key"].to_numpy()[held]
-            names, every_x = qs["key"].to_numpy(), np.array(qs["v"].tolist(), float)
-            yy = (y**2).sum(1)
-            for at in range(0, len(names), 256):
-                x = every_x[at : at + 256]
-                xx = (x**2).sum(1)
-                d = xx[:, None] + yy[None] - 2 * x @ y.T
-                kth = np.partition(d, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1]
-                # the product rounds: whatever may tie with the k-th is measured again
-                rows, cols = np.nonzero(d <= (kth + 1e-9 + 1e-12 * (xx + yy.max()))[:, None])
-                exact = np.concatenate([((x[rows[i : i + 65536]] - y[cols[i : i + 65536]]) ** 2).sum(1) for i in range(0, len(rows), 65536)])
-                one = pd.DataFrame({"row": rows, "query": names[at + rows], "id": ids[cols], "distance": exact, "near": exact.round(9)})
-                out.append(one.sort_values(["row", "near", "id"]).groupby("row").head(k)[["query", "id", "distance"]])
-        return pd.concat(out[1:] or out)
+        return nearest_of(qs, cs, k)
 
     kinds = f"query {dict(queries.dtypes)[key]}, id {dict(chunks.dtypes)[key]}, distance double"
     found = q.groupBy("block", "part").cogroup(c.groupBy("block", "part")).applyInPandas(best, kinds)

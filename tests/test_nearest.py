@@ -26,3 +26,24 @@ def test_nearest_of_many_blocks_and_ties(spark, block, part):
 def test_nearest_has_no_limit_of_queries(spark):
     e = spark.range(100_001).selectExpr("id", "array(cast(id as double)) as embedding")
     assert nearest(e, e.where("id < 3"), 1).count() == 100_001
+
+
+def test_nearest_holds_few_distances_at_a_time():
+    """A whole part against many queries: 2 million distances at once would take 100 MB and more."""
+    import tracemalloc
+
+    import pandas as pd
+
+    from epispark.operators.text import nearest_of
+
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(16384, 8)).astype("float32")
+    part = pd.DataFrame({"key": np.arange(len(v)), "v": list(v)})
+    tracemalloc.start()
+    got = nearest_of(part[:128], part, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6, peak
+    d = ((v[:128, None].astype(float) - v[None].astype(float)) ** 2).sum(2).round(9)
+    want = [[int(k) for k in np.lexsort((np.arange(len(v)), r))[:3]] for r in d]
+    assert got.groupby("query")["id"].apply(list).tolist() == want
