@@ -262,9 +262,13 @@ def top_weekly(df: DataFrame, ts: str, category: str, person: str, k: int) -> Da
     return grid.join(weekly, ["week", "category"], "left").fillna(0, ["patients", "visits"])
 
 
-def step_flags(stays: DataFrame, events: DataFrame, key: str, step: Column, flags: Mapping[str, Column]) -> DataFrame:
-    """Per stay and step 1 where any event of it raises a flag."""
-    placed = events.join(stays, key).withColumn("time_idx", step).where("time_idx >= 0")
+def step_flags(stays: DataFrame, events: DataFrame, key: str, step: Column, flags: Mapping[str, Column], part: int = 1 << 18) -> DataFrame:
+    """Per stay and step 1 where any event of it raises a flag.
+
+    Stays and events meet in parts of about `part` events, dealt by key: more events make more tasks, not larger ones.
+    """
+    parts = max(1, -(-events.count() // part))
+    placed = events.repartition(parts, key).join(stays.repartition(parts, key).hint("merge"), key).withColumn("time_idx", step).where("time_idx >= 0")
     return placed.groupBy(key, "time_idx").agg(*[F.max(c.cast("int")).alias(n) for n, c in flags.items()])
 
 

@@ -60,3 +60,19 @@ def test_crps_of_rows_is_that_of_arrays(spark):
     arrays = df.groupBy("key").agg(F.collect_list("x").alias("xs")).select("key", crps_samples(F.lit(0.5), F.col("xs")).alias("crps"))
     a, b = ({x["key"]: round(x["crps"], 9) for x in d.collect()} for d in (arrays, crps_rows(df, "key", F.lit(0.5), "x")))
     assert a == b
+
+
+def test_step_flags_in_parts(spark):
+    """More events make more tasks; the flags are those of plain counting."""
+    from epispark.operators.aggregates import step_flags
+
+    rng = random.Random(4)
+    events = [(rng.randrange(60), rng.randrange(12), rng.random() < 0.3) for _ in range(1000)]
+    stays = spark.createDataFrame([(k, k % 5) for k in range(50)], "k int, t0 int")
+    out = step_flags(stays, spark.createDataFrame(events, "k int, t int, hit boolean"), "k", F.col("t") - F.col("t0"), {"hit": F.col("hit")}, part=50)
+    want = {}
+    for k, t, hit in events:
+        if k < 50 and t >= k % 5:
+            want[k, t - k % 5] = max(want.get((k, t - k % 5), 0), int(hit))
+    assert {(r["k"], r["time_idx"]): r["hit"] for r in out.collect()} == want
+    assert out.rdd.getNumPartitions() >= 20
