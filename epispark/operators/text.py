@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from epispark.session import stored
+
 
 def stripped(html: Column) -> Column:
     """Text of a page: scripts, styles and tags removed, white space collapsed."""
@@ -204,7 +206,10 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def outcome_model(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str):
-    """Scaled and one-hot logistic regression with balanced class weights; returns the fitted pipeline."""
+    """Scaled and one-hot logistic regression with balanced class weights; returns the fitted pipeline.
+
+    The stages pass over the rows one after the other, so what they read is stored once, not evaluated for each.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -217,7 +222,8 @@ def outcome_model(train: DataFrame, numeric: Sequence[str], categorical: Sequenc
         VectorAssembler(inputCols=["_scaled", *[f"{c}_v" for c in categorical]], outputCol="features"),
         LogisticRegression(labelCol=label, weightCol="weight", maxIter=50),
     ]
-    return Pipeline(stages=stages).fit(class_weights(train, label))
+    rows = train.select(*dict.fromkeys([*numeric, *categorical, label]))
+    return Pipeline(stages=stages).fit(stored(class_weights(rows, label)))
 
 
 def category_codes(df: DataFrame, column: str) -> DataFrame:

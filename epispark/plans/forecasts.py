@@ -10,6 +10,7 @@ from epispark.operators import series as R
 from epispark.operators import text as X
 from epispark.plans.records import WEEK
 from epispark.plans.registry import query, table
+from epispark.session import stored
 
 WK = WEEK.format("o_orderdate")
 SERIES = f"s AS (SELECT o_orderpriority AS series, CAST({WK} AS DATE) AS week, CAST(count(*) AS DOUBLE) AS v FROM orders GROUP BY ALL)"
@@ -525,17 +526,22 @@ def fe1(spark, d):
 
 @query("fe2_flat_features", "SELECT doc_id, length(text) AS n_chars, len(string_split(text, ' ')) AS n_words, len(list_filter(string_split(text, ' '), lambda w: w LIKE '%.')) AS n_ends FROM documents")
 def fe2(spark, d):
+    return flat_features(table(spark, d, "documents"))
+
+
+def flat_features(documents, *more: str):
     words = F.split("text", " ")
-    return table(spark, d, "documents").select("doc_id", F.length("text").alias("n_chars"), F.size(words).alias("n_words"), F.size(F.filter(words, lambda w: F.endswith(w, F.lit(".")))).alias("n_ends"))
+    return documents.select("doc_id", F.length("text").alias("n_chars"), F.size(words).alias("n_words"), F.size(F.filter(words, lambda w: F.endswith(w, F.lit(".")))).alias("n_ends"), *more)
 
 
 @query("fe3_outcome_model")
 def fe3(spark, d):
     from pyspark.ml.functions import vector_to_array
 
-    j = fe2(spark, d).join(table(spark, d, "labels"), "doc_id").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id").withColumn("label", F.col("quality").cast("double"))
+    # the texts are read once: what follows takes numbers
+    j = stored(flat_features(table(spark, d, "documents"), "lang").join(table(spark, d, "labels"), "doc_id").withColumn("label", F.col("quality").cast("double")))
     split = R.stratified_split(j, "doc_id", "quality").select("doc_id", "split")
-    rows = j.join(split, "doc_id")
+    rows = stored(j.join(split, "doc_id"))
     model = X.outcome_model(rows.where("split = 'train'"), ["n_chars", "n_words", "n_ends"], ["lang"], "label")
     return model.transform(rows.withColumn("weight", F.lit(1.0))).select("doc_id", "split", "quality", F.round(vector_to_array("probability")[1], 6).alias("p"))
 

@@ -67,3 +67,18 @@ def test_report_of_held_out_rows(spark):
         assert abs(r["precision"] - precision) < 1e-9 and abs(r["recall"] - recall) < 1e-9
         assert abs(r["f1"] - 2 * precision * recall / (precision + recall)) < 1e-9
         assert abs(r["auroc"] - area) < 1e-9
+
+
+def test_outcome_model_does_not_evaluate_its_rows_for_every_pass(spark):
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        seen.add(1)
+        return v
+
+    rows = spark.createDataFrame([(float(k % 7), "ab"[k % 2], float(k % 3 == 0)) for k in range(90)], "x double, kind string, y double")
+    outcome_model(rows.withColumn("x", counted("x")), ["x"], ["kind"], "y")
+    assert 90 <= seen.value <= 180  # once for the weights at most, once for the rows
